@@ -20,7 +20,7 @@ from pyspark.sql.functions import pandas_udf
 
 from .common import table
 
-DIM = 512
+DIM = 256
 #: Classes of letters: 0 is the gap between words, 1 to 26 are a to z, others share the rest by code point.
 CLASSES = 256
 MAX_LANGUAGES = 1000
@@ -33,6 +33,9 @@ def letter_vectors(dim: int = DIM) -> np.ndarray:
 _V = letter_vectors()
 #: First, second and third letters of a trigram: the vectors permuted by 2, 1 and 0 places.
 _PLACES = (np.roll(_V, 2, 1), np.roll(_V, 1, 1), _V)
+#: Of the first two letters, bound. float32 lets the bundling be one matrix product.
+_PAIRS = (_PLACES[0][:, None, :] * _PLACES[1][None, :, :]).reshape(CLASSES * CLASSES, -1).astype(np.float32)
+_THIRD = _PLACES[2].astype(np.float32)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -50,7 +53,7 @@ def profile(text: str) -> np.ndarray | None:
     out = np.zeros(DIM, np.float32)
     for s in range(0, len(found), 4096):
         g = found[s : s + 4096]
-        out += counts[s : s + 4096].astype(np.float32) @ (_PLACES[0][g >> 16] * _PLACES[1][g >> 8 & 255] * _PLACES[2][g & 255]).astype(np.float32)
+        out += counts[s : s + 4096].astype(np.float32) @ (_PAIRS[g >> 8] * _THIRD[g & 255])
     return out
 
 

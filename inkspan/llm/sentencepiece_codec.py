@@ -24,6 +24,8 @@ from .common import table
 META = "▁"
 UNKNOWN = 1 << 24  # codes from here on are characters without a piece
 START = (1 << 26) - 1
+#: Words whose ids a worker remembers before it forgets them all; this bounds memory and never changes a result.
+KNOWN_WORDS = 400_000
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -72,6 +74,7 @@ class Codec:
         order = np.argsort(hashes)
         self.keys, self.key_ids = hashes[order], ids[order]
         assert len(np.unique(self.keys)) == len(self.keys)
+        self.known: dict[str, list[int]] = {}
         self.pair_keys, self.pair_ok = np.array([-1], np.int64), np.array([False])
         lines = "" if any("\n" in p for p in self.text_ids) else "\n"
         assert not any(re.search(f"[^{META}]{META}", p) for p in self.text_ids)
@@ -115,7 +118,7 @@ class Codec:
         found = np.full((m + 1, n, size + 1), -1, np.int64)  # by length and end
         power = np.uint64(1)
         for k in range(1, m + 1):
-            power = power * _P
+            power = np.uint64(int(power) * int(_P) & 0xFFFFFFFFFFFFFFFF)
             sub = h[:, k:] - h[:, :-k] * power
             at = np.minimum(np.searchsorted(self.keys, sub), len(self.keys) - 1)
             found[k][:, k:] = np.where(self.keys[at] == sub, self.key_ids[at], -1)
@@ -176,10 +179,13 @@ class Codec:
         return np.asarray(out, np.int64)
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        place: dict[str, int] = {}
-        split = [[place.setdefault(w, len(place)) for w in self.split.findall(META + t.replace(" ", META))] if t else [] for t in texts]
-        ids = self.encode_words(list(place))
-        return [np.concatenate([ids[w] for w in s]) if s else np.empty(0, np.int64) for s in split]
+        split = [self.split.findall(META + t.replace(" ", META)) if t else [] for t in texts]
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        new = list(set().union(*split).difference(self.known))
+        self.known.update(zip(new, (ids.tolist() for ids in self.encode_words(new))))
+        known = self.known
+        return [np.array([i for w in s for i in known[w]], np.int64) for s in split]
 
     def decode(self, ids: np.ndarray) -> str:
         parts, held = [], bytearray()
@@ -214,8 +220,8 @@ def encoded(text: Column, path: str) -> Column:
     @pandas_udf("struct<ids:array<int>,round_trip:boolean>")
     def run(texts: pd.Series) -> pd.DataFrame:
         c, ids, same = codec(path), [], []
-        for start in range(0, len(texts), 512):
-            part = texts.iloc[start : start + 512]
+        for start in range(0, len(texts), 2048):
+            part = texts.iloc[start : start + 2048]
             for t, got in zip(part, c.encode_batch([t or "" for t in part])):
                 ids.append(None if t is None else got.astype(np.int32))
                 # a character that is META itself comes back as a space
