@@ -5,8 +5,8 @@ The join is exact up to equal 64-bit shingle hashes:
 
 1. Documents with equal sets form a class (one aggregate over narrow keys); only classes go on.
 2. Under any global order, sets that similar share one of their first n - ceil(t * n) + 1 elements. The order is the
-   hash's, with shingles that sit in the prefixes of many classes moved last, so a passage that many documents share
-   makes no large bucket. Only documents that held such a shingle are read again in full to find their new prefix.
+   hash's, with shingles that many classes hold moved last, the most frequent at the end, so a passage that many
+   documents share makes no large bucket. Only documents that hold one are read again to find their new prefix.
 3. Each bucket first compares its smallest member with the others; what those links join is then one component.
    Next, only members of different components in a bucket are compared. A link inside a component changes nothing.
 4. Verification stores the partners' ordered sets of one member in a trie walk: equal leading parts share the overlap
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, cut, let, table, words
 from .components import connected_components
 
-#: A shingle in more prefixes than this goes last in the global order. Any value gives the same result.
-HEAVY = 24
+#: A shingle of more classes than this goes last in the global order. Any value gives the same result.
+HEAVY = 10
 #: Partners of one member that one trie holds; more are dealt to further tries.
 TRIE_ROWS = 400
 
@@ -108,11 +108,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = keyed.select("id", "n", "prefix").join(reps, "id", "left_semi").select("id", "n", F.explode_outer("prefix").alias("s"))
     first = cut(first)
     counts = first.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
-    heavy = cut(counts.where(F.col("c") > HEAVY).select("s"))
-    reread = cut(first.join(heavy, "s", "left_semi").select("id").distinct())
-    full = shingle_sets(docs.join(reread.withColumnRenamed("id", id_col), id_col, "left_semi"), id_col, text_col, k)
-    ranked = full.select("id", "n", F.explode_outer("shingles").alias("s")).join(heavy.withColumn("late", F.lit(1)), "s", "left")
-    again = ranked.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("late", F.lit(0)).alias("late"), "s"))).alias("o"))
+    heavy = counts.where(F.col("c") > HEAVY).select("s")
+
+    def whole(ids: DataFrame) -> DataFrame:
+        sets = shingle_sets(docs.join(ids.withColumnRenamed("id", id_col), id_col, "left_semi"), id_col, text_col, k)
+        return sets.select("id", "n", F.explode_outer("shingles").alias("s"))
+
+    # a shared passage has more shingles than the prefixes show: count those of the documents that have one in full
+    seen = cut(first.join(heavy, "s", "left_semi").select("id").distinct())
+    late = cut(whole(seen).groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") > HEAVY))
+    reread = cut(first.join(late.select("s"), "s", "left_semi").select("id").distinct())
+    ranked = whole(reread).join(late, "s", "left")
+    again = ranked.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("late"), "s"))).alias("o"))
     again = again.select("id", "n", F.explode_outer(F.slice("o.s", 1, _prefix(F.col("n"), percent))).alias("s"))
     rows = first.join(reread, "id", "left_anti").unionByName(again)
     # a bucket of one class has nothing to compare
