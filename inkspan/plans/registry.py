@@ -2,5 +2,103 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import functions as F
+
+from inkspan.operators import evaluation, quality, records
+from inkspan.sources.text import text_lines
+
+
+def _t(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _lines(spark, d, *cols):
+    return text_lines(_t(spark, d, "documents").select("doc_id", "text"))
+
+
+def _tiered(spark, d):
+    summary = quality.line_summary(quality.scored_lines(_lines(spark, d)), ["doc_id"])
+    return summary.withColumn("tier", quality.tier())
+
+
+def tier_grouping_sets(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", "lang").join(_tiered(spark, d).select("doc_id", "tier"), "doc_id", "left")
+    labelled = docs.join(_t(spark, d, "labels"), "doc_id", "left")
+    out = labelled.groupingSets([["lang", "tier"], ["lang"]], "lang", "tier").agg(F.count("*").alias("n"), F.sum("quality").alias("good"))
+    return out.select("lang", "tier", "n", "good")
+
+
+def _upsert(spark, d):
+    c = _t(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    new = c.where("c_custkey % 3 = 0").select((F.col("c_custkey") + 1000).alias("c_custkey"), "c_name", (F.col("c_acctbal") + 1).alias("c_acctbal"))
+    return records.keyed_upsert(c, new, "c_custkey", ["c_acctbal"])
+
+
+def _prf(spark, d):
+    b = _t(spark, d, "benchmark")
+    ref = b.select("item_id", F.explode(F.split("text", " ")).alias("w"))
+    hyp = b.select("item_id", F.explode(F.split(F.lower("text"), " ")).alias("w"))
+    return evaluation.multiset_prf(ref, hyp, "item_id", "w")
+
+
+def _cer(spark, d):
+    b = _t(spark, d, "benchmark").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    hyp = F.replace("text", F.lit("the"), F.lit("teh"))
+    return b.select("item_id", evaluation.cer(F.col("text"), hyp).alias("cer"), evaluation.ned(F.col("text"), hyp).alias("ned"))
+
+
+def _bins(spark, d):
+    e = _t(spark, d, "events").select((F.abs("event_id") % 1000 / 1000.0).cast("double").alias("c"), (F.col("value") > 10).alias("ok")).where("ok is not null")
+    return evaluation.reliability_bins(e, "c", "ok").select("bin", "n", "hits")
+
+
+def _split_counts(spark, d):
+    return quality.splits(quality.equal_tier_sample(_tiered(spark, d), "doc_id", 300)).select("doc_id", "tier", "pick", "split")
+
+
+QUERIES = {
+    "doc_lines": _lines,
+    "line_kind_counts": lambda s, d: quality.scored_lines(_lines(s, d)).groupBy("categ").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs")),
+    "doc_quality_summary": lambda s, d: quality.line_summary(quality.scored_lines(_lines(s, d)), ["doc_id"]).withColumn("avg_quality_score", F.round("avg_quality_score", 9)),
+    "document_tier": lambda s, d: _tiered(s, d).select("doc_id", "tier"),
+    "tier_grouping_sets": tier_grouping_sets,
+    "split_assignment": _split_counts,
+    "furniture_lines": lambda s, d: quality.furniture(_lines(s, d).join(_t(s, d, "documents").select("doc_id", "source"), "doc_id"), ["source"]),
+    "cer_ned": _cer,
+    "multiset_prf": _prf,
+    "reliability_bins": _bins,
+    "keyed_upsert": _upsert,
+    "anti_referential": lambda s, d: records.unreferenced(_t(s, d, "documents").select("doc_id", "lang"), _t(s, d, "labels"), "doc_id"),
+    "consecutive_ranges": lambda s, d: records.consecutive_ranges(_t(s, d, "labels"), "doc_id", ["quality"]),
+    "topk_per_group": lambda s, d: records.top_k(_t(s, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice"), ["l_suppkey"], [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"], 3),
+}
+
+_LINES = """pages as (select doc_id, generate_subscripts(string_split(text, chr(12)), 1) as page, unnest(string_split(text, chr(12))) as t from documents where text is not null),
+trimmed as (select doc_id, page, case when ends_with(t, chr(10)) then left(t, length(t) - 1) else t end as t from pages),
+lines as (select doc_id, page, generate_subscripts(string_split(t, chr(10)), 1) as line, unnest(string_split(t, chr(10))) as text from trimmed)"""
+_SCORED = _LINES + r""",
+shares as (select *, length(regexp_replace(text, '[^\p{L}]', '', 'g')) as letters, length(regexp_replace(text, '\s', '', 'g')) as solid from lines),
+scored as (select *, case when solid = 0 then 'Empty' when letters / solid >= 0.7 then 'Clear' when letters / solid >= 0.4 then 'Noisy' when letters > 0 then 'Trash' else 'Non-text' end as categ from shares),
+graded as (select *, case categ when 'Clear' then 0.9 when 'Noisy' then 0.6 when 'Trash' then 0.2 else 0.0 end::double as quality_score from scored)"""
+_SUMMARY = _SCORED + """,
+summary as (select doc_id, count(*) as num_lines, count(*) filter (categ = 'Clear') as clear, count(*) filter (categ = 'Noisy') as noisy, count(*) filter (categ = 'Trash') as trash,
+  count(*) filter (categ = 'Non-text') as non_text, count(*) filter (categ = 'Empty') as empty, avg(quality_score) filter (categ <> 'Empty') as avg_quality_score from graded group by doc_id)"""
+_TIERED = _SUMMARY + """,
+tiered as (select *, case when avg_quality_score is null then 'text_poor' when avg_quality_score >= 0.85 and (clear + noisy) / num_lines >= 0.5 then 'clean' when avg_quality_score >= 0.6 then 'degraded' else 'hard' end as tier from summary)"""
+
+ORACLES = {
+    "doc_lines": f"with {_LINES} select doc_id, page, line, text from lines",
+    "line_kind_counts": f"with {_SCORED} select categ, count(*) as n, count(distinct doc_id) as docs from scored group by categ",
+    "doc_quality_summary": f"with {_SUMMARY} select * replace (round(avg_quality_score, 9) as avg_quality_score) from summary",
+    "document_tier": f"with {_TIERED} select doc_id, tier from tiered",
+    "tier_grouping_sets": f"with {_TIERED}, l as (select d.lang, t.tier, b.quality from documents d left join tiered t using (doc_id) left join labels b using (doc_id)) select lang, tier, count(*) as n, cast(sum(quality) as bigint) as good from l group by grouping sets ((lang, tier), (lang))",
+    "split_assignment": f"with {_TIERED}, k as (select count(distinct tier) as k from tiered), r as (select doc_id, tier, row_number() over (partition by tier order by md5('42:' || doc_id), doc_id) as pick from tiered), p as (select r.* from r, k where pick <= greatest(1, 300 // k)), c as (select *, count(*) over (partition by tier) as n from p) select doc_id, tier, pick, case when pick <= round_even(n * 0.7, 0) then 'train' when pick <= round_even(n * 0.7, 0) + round_even(n * 0.15, 0) then 'dev' else 'test' end as split from c",
+    "furniture_lines": f"with {_LINES}, f as (select source, doc_id, trim(regexp_replace(lines.text, '[0-9]+', '#', 'g')) as norm from lines join documents using (doc_id)) select source, norm, count(distinct doc_id) as docs from f where norm <> '' group by all having count(distinct doc_id) >= 3",
+    "cer_ned": r"with b as (select item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as r, trim(regexp_replace(replace(text, 'the', 'teh'), '\s+', ' ', 'g')) as h from benchmark where not regexp_matches(text, '[^\x00-\x7F]')) select item_id, case when r = '' then case when h = '' then 0.0 else 1.0 end else levenshtein(r, h) / length(r) end::double as cer, coalesce(levenshtein(r, h) / nullif(greatest(length(r), length(h)), 0), 0)::double as ned from b",
+    "multiset_prf": "with a as (select item_id, unnest(string_split(text, ' ')) as w from benchmark), x as (select item_id, w, count(*) as a from a group by all), c as (select item_id, unnest(string_split(lower(text), ' ')) as w from benchmark), y as (select item_id, w, count(*) as b from c group by all), j as (select item_id, cast(sum(least(coalesce(a, 0), coalesce(b, 0))) as bigint) as tp, cast(coalesce(sum(a), 0) as bigint) as n_ref, cast(coalesce(sum(b), 0) as bigint) as n_hyp from x full join y using (item_id, w) group by item_id), s as (select *, coalesce(tp / nullif(n_hyp, 0), 0)::double as precision, coalesce(tp / nullif(n_ref, 0), 0)::double as recall from j) select *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0)::double as f1 from s",
+    "reliability_bins": "select cast(least(floor((abs(event_id) % 1000 / 1000.0)::double * 10), 9) as integer) as bin, count(*) as n, count(*) filter (value > 10) as hits from events where value is not null group by 1",
+    "keyed_upsert": "with n as (select c_custkey + 1000 as c_custkey, c_name, c_acctbal + 1 as c_acctbal from customer where c_custkey % 3 = 0) select coalesce(b.c_custkey, n.c_custkey) as c_custkey, coalesce(b.c_name, n.c_name) as c_name, coalesce(n.c_acctbal, b.c_acctbal) as c_acctbal from customer b full join n on b.c_custkey = n.c_custkey",
+    "anti_referential": "select doc_id, lang from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)",
+    "consecutive_ranges": "with d as (select distinct quality, doc_id from labels), g as (select *, doc_id - row_number() over (partition by quality order by doc_id) as g from d) select quality, min(doc_id) as first, max(doc_id) as last, count(*) as n from g group by quality, g",
+    "topk_per_group": "select l_suppkey, l_orderkey, l_linenumber, l_extendedprice, rank from (select *, row_number() over (partition by l_suppkey order by l_extendedprice desc, l_orderkey, l_linenumber) as rank from lineitem) where rank <= 3",
+}
