@@ -78,8 +78,8 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: f
     level = F.size(F.filter(F.array(*map(F.lit, GRID)), lambda g: g >= F.col("x")))
     cells = long.groupBy("stratum", "rule", level.alias("level")).agg(F.count("*").alias("c"))
     total = cells.groupBy("stratum", "rule").agg(F.sum("c").alias("n"), F.collect_list(F.struct("level", "c")).alias("cells"))
-    sequences = total.agg(F.count("*").alias("sequences"))
-    tried = total.crossJoin(F.broadcast(sequences)).select("stratum", "rule", "n", "sequences", "cells", F.posexplode(F.array(*map(F.lit, GRID))).alias("k", "cutoff"))
+    sequences = total.agg(F.count("*").alias("sequences")).scalar()
+    tried = total.withColumn("sequences", sequences).select("stratum", "rule", "n", "sequences", "cells", F.posexplode(F.array(*map(F.lit, GRID))).alias("k", "cutoff"))
     hits = F.aggregate("cells", F.lit(0).cast("long"), lambda acc, c: acc + F.when(c["level"] <= F.col("k"), c["c"]).otherwise(0))
     tested = tried.withColumn("x", hits).withColumn("p", F.when(F.col("x") >= F.col("n") * risk, 1.0).otherwise(binomial_tail(F.col("x"), F.col("n"), risk)))
     failed = F.min(F.when(F.col("p") > F.lit(delta) / F.col("sequences"), F.col("k"))).alias("failed")

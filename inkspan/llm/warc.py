@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import cut, shared_dir, table
 
 #: The fields of a header line by version of the ARC format.
 ARC_FIELDS = {
@@ -154,7 +154,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     path = shared_dir(spark)
-    write_warc(with_types(arc_to_warc(arc_records(pages, "page_id", "url", "html"))), path)
+    # converted once: the digests are grouped, then joined back
+    write_warc(with_types(cut(arc_to_warc(arc_records(pages, "page_id", "url", "html")))), path)
     return read_warc(spark, path).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
