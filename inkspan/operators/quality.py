@@ -31,8 +31,8 @@ def equal_tier_sample(tiered: DataFrame, key: str, n: int, seed: int = 42) -> Da
     """About n rows with the same number per tier that occurs, in the order of a seeded hash; a small tier gives all it has."""
     from pyspark.sql import Window
 
-    tiers = tiered.agg(F.count_distinct("tier").alias("k"))
-    per = tiered.crossJoin(F.broadcast(tiers)).withColumn("per", F.greatest(F.lit(1), F.floor(F.lit(n) / F.greatest("k", F.lit(1)))))
+    tiers = tiered.agg(F.count_distinct("tier").alias("k")).scalar()
+    per = tiered.withColumn("k", tiers).withColumn("per", F.greatest(F.lit(1), F.floor(F.lit(n) / F.greatest("k", F.lit(1)))))
     rank = F.row_number().over(Window.partitionBy("tier").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key))
     return per.withColumn("pick", rank).where("pick <= per").drop("k", "per")
 
