@@ -3,7 +3,10 @@
 Two documents link when their sets of distinct k-word shingles have a Jaccard similarity of at least `percent` / 100.
 The join is exact up to equal 64-bit shingle hashes:
 
-1. Documents with equal sets form a class (one aggregate over narrow keys); only classes go on.
+1. Documents with equal sets form a class (one aggregate over narrow keys); only classes go on. Under the order of
+   the hashes, sets of sizes m <= n that similar share at least l of their first n - ceil(t * n) + l elements, where l
+   grows with m. A class with fewer shingles in any other's leading part has no partner and goes; the whole sets are
+   kept for the others alone. Passages that fill a small part of their documents leave the join here.
 2. Under any global order, sets that similar share one of their first n - ceil(t * n) + 1 elements. The order is the
    hash's, with shingles that many classes hold moved last, the most frequent at the end, so a passage that many
    documents share makes no large bucket. Only documents that hold one are read again to find their new prefix.
@@ -19,10 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, let, table, words
+from .common import cut, table
 from .components import connected_components
 
 #: A shingle of more classes than this goes last in the global order. Any value gives the same result.
@@ -31,16 +36,35 @@ HEAVY = 10
 TRIE_ROWS = 400
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, k: int = 5) -> DataFrame:
-    """(id, n, shingles): the distinct k-word shingles as sorted 64-bit hashes; all words as one shingle if fewer."""
+def hash_shingles(k: int):
+    """For mapInArrow: (id, text as bytes) to (id, n, shingles). Bytes are split and lower-cased by their ASCII rules."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, sets = 0, []
+            texts = batch.column(1).to_pylist()
+            for i, text in enumerate(texts):
+                w = text.lower().split() if text else []
+                m = max(1, len(w) - k + 1) if w else 0
+                h = np.full(m, min(len(w), k), np.uint64)
+                v = np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
+                for j in range(min(k, len(w))):
+                    h = (h ^ v[j : j + m]) * np.uint64(0x9E3779B97F4A7C15)
+                    h ^= h >> np.uint64(32)
+                sets.append(np.unique(h.view(np.int64)))
+                if len(sets) == 1000 or i == len(texts) - 1:
+                    n = np.array([len(x) for x in sets], np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(np.concatenate(sets)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(sets)), pa.array(n), lists], ["id", "n", "shingles"])
+                    start, sets = i + 1, []
 
-    def of(w):
-        many = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
-        few = F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(w)))
-        return F.sort_array(F.array_distinct(F.when(F.size(w) < k, few).otherwise(many)))
+    return run
 
-    s = docs.select(F.col(id_col).alias("id"), let(words(ascii_lower(F.col(text_col))), of).alias("shingles"))
-    return s.select("id", F.size("shingles").alias("n"), "shingles")
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, k: int = 5) -> DataFrame:
+    """(id, n, shingles): the distinct k-word shingles as sorted 64-bit hashes; all words as one shingle if fewer."""
+    s = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    return s.mapInArrow(hash_shingles(k), f"id {s.schema['id'].dataType.simpleString()}, n int, shingles array<bigint>")
 
 
 def _prefix(n, percent: int):
@@ -48,6 +72,11 @@ def _prefix(n, percent: int):
     return n - F.expr(f"({percent} * n + 99) div 100").cast("int") + 1
 
 
+def _more(n):
+    """Elements by which the first, longer prefix exceeds _prefix: similar sets a and b share more than _more(min(a, b))."""
+    return F.floor(n / 20).cast("int")
+
+
 def verify_groups(percent: int):
     """For applyInPandas: rows (a, salt, id, n, shingles) of one member a (its own row included) and its partners."""
 
@@ -99,20 +128,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     sets = shingle_sets(docs, id_col, text_col, k)
     narrow = cut(sets.select("id", "n", F.xxhash64("shingles").alias("h1"), F.hash("shingles", "n").alias("h2"),
-                             F.when(F.col("n") > 0, F.slice("shingles", 1, _prefix(F.col("n"), percent))).alias("prefix")))
+                             F.when(F.col("n") > 0, F.slice("shingles", 1, _prefix(F.col("n"), percent) + _more(F.col("n")))).alias("prefix")))
     keyed = narrow.where("n > 0 and id is not null")
     classes = keyed.groupBy("n", "h1", "h2").agg(F.min("id").alias("class"))
     member = cut(keyed.select("id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"]).select("id", "class", "n"))
 
-    reps = classes.select(F.col("class").alias("id")).distinct()
-    first = keyed.select("id", "n", "prefix").join(reps, "id", "left_semi").select("id", "n", F.explode_outer("prefix").alias("s"))
-    first = cut(first)
+    # classes with too few shared shingles to have a partner end here
+    reps = member.select(F.col("class").alias("id")).distinct()
+    longer = keyed.join(reps, "id", "left_semi").select("id", "n", F.explode("prefix").alias("s"))
+    common = longer.groupBy("s").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("s")
+    least = _more(F.expr(f"({percent} * n + 99) div 100")) + 1  # of the smallest partner
+    alive = longer.join(common, "s", "left_semi").groupBy("id", "n").agg(F.count("*").alias("c")).where(F.col("c") >= least)
+    alive = cut(alive.select("id").distinct())
+    sets = cut(shingle_sets(docs.select(id_col, text_col).join(alive.withColumnRenamed("id", id_col), id_col, "left_semi"), id_col, text_col, k))
+
+    first = cut(sets.select("id", "n", F.explode(F.slice("shingles", 1, _prefix(F.col("n"), percent))).alias("s")))
     counts = first.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
     heavy = counts.where(F.col("c") > HEAVY).select("s")
 
     def whole(ids: DataFrame) -> DataFrame:
-        sets = shingle_sets(docs.join(ids.withColumnRenamed("id", id_col), id_col, "left_semi"), id_col, text_col, k)
-        return sets.select("id", "n", F.explode_outer("shingles").alias("s"))
+        return sets.join(ids, "id", "left_semi").select("id", "n", F.explode("shingles").alias("s"))
 
     # a shared passage has more shingles than the prefixes show: count those of the documents that have one in full
     seen = cut(first.join(heavy, "s", "left_semi").select("id").distinct())
@@ -131,9 +166,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     star = bucket.where("id <> pivot").select("pivot", "id", "n").distinct().join(
         ns.select(F.col("id").alias("pivot"), F.col("n").alias("m")), "pivot").where(near)
     star = cut(star.select(F.col("pivot").alias("a"), F.col("id").alias("b")))
-    wanted = bucket.select("id").distinct()
-    sets2 = cut(shingle_sets(docs.join(wanted.withColumnRenamed("id", id_col), id_col, "left_semi"), id_col, text_col, k).select("id", "shingles"))
-    links = cut(_links(star, sets2, percent))
+    links = cut(_links(star, sets, percent))
 
     joined = connected_components(links)
     named = bucket.join(joined, bucket["id"] == joined["node"], "left").select("s", "id", "n", F.coalesce("component", "id").alias("comp"))
@@ -142,7 +175,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     other = left.select("s", F.col("id").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"))
     rest = left.join(other, "s").where("id < b and comp <> comp_b and " + near).select(F.col("id").alias("a"), "b").distinct()
     rest = cut(rest.join(star, ["a", "b"], "left_anti"))
-    links = links.unionByName(_links(rest, sets2, percent))
+    links = links.unionByName(_links(rest, sets, percent))
 
     comp = connected_components(links).select(F.col("node").alias("class"), F.col("component"))
     placed = member.join(comp, "class", "left").select("id", F.coalesce("component", "class").alias("component_id"))
