@@ -12,7 +12,8 @@ The join is exact up to equal 64-bit shingle hashes:
    documents share makes no large bucket. Only documents that hold one are read again to find their new prefix.
 3. Each bucket first compares its smallest member with the others; what those links join is then one component.
    Next, only members of different components in a bucket are compared. A link inside a component changes nothing.
-4. Verification stores the partners' ordered sets of one member in a trie walk: equal leading parts share the overlap
+4. A bitmap of each set bounds the overlap of a pair; most pairs that share only a passage end there.
+5. Verification stores the partners' ordered sets of one member in a trie walk: equal leading parts share the overlap
    counted so far, and a walk ends once the remaining lengths cannot reach the overlap needed.
 """
 
@@ -36,35 +37,56 @@ HEAVY = 10
 TRIE_ROWS = 400
 
 
-def hash_shingles(k: int):
-    """For mapInArrow: (id, text as bytes) to (id, n, shingles). Bytes are split and lower-cased by their ASCII rules."""
+def hash_shingles(k: int, percent: int | None = None):
+    """For mapInArrow over (id, text as bytes): (id, n, shingles, bits), or (id, n, h1, h2, prefix) if percent is given.
+
+    Bytes are split and lower-cased by their ASCII rules. bits has a bit for the last ten bits of each shingle; h1 and h2
+    are a digest of the set, prefix its leading part in the order of the hashes.
+    """
+
+    def shingles(text: bytes | None) -> np.ndarray:
+        w = text.lower().split() if text else []
+        h = np.full(max(1, len(w) - k + 1) if w else 0, min(len(w), k), np.uint64)
+        v = np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
+        for j in range(min(k, len(w))):
+            h = (h ^ v[j : j + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+        return np.unique(h.view(np.int64))
+
+    def lists(arrays: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, arrays)])
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(arrays)))
+
+    def bits(s: np.ndarray) -> np.ndarray:
+        on = np.zeros(1024, bool)
+        on[s & 1023] = True
+        return np.packbits(on).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            start, sets = 0, []
-            texts = batch.column(1).to_pylist()
-            for i, text in enumerate(texts):
-                w = text.lower().split() if text else []
-                m = max(1, len(w) - k + 1) if w else 0
-                h = np.full(m, min(len(w), k), np.uint64)
-                v = np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
-                for j in range(min(k, len(w))):
-                    h = (h ^ v[j : j + m]) * np.uint64(0x9E3779B97F4A7C15)
-                    h ^= h >> np.uint64(32)
-                sets.append(np.unique(h.view(np.int64)))
-                if len(sets) == 1000 or i == len(texts) - 1:
-                    n = np.array([len(x) for x in sets], np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(np.concatenate(sets)))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(sets)), pa.array(n), lists], ["id", "n", "shingles"])
-                    start, sets = i + 1, []
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                sets = [shingles(t) for t in part.column(1).to_pylist()]
+                out = {"id": part.column(0), "n": pa.array([len(s) for s in sets], pa.int32())}
+                if percent is None:
+                    out |= {"shingles": lists(sets), "bits": lists([bits(s) for s in sets])}
+                else:
+                    digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64)
+                    lead = [len(s) + len(s) // 20 + 1 - -(-percent * len(s) // 100) for s in sets]
+                    out |= {"h1": pa.array(digest[::2]), "h2": pa.array(digest[1::2]), "prefix": lists([s[:m] for s, m in zip(sets, lead)])}
+                yield pa.RecordBatch.from_pydict(out)
 
     return run
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, k: int = 5) -> DataFrame:
-    """(id, n, shingles): the distinct k-word shingles as sorted 64-bit hashes; all words as one shingle if fewer."""
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, k: int = 5, percent: int | None = None) -> DataFrame:
+    """(id, n, shingles, bits): the distinct k-word shingles as sorted 64-bit hashes; all words as one shingle if fewer.
+
+    With percent, (id, n, h1, h2, prefix) instead: what classes and the first prefix need, without the sets.
+    """
     s = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return s.mapInArrow(hash_shingles(k), f"id {s.schema['id'].dataType.simpleString()}, n int, shingles array<bigint>")
+    rest = "shingles array<bigint>, bits array<bigint>" if percent is None else "h1 bigint, h2 bigint, prefix array<bigint>"
+    return s.mapInArrow(hash_shingles(k, percent), f"id {s.schema['id'].dataType.simpleString()}, n int, {rest}")
 
 
 def _prefix(n, percent: int):
@@ -111,11 +133,19 @@ def verify_groups(percent: int):
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+    """The pairs (a, b) whose sets are similar enough.
+
+    A bit of one set that the other lacks is a shingle that the other lacks; pairs with too many go before whole sets move.
+    """
+    for x in "ab":
+        pairs = pairs.join(sets.select(F.col("id").alias(x), F.col("n").alias("n_" + x), F.col("bits").alias("bits_" + x)), x)
+    lacks = "aggregate(zip_with(bits_{}, bits_{}, (x, y) -> bit_count(x & ~y)), 0, (x, y) -> x + y)"
+    need = f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}"
+    pairs = cut(pairs.where(f"n_a - {lacks.format('a', 'b')} >= {need} and n_b - {lacks.format('b', 'a')} >= {need}").select("a", "b"))
     count = pairs.groupBy("a").agg(F.count("*").alias("c"))
     dealt = pairs.join(count, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / TRIE_ROWS)).cast("int").alias("salt"))
     own = count.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col("c") / TRIE_ROWS) - 1).cast("int"))).alias("salt"))
-    rows = dealt.unionByName(own).join(sets.withColumnRenamed("id", "b"), "b").select("a", "salt", F.col("b").alias("id"), "shingles")
+    rows = dealt.unionByName(own).join(sets.select(F.col("id").alias("b"), "shingles"), "b").select("a", "salt", F.col("b").alias("id"), "shingles")
     return rows.groupBy("a", "salt").applyInPandas(verify_groups(percent), "a long, b long")
 
 
@@ -126,9 +156,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Ids are keys: rows that repeat one stand for one document whose set is the union of theirs. An empty table gives
     an empty result.
     """
-    sets = shingle_sets(docs, id_col, text_col, k)
-    narrow = cut(sets.select("id", "n", F.xxhash64("shingles").alias("h1"), F.hash("shingles", "n").alias("h2"),
-                             F.when(F.col("n") > 0, F.slice("shingles", 1, _prefix(F.col("n"), percent) + _more(F.col("n")))).alias("prefix")))
+    narrow = cut(shingle_sets(docs, id_col, text_col, k, percent))
     keyed = narrow.where("n > 0 and id is not null")
     classes = keyed.groupBy("n", "h1", "h2").agg(F.min("id").alias("class"))
     member = cut(keyed.select("id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"]).select("id", "class", "n"))
