@@ -35,3 +35,36 @@ def reliability_bins(rows: DataFrame, confidence: str, correct: str, bins: int =
     """(bin, n, hits, mean_confidence): equal-width bins of [0, 1], the last closed."""
     b = F.least(F.floor(F.col(confidence) * bins), F.lit(bins - 1)).cast("int")
     return rows.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.count_if(F.col(correct)).alias("hits"), F.avg(confidence).alias("mean_confidence"))
+
+
+def expected_calibration_error(rows: DataFrame, confidence: str, correct: str, bins: int = 10) -> DataFrame:
+    """(n, ece): the mean gap between share of hits and mean confidence over the bins, weighted by size; null for no rows."""
+    b = reliability_bins(rows, confidence, correct, bins)
+    gap = F.abs(F.col("hits") / F.col("n") - F.col("mean_confidence")) * F.col("n")
+    return b.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.try_divide(F.sum(gap), F.sum("n")).alias("ece"))
+
+
+def coverage_curve(rows: DataFrame, confidence: str, correct: str, slices: int = 1024) -> DataFrame:
+    """(threshold, coverage, error) per distinct confidence: the share of rows at or above it, and of wrong ones among them.
+
+    Null confidences are left out, a null verdict counts as wrong. Running sums go by slices of the confidence, so that
+    only one row per slice meets in one task.
+    """
+    from pyspark.sql import Window
+
+    at = rows.where(F.col(confidence).isNotNull()).groupBy(F.col(confidence).alias("threshold")).agg(
+        F.count("*").alias("n"), F.count_if(~F.coalesce(F.col(correct), F.lit(False))).alias("wrong"))
+    at = at.withColumn("slice", F.floor(F.col("threshold") * slices))
+    total = at.groupBy("slice").agg(F.sum("n").alias("n"), F.sum("wrong").alias("wrong"))
+    above = Window.orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    start = total.select("slice", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("n", "wrong")],
+                         F.sum("n").over(Window.orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all_n"))
+    down = Window.partitionBy("slice").orderBy(F.desc("threshold"))
+    run = at.join(start, "slice").select("threshold", "all_n", (F.sum("n").over(down) + F.col("n_above")).alias("k"), (F.sum("wrong").over(down) + F.col("wrong_above")).alias("bad"))
+    return run.select("threshold", (F.col("k") / F.col("all_n")).alias("coverage"), (F.col("bad") / F.col("k")).alias("error"))
+
+
+def pick_threshold(curve: DataFrame, target_error: float) -> DataFrame:
+    """The row of the curve with the lowest threshold whose error is at most the target; no row if none is."""
+    best = curve.where(F.col("error") <= target_error).agg(F.min(F.struct("threshold", "coverage", "error")).alias("best"))
+    return best.where("best is not null").select("best.*")

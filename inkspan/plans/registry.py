@@ -52,6 +52,18 @@ def _bins(spark, d):
     return evaluation.reliability_bins(e, "c", "ok").select("bin", "n", "hits")
 
 
+def _confident(spark, d):
+    return _t(spark, d, "events").select((F.abs("event_id") * 7919 % 1000 / 1000.0).cast("double").alias("c"), (F.col("value") > 10).alias("ok"))
+
+
+def _curve(spark, d):
+    return evaluation.coverage_curve(_confident(spark, d), "c", "ok")
+
+
+def _rounded(df, *cols):
+    return df.withColumns({c: F.round(c, 9) for c in cols})
+
+
 def _split_counts(spark, d):
     return quality.splits(quality.equal_tier_sample(_tiered(spark, d), "doc_id", 300)).select("doc_id", "tier", "pick", "split")
 
@@ -67,6 +79,9 @@ QUERIES = {
     "cer_ned": _cer,
     "multiset_prf": _prf,
     "reliability_bins": _bins,
+    "ece": lambda s, d: _rounded(evaluation.expected_calibration_error(_confident(s, d), "c", "ok"), "ece"),
+    "coverage_curve": lambda s, d: _rounded(_curve(s, d), "coverage", "error"),
+    "pick_threshold": lambda s, d: _rounded(evaluation.pick_threshold(_curve(s, d), 0.5), "coverage", "error"),
     "keyed_upsert": _upsert,
     "anti_referential": lambda s, d: records.unreferenced(_t(s, d, "documents").select("doc_id", "lang"), _t(s, d, "labels"), "doc_id"),
     "consecutive_ranges": lambda s, d: records.consecutive_ranges(_t(s, d, "labels"), "doc_id", ["quality"]),
@@ -86,6 +101,10 @@ summary as (select doc_id, count(*) as num_lines, count(*) filter (categ = 'Clea
 _TIERED = _SUMMARY + """,
 tiered as (select *, case when avg_quality_score is null then 'text_poor' when avg_quality_score >= 0.85 and (clear + noisy) / num_lines >= 0.5 then 'clean' when avg_quality_score >= 0.6 then 'degraded' else 'hard' end as tier from summary)"""
 
+_CURVE = """e as (select (abs(event_id) * 7919 % 1000 / 1000.0)::double as c, coalesce(value > 10, false) as ok from events),
+runs as (select distinct c as threshold, count(*) over (order by c desc) as k, count(*) filter (not ok) over (order by c desc) as bad, count(*) over () as n from e),
+curve as (select threshold, round(k / n, 9)::double as coverage, round(bad / k, 9)::double as error, bad / k as e from runs)"""
+
 ORACLES = {
     "doc_lines": f"with {_LINES} select doc_id, page, line, text from lines",
     "line_kind_counts": f"with {_SCORED} select categ, count(*) as n, count(distinct doc_id) as docs from scored group by categ",
@@ -97,6 +116,9 @@ ORACLES = {
     "cer_ned": r"with b as (select item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as r, trim(regexp_replace(replace(text, 'the', 'teh'), '\s+', ' ', 'g')) as h from benchmark where not regexp_matches(text, '[^\x00-\x7F]')) select item_id, case when r = '' then case when h = '' then 0.0 else 1.0 end else levenshtein(r, h) / length(r) end::double as cer, coalesce(levenshtein(r, h) / nullif(greatest(length(r), length(h)), 0), 0)::double as ned from b",
     "multiset_prf": "with a as (select item_id, unnest(string_split(text, ' ')) as w from benchmark), x as (select item_id, w, count(*) as a from a group by all), c as (select item_id, unnest(string_split(lower(text), ' ')) as w from benchmark), y as (select item_id, w, count(*) as b from c group by all), j as (select item_id, cast(sum(least(coalesce(a, 0), coalesce(b, 0))) as bigint) as tp, cast(coalesce(sum(a), 0) as bigint) as n_ref, cast(coalesce(sum(b), 0) as bigint) as n_hyp from x full join y using (item_id, w) group by item_id), s as (select *, coalesce(tp / nullif(n_hyp, 0), 0)::double as precision, coalesce(tp / nullif(n_ref, 0), 0)::double as recall from j) select *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0)::double as f1 from s",
     "reliability_bins": "select cast(least(floor((abs(event_id) % 1000 / 1000.0)::double * 10), 9) as integer) as bin, count(*) as n, count(*) filter (value > 10) as hits from events where value is not null group by 1",
+    "ece": f"with {_CURVE}, b as (select least(floor(c * 10), 9) as bin, count(*) as n, count(*) filter (ok) as hits, avg(c) as m from e group by 1) select cast(sum(n) as bigint) as n, round(sum(abs(hits / n - m) * n) / sum(n), 9)::double as ece from b",
+    "coverage_curve": f"with {_CURVE} select threshold, coverage, error from curve",
+    "pick_threshold": f"with {_CURVE} select threshold, coverage, error from curve where e <= 0.5 order by threshold limit 1",
     "keyed_upsert": "with n as (select c_custkey + 1000 as c_custkey, c_name, c_acctbal + 1 as c_acctbal from customer where c_custkey % 3 = 0) select coalesce(b.c_custkey, n.c_custkey) as c_custkey, coalesce(b.c_name, n.c_name) as c_name, coalesce(n.c_acctbal, b.c_acctbal) as c_acctbal from customer b full join n on b.c_custkey = n.c_custkey",
     "anti_referential": "select doc_id, lang from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)",
     "consecutive_ranges": "with d as (select distinct quality, doc_id from labels), g as (select *, doc_id - row_number() over (partition by quality order by doc_id) as g from d) select quality, min(doc_id) as first, max(doc_id) as last, count(*) as n from g group by quality, g",

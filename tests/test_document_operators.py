@@ -53,3 +53,18 @@ def test_queries_match_sql(spark):
         a = sorted(map(repr, (tuple(r) for r in got.select(cols).collect())))
         b = sorted(map(repr, want.select(*(f'"{c}"' for c in cols)).fetchall()))
         assert a == b, (name, a[:2], b[:2])
+
+
+def test_coverage_curve_and_threshold(spark):
+    d = spark.createDataFrame([(0.9, True), (0.9, False), (0.8, True), (0.3, None), (None, True), (1.0, True)], "c double, ok boolean")
+    curve = evaluation.coverage_curve(d, "c", "ok")
+    assert sorted(map(tuple, curve.collect())) == [(0.3, 1.0, 0.4), (0.8, 0.8, 0.25), (0.9, 0.6, 1 / 3), (1.0, 0.2, 0.0)]
+    assert tuple(evaluation.pick_threshold(curve, 0.3).first()) == (0.8, 0.8, 0.25)
+    assert evaluation.pick_threshold(curve, -1.0).count() == 0
+    assert evaluation.coverage_curve(d.limit(0), "c", "ok").count() == 0
+
+
+def test_expected_calibration_error(spark):
+    d = spark.createDataFrame([(0.25, True), (0.25, False), (1.0, True)], "c double, ok boolean")
+    assert abs(evaluation.expected_calibration_error(d, "c", "ok").first()["ece"] - 0.5 / 3) < 1e-12
+    assert tuple(evaluation.expected_calibration_error(d.limit(0), "c", "ok").first()) == (0, None)
