@@ -47,6 +47,12 @@ def _cer(spark, d):
     return b.select("item_id", evaluation.cer(F.col("text"), hyp).alias("cer"), evaluation.ned(F.col("text"), hyp).alias("ned"))
 
 
+def _cer_all(spark, d):
+    b = _t(spark, d, "benchmark")
+    hyp = F.replace("text", F.lit("the"), F.lit("teh"))
+    return b.select("item_id", evaluation.cer(F.col("text"), hyp).alias("cer"), evaluation.ned(F.col("text"), hyp).alias("ned"))
+
+
 def _bins(spark, d):
     e = _t(spark, d, "events").select((F.abs("event_id") % 1000 / 1000.0).cast("double").alias("c"), (F.col("value") > 10).alias("ok")).where("ok is not null")
     return evaluation.reliability_bins(e, "c", "ok").select("bin", "n", "hits")
@@ -77,6 +83,7 @@ QUERIES = {
     "split_assignment": _split_counts,
     "furniture_lines": lambda s, d: quality.furniture(_lines(s, d).join(_t(s, d, "documents").select("doc_id", "source"), "doc_id"), ["source"]),
     "cer_ned": _cer,
+    "cer_ned_all": _cer_all,
     "multiset_prf": _prf,
     "reliability_bins": _bins,
     "ece": lambda s, d: _rounded(evaluation.expected_calibration_error(_confident(s, d), "c", "ok"), "ece"),
@@ -114,6 +121,8 @@ ORACLES = {
     "split_assignment": f"with {_TIERED}, k as (select count(distinct tier) as k from tiered), r as (select doc_id, tier, row_number() over (partition by tier order by md5('42:' || doc_id), doc_id) as pick from tiered), p as (select r.* from r, k where pick <= greatest(1, 300 // k)), c as (select *, count(*) over (partition by tier) as n from p) select doc_id, tier, pick, case when pick <= round_even(n * 0.7, 0) then 'train' when pick <= round_even(n * 0.7, 0) + round_even(n * 0.15, 0) then 'dev' else 'test' end as split from c",
     "furniture_lines": f"with {_LINES}, f as (select source, doc_id, trim(regexp_replace(lines.text, '[0-9]+', '#', 'g')) as norm from lines join documents using (doc_id)) select source, norm, count(distinct doc_id) as docs from f where norm <> '' group by all having count(distinct doc_id) >= 3",
     "cer_ned": r"with b as (select item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as r, trim(regexp_replace(replace(text, 'the', 'teh'), '\s+', ' ', 'g')) as h from benchmark where not regexp_matches(text, '[^\x00-\x7F]')) select item_id, case when r = '' then case when h = '' then 0.0 else 1.0 end else levenshtein(r, h) / length(r) end::double as cer, coalesce(levenshtein(r, h) / nullif(greatest(length(r), length(h)), 0), 0)::double as ned from b",
+    # levenshtein counts bytes: each character of an item gets a byte of its own, so this holds up to 127 distinct ones
+    "cer_ned_all": r"with t as (select item_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) as r, trim(regexp_replace(replace(coalesce(text, ''), 'the', 'teh'), '\s+', ' ', 'g')) as h from benchmark), a as (select *, list_distinct(string_split(r || h, '')) as a from t), b as (select *, levenshtein(array_to_string(list_transform(string_split(r, ''), lambda c: chr(list_position(a, c)::integer)), ''), array_to_string(list_transform(string_split(h, ''), lambda c: chr(list_position(a, c)::integer)), '')) as d from a) select item_id, case when r = '' then case when h = '' then 0.0 else 1.0 end else d / length(r) end::double as cer, coalesce(d / nullif(greatest(length(r), length(h)), 0), 0)::double as ned from b",
     "multiset_prf": "with a as (select item_id, unnest(string_split(text, ' ')) as w from benchmark), x as (select item_id, w, count(*) as a from a group by all), c as (select item_id, unnest(string_split(lower(text), ' ')) as w from benchmark), y as (select item_id, w, count(*) as b from c group by all), j as (select item_id, cast(sum(least(coalesce(a, 0), coalesce(b, 0))) as bigint) as tp, cast(coalesce(sum(a), 0) as bigint) as n_ref, cast(coalesce(sum(b), 0) as bigint) as n_hyp from x full join y using (item_id, w) group by item_id), s as (select *, coalesce(tp / nullif(n_hyp, 0), 0)::double as precision, coalesce(tp / nullif(n_ref, 0), 0)::double as recall from j) select *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0)::double as f1 from s",
     "reliability_bins": "select cast(least(floor((abs(event_id) % 1000 / 1000.0)::double * 10), 9) as integer) as bin, count(*) as n, count(*) filter (value > 10) as hits from events where value is not null group by 1",
     "ece": f"with {_CURVE}, b as (select least(floor(c * 10), 9) as bin, count(*) as n, count(*) filter (ok) as hits, avg(c) as m from e group by 1) select cast(sum(n) as bigint) as n, round(sum(abs(hits / n - m) * n) / sum(n), 9)::double as ece from b",

@@ -23,6 +23,27 @@ def test_error_rates(spark):
     assert got == [(0.25, 0.25), (0.0, 0.0), (1.0, 1.0), (0.0, 0.0), (0.5, 3 / 7)]
 
 
+def test_error_rates_of_the_whole_benchmark(spark, tmp_path):
+    from inkspan.plans import registry
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    texts = ["théâtre: the été", "你好 the 世界 the", "žluťoučký kůň", "😀the😀", "plain the text", ""]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r["item_id"]: (r["cer"], r["ned"]) for r in registry.QUERIES["cer_ned_all"](spark, str(tmp_path)).collect()}
+    want = {i: distance(t, t.replace("the", "teh")) / max(1, len(t)) for i, t in enumerate(texts)}
+    assert got == {i: (x, x) for i, x in want.items()}
+    real = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    assert registry.QUERIES["cer_ned_all"](spark, "/root/testdata/sf0.001").count() == real.count() > real.where(~F.col("text").rlike(r"[^\x00-\x7F]")).count()
+
+
 def test_multiset_prf(spark):
     ref = spark.createDataFrame([(1, "jan"), (1, "praha")], "k int, w string")
     hyp = spark.createDataFrame([(1, "jan"), (1, "brno")], "k int, w string")
