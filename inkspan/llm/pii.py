@@ -1,8 +1,8 @@
 """Personal data by rules and by boosted trees over candidate spans, in DataFrame functions only.
 
-Four base rules always hold. Two wide generators propose further spans, which may overlap: anything around an @, and
-long runs of digits. Ten yes/no features of a candidate's format and context make its cell. One aggregate over all
-texts counts candidates and those that overlap a base span per cell, at most 2^10 rows; gradient boosting fits
+Four base rules always hold. Wide generators propose further spans, which may overlap: anything around an @, long runs
+of digits, and all parts of such a run that begin and end with a group of digits and could be a card or phone. Ten yes/no features of a candidate's format and context make its cell. One aggregate over all
+texts counts candidates and those that are base spans of their kind per cell, at most 2^10 rows; gradient boosting fits
 depth-two trees to half of the documents' cells, and the other half sets the lowest score at which at least
 `precision` of the accepted are right by an exact lower bound. Trees and threshold go back as a SQL expression.
 """
@@ -28,6 +28,8 @@ PATTERNS = (
 )
 #: Generators of candidates: around an @, and runs of seven digits or more with usual separators.
 WIDE = (r"(?<![^\s@<>])[^\s@<>]+@[^\s@<>]+", r"(?<![0-9(+])[(+]?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+")
+#: Digits that a part of a run has, and characters it has at most with two separators in each gap.
+PART, PART_CHARS = (8, 19), 19 + 2 * 18
 CONTEXT = r"(?i)(?:mail|contact|phone|tel|call|mobile|fax|card|visa|account|ip|address)\W{0,4}$"
 FEATURES = 10
 ROUNDS, RATE = 20, 0.3
@@ -89,24 +91,74 @@ def base_spans(text: Column) -> Column:
     return F.concat(*map(of, range(len(PATTERNS))))
 
 
-def _cell(text: Column, x: Column, wide: int) -> Column:
-    s, d = x["s"], digits(x["s"])
+def _around(text: Column, x: Column) -> tuple[Column, Column]:
+    """The 16 characters before and the one after x."""
     before = F.substr(text, F.greatest(x["start"] - 15, F.lit(1)).cast("int"), F.least(x["start"], F.lit(16)).cast("int"))
-    after = F.substr(text, (x["end"] + 1).cast("int"), F.lit(1))
+    return before, F.substr(text, (x["end"] + 1).cast("int"), F.lit(1))
+
+
+def _cell(x: Column, wide: int) -> Column:
+    s, d, before, after = x["s"], digits(x["s"]), x["before"], x["after"]
     bits = [F.lit(wide == 0), F.length(d) >= 13, F.length(d).between(8, 12),
             F.when(F.length(d).between(16, 19), luhn(d)).otherwise(F.lit(False)), s.startswith("+"),
             s.contains("."), s.rlike(r"[\x20()-]"), before.rlike(CONTEXT), ~after.rlike("^[A-Za-z0-9]"), s.rlike(r"\.[A-Za-z]{2,}[^A-Za-z]*$")]
     return sum((F.when(b, F.lit(1 << i)).otherwise(F.lit(0)) for i, b in enumerate(bits)), F.lit(0))
 
 
+def _whole(text: Column, x: Column) -> Column:
+    before, after = _around(text, x)
+    return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s"), before.alias("before"), after.alias("after"))
+
+
+def parts(run: Column) -> Column:
+    """array<struct<start, end, s, before, after>>: a run of digits itself, and its parts from the start of a group of
+    digits to the end of one that have as many digits as PART says. A + or, before what is too short for a card, a (
+    goes with the group. The run's characters are split once, so that a part costs the same wherever it stands.
+    """
+    def placed(chars):
+        margin = F.length(run["before"])
+
+        def digit(i):
+            return F.coalesce(F.get(chars, i).between("0", "9"), F.lit(False))
+
+        at = F.sequence(margin, F.size(chars) - F.length(run["after"]) - 1)
+        starts = F.filter(at, lambda i: digit(i) & ((i == margin) | ~digit(i - 1)))
+        ends = F.filter(at, lambda i: digit(i) & ((i == F.size(chars) - F.length(run["after"]) - 1) | ~digit(i + 1)))
+
+        def spans(g):
+            def from_group(i):
+                a = F.get(g["a"], i)
+                return F.transform(F.filter(F.slice(g["b"], i + 1, PART[1]), lambda e: e - a < PART_CHARS), lambda e: F.struct(a.alias("a"), (e + 1).alias("b"), F.array_join(F.slice(chars, a + 1, e + 1 - a), "").alias("s")))
+
+            sized = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.size(g["a"]) - 1), from_group)), lambda x: F.length(digits(x["s"])).between(*PART))
+
+            def part(x):
+                n, mark = F.length(digits(x["s"])), F.when(x["a"] > margin, F.get(chars, x["a"] - 1))
+                marked = F.when((mark == "+") & (n <= 15) | (mark == "(") & (n <= 12), 1).otherwise(0)
+                return F.transform(F.array(F.struct((x["a"] - marked).alias("a"), x["b"].alias("b"))), cut_out)[0]
+
+            def cut_out(x):
+                first = F.greatest(x["a"] - 16, F.lit(0))
+                return F.struct((run["start"] + x["a"] - margin).alias("start"), (run["start"] + x["b"] - margin).alias("end"), F.array_join(F.slice(chars, x["a"] + 1, x["b"] - x["a"]), "").alias("s"),
+                                F.array_join(F.slice(chars, first + 1, x["a"] - first), "").alias("before"), F.coalesce(F.get(chars, x["b"]), F.lit("")).alias("after"))
+
+            return F.filter(F.transform(sized, part), lambda x: (x["start"] != run["start"]) | (x["end"] != run["end"]))
+
+        return let(F.struct(starts.alias("a"), ends.alias("b")), spans)
+
+    return F.concat(F.array(run), let(F.split(F.concat(run["before"], run["s"], run["after"]), ""), placed))
+
+
 def candidates(text: Column) -> Column:
     """array<struct<k, start, end, cell>>; k is the kind a candidate would have."""
     def of(w: int) -> Column:
         def candidate(x):
-            kind = F.lit(0) if w == 0 else F.when(F.length(digits(x["s"])) >= 13, 2).otherwise(3)
-            return F.struct(kind.alias("k"), x["start"].alias("start"), x["end"].alias("end"), _cell(text, x, w).alias("cell"))
+            n = F.length(digits(x["s"]))
+            kind = F.lit(0) if w == 0 else F.when((n >= 13) & ~(x["s"].startswith("+") & (n <= 15)), 2).otherwise(3)
+            return F.struct(kind.alias("k"), x["start"].alias("start"), x["end"].alias("end"), _cell(x, w).alias("cell"))
 
-        return F.transform(found(text, WIDE[w]), candidate)
+        proposed = F.transform(found(text, WIDE[w]), lambda x: _whole(text, x))
+        return F.transform(F.flatten(F.transform(proposed, parts)) if w else proposed, candidate)
 
     return F.concat(of(0), of(1))
 
@@ -118,7 +170,25 @@ def _spans(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def _overlaps(c: Column, base: Column) -> Column:
-    return F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    """Whether a candidate overlaps a base span of its own kind."""
+    return F.exists(base, lambda b: (b["k"] == c["k"]) & (b["start"] < c["end"]) & (c["start"] < b["end"]))
+
+
+def _is_base(c: Column, base: Column) -> Column:
+    """Whether a candidate is a base span of its own kind; around an @, where a candidate may be wider, overlaps one."""
+    return F.when(c["k"] == 0, _overlaps(c, base)).otherwise(F.exists(base, lambda b: (b["k"] == c["k"]) & (b["start"] == c["start"]) & (b["end"] == c["end"])))
+
+
+def _clipped(c: Column, base: Column) -> Column:
+    """array<struct<k, start, end>>: what base spans of other kinds leave of a candidate."""
+    def span(a, b):
+        return F.struct(c["k"].alias("k"), a.alias("start"), b.alias("end"))
+
+    def without(left, b):
+        both = F.flatten(F.transform(left, lambda p: F.array(span(p["start"], F.least(p["end"], b["start"])), span(F.greatest(p["start"], b["end"]), p["end"]))))
+        return F.filter(both, lambda p: p["start"] < p["end"])
+
+    return F.aggregate(base, F.array(span(c["start"], c["end"])), without)
 
 
 def boosted(cells: list[tuple[int, int, int]]) -> list[tuple[int, int, tuple[float, ...]]]:
@@ -184,7 +254,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, precision: float = 0.98, de
     """(trees, threshold) from all texts; the threshold is infinite if no score is precise enough."""
     c = _spans(docs.select(id_col, text_col), text_col).select(
         F.pmod(F.xxhash64(id_col), F.lit(2)).alias("half"), "__base", F.explode_outer("__cand").alias("c")).where("c is not null")
-    rows = c.groupBy("half", F.col("c.cell").alias("cell")).agg(F.count("*").alias("n"), F.count_if(_overlaps(F.col("c"), F.col("__base"))).alias("p")).collect()
+    rows = c.groupBy("half", F.col("c.cell").alias("cell")).agg(F.count("*").alias("n"), F.count_if(_is_base(F.col("c"), F.col("__base"))).alias("p")).collect()
     cells = sorted((r["half"], r["cell"], r["n"], r["p"]) for r in rows)
     trees = boosted([x[1:] for x in cells if x[0] == 0])
     held = sorted(((of_cell(trees, cell), n, p) for half, cell, n, p in cells if half == 1), reverse=True)
@@ -201,15 +271,17 @@ def fit(docs: DataFrame, id_col: str, text_col: str, precision: float = 0.98, de
 
 def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with base and spans: arrays of (k, start, end) by kind and start; spans holds all of base, and accepted
-    candidates that overlap none of it. Null texts have none; no row is dropped."""
+    candidates that overlap none of their own kind there, less what base spans of other kinds cover. Null texts have
+    none; no row is dropped."""
     trees, threshold = fit(docs, id_col, text_col)
     out = _spans(docs, text_col)
     if math.isinf(threshold):
         more = F.filter("__cand", lambda c: F.lit(False))
     else:
         more = F.filter("__cand", lambda c: (scored(trees, c["cell"]) >= threshold - 1e-9) & ~_overlaps(c, F.col("__base")))
-    more = F.transform(more, lambda c: F.struct(c["k"].alias("k"), c["start"].alias("start"), c["end"].alias("end")))
-    return out.withColumns({"base": F.col("__base"), "spans": F.sort_array(F.array_union("__base", more))}).drop("__base", "__cand")
+    more = F.flatten(F.transform(more, lambda c: _clipped(c, F.col("__base"))))
+    spans = let(F.sort_array(F.concat("__base", more)), lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1))))
+    return out.withColumns({"base": F.col("__base"), "spans": spans}).drop("__base", "__cand")
 
 
 def listed(spans: Column) -> Column:

@@ -156,6 +156,16 @@ def test_pii_base_and_redaction(spark, docs, odd, empty):
     assert pii.redact(odd).count() == len(ODD) and pii.redact(empty).count() == 0 and pii.redact(odd).columns == odd.columns
 
 
+def test_pii_side_by_side(spark):
+    rows = [(i, f"4111111111111111 and +1 (743) 555-{i:04d} now 4111111111111112") for i in range(900)]
+    rows += [(1000, "é 4111111111111111 4012888888881881"), (1001, "+1 (826) 555-4081 190.137.223.204"), (1002, "so, +1 (826) 555-4081 +1 (826) 555-4082 4111111111111111")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.s.split(",") for r in pii.with_spans(d).select("doc_id", pii.listed(F.col("spans")).alias("s")).collect()}
+    assert set(got[1000]) >= {"card:2:18", "card:19:35"}
+    assert set(got[1001]) >= {"ip:18:33", "phone:0:17"} and not any(int(x.split(":")[1]) > 17 for x in got[1001] if x.startswith("phone"))
+    assert set(got[1002]) >= {"phone:4:21", "phone:22:39", "card:40:56"}
+
+
 def test_quality_counts_and_verdicts(spark, docs, odd, empty):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     source = {r.doc_id: r.text or "" for r in docs.collect()}
