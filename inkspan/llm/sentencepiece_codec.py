@@ -26,6 +26,8 @@ UNKNOWN = 1 << 24  # codes from here on are characters without a piece
 START = (1 << 26) - 1
 #: Words whose ids a worker remembers before it forgets them all; this bounds memory and never changes a result.
 KNOWN_WORDS = 400_000
+#: Positions, over all words of a part, for which pieces are looked up at a time.
+BLOCK = 200_000
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -110,38 +112,55 @@ class Codec:
             at = np.searchsorted(self.pair_keys, keys)
         return self.pair_ok[at]
 
+    def _found(self, codes: np.ndarray, h: np.ndarray, m: int, lo: int, hi: int) -> np.ndarray:
+        """Codes of the pieces by length and end, for ends after lo up to hi; -1 where there is none."""
+        found = np.full((m + 1, len(codes), hi - lo), -1, np.int64)
+        power = np.uint64(1)
+        for k in range(1, min(m, hi) + 1):
+            power = np.uint64(int(power) * int(_P) & 0xFFFFFFFFFFFFFFFF)
+            first = max(lo + 1, k)
+            sub = h[:, first : hi + 1] - h[:, first - k : hi + 1 - k] * power
+            at = np.minimum(np.searchsorted(self.keys, sub), len(self.keys) - 1)
+            found[k][:, first - lo - 1 :] = np.where(self.keys[at] == sub, self.key_ids[at], -1)
+        found[1] = np.where(found[1] < 0, UNKNOWN + codes[:, lo:hi].astype(np.int64), found[1])
+        return found
+
     def _viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(counts per word, codes of all words) for words of one length."""
+        """(counts per word, codes of all words) for words of one length.
+
+        Pieces are looked up for a block of ends at a time, so that of a huge word only some columns per position stay.
+        """
         codes = _rows(words)
         n, size = codes.shape
         h, m = _prefix_hashes(codes), min(size, self.longest)
-        found = np.full((m + 1, n, size + 1), -1, np.int64)  # by length and end
-        power = np.uint64(1)
-        for k in range(1, m + 1):
-            power = np.uint64(int(power) * int(_P) & 0xFFFFFFFFFFFFFFFF)
-            sub = h[:, k:] - h[:, :-k] * power
-            at = np.minimum(np.searchsorted(self.keys, sub), len(self.keys) - 1)
-            found[k][:, k:] = np.where(self.keys[at] == sub, self.key_ids[at], -1)
-        found[1][:, 1:] = np.where(found[1][:, 1:] < 0, UNKNOWN + codes.astype(np.int64), found[1][:, 1:])
-        last, step = np.full((n, size + 1), START, np.int64), np.zeros((n, size + 1), np.int64)
+        last, step = np.full((n, size + 1), START, np.int64), np.zeros((n, size + 1), np.int32)
         worth = np.zeros((n, size + 1))
         low = self.scores.min() - 10
-        for i in range(1, size + 1):
-            ks = np.arange(1, min(m, i) + 1)
-            here, before = found[ks, :, i], last[:, i - ks].T
-            value = np.full(here.shape, -np.inf)
-            some = here >= 0
-            if self.bpe:
-                ok = self._follows(before[some], here[some])
-                value[some] = np.where(ok, 1.0, -np.inf)
-            else:
-                score = np.where(here[some] >= UNKNOWN, low, self.scores[np.minimum(here[some], len(self.scores) - 1)])
-                value[some] = score + worth[:, i - ks].T[some]
-            best = value.argmax(0)
-            every = np.arange(n)
-            worth[:, i] = value[best, every]
-            assert np.isfinite(worth[:, i]).all()
-            last[:, i], step[:, i] = here[best, every], ks[best]
+        every, wide = np.arange(n), max(1, BLOCK // n)
+        for lo in range(0, size, wide):
+            hi = min(size, lo + wide)
+            found = self._found(codes, h, m, lo, hi)
+            for i in range(lo + 1, hi + 1):
+                ks = np.arange(1, min(m, i) + 1)
+                here, before = found[ks, :, i - lo - 1], last[:, i - ks].T
+                value = np.full(here.shape, -np.inf)
+                some = here >= 0
+                if self.bpe:
+                    ok = self._follows(before[some], here[some])
+                    value[some] = np.where(ok, 1.0, -np.inf)
+                else:
+                    score = np.where(here[some] >= UNKNOWN, low, self.scores[np.minimum(here[some], len(self.scores) - 1)])
+                    value[some] = score + worth[:, i - ks].T[some]
+                best = value.argmax(0)
+                worth[:, i] = value[best, every]
+                assert np.isfinite(worth[:, i]).all()
+                last[:, i], step[:, i] = here[best, every], ks[best]
+        if n == 1:
+            path, end = [], size
+            while end > 0:
+                path.append(last[0, end])
+                end -= int(step[0, end])
+            return np.array([len(path)]), np.array(path[::-1], np.int64)
         every, at, taken = np.arange(n), np.full(n, size), []
         counts = np.zeros(n, np.int64)
         while len(every):
@@ -161,7 +180,7 @@ class Codec:
         order = np.argsort(sizes, kind="stable")
         for group in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
             size = int(sizes[group[0]]) if len(group) else 0
-            for part in np.array_split(group, -(-len(group) * (size + 1) // 200_000)) if len(group) else ():
+            for part in np.array_split(group, min(len(group), -(-len(group) * (size + 1) // BLOCK))) if len(group) else ():
                 counts, codes = self._viterbi([words[i] for i in part])
                 for i, ids in zip(part.tolist(), np.split(codes, np.cumsum(counts)[:-1])):
                     result[i] = ids if ids.max() < UNKNOWN else self._with_bytes(ids.tolist())

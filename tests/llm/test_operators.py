@@ -73,6 +73,17 @@ def test_sentencepiece_is_the_library(docs, odd, empty):
     assert sentencepiece_codec.encode_documents(empty).count() == 0
 
 
+def test_sentencepiece_one_huge_word():
+    import random
+
+    import sentencepiece
+
+    r = random.Random(2)
+    texts = ["".join(r.choices("acgt", k=210_000)), "".join(r.choices("你好世界é", k=200_000))]
+    got = sentencepiece_codec.codec(sentencepiece_codec.model_path()).encode_batch(texts)
+    assert [g.tolist() for g in got] == sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.model_path()).encode(texts)
+
+
 def test_token_counts_are_the_library(docs, odd):
     from tokenizers import Tokenizer
 
