@@ -6,7 +6,9 @@ concatenated, a suffix array finds long substrings that occur on distinct pages,
 unique runs stay. A page with an article keeps only that; a page without one keeps its unique runs.
 
 Hosts are dealt to buckets of about BUCKET pages by the hash of a page's row, so no host, however hot, meets in one
-task; boilerplate shows in every bucket of its host.
+task. What pages of different buckets share is found by the hashes of their windows of LEAST tokens: a bucket names each
+of its windows once, and a window that other buckets name too is repeated on the page that alone has it in its bucket.
+So the result is that of one suffix array per host, however pages are dealt (windows are told apart by 64-bit hashes).
 """
 
 from __future__ import annotations
@@ -163,10 +165,38 @@ def repeated(pages: list[list[str]], least: int = LEAST) -> list[np.ndarray]:
     return [inside[s : s + n] for s, n in zip(starts, sizes)]
 
 
-def _unique_runs(group: pd.DataFrame) -> pd.DataFrame:
-    tokens = [[t for b in rest for t in b.split(" ")] for rest in group["rest"]]
+def _tokens(group: pd.DataFrame) -> list[list[str]]:
+    return [[t for b in rest for t in b.split(" ")] for rest in group["rest"]]
+
+
+def _hashes(tokens: list[str], least: int = LEAST) -> np.ndarray:
+    """Of each window of `least` tokens, by its first token."""
+    n = len(tokens) - least + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    codes, out = pd.util.hash_array(np.array(tokens, dtype=object)), np.zeros(n, np.uint64)
+    for k in range(least):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
+    return out.view(np.int64)
+
+
+def _windows(group: pd.DataFrame) -> pd.DataFrame:
+    """Each window of a bucket once: (host, bucket, hash, row), with no row where several pages of the bucket have it."""
+    seen = [np.unique(_hashes(t)) for t in _tokens(group)]
+    hashes, first, n = np.unique(np.concatenate(seen), return_index=True, return_counts=True)
+    row = pd.Series(np.repeat(group["row"].to_numpy(), [len(x) for x in seen])[first], dtype="Int64").mask(n > 1)
+    return pd.DataFrame({"__host": group["__host"].iloc[0], "bucket": group["bucket"].iloc[0], "h": hashes, "row": row})
+
+
+def _unique_runs(group: pd.DataFrame, elsewhere: pd.DataFrame) -> pd.DataFrame:
+    """Unique runs of a bucket's pages; elsewhere has (row, h) of the windows that only other buckets repeat."""
+    tokens = _tokens(group)
+    more = {row: h.to_numpy() for row, h in elsewhere.groupby("row")["h"]}
     keys, texts, counts = [], [], []
-    for row, rest, sure, gone in zip(group["row"], group["rest"], group["sure"], repeated(tokens)):
+    for row, rest, sure, own, gone in zip(group["row"], group["rest"], group["sure"], tokens, repeated(tokens)):
+        if row in more:
+            for k in np.flatnonzero(np.isin(_hashes(own), more[row])):
+                gone[k : k + LEAST] = True
         kept, at = [], 0
         for b, certain in zip(rest, sure):
             words = b.split(" ")
@@ -193,7 +223,11 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     outside = read.where(F.size("__p.rest") > 0).select("__host", F.col("__row").alias("row"), F.col("__p.rest").alias("rest"), F.col("__p.sure").alias("sure"))
     dealt = outside.join(size, "__host").withColumn("bucket", F.pmod(F.xxhash64("row"), F.ceil(F.col("c") / BUCKET)))
     dealt = dealt.repartition("__host", "bucket")  # else the join's partitioning by host would serve and a hot host would meet in one task
-    runs = dealt.groupBy("__host", "bucket").applyInPandas(_unique_runs, "row long, runs string, n_repeated_tokens long")
+    named = dealt.where(F.col("c") > BUCKET).groupBy("__host", "bucket").applyInPandas(_windows, "__host string, bucket long, h long, row long")
+    lone = F.collect_list(F.when(F.col("row").isNotNull(), F.struct("bucket", "row")))  # at most one per bucket of the host
+    shared = named.groupBy("__host", "h").agg(F.count("*").alias("n"), lone.alias("at")).where("n > 1")
+    elsewhere = shared.select("__host", "h", F.explode("at").alias("x")).select("__host", F.col("x.bucket").alias("bucket"), F.col("x.row").alias("row"), "h")
+    runs = dealt.groupBy("__host", "bucket").cogroup(elsewhere.groupBy("__host", "bucket")).applyInPandas(_unique_runs, "row long, runs string, n_repeated_tokens long")
     out = read.join(runs.withColumnRenamed("row", "__row"), "__row", "left")
     text: Column = F.coalesce("__p.main", "runs", F.lit(""))
     return out.select(*own, text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.coalesce("n_repeated_tokens", F.lit(0)).alias("n_repeated_tokens"))

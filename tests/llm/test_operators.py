@@ -218,6 +218,14 @@ def test_main_text(spark):
     assert main_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_main_text_of_a_large_host(spark):
+    n = 700
+    shared = {i: f"notice {i % 350} of the few pages that share it" for i in range(n)}
+    rows = [(i, f"http://h.net/{i}", f"<p>{shared[i]}</p><p>own{i} words{i}</p>") for i in range(n)] + [(n, "http://h.net/x", "<p>alone on this page and on no other page</p>")]
+    got = {r.page_id: (r.text, r.n_repeated_tokens) for r in main_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: (f"own{i} words{i}", 9) for i in range(n)} | {n: ("alone on this page and on no other page", 0)}
+
+
 def test_repeated_against_brute_force():
     import random
 
