@@ -3,8 +3,8 @@
 Four base rules always hold. Wide generators propose further spans, which may overlap: anything around an @, long runs
 of digits, and all parts of such a run that begin and end with a group of digits and could be a card or phone. Ten yes/no features of a candidate's format and context make its cell. One aggregate over all
 texts counts candidates and those that are base spans of their kind per cell, at most 2^10 rows; gradient boosting fits
-depth-two trees to half of the documents' cells, and the other half sets the lowest score at which at least
-`precision` of the accepted are right by an exact lower bound. Trees and threshold go back as a SQL expression.
+depth-two trees to half of the documents' cells, and on the other half the lowest of a few fixed cutoffs holds at
+which at least `precision` of the accepted are right by a lower bound. Trees and threshold go back as a SQL expression.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ PART, PART_CHARS = (8, 19), 19 + 2 * 18
 CONTEXT = r"(?i)(?:mail|contact|phone|tel|call|mobile|fax|card|visa|account|ip|address)\W{0,4}$"
 FEATURES = 10
 ROUNDS, RATE = 20, 0.3
+#: Cutoffs of the score that are tried, as log odds of these shares.
+CUTOFFS = tuple(math.log(q / (1 - q)) for q in (0.5, 0.6, 0.7, 0.8, 0.9, 0.95))
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -257,16 +259,28 @@ def fit(docs: DataFrame, id_col: str, text_col: str, precision: float = 0.98, de
     rows = c.groupBy("half", F.col("c.cell").alias("cell")).agg(F.count("*").alias("n"), F.count_if(_is_base(F.col("c"), F.col("__base"))).alias("p")).collect()
     cells = sorted((r["half"], r["cell"], r["n"], r["p"]) for r in rows)
     trees = boosted([x[1:] for x in cells if x[0] == 0])
-    held = sorted(((of_cell(trees, cell), n, p) for half, cell, n, p in cells if half == 1), reverse=True)
-    threshold, n, p = math.inf, 0, 0
-    for k, (s, a, b) in enumerate(held):
-        n, p = n + a, p + b
-        if k + 1 < len(held) and held[k + 1][0] == s:
+    trained, held = ([(of_cell(trees, cell), n, p) for h, cell, n, p in cells if h == half] for half in (0, 1))
+    return trees, certified(trained, held, precision, delta)
+
+
+def certified(trained: list[tuple[float, int, int]], held: list[tuple[float, int, int]], precision: float, delta: float) -> float:
+    """The lowest cutoff of CUTOFFS at or above which the held-out (score, candidates, right ones) are precise enough.
+
+    The cutoffs are fixed before any count is seen and tested downwards, to the first that fails. The first to be tested
+    is chosen by the training half: there it accepts as many candidates as could be certified if all were right.
+    """
+    def at(rows, cutoff):
+        return (sum(x[k] for x in rows if x[0] >= cutoff - 1e-9) for k in (1, 2))
+
+    best, enough = math.inf, math.ceil(math.log(delta) / math.log(precision))
+    for cutoff in sorted(CUTOFFS, reverse=True):
+        if next(at(trained, cutoff)) < enough:
             continue
+        n, p = at(held, cutoff)
         if lower_bound(p, n, delta) < precision:
             break
-        threshold = s
-    return trees, threshold
+        best = cutoff
+    return best
 
 
 def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

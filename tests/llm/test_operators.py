@@ -177,6 +177,12 @@ def test_pii_side_by_side(spark):
     assert set(got[1002]) >= {"phone:4:21", "phone:22:39", "card:40:56"}
 
 
+def test_pii_threshold_passes_rare_cells():
+    cells = [(3.5, 1, 1), (2.5, 2, 2), (1.5, 600, 600), (0.1, 500, 300), (-2.0, 900, 0)]
+    assert 0.1 < pii.certified(cells, cells, 0.98, 0.05) <= 1.5
+    assert pii.certified(cells[:2], cells[:2], 0.98, 0.05) == pii.certified([], [], 0.98, 0.05) == float("inf")
+
+
 def test_quality_counts_and_verdicts(spark, docs, odd, empty):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     source = {r.doc_id: r.text or "" for r in docs.collect()}
