@@ -18,12 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path below the cluster's shared folder (spark.checkpoint.dir).
+    """A new path below the cluster's shared folder, as spark.checkpoint.dir or the context names it.
 
-    Only where the session names none, as in tests, a temporary folder is taken and put in its place.
+    Where neither names one, a session within one process (local[n], as in tests) takes a temporary folder; on a
+    cluster executors would not see the driver's folders, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/inkspan-{uuid.uuid4().hex}"
@@ -33,7 +36,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends there and lost executors lose nothing."""
     path = shared_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes what cut() wrote for these; call it once nothing unwritten reads them any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        jvm.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(jvm, True)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -1,4 +1,4 @@
-"""N-gram Jaccard join over documents: prefix filtering under one global order, verified by trie traversal.
+"""N-gram Jaccard join over documents: prefix filtering under one global order, verified by traversal of prefix trees.
 
 Two documents link when their sets of distinct k-word shingles have a Jaccard similarity of at least `percent` / 100.
 The join is exact up to equal 64-bit shingle hashes:
@@ -10,38 +10,45 @@ The join is exact up to equal 64-bit shingle hashes:
 2. Under any global order, sets that similar share one of their first n - ceil(t * n) + 1 elements. The order is the
    hash's, with shingles that many classes hold moved last, the most frequent at the end, so a passage that many
    documents share makes no large bucket. Only documents that hold one are read again to find their new prefix.
-3. Each bucket first compares its smallest member with the others; what those links join is then one component.
-   Next, only members of different components in a bucket are compared. A link inside a component changes nothing.
-4. A bitmap of each set bounds the overlap of a pair; most pairs that share only a passage end there.
-5. Verification stores the partners' ordered sets of one member in a trie walk: equal leading parts share the overlap
-   counted so far, and a walk ends once the remaining lengths cannot reach the overlap needed.
+3. If the first shingle that two sets share is the i-th of one and the j-th of the other, at most the shorter of the
+   two remainders is shared. Pairs of a bucket whose remainders are too short end there: copies with many edits of
+   their own, or documents that share no more than a passage.
+4. Each bucket first compares its pivot, the member whose shared part begins first, with the others; what those links
+   join is then one component. Next, only members of different components in a bucket are compared: those outside the
+   pivot's component with all, those inside it with the ones outside. A link inside a component changes nothing. Large
+   buckets are split by size, as a partner's size is bounded by what remains of a set.
+5. Verification puts the partners of one member into a prefix tree of their ordered sets. A walk shares the overlap
+   counted so far among all sets below a node, and leaves a whole subtree once what remains of its longest set, or of
+   the member, cannot reach the overlap that its shortest set needs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, release, table
 from .components import connected_components
 
 #: A shingle of more classes than this goes last in the global order. Any value gives the same result.
 HEAVY = 10
-#: Partners of one member that one trie holds; more are dealt to further tries.
-TRIE_ROWS = 400
+#: Buckets of more members than this are split by size. Any value gives the same result.
+SPLIT = 64
+#: Partners of one member that one tree holds; more are dealt to further trees.
+TREE_ROWS = 400
 
 
 def hash_shingles(k: int, percent: int | None = None):
-    """For mapInArrow over (id, text as bytes): (id, n, shingles, bits), or (id, n, h1, h2, prefix) if percent is given.
+    """For mapInArrow over (id, text as bytes, own): (id, n, h1, shingles, own), or (id, n, h1, h2, prefix) if percent is given.
 
-    Bytes are split and lower-cased by their ASCII rules. bits has a bit for the last ten bits of each shingle; h1 and h2
-    are a digest of the set, prefix its leading part in the order of the hashes.
+    Bytes are split and lower-cased by their ASCII rules. h1 and h2 are a digest of the set, prefix its leading part in
+    the order of the hashes.
     """
 
     def shingles(text: bytes | None) -> np.ndarray:
@@ -57,36 +64,35 @@ def hash_shingles(k: int, percent: int | None = None):
         ends = np.cumsum([0, *map(len, arrays)])
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(arrays)))
 
-    def bits(s: np.ndarray) -> np.ndarray:
-        on = np.zeros(1024, bool)
-        on[s & 1023] = True
-        return np.packbits(on).view(np.int64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 sets = [shingles(t) for t in part.column(1).to_pylist()]
-                out = {"id": part.column(0), "n": pa.array([len(s) for s in sets], pa.int32())}
+                digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64)
+                out = {"id": part.column(0), "n": pa.array([len(s) for s in sets], pa.int32()), "h1": pa.array(digest[::2])}
                 if percent is None:
-                    out |= {"shingles": lists(sets), "bits": lists([bits(s) for s in sets])}
+                    out |= {"shingles": lists(sets), "own": part.column(2)}
                 else:
-                    digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64)
                     lead = [len(s) + len(s) // 20 + 1 - -(-percent * len(s) // 100) for s in sets]
-                    out |= {"h1": pa.array(digest[::2]), "h2": pa.array(digest[1::2]), "prefix": lists([s[:m] for s, m in zip(sets, lead)])}
+                    out |= {"h2": pa.array(digest[1::2]), "prefix": lists([s[:m] for s, m in zip(sets, lead)])}
                 yield pa.RecordBatch.from_pydict(out)
 
     return run
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, k: int = 5, percent: int | None = None) -> DataFrame:
-    """(id, n, shingles, bits): the distinct k-word shingles as sorted 64-bit hashes; all words as one shingle if fewer.
-
-    With percent, (id, n, h1, h2, prefix) instead: what classes and the first prefix need, without the sets.
-    """
+def leading_parts(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """(id, n, h1, h2, prefix): what classes and the first prefix need of the distinct k-word shingles, or of all words
+    as one shingle if they are fewer."""
     s = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    rest = "shingles array<bigint>, bits array<bigint>" if percent is None else "h1 bigint, h2 bigint, prefix array<bigint>"
-    return s.mapInArrow(hash_shingles(k, percent), f"id {s.schema['id'].dataType.simpleString()}, n int, {rest}")
+    return s.mapInArrow(hash_shingles(k, percent), f"id {s.schema['id'].dataType.simpleString()}, n int, h1 bigint, h2 bigint, prefix array<bigint>")
+
+
+def whole_sets(docs: DataFrame, k: int) -> DataFrame:
+    """(id, n, shingles) of rows (id, text, own) whose set has the digest own; shingles are sorted 64-bit hashes."""
+    kind = docs.schema["id"].dataType.simpleString()
+    out = docs.mapInArrow(hash_shingles(k), f"id {kind}, n int, h1 bigint, shingles array<bigint>, own bigint")
+    return out.where("h1 = own").select("id", "n", "shingles")
 
 
 def _prefix(n, percent: int):
@@ -99,117 +105,157 @@ def _more(n):
     return F.floor(n / 20).cast("int")
 
 
+def overlaps(query: np.ndarray, sets: list[np.ndarray], percent: int) -> list[int]:
+    """Which of the sets are similar enough to the query; all are in one order. sets must be sorted as lists.
+
+    The sorted sets are a prefix tree: a node is a range of sets that agree on their first elements.
+    """
+    size = np.array([len(s) for s in sets])
+    agree = np.zeros(len(sets), np.int64)  # leading elements that a set shares with the one before it
+    for k in range(1, len(sets)):
+        m = min(size[k - 1], size[k])
+        differs = np.flatnonzero(sets[k - 1][:m] != sets[k][:m])
+        agree[k] = differs[0] if len(differs) else m
+    n, found, nodes = len(query), [], [(0, len(sets), 0, 0)] if sets else []
+    while nodes:
+        lo, hi, depth, seen = nodes.pop()
+        last = int(agree[lo + 1 : hi].min()) if hi - lo > 1 else int(size[lo])
+        need, longest = -(-percent * (n + int(size[lo:hi].min())) // (100 + percent)), int(size[lo:hi].max())
+        while depth < last:
+            part = sets[lo][depth : min(last, depth + 256)]
+            at = np.searchsorted(query, part)
+            seen += int((query[np.minimum(at, n - 1)] == part).sum())
+            depth += len(part)
+            if seen + min(longest - depth, n - int(np.searchsorted(query, part[-1], "right"))) < need:
+                break
+        else:
+            ends = lo
+            while ends < hi and size[ends] == last:  # sets that end at this node come first
+                if seen >= -(-percent * (n + last) // (100 + percent)):
+                    found.append(ends)
+                ends += 1
+            if ends < hi:
+                starts = [ends, *(ends + 1 + np.flatnonzero(agree[ends + 1 : hi] <= last)).tolist(), hi]
+                nodes += [(a, b, depth, seen) for a, b in zip(starts, starts[1:])]
+    return found
+
+
 def verify_groups(percent: int):
-    """For applyInPandas: rows (a, salt, id, n, shingles) of one member a (its own row included) and its partners."""
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        a = int(group["a"].iloc[0])
-        own = group["id"].to_numpy() == a
-        query = np.asarray(group["shingles"].to_numpy()[own][0], dtype=np.int64)
-        n_a = len(query)
-        rest = sorted(((np.asarray(s, dtype=np.int64), int(i)) for s, i in zip(group["shingles"][~own], group["id"][~own])), key=lambda x: x[0].tolist())
-        found = []
-        last, depth, total = np.empty(0, np.int64), 0, np.zeros(1, np.int64)  # overlap of the first j elements in total[j]
-        for s, i in rest:
-            need = -(-percent * (n_a + len(s)) // (100 + percent))
-            m = min(depth, len(s))
-            differs = np.flatnonzero(last[:m] != s[:m])
-            shared = int(differs[0]) if len(differs) else m
-            total, depth = total[: shared + 1], shared
-            while depth < len(s):
-                seen = int(np.searchsorted(query, s[depth - 1], "right")) if depth else 0
-                if total[depth] + min(len(s) - depth, n_a - seen) < need:
-                    break
-                part = s[depth : depth + 256]
-                at = np.minimum(np.searchsorted(query, part), n_a - 1)
-                total = np.concatenate([total, total[-1] + np.cumsum(query[at] == part)])
-                depth += len(part)
-            last = s
-            if depth == len(s) and total[depth] >= need:
-                found.append(i)
-        return pd.DataFrame({"a": np.full(len(found), a, np.int64), "b": np.asarray(found, np.int64)})
+    """For applyInArrow: rows (a, salt, id, shingles) of one member a (its own row included) and its partners."""
+
+    def walk(group: pa.Table) -> pa.Table:
+        a, ids = group.column("a")[0].as_py(), group.column("id").to_numpy()
+        lists = group.column("shingles").combine_chunks()
+        flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        sets = [flat[x:y] for x, y in zip(ends[:-1], ends[1:])]
+        order = sorted(np.flatnonzero(ids != a).tolist(), key=lambda k: sets[k].tolist())
+        found = overlaps(sets[int(np.flatnonzero(ids == a)[0])], [sets[k] for k in order], percent)
+        return pa.table({"a": pa.array([a] * len(found), pa.int64()), "b": pa.array(ids[[order[k] for k in found]], pa.int64())})
 
     return walk
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough.
+    """The pairs (a, b) whose sets are similar enough."""
+    count = cut(pairs.groupBy("a").agg(F.count("*").alias("c")))
+    dealt = pairs.join(count, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / TREE_ROWS)).cast("int").alias("salt"))
+    own = count.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col("c") / TREE_ROWS) - 1).cast("int"))).alias("salt"))
+    rows = dealt.unionByName(own).join(sets.select(F.col("id").alias("b"), "shingles"), "b").select("a", "salt", F.col("b").alias("id"), "shingles")
+    links = cut(rows.groupBy("a", "salt").applyInArrow(verify_groups(percent), "a long, b long"))
+    release(count)
+    return links
+
+
+def _reach(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
+    """Whether sets of sizes n and m whose first common elements are the i-th and j-th (from 0) can be similar enough."""
+    return (F.least(n - i, m - j) * (100 + percent) >= percent * (n + m)) & (F.least(n, m) * 100 >= percent * F.greatest(n, m))
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(1.05)).cast("int")
 
-    A bit of one set that the other lacks is a shingle that the other lacks; pairs with too many go before whole sets move.
+
+def _across(named: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (s, id, n, i, comp, main, size) of a bucket s that are in different components and in reach.
+
+    main is the component of the bucket's pivot; size is the number of members. The larger set of a pair probes for the
+    smaller one. Only members outside main look at all; those inside it look at the ones outside.
     """
-    for x in "ab":
-        pairs = pairs.join(sets.select(F.col("id").alias(x), F.col("n").alias("n_" + x), F.col("bits").alias("bits_" + x)), x)
-    lacks = "aggregate(zip_with(bits_{}, bits_{}, (x, y) -> bit_count(x & ~y)), 0, (x, y) -> x + y)"
-    need = f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}"
-    pairs = cut(pairs.where(f"n_a - {lacks.format('a', 'b')} >= {need} and n_b - {lacks.format('b', 'a')} >= {need}").select("a", "b"))
-    count = pairs.groupBy("a").agg(F.count("*").alias("c"))
-    dealt = pairs.join(count, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / TRIE_ROWS)).cast("int").alias("salt"))
-    own = count.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col("c") / TRIE_ROWS) - 1).cast("int"))).alias("salt"))
-    rows = dealt.unionByName(own).join(sets.select(F.col("id").alias("b"), "shingles"), "b").select("a", "salt", F.col("b").alias("id"), "shingles")
-    return rows.groupBy("a", "salt").applyInPandas(verify_groups(percent), "a long, b long")
+    inside = F.col("comp") == F.col("main")
+    n, i = F.col("n"), F.col("i")
+    large = F.col("size") > SPLIT
+    least, most = F.ceil(percent * n / 100), F.least(n, F.floor((100 + percent) * (n - i) / percent) - n)
+    classes = F.when(~large, F.array(F.lit(-1))).when(most < least, F.array().cast("array<int>")).otherwise(F.sequence(_size_class(least), _size_class(most)))
+    probe = named.select("s", F.col("id").alias("a"), "n", "i", "comp", F.explode(classes).alias("c"), inside.alias("z"))
+    index = named.where((n - i) * (100 + percent) >= 2 * percent * n)
+    index = index.select("s", F.col("id").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("comp").alias("comp_b"),
+                         F.when(large, _size_class(n)).otherwise(-1).alias("c"), F.explode(F.when(inside, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("z"))
+    near = (F.col("m") <= n) & (F.col("a") != F.col("b")) & (F.col("comp") != F.col("comp_b")) & _reach(n, i, F.col("m"), F.col("j"), percent)
+    both = probe.join(index, ["s", "c", "z"]).where(near)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(id_col, n_shingles, component_id) per row of docs; extra columns are left alone.
 
     Null, empty and blank texts have no shingles and link with nothing. Rows with a null id keep a null component.
-    Ids are keys: rows that repeat one stand for one document whose set is the union of theirs. An empty table gives
-    an empty result.
+    Ids are keys: of rows that repeat an id with different texts, the one with the most shingles (among equals, the
+    greatest digest) stands for all of them. An empty table gives an empty result.
     """
-    narrow = cut(shingle_sets(docs, id_col, text_col, k, percent))
+    narrow = cut(leading_parts(docs, id_col, text_col, k, percent))
     keyed = narrow.where("n > 0 and id is not null")
-    classes = keyed.groupBy("n", "h1", "h2").agg(F.min("id").alias("class"))
-    member = cut(keyed.select("id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"]).select("id", "class", "n"))
-
-    # classes with too few shared shingles to have a partner end here
-    reps = member.select(F.col("class").alias("id")).distinct()
-    longer = keyed.join(reps, "id", "left_semi").select("id", "n", F.explode("prefix").alias("s"))
-    common = longer.groupBy("s").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("s")
+    base = cut(narrow.select("id", "n"))
+    chosen = cut(keyed.groupBy("id").agg(F.max(F.struct("n", "h1", "h2")).alias("x")).select("id", "x.*"))
+    classes = cut(chosen.groupBy("n", "h1", "h2").agg(F.min("id").alias("class"), F.count("*").alias("c")).where("c > 1").drop("c"))
+    member = cut(chosen.join(classes, ["n", "h1", "h2"], "left").select("id", "n", "h1", F.coalesce("class", "id").alias("class")))
+
+    # classes with too few shared shingles to have a partner end here; copies of a set do not count for it
+    longer = keyed.select("id", "h1", F.explode("prefix").alias("s"))
+    common = cut(longer.groupBy("s").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x < y").select("s"))
+    hits = longer.select("id", "s").join(common, "s", "left_semi").groupBy("id").agg(F.count("*").alias("c"))
     least = _more(F.expr(f"({percent} * n + 99) div 100")) + 1  # of the smallest partner
-    alive = longer.join(common, "s", "left_semi").groupBy("id", "n").agg(F.count("*").alias("c")).where(F.col("c") >= least)
-    alive = cut(alive.select("id").distinct())
-    sets = cut(shingle_sets(docs.select(id_col, text_col).join(alive.withColumnRenamed("id", id_col), id_col, "left_semi"), id_col, text_col, k))
+    alive = cut(member.where("id = class").join(hits, "id").where(F.col("c") >= least).select("id", "h1"))
+    release(narrow, chosen, classes, common)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(alive.withColumnRenamed("h1", "own"), "id").distinct()
+    sets = cut(whole_sets(texts, k))
 
-    first = cut(sets.select("id", "n", F.explode(F.slice("shingles", 1, _prefix(F.col("n"), percent))).alias("s")))
-    counts = first.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
-    heavy = counts.where(F.col("c") > HEAVY).select("s")
+    parts = F.posexplode(F.slice("shingles", 1, _prefix(F.col("n"), percent))).alias("i", "s")
+    first = cut(sets.select("id", "n", parts))
+    heavy = first.groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") > HEAVY).select("s")
 
     def whole(ids: DataFrame) -> DataFrame:
-        return sets.join(ids, "id", "left_semi").select("id", "n", F.explode("shingles").alias("s"))
+        return sets.join(ids, "id", "left_semi").select("id", F.explode("shingles").alias("s"))
 
     # a shared passage has more shingles than the prefixes show: count those of the documents that have one in full
     seen = cut(first.join(heavy, "s", "left_semi").select("id").distinct())
     late = cut(whole(seen).groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") > HEAVY))
     reread = cut(first.join(late.select("s"), "s", "left_semi").select("id").distinct())
-    ranked = whole(reread).join(late, "s", "left")
-    again = ranked.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("late"), "s"))).alias("o"))
-    again = again.select("id", "n", F.explode_outer(F.slice("o.s", 1, _prefix(F.col("n"), percent))).alias("s"))
-    rows = first.join(reread, "id", "left_anti").unionByName(again)
+    moved = whole(reread).join(late, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "s")))["s"].alias("moved"))
+    again = sets.join(moved, "id").select("id", "n", F.concat(F.array_except("shingles", "moved"), "moved").alias("shingles")).select("id", "n", parts)
+    rows = cut(first.join(reread, "id", "left_anti").unionByName(again))
     # a bucket of one class has nothing to compare
-    shared = rows.groupBy("s").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot < top").select("s", "pivot")
+    shared = rows.groupBy("s").agg(F.min(F.struct("i", "id", "n")).alias("p"), F.min("id").alias("x"), F.max("id").alias("y"), F.count("*").alias("size")).where("x < y")
+    shared = cut(shared.select("s", F.col("p.id").alias("pivot"), F.col("p.i").alias("j"), F.col("p.n").alias("m"), "size"))
+    release(alive, first, seen, late, reread)
     bucket = cut(rows.join(shared, "s"))
 
-    near = "least(n, m) * 100 >= {} * greatest(n, m)".format(percent)
-    ns = bucket.select("id", "n").distinct()
-    star = bucket.where("id <> pivot").select("pivot", "id", "n").distinct().join(
-        ns.select(F.col("id").alias("pivot"), F.col("n").alias("m")), "pivot").where(near)
-    star = cut(star.select(F.col("pivot").alias("a"), F.col("id").alias("b")))
-    links = cut(_links(star, sets, percent))
-
-    joined = connected_components(links)
-    named = bucket.join(joined, bucket["id"] == joined["node"], "left").select("s", "id", "n", F.coalesce("component", "id").alias("comp"))
-    mixed = named.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("s")
-    left = cut(named.join(mixed, "s", "left_semi"))
-    other = left.select("s", F.col("id").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"))
-    rest = left.join(other, "s").where("id < b and comp <> comp_b and " + near).select(F.col("id").alias("a"), "b").distinct()
-    rest = cut(rest.join(star, ["a", "b"], "left_anti"))
-    links = links.unionByName(_links(rest, sets, percent))
-
-    comp = connected_components(links).select(F.col("node").alias("class"), F.col("component"))
-    placed = member.join(comp, "class", "left").select("id", F.coalesce("component", "class").alias("component_id"))
-    # a class in a component may have a smaller member than the class it was joined through: classes are their minima
-    out = narrow.select("id", "n").join(placed.groupBy("id").agg(F.min("component_id").alias("component_id")), "id", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    star = bucket.where((F.col("id") != F.col("pivot")) & _reach(F.col("n"), F.col("i"), F.col("m"), F.col("j"), percent))
+    star = cut(star.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
+    links = _links(star, sets, percent)
+    joined = cut(connected_components(links))
+    named = bucket.join(joined.select(F.col("node").alias("id"), "component"), "id", "left").join(
+        joined.select(F.col("node").alias("pivot"), F.col("component").alias("main")), "pivot", "left")
+    named = cut(named.select("s", "id", "n", "i", "size", F.coalesce("component", "id").alias("comp"), F.coalesce("main", "pivot").alias("main")))
+    mixed = cut(named.where("comp <> main").select("s").distinct())
+    rest = _across(named.join(mixed, "s", "left_semi"), percent)
+    rest = cut(rest.join(star, ["a", "b"], "left_anti").join(star.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
+    more = _links(rest, sets, percent)
+    comp = cut(connected_components(links.unionByName(more)))
+    release(rows, shared, bucket, star, sets, links, joined, named, mixed, rest, more)
+
+    placed = member.join(comp.withColumnRenamed("node", "class"), "class", "left").select("id", F.col("n").alias("own"), F.coalesce("component", "class").alias("component_id"))
+    out = base.join(placed, "id", "left")
+    return out.select(F.col("id").alias(id_col), F.coalesce("own", "n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:

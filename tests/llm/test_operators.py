@@ -59,6 +59,48 @@ def test_jaccard_join_frequent_passages_and_near_copies(spark):
     assert got == jaccard_join.brute_force(rows)
 
 
+def test_jaccard_join_of_a_large_bucket_in_several_components(spark):
+    import random
+
+    r = random.Random(4)
+    vocab = [f"t{i}" for i in range(5000)]
+    base = r.choices(vocab, k=120)
+    rows = []
+    for i in range(260):  # copies with up to eight edits: many share a bucket, few of the edited ones link
+        w = list(base)
+        for _ in range(r.choice([0, 1, 2, 4, 5, 6, 8])):
+            w[r.randrange(len(w))] = r.choice(vocab)
+        rows.append((i, " ".join(w[: r.choice([120, 118, 105])])))
+    rows += [(400 + i, " ".join(r.choices(vocab, k=4) + base[:40] + r.choices(vocab, k=i % 9))) for i in range(120)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == jaccard_join.brute_force(rows)
+    assert len({c for _, c in got.values()}) > 20
+
+
+def test_jaccard_join_repeated_ids_and_clashing_columns(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, 1), (1, b + " more", 2), (1, a, 3), (2, a, 4), (3, b + " more", 5), (4, c, 6), (5, c, 6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, class long").withColumns({x: F.lit(1) for x in ("id", "n", "own", "s", "h1")})
+    got = jaccard_join.jaccard_components(d).collect()
+    # the longer text stands for id 1
+    assert sorted(map(tuple, got)) == [(1, 37, 1)] * 3 + [(2, 36, 2), (3, 37, 1), (4, 36, 4), (5, 36, 4)]
+    kept = jaccard_join.keep_one(d)
+    assert kept.columns == d.columns and sorted(x.doc_id for x in kept.collect()) == [1, 1, 1, 2, 4]
+
+
+def test_prefix_tree_against_all_overlaps():
+    import random
+
+    import numpy as np
+
+    r = random.Random(6)
+    for _ in range(200):
+        sets = sorted((sorted(r.sample(range(30), r.randint(1, 14))) for _ in range(r.randint(0, 12))))
+        q = set(r.sample(range(30), r.randint(1, 14)))
+        want = [k for k, s in enumerate(sets) if 100 * len(q & set(s)) >= 50 * len(q | set(s))]
+        assert sorted(jaccard_join.overlaps(np.array(sorted(q)), [np.array(s) for s in sets], 50)) == want
+
+
 def test_sentencepiece_is_the_library(docs, odd, empty):
     import sentencepiece
 
