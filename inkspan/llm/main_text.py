@@ -3,24 +3,28 @@
 Each page is split into blocks. Blocks of the article are its text. What stands outside the article and outside
 elements that are never text (menus, forms, adverts ...) is uncertain: there, the token streams of a host's pages are
 concatenated, a suffix array finds long substrings that occur on distinct pages, tokens covered by one go, and the
-unique runs stay. A page with an article keeps only that; a page without one keeps its unique runs.
+unique runs stay. A page with an article keeps only that; a page without one keeps its unique runs. Pages with equal
+streams are mirrors of one another, not distinct pages, so they lose nothing by it.
 
-Hosts are dealt to buckets of about BUCKET pages by the hash of a page's row, so no host, however hot, meets in one
-task. What pages of different buckets share is found by the hashes of their windows of LEAST tokens: a bucket names each
-of its windows once, and a window that other buckets name too is repeated on the page that alone has it in its bucket.
-So the result is that of one suffix array per host, however pages are dealt (windows are told apart by 64-bit hashes).
+A host is dealt to buckets of about BUCKET pages by a hash of its rows, so no host, however hot, meets in one task. What
+pages of different buckets share is found by the hashes of their windows of LEAST tokens: those that distinct streams of
+the host hold go back to the buckets that hold them. So the result is that of one suffix array per host, however pages
+are dealt (windows are told apart by 64-bit hashes). Texts move once, together with their page.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StructType
 
 from .common import cut, table
 from .url_filter import host_of
@@ -38,8 +42,11 @@ BLOCKS = {"address", "article", "aside", "blockquote", "body", "br", "caption",
           "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Words of class, id and role names that mark what is not text.
-MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|newsletter|subscribe|nav\w*|menu|breadcrumbs?|sidebar|"
-                   r"footer|header|masthead|comments?|comment-list|disqus|related|share|social|popup|modal|complementary|contentinfo|search)(?:$|[\s_-])", re.I)
+_WORDS = ("ads?|advert\\w*|sponsor\\w*|promo\\w*|cookies?|consent|newsletter|subscribe|nav\\w*|menu|breadcrumbs?|sidebar|comments?|comment-list|disqus|related|share|social|popup|modal|"
+          "complementary|contentinfo")
+MARKS = re.compile(rf"(?:^|[\s_-])(?:{_WORDS}|banner|notice|footer|header|masthead|search)(?:$|[\s_-])", re.I)
+#: The same inside an article, whose parts may have a heading or a notice of their own.
+INNER_MARKS = re.compile(rf"(?:^|[\s_-])(?:{_WORDS})(?:$|[\s_-])", re.I)
 _GAP = re.compile(r"\s+")
 
 
@@ -65,9 +72,9 @@ class _Blocks(HTMLParser):
         if tag in VOID:
             return
         named = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
-        out = tag in OUTSIDE or (tag not in ("html", "body", "article", "main") and bool(named) and bool(MARKS.search(named)))
-        if tag == "header" and self.article:
-            out = bool(named) and bool(MARKS.search(named))  # an article's own heading
+        marked = bool(named) and bool((INNER_MARKS if self.article else MARKS).search(named))
+        # a header inside an article is the article's own heading
+        out = tag in OUTSIDE and not (tag == "header" and self.article) or (tag not in ("html", "body", "article", "main") and marked)
         step = (tag, int(tag in SILENT), int(out), int(tag in ARTICLE))
         if tag == "p" and self.open and self.open[-1][0] == "p":
             self.handle_endtag("p")
@@ -129,34 +136,50 @@ def parsed(html: Column) -> Column:
     return run(html)
 
 
+def suffix_array(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common): the suffixes of a stream in order, and how many tokens each shares with the one before it.
+
+    Prefix doubling sorts; the ranks kept of each width then give the common lengths from the widest down.
+    """
+    total = len(stream)
+    rank, width = np.unique(stream, return_inverse=True)[1].astype(np.int64), 1
+    ranks, order = [rank], np.argsort(rank, kind="stable")
+    while width < total and len(np.unique(rank)) < total:
+        after = np.full(total, -1, np.int64)
+        after[: total - width] = rank[width:]
+        order = np.lexsort((after, rank))
+        new = np.zeros(total, np.int64)
+        new[order[1:]] = np.cumsum((rank[order[1:]] != rank[order[:-1]]) | (after[order[1:]] != after[order[:-1]]))
+        rank, width = new, 2 * width
+        ranks.append(rank)
+    common = np.zeros(total, np.int64)
+    x, y = order[:-1], order[1:]
+    for k in range(len(ranks) - 1, -1, -1):
+        i, j = x + common[1:], y + common[1:]
+        inside = np.maximum(i, j) < total
+        same = inside & (ranks[k][np.minimum(i, total - 1)] == ranks[k][np.minimum(j, total - 1)])
+        common[1:] += same << k
+    return order, common
+
+
 def repeated(pages: list[list[str]], least: int = LEAST) -> list[np.ndarray]:
-    """Per page, which of its tokens lie in a substring of at least `least` tokens that other pages have too.
+    """Per page, which of its tokens lie in a substring of at least `least` tokens that distinct other pages have too.
 
-    The suffixes of the concatenated streams, each ended by a separator of its own, are sorted by prefix doubling.
-    Neighbours in that order that agree on `least` tokens form the runs of suffixes with a long common beginning.
+    Streams are concatenated, each ended by a separator of its own, so no common beginning runs past a page. Neighbours
+    in the suffix array that share `least` tokens form groups; a group of suffixes of several pages is a repeat.
     """
     sizes = np.array([len(p) for p in pages])
     total = int(sizes.sum()) + len(pages)
     names: dict[str, int] = {}
     stream, owner = np.empty(total, np.int64), np.repeat(np.arange(len(pages)), sizes + 1)
-    at, starts = 0, []
-    for k, p in enumerate(pages):
-        starts.append(at)
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    for k, (p, at) in enumerate(zip(pages, starts.tolist())):
         stream[at : at + len(p)] = [names.setdefault(t, len(names) + len(pages)) for t in p]
         stream[at + len(p)] = k
-        at += len(p) + 1
-    rank, width, order = np.unique(stream, return_inverse=True)[1].astype(np.int64), 1, np.argsort(stream, kind="stable")
-    while width < least and total:
-        step = min(width, least - width)
-        after = np.full(total, -1, np.int64)
-        after[: total - step] = rank[step:]
-        order = np.lexsort((after, rank))
-        new = np.zeros(total, np.int64)
-        new[order[1:]] = np.cumsum((rank[order[1:]] != rank[order[:-1]]) | (after[order[1:]] != after[order[:-1]]))
-        rank, width = new, width + step
     covered = np.zeros(total + 1, np.int64)
     if total:
-        firsts = np.flatnonzero(np.r_[True, np.diff(rank[order]) != 0])
+        order, common = suffix_array(stream)
+        firsts = np.flatnonzero(common < least)
         low, high = np.minimum.reduceat(owner[order], firsts), np.maximum.reduceat(owner[order], firsts)
         hit = order[np.repeat(low != high, np.diff(np.r_[firsts, total]))]
         np.add.at(covered, hit, 1)
@@ -165,10 +188,6 @@ def repeated(pages: list[list[str]], least: int = LEAST) -> list[np.ndarray]:
     return [inside[s : s + n] for s, n in zip(starts, sizes)]
 
 
-def _tokens(group: pd.DataFrame) -> list[list[str]]:
-    return [[t for b in rest for t in b.split(" ")] for rest in group["rest"]]
-
-
 def _hashes(tokens: list[str], least: int = LEAST) -> np.ndarray:
     """Of each window of `least` tokens, by its first token."""
     n = len(tokens) - least + 1
@@ -180,22 +199,38 @@ def _hashes(tokens: list[str], least: int = LEAST) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _windows(group: pd.DataFrame) -> pd.DataFrame:
-    """Each window of a bucket once: (host, bucket, hash, row), with no row where several pages of the bucket have it."""
-    seen = [np.unique(_hashes(t)) for t in _tokens(group)]
-    hashes, first, n = np.unique(np.concatenate(seen), return_index=True, return_counts=True)
-    row = pd.Series(np.repeat(group["row"].to_numpy(), [len(x) for x in seen])[first], dtype="Int64").mask(n > 1)
-    return pd.DataFrame({"__host": group["__host"].iloc[0], "bucket": group["bucket"].iloc[0], "h": hashes, "row": row})
+def _streams(group: pa.Table) -> list[list[str]]:
+    return [[t for b in rest for t in b.split(" ")] for rest in group.column("rest").to_pylist()]
+
+
+def _stream_key(tokens: list[str]) -> int:
+    return int.from_bytes(hashlib.blake2b(" ".join(tokens).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _windows(group: pa.Table) -> pa.Table:
+    """Each window of a bucket once: (host, bucket, h, x, y) with the least and the greatest stream that have it."""
+    streams = _streams(group)
+    seen = [np.unique(_hashes(t)) for t in streams]
+    stream = np.repeat(np.array([_stream_key(t) for t in streams], np.int64), [len(x) for x in seen])
+    h, at = np.unique(np.concatenate(seen), return_inverse=True)
+    x, y = np.full(len(h), np.iinfo(np.int64).max), np.full(len(h), np.iinfo(np.int64).min)
+    np.minimum.at(x, at, stream)
+    np.maximum.at(y, at, stream)
+    return pa.table({"host": pa.array([group.column("host")[0].as_py()] * len(h), pa.string()), "bucket": pa.array([group.column("bucket")[0].as_py()] * len(h), pa.int64()), "h": h, "x": x, "y": y})
 
 
-def _unique_runs(group: pd.DataFrame, elsewhere: pd.DataFrame) -> pd.DataFrame:
-    """Unique runs of a bucket's pages; elsewhere has (row, h) of the windows that only other buckets repeat."""
-    tokens = _tokens(group)
-    more = {row: h.to_numpy() for row, h in elsewhere.groupby("row")["h"]}
-    keys, texts, counts = [], [], []
-    for row, rest, sure, own, gone in zip(group["row"], group["rest"], group["sure"], tokens, repeated(tokens)):
-        if row in more:
-            for k in np.flatnonzero(np.isin(_hashes(own), more[row])):
+def _unique_runs(group: pa.Table, elsewhere: pa.Table) -> pa.Table:
+    """(own, text, n_repeated_tokens) of a bucket's pages; elsewhere has the windows h that its host repeats."""
+    if not group.num_rows:
+        return pa.table({"own": group.column("own"), "text": pa.array([], pa.string()), "n_repeated_tokens": pa.array([], pa.int64())})
+    streams, more = _streams(group), elsewhere.column("h").to_numpy()
+    distinct = {" ".join(s): s for s in streams}
+    found = dict(zip(distinct, repeated(list(distinct.values()))))
+    texts, counts = [], []
+    for main, rest, sure, own in zip(*(group.column(c).to_pylist() for c in ("main", "rest", "sure")), streams):
+        gone = found[" ".join(own)].copy()
+        if len(more):
+            for k in np.flatnonzero(np.isin(_hashes(own), more)):
                 gone[k : k + LEAST] = True
         kept, at = [], 0
         for b, certain in zip(rest, sure):
@@ -204,33 +239,32 @@ def _unique_runs(group: pd.DataFrame, elsewhere: pd.DataFrame) -> pd.DataFrame:
             at += len(words)
             if left and not certain:
                 kept.append(" ".join(left))
-        keys.append(row)
-        texts.append("\n".join(kept))
+        texts.append("\n".join(kept) if main is None else main)
         counts.append(int(gone.sum()))
-    return pd.DataFrame({"row": keys, "runs": texts, "n_repeated_tokens": counts})
+    return pa.table({"own": group.column("own"), "text": pa.array(texts, pa.string()), "n_repeated_tokens": pa.array(counts, pa.int64())})
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """pages' columns but the html, with text, n_chars and n_repeated_tokens (tokens outside the article that the host repeats).
+    """pages' columns but the html, with text, n_chars and n_repeated_tokens (tokens outside the article that the host
+    repeats); columns of these names are replaced, others kept whatever they are called.
 
     Null and empty pages have an empty text; broken markup is read as far as it goes. Pages without a host form one
-    group. Repeated rows are separate pages, so each counts for the other; an article's text is never removed.
+    group. Repeated rows and mirrors count as one page; an article's text is never removed.
     """
-    own = [c for c in pages.columns if c != html_col]
-    read = pages.select(*own, host_of(F.col(url_col)).alias("__host"), F.monotonically_increasing_id().alias("__row"), parsed(F.col(html_col)).alias("__p"))
-    read = cut(read)
-    size = read.groupBy("__host").agg(F.count("*").alias("c"))
-    outside = read.where(F.size("__p.rest") > 0).select("__host", F.col("__row").alias("row"), F.col("__p.rest").alias("rest"), F.col("__p.sure").alias("sure"))
-    dealt = outside.join(size, "__host").withColumn("bucket", F.pmod(F.xxhash64("row"), F.ceil(F.col("c") / BUCKET)))
-    dealt = dealt.repartition("__host", "bucket")  # else the join's partitioning by host would serve and a hot host would meet in one task
-    named = dealt.where(F.col("c") > BUCKET).groupBy("__host", "bucket").applyInPandas(_windows, "__host string, bucket long, h long, row long")
-    lone = F.collect_list(F.when(F.col("row").isNotNull(), F.struct("bucket", "row")))  # at most one per bucket of the host
-    shared = named.groupBy("__host", "h").agg(F.count("*").alias("n"), lone.alias("at")).where("n > 1")
-    elsewhere = shared.select("__host", "h", F.explode("at").alias("x")).select("__host", F.col("x.bucket").alias("bucket"), F.col("x.row").alias("row"), "h")
-    runs = dealt.groupBy("__host", "bucket").cogroup(elsewhere.groupBy("__host", "bucket")).applyInPandas(_unique_runs, "row long, runs string, n_repeated_tokens long")
-    out = read.join(runs.withColumnRenamed("row", "__row"), "__row", "left")
-    text: Column = F.coalesce("__p.main", "runs", F.lit(""))
-    return out.select(*own, text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.coalesce("n_repeated_tokens", F.lit(0)).alias("n_repeated_tokens"))
+    own = [c for c in pages.columns if c not in (html_col, "text", "n_chars", "n_repeated_tokens")]
+    hashed = [F.col(c) for c in pages.columns if not re.search("map<|variant", pages.schema[c].dataType.simpleString())]
+    rows = pages.select(F.struct(*own).alias("own"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"), F.xxhash64(*hashed).alias("row"))
+    large = cut(rows.groupBy("host").agg(F.count("*").alias("c")).where(F.col("c") > BUCKET))
+    rows = rows.join(large, "host", "left").withColumn("bucket", F.pmod("row", F.coalesce(F.ceil(F.col("c") / BUCKET), F.lit(1))))
+    dealt = rows.select("own", "host", "c", "bucket", parsed(F.col("html")).alias("p")).select("own", "host", "c", "bucket", "p.*")
+    # else the join's partitioning by host would serve, and a hot host would meet in one task
+    hot = dealt.where("c is not null").select("host", "bucket", "rest").repartition("host", "bucket")
+    named = cut(hot.groupBy("host", "bucket").applyInArrow(_windows, "host string, bucket long, h long, x long, y long"))
+    shared = cut(named.groupBy("host", "h").agg(F.min("x").alias("x"), F.max("y").alias("y")).where("x < y").select("host", "h"))
+    elsewhere = named.select("host", "bucket", "h").join(shared, ["host", "h"], "left_semi")
+    both = dealt.drop("c").repartition("host", "bucket").groupBy("host", "bucket").cogroup(elsewhere.repartition("host", "bucket").groupBy("host", "bucket"))
+    out = both.applyInArrow(_unique_runs, StructType().add("own", rows.schema["own"].dataType).add("text", "string").add("n_repeated_tokens", "long"))
+    return out.select("own.*", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated_tokens")
 
 
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,7 +106,7 @@ def test_sentencepiece_is_the_library(docs, odd, empty):
 
     sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.model_path())
     extra = ["  Hello  wörld\n\tfoo 你好 <s>  ", "a\u0000😀", "▁x"]
-    texts = [r.text for r in docs.select("text").limit(60).collect()] + extra + [r[1] or "" for r in ODD]
+    texts = [r.text or "" for r in docs.select("text").collect()] + extra + [r[1] or "" for r in ODD]
     got = sentencepiece_codec.codec(sentencepiece_codec.model_path()).encode_batch(texts)
     assert [g.tolist() for g in got] == sp.encode(texts)
     assert [sentencepiece_codec.codec(sentencepiece_codec.model_path()).decode(g) for g in got] == [sp.decode(g.tolist()) for g in got]
@@ -115,6 +115,50 @@ def test_sentencepiece_is_the_library(docs, odd, empty):
     assert sentencepiece_codec.encode_documents(empty).count() == 0
 
 
+def unigram_model(path, pieces, fold):
+    """A model file of pieces (text, score, kind): 1 text, 2 unknown, 3 control, 6 byte."""
+    import struct
+
+    def field(n, value):
+        def number(x):
+            return bytes([x]) if x < 128 else bytes([x & 127 | 128]) + number(x >> 7)
+
+        return number(n << 3) + number(value) if isinstance(value, int) else number(n << 3 | 5) + struct.pack("<f", value) if isinstance(value, float) else number(n << 3 | 2) + number(len(value)) + value
+
+    data = b"".join(field(1, field(1, t.encode()) + field(2, float(x)) + field(3, k)) for t, x, k in pieces)
+    data += field(2, field(3, 1) + field(35, 1)) + field(3, field(1, b"identity") + field(3, 1) + field(4, fold) + field(5, 1))
+    path.write_bytes(data)
+
+
+def test_sentencepiece_unigram_scores_decide(spark, tmp_path):
+    import random
+
+    import sentencepiece
+
+    r = random.Random(7)
+    pieces = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3)] + [(f"<0x{b:02X}>", 0, 6) for b in range(256)]
+    texts = {"▁", *"abcd", *("".join(r.choices("▁" + "abcd", k=1) + r.choices("abcd", k=r.randint(1, 5))) for _ in range(120))}
+    pieces += [(t, -r.randint(8, 72) / 8 - 1.5 * len(t), 1) for t in sorted(texts)]  # eighths add up without rounding
+    for fold in (0, 1):
+        unigram_model(tmp_path / f"u{fold}.model", pieces, fold)
+        path = str(tmp_path / f"u{fold}.model")
+        sp, c = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.Codec(path)
+        assert not c.bpe and c.fold == bool(fold)
+        rows = ["".join(r.choices("abcd  é", k=r.randint(0, 60))) for _ in range(300)]
+        assert [g.tolist() for g in c.encode_batch(rows)] == sp.encode(rows)
+        d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+        ids = {x.doc_id: x.token_ids for x in sentencepiece_codec.encode_documents(d, path=path).collect()}
+        assert [ids[k] for k in range(300)] == sp.encode(rows)
+        back = d.sparkSession.createDataFrame(list(ids.items()), "k long, ids array<int>").select("k", sentencepiece_codec.decoded(F.col("ids"), path).alias("t"))
+        assert {x.k: x.t for x in back.collect()} == {k: sp.decode(v) for k, v in ids.items()}
+
+
+def test_sentencepiece_repeated_rows_and_clashing_columns(spark):
+    d = spark.createDataFrame([(1, "a b", 9, "x"), (1, "a b", 9, "x"), (2, None, 9, "x")], "doc_id long, text string, n_tokens int, own string").withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    got = sentencepiece_codec.encode_documents(d).orderBy("doc_id").collect()
+    assert [(x.n_tokens, x.own, x.m) for x in got] == [(2, "x", {"k": 1})] * 2 + [(0, "x", {"k": 1})] and got[0] == got[1] and got[2].token_ids is None
+
+
 def test_sentencepiece_one_huge_word():
     import random
 
@@ -266,6 +310,50 @@ def test_main_text(spark):
     assert main_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_main_text_mirrors_headlines_clashes_and_long_pages(spark):
+    body = "<p>one two three four five six seven eight</p>"
+    rows = [(1, "http://m.net/a", body), (2, "http://m.net/b", body), (3, "http://m.net/c", "<article><div class='post-header'><h1>Head</h1></div><div class='ad'>buy</div><p>text</p></article>"),
+            (4, "http://m.net/d", "<p>" + "long " * 60000 + "</p>"), (4, "http://m.net/d", "<p>" + "long " * 60000 + "</p>")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("old"), "runs": F.lit(1), "host": F.lit(2), "own": F.create_map(F.lit(1), F.lit(2))})
+    out = main_text.extract(d)
+    assert out.columns == ["page_id", "url", "runs", "host", "own", "text", "n_chars", "n_repeated_tokens"]
+    got = {r.page_id: (r.text, r.n_repeated_tokens, r.own) for r in out.collect()}
+    assert got == {1: ("one two three four five six seven eight", 0, {1: 2}), 2: ("one two three four five six seven eight", 0, {1: 2}), 3: ("Head\ntext", 0, {1: 2}), 4: (("long " * 60000).strip(), 0, {1: 2})}
+
+
+def test_main_text_against_brute_force_on_pages_without_article(spark):
+    import random
+
+    r = random.Random(8)
+    phrases = [" ".join(r.choices("abcdefgh", k=r.randint(3, 12))) for _ in range(12)]
+    rows = []
+    for i in range(300):
+        rows.append((i, f"http://h{i % 3}.net/{i}", "".join(f"<p>{r.choice(phrases) if r.random() < 0.5 else ' '.join(r.choices('abcdefgh', k=r.randint(1, 20)))}</p>" for _ in range(4))))
+    streams = {i: re.sub("</p><p>|</?p>", " ", h).split() for i, _, h in rows}
+    at = {}
+    for i, _, _ in rows:
+        for k in range(len(streams[i]) - main_text.LEAST + 1):
+            at.setdefault((i % 3, tuple(streams[i][k : k + main_text.LEAST])), set()).add(tuple(streams[i]))
+    want = {}
+    for i, _, h in rows:
+        gone = set()
+        for k in range(len(streams[i]) - main_text.LEAST + 1):
+            if len(at[i % 3, tuple(streams[i][k : k + main_text.LEAST])]) > 1:
+                gone |= set(range(k, k + main_text.LEAST))
+        texts, n = [], 0
+        for b in re.findall("<p>(.*?)</p>", h):
+            texts.append(" ".join(w for j, w in enumerate(b.split(), n) if j not in gone))
+            n += len(b.split())
+        want[i] = ("\n".join(filter(None, texts)), len(gone))
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (256, 20):  # of one bucket per host, and of several
+        main_text.BUCKET, was = size, main_text.BUCKET
+        try:
+            assert {x.page_id: (x.text, x.n_repeated_tokens) for x in main_text.extract(d).collect()} == want
+        finally:
+            main_text.BUCKET = was
+
+
 def test_main_text_of_a_large_host(spark):
     n = 700
     shared = {i: f"notice {i % 350} of the few pages that share it" for i in range(n)}
