@@ -2,7 +2,9 @@
 
 A test item of length m with an error budget of k edits is cut into k + 1 pieces. Wherever the item stands in a text
 with at most k edits, one piece stands there unchanged. An automaton of all pieces finds those hits in one pass over a
-text, and Myers' bit-parallel distance verifies the window around each.
+text. The same holds for any run of j neighbouring pieces and j - 1 edits, so a hit is verified by Myers' bit-parallel
+distance over ever longer runs of pieces around it, halves of halves of the item, and at last over the whole item; most
+chance hits end at the first run of two pieces.
 """
 
 from __future__ import annotations
@@ -11,14 +13,15 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import table
 
-#: An item may differ by this share of its characters, as long as its pieces keep MIN_PIECE characters.
-ERROR_RATE, MIN_PIECE = 0.1, 12
+#: An item may differ by this share of its characters, rounded down.
+ERROR_RATE = 0.1
 #: Characters of test items that one pass takes; a larger benchmark takes further passes over the texts.
 BLOCK_CHARS = 4_000_000
 _GAP = re.compile(r"\s+")
@@ -30,7 +33,7 @@ def normal(text: str | None) -> str:
 
 
 def budget(length: int) -> int:
-    return max(0, min(int(length * ERROR_RATE), length // MIN_PIECE - 1))
+    return int(length * ERROR_RATE)
 
 
 def pieces(item: str) -> list[tuple[int, str]]:
@@ -40,6 +43,20 @@ def pieces(item: str) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def runs(n: int) -> list[list[tuple[int, int]]]:
+    """For each of n pieces, the runs (first, past the last) that halving the item leads through, shortest first,
+    without the piece itself and the whole item."""
+    out = []
+    for k in range(n):
+        lo, hi, path = 0, n, []
+        while hi - lo > 1:
+            path.append((lo, hi))
+            mid = (lo + hi) // 2
+            lo, hi = (lo, mid) if k < mid else (mid, hi)
+        out.append(path[:0:-1])
+    return out
+
+
 def masks(item: str) -> dict[str, int]:
     out: dict[str, int] = defaultdict(int)
     for i, c in enumerate(item):
@@ -79,24 +96,48 @@ class Matcher:
 
         self.items = [(i, t) for i, t in ((i, normal(t)) for i, t in items) if t]
         self.masks = [masks(t) for _, t in self.items]
-        where: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.parts: dict[tuple[int, int, int], tuple[str, dict]] = {}
+        self.cuts, self.paths = [], []
+        where: dict[str, list[tuple[int, int, int]]] = defaultdict(list)
         for k, (_, t) in enumerate(self.items):
-            for offset, p in pieces(t):
-                where[p].append((k, offset + len(p)))
+            own = pieces(t)
+            self.cuts.append([*(a for a, _ in own), len(t)])
+            self.paths.append(runs(len(own)))
+            for j, (offset, p) in enumerate(own):
+                where[p].append((k, j, offset + len(p)))
         self.automaton = ahocorasick.Automaton()
         for p, places in where.items():
             self.automaton.add_word(p, places)
         if where:
             self.automaton.make_automaton()
 
+    def _holds(self, text: str, k: int, j: int, start: int) -> bool:
+        """Whether the runs around piece j of item k, which would begin at start, are all near enough."""
+        cuts = self.cuts[k]
+        for lo, hi in self.paths[k][j]:
+            part = self.parts.get((k, lo, hi))
+            if part is None:
+                run = self.items[k][1][cuts[lo] : cuts[hi]]
+                part = self.parts[k, lo, hi] = (run, masks(run))
+            run, peq = part
+            at, b = start + cuts[lo], hi - lo - 1
+            if not (at >= 0 and text.startswith(run, at)) and best_end(peq, len(run), text, max(0, at - b), min(len(text), at + len(run) + b))[0] > b:
+                return False
+        return True
+
     def find(self, raw: str | None) -> dict[int, tuple[int, int, int]]:
         """{item_id: (distance, end, windows that match)}, the best window of each item."""
         text, starts = normal(raw), defaultdict(set)
         if not text or not self.items:
             return {}
+        seen = set()
         for end, places in self.automaton.iter(text):
-            for k, offset in places:
-                starts[k].add(end + 1 - offset)
+            for k, j, offset in places:
+                start = end + 1 - offset
+                if start not in starts[k] and (k, j, start) not in seen:
+                    seen.add((k, j, start))
+                    if self._holds(text, k, j, start):
+                        starts[k].add(start)
         out: dict[int, tuple[int, int, int]] = {}
         for k, found in starts.items():
             item_id, item = self.items[k]
@@ -108,10 +149,12 @@ class Matcher:
                     windows += [(lo, hi)] if lo is not None else []
                     lo = s
                 hi = s
-            windows.append((lo, hi))
+            windows += [(lo, hi)] if lo is not None else []
             for lo, hi in windows:
                 if text.startswith(item, lo) if lo >= 0 else False:
                     d, end = 0, lo + m
+                    if not b and any(0 <= x < len(text) and text[x].isalnum() and item[y].isalnum() for x, y in ((lo - 1, 0), (end, -1))):
+                        continue  # a short item stands there as words, not inside one
                 else:
                     d, end = best_end(self.masks[k], m, text, max(0, lo - b), min(len(text), hi + m + b))
                 if d <= b:
@@ -120,36 +163,52 @@ class Matcher:
         return out
 
 
+def _blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str) -> list:
+    """Broadcasts of (id, text) lists, each of about BLOCK_CHARS characters or less; items of one id are in one list."""
+    items = benchmark.where(F.length(F.trim(item_text)) > 0).select(F.col(item_col).alias("i"), F.col(item_text).alias("t"))
+    chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
+    blocks = 1 if chars <= BLOCK_CHARS else -(-2 * chars // BLOCK_CHARS)
+    parts = (items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k) for k in range(blocks))
+    return [docs.sparkSession.sparkContext.broadcast([(r["i"], r["t"]) for r in p.toLocalIterator()]) for p in parts]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id_col, item_col, distance, end, windows): each pair of a text and an item found in it within its budget.
 
     Null and blank texts and items match nothing; repeated rows give repeated results; items that share an id count as
-    one. The benchmark is cut into blocks of at most BLOCK_CHARS characters by a hash; each goes to all tasks as the
-    only broadcast data, and texts are scanned once per block. Texts never move.
+    one. Items under ten characters have no budget and must not begin or end inside a word. The benchmark is cut into
+    blocks by a hash of the id; each goes to all tasks as the only broadcast data, and texts are scanned once per
+    block. Texts never move. Other columns, whatever they are called, are left alone.
     """
-    items = benchmark.where(F.length(F.trim(item_text)) > 0).select(F.col(item_col).alias("i"), F.col(item_text).alias("t"))
-    chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = 1 if chars <= BLOCK_CHARS else -(-2 * chars // BLOCK_CHARS)
     schema = docs.select(id_col).schema.add(benchmark.select(item_col).schema[0]).add("distance", "integer").add("end", "integer").add("windows", "integer")
-    names, found = schema.names, None
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        sent = docs.sparkSession.sparkContext.broadcast([(r["i"], r["t"]) for r in part.toLocalIterator()])
+    item_type, found = to_arrow_type(benchmark.schema[item_col].dataType), None
+    for sent in _blocks(docs, benchmark, item_col, item_text):
 
-        def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(sent.value)
             for b in batches:
-                rows = [(i, item, *got) for i, t in zip(b[id_col], b[text_col]) for item, got in matcher.find(t).items()]
-                yield pd.DataFrame(rows, columns=names)
+                rows = [(n, item, *got) for n, t in enumerate(b.column(1).to_pylist()) for item, got in matcher.find(t).items()]
+                of, item, *rest = zip(*rows) if rows else ((),) * 5
+                arrays = [b.column(0).take(pa.array(of, pa.int64())), pa.array(item, item_type), *(pa.array(x, pa.int32()) for x in rest)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[id_col, item_col, "distance", "end", "windows"])
 
-        some = docs.select(id_col, text_col).mapInPandas(scan, schema)
+        some = docs.select(id_col, text_col).mapInArrow(scan, schema)
         found = some if found is None else found.unionByName(some)
     return found
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that hold a test item; rows without id stay."""
-    return docs.join(contaminated(docs, benchmark, id_col, text_col).select(id_col).distinct(), id_col, "left_anti").select(docs.columns)
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs without the rows that hold a test item, by the scan itself: no row moves, whatever its id or columns."""
+    at = docs.columns.index(text_col)
+    for sent in _blocks(docs, benchmark, item_col, item_text):
+
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(sent.value)
+            for b in batches:
+                yield b.filter(pa.array([not matcher.find(t) for t in b.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(scan, docs.schema)
+    return docs
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

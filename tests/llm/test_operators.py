@@ -209,7 +209,7 @@ def test_decontamination_against_brute_force(spark, odd):
     for n in range(40):
         i, t = items[n % 4]
         t = list(t)
-        for _ in range(r.randint(0, 14)):
+        for _ in range(r.randint(0, 17)):
             k = r.randrange(len(t))
             t[k : k + 1] = r.choice([[], ["z"], ["y", t[k]]])
         rows.append((n, "".join(r.choices("abcdefgh ", k=50)) + "".join(t) + "".join(r.choices("abcdefgh ", k=50))))
@@ -219,13 +219,33 @@ def test_decontamination_against_brute_force(spark, odd):
     for n, t in rows:
         for i, item in items:
             x = distance(decontaminate.normal(item), decontaminate.normal(t))
-            if x <= decontaminate.budget(len(decontaminate.normal(item))):
+            if x <= len(decontaminate.normal(item)) // 10:
                 want[n, i] = x
     assert got == want and len(want) > 10
     assert decontaminate.keep_clean(odd, b).count() == len(ODD)
     assert decontaminate.contaminated(odd, b.limit(0)).count() == 0
 
 
+def test_decontamination_blocks_short_items_and_repeats(spark):
+    import random
+
+    r = random.Random(9)
+    items = [(i, " ".join(r.choices(["ab", "cde", "fg", "hijk"], k=12))) for i in range(30)] + [(3, "an other text of item three"), (50, "yes"), (51, "c++"), (52, "ten chars!")]
+    rows = [(i, f"x {items[i % 34][1]} y {items[(i * 7) % 34][1]} and {items[i % 34][1]}") for i in range(80)] + [(90, "yesterday"), (91, "so yes."), (92, "c+++ c++"), (93, "ten shars!"), (93, "ten shars!"), (94, None)]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string").withColumn("distance", F.lit("x")), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, decontaminate.contaminated(d, b).collect()))
+    short = {(x[0], x[1]) for x in whole if x[0] >= 90}
+    assert short == {(91, 50), (92, 51), (93, 52)} and sum(x[0] == 93 for x in whole) == 2
+    decontaminate.BLOCK_CHARS, was = 200, decontaminate.BLOCK_CHARS
+    try:
+        assert sorted(map(tuple, decontaminate.contaminated(d, b).collect())) == whole
+        kept = decontaminate.keep_clean(d, b)
+        assert sorted(x.doc_id for x in kept.collect()) == [90, 94] and kept.columns == d.columns
+    finally:
+        decontaminate.BLOCK_CHARS = was
+    assert decontaminate.contaminated(d.limit(0), b).count() == decontaminate.keep_clean(d.limit(0), b).count() == 0
+
+
 def luhn(d):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
