@@ -39,7 +39,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, was = common.table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
         docs = common.cut(stage(spark, docs, sf_dir))
+        common.release(*was)
+        was = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
