@@ -20,6 +20,8 @@ The join is exact up to equal 64-bit shingle hashes:
 5. Verification puts the partners of one member into a prefix tree of their ordered sets. A walk shares the overlap
    counted so far among all sets below a node, and leaves a whole subtree once what remains of its longest set, or of
    the member, cannot reach the overlap that its shortest set needs.
+
+Every side of a join grows with the documents, so joins that move sets or texts ask for a merge join at any size.
 """
 
 from __future__ import annotations
@@ -160,7 +162,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     count = cut(pairs.groupBy("a").agg(F.count("*").alias("c")))
     dealt = pairs.join(count, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / TREE_ROWS)).cast("int").alias("salt"))
     own = count.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col("c") / TREE_ROWS) - 1).cast("int"))).alias("salt"))
-    rows = dealt.unionByName(own).join(sets.select(F.col("id").alias("b"), "shingles"), "b").select("a", "salt", F.col("b").alias("id"), "shingles")
+    rows = dealt.unionByName(own).hint("merge").join(sets.select(F.col("id").alias("b"), "shingles"), "b").select("a", "salt", F.col("b").alias("id"), "shingles")
     links = cut(rows.groupBy("a", "salt").applyInArrow(verify_groups(percent), "a long, b long"))
     release(count)
     return links
@@ -216,7 +218,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = _more(F.expr(f"({percent} * n + 99) div 100")) + 1  # of the smallest partner
     alive = cut(member.where("id = class").join(hits, "id").where(F.col("c") >= least).select("id", "h1"))
     release(narrow, chosen, classes, common)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(alive.withColumnRenamed("h1", "own"), "id").distinct()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(alive.withColumnRenamed("h1", "own").hint("merge"), "id").distinct()
     sets = cut(whole_sets(texts, k))
 
     parts = F.posexplode(F.slice("shingles", 1, _prefix(F.col("n"), percent))).alias("i", "s")
@@ -224,14 +226,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     heavy = first.groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") > HEAVY).select("s")
 
     def whole(ids: DataFrame) -> DataFrame:
-        return sets.join(ids, "id", "left_semi").select("id", F.explode("shingles").alias("s"))
+        return sets.join(ids.hint("merge"), "id", "left_semi").select("id", F.explode("shingles").alias("s"))
 
     # a shared passage has more shingles than the prefixes show: count those of the documents that have one in full
     seen = cut(first.join(heavy, "s", "left_semi").select("id").distinct())
     late = cut(whole(seen).groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") > HEAVY))
     reread = cut(first.join(late.select("s"), "s", "left_semi").select("id").distinct())
     moved = whole(reread).join(late, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "s")))["s"].alias("moved"))
-    again = sets.join(moved, "id").select("id", "n", F.concat(F.array_except("shingles", "moved"), "moved").alias("shingles")).select("id", "n", parts)
+    again = sets.join(moved.hint("merge"), "id").select("id", "n", F.concat(F.array_except("shingles", "moved"), "moved").alias("shingles")).select("id", "n", parts)
     rows = cut(first.join(reread, "id", "left_anti").unionByName(again))
     # a bucket of one class has nothing to compare
     shared = rows.groupBy("s").agg(F.min(F.struct("i", "id", "n")).alias("p"), F.min("id").alias("x"), F.max("id").alias("y"), F.count("*").alias("size")).where("x < y")
@@ -262,7 +264,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     """docs without those that belong to a smaller document's component; rows without id stay."""
     comp = jaccard_components(docs, id_col, text_col, k, percent)
     gone = comp.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    return docs.join(gone.hint("merge"), id_col, "left_anti")
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
