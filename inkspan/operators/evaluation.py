@@ -2,39 +2,97 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def normalized(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+from inkspan.functions.text import normalized, words
 
 
 def cer(ref: Column, hyp: Column) -> Column:
-    """Character error rate; an empty reference gives 0 against nothing, else 1."""
-    r, h = normalized(ref), normalized(hyp)
-    return F.when(r == "", F.when(h == "", 0.0).otherwise(1.0)).otherwise(F.levenshtein(r, h) / F.length(r))
+    """Character error rate of normalized texts; an empty reference gives 0 against nothing, else 1."""
+    return F.when(ref == "", F.when(hyp == "", 0.0).otherwise(1.0)).otherwise(F.levenshtein(ref, hyp) / F.length(ref))
 
 
 def ned(ref: Column, hyp: Column) -> Column:
-    r, h = normalized(ref), normalized(hyp)
-    return F.coalesce(F.try_divide(F.levenshtein(r, h), F.greatest(F.length(r), F.length(h))), F.lit(0.0))
+    return F.coalesce(F.try_divide(F.levenshtein(ref, hyp), F.greatest(F.length(ref), F.length(hyp))), F.lit(0.0))
+
+
+def wer(ref: Column, hyp: Column) -> Column:
+    """Word error rate of normalized texts. Each distinct word of the two becomes one character, so that the built-in
+    edit distance serves for words."""
+    def letters(w, all_words):
+        place = lambda x: F.lpad(F.hex(F.array_position(all_words, x) + 65535), 8, "0")
+        return F.array_join(F.transform(w, lambda x: F.decode(F.unhex(place(x)), "UTF-32")), "")
+
+    def distance(pair):
+        both = F.array_distinct(F.concat(pair["r"], pair["h"]))
+        return F.get(F.transform(F.array(both), lambda a: F.levenshtein(letters(pair["r"], a), letters(pair["h"], a)) / F.size(pair["r"])), F.lit(0))
+
+    pair = F.struct(words(ref).alias("r"), words(hyp).alias("h"))
+    return F.when(ref == "", F.when(hyp == "", 0.0).otherwise(1.0)).otherwise(F.get(F.transform(F.array(pair), distance), F.lit(0)))
+
 
+def score_texts(pairs: DataFrame, ref: str, hyp: str) -> DataFrame:
+    """pairs with cer, wer, ned, ref_chars and hyp_chars of the normalized texts in place of the texts."""
+    n = pairs.withColumns({"__r": normalized(F.col(ref)), "__h": normalized(F.col(hyp))})
+    r, h = F.col("__r"), F.col("__h")
+    return n.withColumns({"cer": cer(r, h), "wer": wer(r, h), "ned": ned(r, h), "ref_chars": F.length(r), "hyp_chars": F.length(h)}).drop("__r", "__h", ref, hyp)
 
-def multiset_prf(ref: DataFrame, hyp: DataFrame, key: str, item: str) -> DataFrame:
-    """tp, n_ref, n_hyp, precision, recall and f1 over multisets of items per key; shares of nothing are 0."""
-    a = ref.groupBy(key, item).agg(F.count("*").alias("a"))
-    b = hyp.groupBy(key, item).agg(F.count("*").alias("b"))
-    both = a.join(b, [key, item], "full").groupBy(key).agg(
+
+def score_models(gold: DataFrame, predictions: DataFrame, models: Sequence[str], keys: Sequence[str], tier: str = "tier") -> DataFrame:
+    """(model, tier, n_pages, n_missing, cer, wer, ned): macro averages per model and tier, and under `overall` for all.
+
+    gold has keys, tier and ref; predictions model, keys and hyp; models lists the models. n_missing, given for overall
+    only, counts gold pages without a prediction; a prediction without gold is left out. A model with no page has an
+    overall row of nulls.
+    """
+    wanted = gold.select("*", F.explode(F.array(*(F.lit(m) for m in models)))).withColumnRenamed("col", "model")
+    both = wanted.join(predictions.withColumn("__there", F.lit(True)), ["model", *keys], "left")
+    scored = score_texts(both, "ref", "hyp")
+    hit = F.col("__there").isNotNull()
+    rows = scored.select("model", F.explode(F.array(F.col(tier), F.lit("overall"))).alias(tier), hit.alias("hit"), "cer", "wer", "ned")
+    means = [F.avg(F.when(F.col("hit"), F.col(c))).alias(c) for c in ("cer", "wer", "ned")]
+    out = rows.groupBy("model", tier).agg(F.count_if("hit").alias("n_pages"), F.count_if(~F.col("hit")).alias("n_missing"), *means)
+    return out.where((F.col(tier) == "overall") | (F.col("n_pages") > 0)).withColumn("n_missing", F.when(F.col(tier) == "overall", F.col("n_missing")))
+
+
+def multiset_prf(ref: DataFrame, hyp: DataFrame, key: str, kind: str, item: str) -> DataFrame:
+    """tp, n_ref, n_hyp, precision, recall and f1 over multisets of (kind, normalized lower-case item) per key; shares of
+    nothing are 0."""
+    def counted(rows, name):
+        return rows.select(key, F.col(kind).alias("__kind"), normalized(F.col(item), True).alias("__item")).groupBy(key, "__kind", "__item").agg(F.count("*").alias(name))
+
+    both = counted(ref, "a").join(counted(hyp, "b"), [key, "__kind", "__item"], "full").groupBy(key).agg(
         F.sum(F.least(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0)))).alias("tp"), F.coalesce(F.sum("a"), F.lit(0)).alias("n_ref"), F.coalesce(F.sum("b"), F.lit(0)).alias("n_hyp"))
     p, r = F.coalesce(F.try_divide("tp", "n_hyp"), F.lit(0.0)), F.coalesce(F.try_divide("tp", "n_ref"), F.lit(0.0))
     return both.withColumns({"precision": p, "recall": r, "f1": F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))})
 
 
+def brier_score(rows: DataFrame, probabilities: str, gold: str) -> DataFrame:
+    """(n, brier): the mean over rows of the squared gaps between each option's probability (a map) and its truth."""
+    gaps = F.aggregate(F.transform(F.map_entries(probabilities), lambda e: F.pow(e["value"] - F.when(e["key"] == F.col(gold), 1.0).otherwise(0.0), 2)), F.lit(0.0), lambda x, y: x + y)
+    return rows.where(F.col(gold).isNotNull()).agg(F.count("*").alias("n"), F.avg(gaps).alias("brier"))
+
+
+def mcnemar_exact(rows: DataFrame, first: str, second: str) -> DataFrame:
+    """(b, c, p): pairs that only the first, or only the second, has right, and the two-sided exact probability."""
+    f, s = F.coalesce(first, F.lit(False)), F.coalesce(second, F.lit(False))
+    n = F.col("b") + F.col("c")
+    step = lambda acc, k: F.struct((acc["log"] + F.log((n - k + 1).cast("double") / k)).alias("log"), (acc["sum"] + F.exp(acc["log"] + F.log((n - k + 1).cast("double") / k))).alias("sum"))
+    zero = n.cast("double") * F.lit(math.log(0.5))
+    least = F.least("b", "c")
+    ks = F.when(least > 0, F.sequence(F.lit(1).cast("long"), least)).otherwise(F.array().cast("array<bigint>"))
+    tail = F.aggregate(ks, F.struct(zero.alias("log"), F.exp(zero).alias("sum")), step, lambda acc: acc["sum"])
+    return rows.agg(F.count_if(f & ~s).alias("b"), F.count_if(~f & s).alias("c")).withColumn("p", F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail)))
+
+
 def reliability_bins(rows: DataFrame, confidence: str, correct: str, bins: int = 10) -> DataFrame:
-    """(bin, n, hits, mean_confidence): equal-width bins of [0, 1], the last closed."""
-    b = F.least(F.floor(F.col(confidence) * bins), F.lit(bins - 1)).cast("int")
-    return rows.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.count_if(F.col(correct)).alias("hits"), F.avg(confidence).alias("mean_confidence"))
+    """(bin, n, hits, mean_confidence): equal-width bins (0, 1/bins], ..., of which the first takes 0 too."""
+    b = F.greatest(F.lit(0), F.least(F.ceil(F.col(confidence) * bins) - 1, F.lit(bins - 1))).cast("int")
+    return rows.where(F.col(confidence).isNotNull()).groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.count_if(F.coalesce(correct, F.lit(False))).alias("hits"), F.avg(confidence).alias("mean_confidence"))
 
 
 def expected_calibration_error(rows: DataFrame, confidence: str, correct: str, bins: int = 10) -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkspan.functions.lines import CATEGORIES, category, category_score
+from inkspan.functions.lines import CATEGORIES, JUDGED, category, category_score
+
+#: Groups that a tier is dealt to before its first rows are taken.
+SALT = 256
 
 
 def scored_lines(lines: DataFrame) -> DataFrame:
@@ -15,9 +18,33 @@ def scored_lines(lines: DataFrame) -> DataFrame:
 
 
 def line_summary(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """num_lines, a count per category and the mean score of non-empty lines (null if there are none), per key."""
+    """num_lines, a count per category and the mean score of Clear and Noisy lines (null if there are none), per key."""
     counts = [F.count_if(F.col("categ") == c).alias(c.lower().replace("-", "_")) for c in CATEGORIES]
-    return scored.groupBy(*keys).agg(F.count("*").alias("num_lines"), *counts, F.avg(F.when(F.col("categ") != "Empty", F.col("quality_score"))).alias("avg_quality_score"))
+    valid = F.col("categ").isin("Clear", "Noisy")
+    return scored.groupBy(*keys).agg(F.count("*").alias("num_lines"), *counts, F.avg(F.when(valid, F.col("quality_score"))).alias("avg_quality_score"))
+
+
+def quality_band(clear: Column, noisy: Column, trash: Column) -> Column:
+    """The most frequent of the judged categories, the better one among equals; null if none was judged."""
+    return F.when(clear + noisy + trash == 0, None).when((clear >= noisy) & (clear >= trash), "Clear").when(noisy >= trash, "Noisy").otherwise("Trash")
+
+
+def page_quality(scored: DataFrame, keys: Sequence[str], prose: Column, lang: str | None = None, digits: int = 4) -> DataFrame:
+    """(keys, score, band, lines_scored, trash, prose_scored, prose_trash, lang) of what a quality model judged.
+
+    score is the mean over Clear, Noisy and Trash lines, rounded; the prose counts take prose lines only; lang is
+    the most frequent language of judged lines but N/A (the first by name among equals). Pages without a line are absent.
+    """
+    judged, trash = F.col("categ").isin(*JUDGED), F.col("categ") == "Trash"
+    n = {c: F.count_if(F.col("categ") == c) for c in JUDGED}
+    out = scored.groupBy(*keys).agg(
+        F.round(F.avg(F.when(judged, F.col("quality_score"))), digits).alias("score"), quality_band(*n.values()).alias("band"), F.count_if(judged).alias("lines_scored"),
+        F.count_if(trash).alias("trash"), F.count_if(judged & prose).alias("prose_scored"), F.count_if(trash & prose).alias("prose_trash"))
+    if lang is None:
+        return out
+    votes = scored.where(judged & F.col(lang).isNotNull() & (F.col(lang) != "N/A")).groupBy(*keys, lang).agg(F.count("*").alias("votes"))
+    best = votes.groupBy(*keys).agg(F.min(F.struct((-F.col("votes")).alias("v"), F.col(lang).alias("lang")))["lang"].alias("lang"))
+    return out.join(best, list(keys), "left")
 
 
 def tier(clean_min: float = 0.85, degraded_min: float = 0.6, valid_ratio_min: float = 0.5) -> Column:
@@ -28,25 +55,19 @@ def tier(clean_min: float = 0.85, degraded_min: float = 0.6, valid_ratio_min: fl
 
 
 def equal_tier_sample(tiered: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """About n rows with the same number per tier that occurs, in the order of a seeded hash; a small tier gives all it has."""
-    from pyspark.sql import Window
+    """About n rows with the same number per tier that occurs, in the order of a seeded hash; a small tier gives all it has.
 
+    A tier is ranked in SALT groups first; what each keeps holds the first of the whole, which are then ranked again.
+    """
     tiers = tiered.agg(F.count_distinct("tier").alias("k")).scalar()
-    per = tiered.withColumn("k", tiers).withColumn("per", F.greatest(F.lit(1), F.floor(F.lit(n) / F.greatest("k", F.lit(1)))))
-    rank = F.row_number().over(Window.partitionBy("tier").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key))
-    return per.withColumn("pick", rank).where("pick <= per").drop("k", "per")
+    order = [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)]
+    per = tiered.withColumn("k", tiers).withColumn("per", F.greatest(F.lit(1), F.floor(F.lit(n) / F.greatest("k", F.lit(1))))).withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALT)))
+    first = per.withColumn("pick", F.row_number().over(Window.partitionBy("tier", "salt").orderBy(*order))).where("pick <= per")
+    return first.withColumn("pick", F.row_number().over(Window.partitionBy("tier").orderBy(*order))).where("pick <= per").drop("k", "per", "salt")
 
 
-def splits(sampled: DataFrame, train: float = 0.7, dev: float = 0.15) -> DataFrame:
+def splits(sampled: DataFrame, train: float = 0.8, dev: float = 0.1) -> DataFrame:
     """split of each sampled row: by its place in its tier, so that every tier is in every split it is large enough for."""
-    from pyspark.sql import Window
-
     n = F.count("*").over(Window.partitionBy("tier"))
     a, b = F.rint(n * train), F.rint(n * dev)
     return sampled.withColumn("split", F.when(F.col("pick") <= a, "train").when(F.col("pick") <= a + b, "dev").otherwise("test"))
-
-
-def furniture(lines: DataFrame, keys: Sequence[str], least_docs: int = 3) -> DataFrame:
-    """Line texts, digits made equal, that occur in several documents of a group: (keys, norm, docs)."""
-    norm = F.trim(F.regexp_replace("text", "[0-9]+", "#"))
-    return lines.select(*keys, "doc_id", norm.alias("norm")).where("norm <> ''").groupBy(*keys, "norm").agg(F.count_distinct("doc_id").alias("docs")).where(F.col("docs") >= least_docs)

@@ -1,6 +1,9 @@
 from pyspark.sql import functions as F
 
-from inkspan.operators import evaluation, quality, records
+from inkspan.functions import decode, lines
+from inkspan.functions.text import natural_key
+from inkspan.operators import evaluation, layout, quality, records, routing
+from inkspan.sources import text as sources
 from inkspan.sources.text import text_lines
 
 
@@ -8,6 +11,8 @@ def test_lines_pages_and_nulls(spark):
     d = spark.createDataFrame([(1, "a\nb\fc\n"), (2, ""), (3, None)], "doc_id long, text string")
     got = sorted(map(tuple, text_lines(d).collect()))
     assert got == [(1, 1, 1, "a"), (1, 1, 2, "b"), (1, 2, 1, "c"), (2, 1, 1, "")]
+    d = spark.createDataFrame([(1, "a\r\nb\rc\u2028d\x0be\x85f\f \n\f")], "doc_id long, text string")
+    assert [tuple(r)[2:] for r in text_lines(d).orderBy("line").collect()] == [(1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, "e"), (6, "f")]
 
 
 def test_tiers(spark):
@@ -19,8 +24,11 @@ def test_tiers(spark):
 
 def test_error_rates(spark):
     d = spark.createDataFrame([("abcd", "abxd"), ("", ""), ("", "x"), (None, None), ("kitten", "sitting")], "r string, h string")
-    got = [tuple(r) for r in d.select(evaluation.cer(F.col("r"), F.col("h")), evaluation.ned(F.col("r"), F.col("h"))).collect()]
+    got = [tuple(r) for r in evaluation.score_texts(d, "r", "h").select("cer", "ned").collect()]
     assert got == [(0.25, 0.25), (0.0, 0.0), (1.0, 1.0), (0.0, 0.0), (0.5, 3 / 7)]
+    d = spark.createDataFrame([("cafe\u0301\u00a0 au  lait", "caf\u00e9 au lait"), ("a b c d", "a x c"), ("", "x y"), ("a a b", "a b a")], "r string, h string")
+    got = [tuple(r) for r in evaluation.score_texts(d, "r", "h").select("cer", "wer").collect()]
+    assert got[0] == (0.0, 0.0) and got[1][1] == 0.5 and got[2] == (1.0, 1.0) and got[3][1] == 2 / 3
 
 
 def test_error_rates_of_the_whole_benchmark(spark, tmp_path):
@@ -45,18 +53,95 @@ def test_error_rates_of_the_whole_benchmark(spark, tmp_path):
 
 
 def test_multiset_prf(spark):
-    ref = spark.createDataFrame([(1, "jan"), (1, "praha")], "k int, w string")
-    hyp = spark.createDataFrame([(1, "jan"), (1, "brno")], "k int, w string")
-    r = evaluation.multiset_prf(ref, hyp, "k", "w").first()
-    assert (r["precision"], r["recall"], r["f1"]) == (0.5, 0.5, 0.5)
+    ref = spark.createDataFrame([(1, "PER", "Jan  Hus"), (1, "GEO", "Praha"), (1, "PER", "Jan Hus")], "k int, t string, w string")
+    hyp = spark.createDataFrame([(1, "PER", "jan hus"), (1, "GEO", "Brno"), (1, "PER", "praha")], "k int, t string, w string")
+    r = evaluation.multiset_prf(ref, hyp, "k", "t", "w").first()
+    assert (r["tp"], r["precision"], r["recall"]) == (1, 1 / 3, 1 / 3)
+
+
+def test_summary_takes_valid_lines_only(spark):
+    rows = [("a", "Clear", 0.9), ("a", "Noisy", 0.6), ("a", "Trash", 0.1), ("a", "Empty", 0.0), ("b", "Trash", 0.2), ("b", "Non-text", 0.0)]
+    d = spark.createDataFrame(rows, "doc_id string, categ string, quality_score double").withColumn("text", F.lit("x"))
+    got = {r["doc_id"]: (r["avg_quality_score"], r["num_lines"]) for r in quality.line_summary(d, ["doc_id"]).collect()}
+    assert abs(got["a"][0] - 0.75) < 1e-12 and got["b"] == (None, 2)
+    judged = {r["doc_id"]: (r["score"], r["band"], r["lines_scored"], r["prose_scored"]) for r in quality.page_quality(d, ["doc_id"], F.col("categ") == "Trash").collect()}
+    assert judged == {"a": (0.5333, "Clear", 3, 1), "b": (0.2, "Trash", 1, 1)}
 
 
 def test_ranges_and_upsert(spark):
     d = spark.createDataFrame([(1,), (2,), (2,), (5,)], "v long")
     assert sorted(map(tuple, records.consecutive_ranges(d, "v").collect())) == [(1, 2, 2), (5, 5, 1)]
+    d = spark.range(3, 10000).withColumnRenamed("id", "v").where("v <> 4096 and v <> 9000")
+    assert sorted(map(tuple, records.consecutive_ranges(d, "v").collect())) == [(3, 4095, 4093), (4097, 8999, 4903), (9001, 9999, 999)]
     a = spark.createDataFrame([(1, "x", 1), (2, "y", 2)], "k int, n string, v int")
-    b = spark.createDataFrame([(2, "z", None), (3, "w", 9)], "k int, n string, v int")
-    assert sorted(map(tuple, records.keyed_upsert(a, b, "k", ["v"]).collect())) == [(1, "x", 1), (2, "y", 2), (3, "w", 9)]
+    b = spark.createDataFrame([(2, "z", 7, 1), (2, "z", None, 2), (3, "w", 9, 1)], "k int, n string, v int, seq int")
+    got = sorted(map(tuple, records.keyed_upsert(a, b, "k", ["v"], "seq").collect()))
+    assert got == [(1, "x", 1), (2, "y", None), (3, None, 9)]
+
+
+def test_fold_and_diff(spark):
+    p = spark.createDataFrame([(1, 1, None, "a"), (1, 2, "x", "b"), (1, 3, "x", None)], "k int, o int, f string, g string")
+    assert tuple(records.fold_records(p, "k", "o", ["f", "g"]).first()) == (1, "x", "a", "g")
+    o, n = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "k int, f string"), spark.createDataFrame([(2, "z"), (3, None), (4, "w")], "k int, f string")
+    assert sorted(map(tuple, records.record_diff(o, n, "k", ["f"]).collect())) == [(1, "removed", ""), (2, "changed", "f"), (4, "added", "")]
+
+
+def test_decode_checks(spark):
+    rows = [(1, 1, "sondì èíslo"), (1, 2, "dobrý dìn"), (1, 3, "čistý text"), (2, 1, "crème brûlée è è"), (3, 1, "\ufffd\ufffd ab"), (4, 1, ""), (4, 2, "plain")]
+    d = spark.createDataFrame(rows, "doc_id int, line int, text string")
+    got = {(r["doc_id"], r["line"]): r["decode"] for r in routing.decoded_lines(d, ["doc_id"]).collect()}
+    assert got == {(1, 1): "garbled", (1, 2): "garbled", (1, 3): None, (2, 1): None, (3, 1): "garbled", (4, 1): None, (4, 2): None}
+    assert d.where("doc_id = 1 and line = 1").select(decode.recovered(F.col("text"))).first()[0] == "sondě číslo"
+
+
+def test_line_kinds_and_routes(spark):
+    rows = ["short", "1234 5678 9012 3456 7890 ab", "Contents of the book ........ 12", "This is a long line of ordinary prose.", "  " + "x" * 19 + "  "]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "text string").select(lines.line_kind(F.col("text"))).collect()]
+    assert got == ["short", "few letters", "dot leaders", "prose", "short"]
+    cols = "text_layer string, category string, lines_scored int, trash int, prose_scored int, prose_trash int, drew boolean, furniture_only boolean"
+    rows = [("blank", None, None, None, None, None, False, False), ("digital", "TEXT", 10, 9, 4, 4, True, False), ("digital", "TEXT", 10, 6, None, None, True, False), ("digital", None, 10, 9, 6, 4, True, False), ("digital", "TEXT_HW", None, None, None, None, True, True),
+            ("none", None, None, None, None, None, False, False), ("none", "PHOTO", None, None, None, None, True, False), ("garbled", "LINE_HW", None, None, None, None, True, False), ("ocr", "UNKNOWN", None, None, None, None, True, False), ("none", "DRAW_L", None, None, None, None, True, False)]
+    got = [r[0] for r in spark.createDataFrame(rows, cols).select(routing.page_route()).collect()]
+    assert got == ["none", "nlp", "ocr", "ocr", "htr", "none", "none", "htr", "ocr", "ocr"]
+    pages = spark.createDataFrame([("a", 1, "nlp", False), ("a", 2, "ocr", True), ("b", 1, "none", True), ("b", 2, "htr", False)], "d string, p int, route string, needs_atr boolean")
+    got = {r["d"]: (r["pages"], r["ocr"], r["needs_atr_pages"], r["reacquire_pages"], r["document_route"]) for r in routing.document_summary(pages, ["d"], "p").collect()}
+    assert got == {"a": (2, 1, [2], [2], "mixed"), "b": (2, 0, [1], [2], "htr")}
+
+
+def test_furniture_and_paragraphs(spark):
+    rows = [("d", p, 0.0, 5.0, 100.0, f"Report  page {p}", False) for p in range(1, 5)] + [("d", 1, 50.0, 55.0, 100.0, "Report page 1", False), ("d", 2, 95.0, 99.0, 100.0, "- 12 / 30 -", False), ("d", 3, 95.0, 99.0, 100.0, "Only here", False), ("d", 4, 0.0, 5.0, 100.0, "cell", True)]
+    d = spark.createDataFrame(rows, "doc string, page int, top double, bottom double, height double, text string, in_table boolean")
+    got = {(r["page"], r["text"]): r["region"] for r in layout.furniture(d, ["doc"], "page").where("region is not null").collect()}
+    assert got == {(p, f"Report  page {p}"): "header" for p in range(1, 5)} | {(2, "- 12 / 30 -"): "footer"}
+    rows = [(1, 1, 0.0, 10.0), (1, 2, 12.0, 22.0), (1, 3, 56.0, 66.0), (1, 4, 68.0, 78.0), (1, 5, 80.0, 90.0), (1, 6, 5.0, 15.0), (2, 1, 0.0, 10.0)]
+    d = spark.createDataFrame(rows, "page int, n int, top double, bottom double").withColumns({"col": F.lit(0), "region": F.lit(None).cast("string"), "heading": F.lit(None).cast("int")})
+    assert [r["paragraph"] for r in layout.paragraphs(d, ["page"], "n").orderBy("page", "n").collect()] == [0, 0, 1, 1, 1, 2, 0]
+
+
+def test_calibration_bins_brier_and_mcnemar(spark):
+    d = spark.createDataFrame([(0.0, True), (0.1, True), (0.11, False), (1.0, True), (None, True)], "c double, ok boolean")
+    assert {r["bin"]: r["n"] for r in evaluation.reliability_bins(d, "c", "ok").collect()} == {0: 2, 1: 1, 9: 1}
+    d = spark.createDataFrame([({"a": 0.7, "b": 0.3}, "a"), ({"a": 0.5, "b": 0.5}, "b"), ({"a": 1.0}, None)], "p map<string,double>, g string")
+    r = evaluation.brier_score(d, "p", "g").first()
+    assert r["n"] == 2 and abs(r["brier"] - (0.18 + 0.5) / 2) < 1e-12
+    d = spark.createDataFrame([(True, False)] * 6 + [(False, True)] + [(True, True)] * 9, "a boolean, b boolean")
+    r = evaluation.mcnemar_exact(d, "a", "b").first()
+    assert (r["b"], r["c"]) == (6, 1) and abs(r["p"] - 2 * (1 + 7) / 128) < 1e-12
+    assert evaluation.mcnemar_exact(d.limit(0), "a", "b").first()["p"] == 1.0
+
+
+def test_csv_and_json_contents(spark):
+    d = spark.createDataFrame([("a", 'x,"y\nz",\n,,\n1,2,3\n'), ("b", 'k;v\n1;"open'), ("c", None), ("d", "")], "path string, content string")
+    assert sorted(map(tuple, sources.csv_lines(d).collect())) == [("a", 1, "x\ty z"), ("a", 2, "1\t2\t3"), ("b", 1, "k\tv")]
+    d = spark.createDataFrame([("a", '{"k": ["x", {"q": "y"}, 1], "z": "w"}'), ("b", "{bad"), ("c", None)], "path string, content string")
+    assert sorted(map(tuple, sources.json_lines(d).collect())) == [("a", 1, "x"), ("a", 2, "y"), ("a", 3, "w")]
+    d = spark.createDataFrame([("a", '"one"\n\n{bad\r\n["two", "three"]\n5')], "path string, content string")
+    assert sorted(map(tuple, sources.jsonl_pages(d).collect())) == [("a", 1, 1, "one"), ("a", 4, 1, "two"), ("a", 4, 2, "three")]
+
+
+def test_natural_order(spark):
+    d = spark.createDataFrame([(x,) for x in ("p10", "p2", "P1", "p2b", "p02", "q")], "t string")
+    assert [r[0] for r in d.orderBy(natural_key(F.col("t"))).collect()] == ["P1", "p02", "p2", "p2b", "p10", "q"]
 
 
 def test_queries_match_sql(spark):
@@ -65,7 +150,7 @@ def test_queries_match_sql(spark):
     from inkspan.plans import registry
 
     sf, db = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "labels", "benchmark", "customer", "events", "lineitem"):
+    for t in ("documents", "labels", "benchmark", "customer", "events", "lineitem", "orders"):
         db.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     for name, f in registry.QUERIES.items():
         got, want = f(spark, sf), db.sql(registry.ORACLES[name])
