@@ -235,20 +235,25 @@ def of_cell(trees, cell: int) -> float:
 
 
 def lower_bound(right: int, n: int, delta: float) -> float:
-    """Exact (Clopper-Pearson) lower bound of a share, by bisection on the binomial tail."""
+    """Exact (Clopper-Pearson) lower bound of a share, by bisection on the binomial tail of `right` or more of n.
+
+    The tail has n - right + 1 terms, each from the one before, so it stays exact and cheap however large n is.
+    """
     if not right:
         return 0.0
-    logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) for k in range(max(0, right - 1) + 1)] if n < 5000 else None
-    if logs is None:  # the normal bound is on the safe side of rounding here
-        p = right / n
-        return max(0.0, p - 3.5 * math.sqrt(p * (1 - p) / n + 1 / n / n))
+    first = math.lgamma(n + 1) - math.lgamma(right + 1) - math.lgamma(n - right + 1)
     lo, hi = 0.0, right / n
-    for _ in range(40):
+    for _ in range(60):
         p = (lo + hi) / 2
         if p in (0.0, 1.0):
             break
-        below = sum(math.exp(c + k * math.log(p) + (n - k) * math.log1p(-p)) for k, c in enumerate(logs))
-        lo, hi = (p, hi) if 1 - below <= delta else (lo, p)
+        term, tail = first + right * math.log(p) + (n - right) * math.log1p(-p), 0.0
+        for k in range(right, n + 1):
+            tail += math.exp(term)
+            if tail > delta:
+                break
+            term += math.log((n - k) / (k + 1) * p / (1 - p)) if k < n else 0.0
+        lo, hi = (p, hi) if tail <= delta else (lo, p)
     return lo
 
 
@@ -277,7 +282,7 @@ def certified(trained: list[tuple[float, int, int]], held: list[tuple[float, int
         if next(at(trained, cutoff)) < enough:
             continue
         n, p = at(held, cutoff)
-        if lower_bound(p, n, delta) < precision:
+        if p < precision * n or lower_bound(p, n, delta) < precision:
             break
         best = cutoff
     return best

@@ -3,8 +3,10 @@
 A rule rejects texts whose measure exceeds its cutoff. Labelled documents, whose good ones must not be rejected, fix the
 cutoffs: within a stratum (lang) and a rule, cutoffs are tried from the laxest down. Each test asks by the exact
 binomial tail whether the share of good documents rejected is below `risk`; the first that can't show it ends the
-sequence, so a sequence needs no correction, and the levels of all sequences together are corrected by Bonferroni. A
-stratum with too few good labels for any certified cutoff rejects nothing by that rule.
+sequence, so a sequence needs no correction, and the levels of all sequences together are corrected by Bonferroni. As a
+document is rejected if any rule rejects it, each rule gets an equal part of the stratum's risk, so that all rules of a
+stratum together reject less than `risk` of its good documents. A stratum with too few good labels for any certified
+cutoff rejects nothing by that rule.
 """
 
 from __future__ import annotations
@@ -70,7 +72,9 @@ def binomial_tail(x: Column, n: Column, p: float) -> Column:
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, cutoff) of the certified cutoffs. measured has id, stratum and the base counts; labels id and good."""
+    """(stratum, rule, cutoff) of the certified cutoffs. measured has id, stratum and the base counts; labels id and good.
+    risk is that of a stratum, shared by its rules; delta is the chance that any certificate of any stratum is wrong."""
+    risk = risk / len(RULES)
     good = measured.join(labels.where("good").select("id").distinct(), "id")
     m = rule_measures()
     long = good.select("stratum", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), m[r].alias("x")) for r in RULES))).alias("e")).select("stratum", "e.*")
@@ -94,7 +98,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     rejected_by names the rules above their cutoffs. Null texts count as empty and fail the base; null strata form one
     of their own; without labels, or with null ids in them, nothing beyond the base is rejected. Repeated rows are
-    judged alike; no row is dropped. The cutoffs are at most strata x rules rows and reach the rows as one broadcast map.
+    judged alike; no row is dropped; columns other than the four named are left alone, whatever they are called. The cutoffs are at most strata x rules rows and reach the rows as one broadcast map.
     """
     measured = cut(measures(docs, id_col, text_col, stratum_col))
     found = cutoffs(measured, labels.select(F.col(id_col).alias("id"), (F.col(label_col) == 1).alias("good")), risk, delta)

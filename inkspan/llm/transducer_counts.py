@@ -7,8 +7,11 @@ pre-token whose following bytes still begin some token, that beginning, the toke
 These facts are the transducer's states (shared by all contexts that agree on them, so there are finitely many); each
 transition carries the number of tokens it adds. States are built when first met.
 
-Long texts are cut where a space follows a non-space. There the state before does not matter: a chunk's map is the
-same from every state, and the prefix composition of the chunks' maps is a running sum.
+Long texts are cut into chunks anywhere. Where a space follows a non-space the state before does not matter, so what a
+chunk does to any state is a map of three parts: the text up to its first such place, which is still to be joined to
+what the state holds back; the tokens between its first and last such places; and the text it holds back in turn. Maps
+compose (what one holds back and the other begins with are counted together), composing is associative, and a parallel
+prefix scan over a text's chunks gives the state and count after each; the last is the text's.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from .common import table
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CHUNK = 1 << 16
-#: Pre-tokens and states that a worker remembers before it forgets them all; bounds memory, changes no result.
-KNOWN, STATES = 500_000, 200_000
+#: Pre-tokens, states and pairs of tokens that a worker remembers before it forgets them all; bounds memory, changes no result.
+KNOWN, STATES, PAIRS = 500_000, 200_000, 1_000_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -54,6 +57,7 @@ class Transducer:
         self.starts = {s[:k] for s in self.id for k in range(1, len(s) + 1)}
         self.more = {s[:k] for s in self.id for k in range(1, len(s))}  # beginnings that some token goes on from
         self.pattern = regex.compile(PATTERN)
+        self.safe = regex.compile(r"(?<=\S) ")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pairs: dict[tuple[int, int], bool] = {}
         self.known: dict[str, int] = {}
@@ -114,29 +118,64 @@ class Transducer:
             total += added
         return total
 
-    def chunk(self, text: str) -> int:
+    def tokens(self, text: str) -> int:
+        """Tokens of a text read from the first state to the end."""
         if len(self.known) > KNOWN:
             self.known.clear()
         if len(self.facts) > STATES:
             self.reset()
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
         words, known = self.pattern.findall(text), self.known
         for w in set(words).difference(known):
             known[w] = self.word(w)
         return sum(map(known.__getitem__, words))
 
-    def chunks(self, text: str) -> list[str]:
-        out, at = [], 0
-        while len(text) - at > CHUNK:
-            k = at + CHUNK
-            while k < len(text) and not (text[k] == " " and not text[k - 1].isspace()):
-                k += 1
-            out.append(text[at:k])
-            at = k
-        return [*out, text[at:]]
+    def chunk_map(self, text: str) -> tuple[str, int, str | None]:
+        """(head, count, held back) of a chunk; held back is null if no place in it forgets the state."""
+        first, last = self.safe.search(text), None
+        for last in self.safe.finditer(text, max(0, len(text) - 4096)):
+            pass
+        if first is None:
+            return text, 0, None
+        a, b = first.start(), (last or first).start()
+        if last is None:  # none near the end: look at all
+            for last in self.safe.finditer(text):
+                b = last.start()
+        return text[:a], self.tokens(text[a:b]), text[b:]
+
+    def compose(self, x: tuple, y: tuple) -> tuple:
+        """The map of chunk y after that of chunk x. Their border may itself be a place that forgets the state."""
+        (head, n, back), (head2, m, back2) = x, y
+        left = head if back is None else back
+        if head2[:1] == " " and left and not left[-1].isspace():
+            if back is None:
+                return (head, 0, head2) if back2 is None else (head, self.tokens(head2) + m, back2)
+            done = n + self.tokens(back)
+            return (head, done, head2) if back2 is None else (head, done + self.tokens(head2) + m, back2)
+        if not head2 and back2 is not None and back2[:1] == " " and left and not left[-1].isspace():
+            return (head, m, back2) if back is None else (head, n + self.tokens(back) + m, back2)
+        if back is None:
+            return head + head2, m, back2
+        return (head, n, back + head2) if back2 is None else (head, n + self.tokens(back + head2) + m, back2)
+
+    def scan(self, maps: list[tuple]) -> list[tuple]:
+        """All prefix compositions, by combining at doubling distances: each round could run in parallel."""
+        step, maps = 1, list(maps)
+        while step < len(maps):
+            maps = [self.compose(maps[i - step], m) if i >= step else m for i, m in enumerate(maps)]
+            step *= 2
+        return maps
+
+    def stretch(self, text: str) -> int:
+        if len(text) <= CHUNK:
+            return self.tokens(text)
+        head, n, back = self.scan([self.chunk_map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)])[-1]
+        return self.tokens(head) + n + self.tokens(back or "")
 
     def count(self, text: str) -> int:
         parts = self.cut.split(text) if self.cut else [text]
-        return sum(1 if i % 2 else sum(map(self.chunk, self.chunks(p))) for i, p in enumerate(parts))
+        return sum(1 if i % 2 else self.stretch(p) for i, p in enumerate(parts))
 
 
 @lru_cache(maxsize=2)
@@ -162,7 +201,8 @@ def token_count(text: Column, path: str) -> Column:
 
 
 def count_documents(docs: DataFrame, text_col: str = "text", path: str | None = None, limit: int = 512) -> DataFrame:
-    """docs with n_bytes, n_tokens and over_limit; columns of those names are replaced. Null texts count as empty."""
+    """docs with n_bytes, n_tokens and over_limit; columns of those names are replaced. Null texts count as empty; repeated rows are
+    counted alike, an empty table gives an empty result, and no row is dropped."""
     out = docs.withColumns({"n_bytes": F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long"), "n_tokens": token_count(F.col(text_col), path or tokenizer_path())})
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 

@@ -182,6 +182,53 @@ def test_token_counts_are_the_library(docs, odd):
     assert out[1] == out[2] == (0, 0, False) and out[10][2]
 
 
+def test_chunk_maps_compose_from_every_state():
+    import random
+
+    r = random.Random(11)
+    tr = transducer_counts.transducer(transducer_counts.tokenizer_path())
+    texts = ["".join(r.choices(["ab", " ", "  ", "\n", "x's", "12", "é", "!", " the"], k=r.randint(1, 40))) for _ in range(150)] + ["a" * 50, " " * 30, " a b c"]
+    for t in texts:
+        want = tr.tokens(t)
+        for _ in range(4):
+            cuts = sorted({0, len(t), *(r.randrange(len(t) + 1) for _ in range(5))})
+            maps = [tr.chunk_map(t[a:b]) for a, b in zip(cuts, cuts[1:])]
+            for k, (head, n, back) in enumerate(tr.scan(maps), 1):  # the state after each chunk: what it holds back
+                assert tr.tokens(head) + n + tr.tokens(back or "") == tr.tokens(t[: cuts[k]])
+            # associative, and right after any chunk before it: started from any state
+            left, right = tr.compose(maps[0], maps[0]), tr.compose(maps[0], maps[-1])
+            assert tr.compose(left, maps[-1]) == tr.compose(maps[0], right)
+        assert tr.stretch(t) == want
+
+
+def test_language_id_against_brute_force(spark):
+    import random
+
+    import numpy as np
+
+    r = random.Random(12)
+    rows = [(i, " ".join("".join(r.choices("abcdeéß" if i % 2 else "xyzčě12", k=5)) for _ in range(12)), "p" if i % 2 else "q") for i in range(80)] + [(90, "abc", "zz"), (91, "abc", "aa"), (91, "abc", "aa"), (92, "--", "p"), (None, "abc", "p")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("x"))
+    vectors = language_id.letter_vectors()
+
+    def profile(text):
+        codes = [0 if c == " " else ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % (language_id.CLASSES - 27) for c in " " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " "]
+        return sum(np.roll(vectors[a].astype(int), 2) * np.roll(vectors[b].astype(int), 1) * vectors[c] for a, b, c in zip(codes, codes[1:], codes[2:]))
+
+    sums = {}
+    for i, t, lang in rows:
+        if i is not None and not language_id.is_held_out(i) and re.search(r"[^\W\d_]", t):
+            v = profile(t)
+            sums[lang] = sums.get(lang, 0) + v / np.linalg.norm(v)
+    for x in language_id.predict_languages(d).collect():
+        if x.doc_id == 92:
+            assert x.lang_pred == "und" and x.score == 0
+            continue
+        v = profile(x.text)
+        cos = {k: float(v @ s / np.linalg.norm(v) / np.linalg.norm(s)) for k, s in sums.items()}
+        assert abs(cos[x.lang_pred] - max(cos.values())) < 1e-4 and abs(x.score - max(0, min(1, cos[x.lang_pred]))) < 1e-3
+
+
 def test_language_id(docs, odd, empty):
     rows = language_id.predict_languages(docs).where("held_out").select("lang", "lang_pred").collect()
     assert sum(a == b for a, b in rows) >= 0.97 * len(rows)
@@ -283,6 +330,17 @@ def test_pii_side_by_side(spark):
     assert set(got[1002]) >= {"phone:4:21", "phone:22:39", "card:40:56"}
 
 
+def test_exact_lower_bound_at_any_size():
+    from math import comb
+
+    for right, n in ((3, 5), (149, 149), (256, 260), (4990, 5000), (9850, 10000), (19990, 20000)):
+        p = pii.lower_bound(right, n, 0.05)
+        tail = sum(comb(n, k) * pow(p, k) * pow(1 - p, n - k) for k in range(right, n + 1)) if n < 300 else None
+        assert tail is None or abs(tail - 0.05) < 1e-6
+        assert p < right / n and (n < 5000 or right / n - p < 4 * (0.02 * 1.1 / n) ** 0.5)
+    assert abs(pii.lower_bound(149, 149, 0.05) - 0.05 ** (1 / 149)) < 1e-9
+
+
 def test_pii_threshold_passes_rare_cells():
     cells = [(3.5, 1, 1), (2.5, 2, 2), (1.5, 600, 600), (0.1, 500, 300), (-2.0, 900, 0)]
     assert 0.1 < pii.certified(cells, cells, 0.98, 0.05) <= 1.5
@@ -304,6 +362,40 @@ def test_quality_counts_and_verdicts(spark, docs, odd, empty):
     assert quality_rules.judge(odd, labels.limit(0)).count() == len(ODD) and quality_rules.judge(empty, labels).count() == 0
 
 
+def test_quality_cutoffs_against_brute_force(spark):
+    import random
+    from math import comb
+
+    r = random.Random(13)
+    rows, labels = [], []
+    for i in range(3000):
+        good = i % 10 != 0
+        w = [f"w{r.randrange(10**6)}" for _ in range(60)]
+        symbols = r.choice([0, 0, 1]) if good else r.randint(5, 50)
+        lines = " ".join(w[:30] + ["#"] * symbols + w[30:]) + "\nsame line" * (1 if good else r.randint(1, 12))
+        rows.append((i, lines, "a" if i < 2000 else "b" if i < 2980 else None))
+        labels.append((i, int(good)))
+    d, lab = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"id": F.lit(1), "stratum": F.lit("s"), "kept": F.lit("k")}), spark.createDataFrame(labels, "doc_id long, quality int")
+    out = {x.doc_id: x for x in quality_rules.judge(d.unionByName(d.limit(5)), lab).collect()}
+    m, measures = {}, {}
+    for i, t, lang in rows:
+        x, ls = out[i], [y for y in t.split("\n") if y.strip()]
+        measures[i] = {"symbol_share": min(1, x.n_symbols / x.n_words), "duplicate_line_share": x.n_dup_lines / len(ls), "repeat_word_share": x.n_repeat_words / x.n_words}
+    risk, sequences, cut = quality_rules.RISK / 3, 9, {}
+    for lang in ("a", "b", None):
+        good = [i for i, _, s in rows if s == lang and labels[i][1]]
+        for rule in quality_rules.RULES:
+            for g in quality_rules.GRID:
+                x = sum(measures[i][rule] > g for i in good)
+                tail = sum(comb(len(good), k) * risk**k * (1 - risk) ** (len(good) - k) for k in range(x + 1))
+                if x >= len(good) * risk or tail > quality_rules.DELTA / sequences:
+                    break
+                cut[lang, rule] = g
+    by = {i: ",".join(q for q in quality_rules.RULES if (lang, q) in cut and measures[i][q] > cut[lang, q]) for i, _, lang in rows}
+    assert {i: (x.rejected_by, x.kept) for i, x in out.items()} == {i: (by[i], not by[i] and not out[i].base_failed) for i in by}
+    assert len(cut) >= 4 and sum(map(bool, by.values())) > 100 and not any(k[0] is None for k in cut)
+
+
 def test_binomial_tail(spark):
     from math import comb
 
