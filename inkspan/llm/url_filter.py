@@ -10,14 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, LOWER, cut, table
+from .common import UPPER, LOWER, ascii_lower, cut, let, table
 from .components import connected_components
 
 #: The rules of the query, (verdict, host and path).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Links are looked for in the head's tags only, so one pattern match ends early on long pages.
-_CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+#: Links are looked for in the head's tags only, so matches end early on long pages. rel is a list of words.
+_CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*(?:\"[^\">]*(?<![^\s\"])canonical(?![^\s\"])|'[^'>]*(?<![^\s'])canonical(?![^\s'])|canonical[\s>/]))[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 _REFRESH = r"(?is)<meta\b(?=[^>]*http-equiv\s*=\s*[\"']?refresh)[^>]*\burl\s*=\s*[\"']?([^\"'\s>]+)"
+_BASE = r"(?is)<base\b[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 
 
 def host_of(url: Column) -> Column:
@@ -46,26 +47,55 @@ def node(url: Column) -> Column:
     return F.when(host != "", F.concat(host, F.when(path == "", "/").otherwise(path), query))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path whose . and .. segments are taken away, as far up as the root."""
+    def step(acc, part):
+        return F.when(part == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(part == ".", acc).otherwise(F.concat(acc, F.array(part)))
+
+    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
+    out = F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+    closed = let(out, lambda x: F.when(path.rlike(r"/\.\.?$") & (x != "/"), F.concat(x, F.lit("/"))).otherwise(x))
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), closed).otherwise(path)
+
+
 def resolved(base: Column, link: Column) -> Column:
-    """A link as an absolute url: absolute as it is, //host/..., /path on the page's host; others do not count."""
-    return F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link).when(link.startswith("//"), F.concat(F.lit("http:"), link)).when(
-        link.startswith("/") & (host_of(base) != ""), F.concat(F.lit("http://"), host_of(base), link))
+    """A link, with &amp; for &, as an absolute url by its page's: absolute as it is, //host/..., /path, ?query, and
+    paths relative to the page's; null where the page has no host. Links to a place in the page (#) are the page."""
+    parts = F.struct(F.regexp_replace(link, "(?i)&amp;|&#38;|&#x26;", "&").alias("link"), host_of(base).alias("host"), path_of(base).alias("path"), F.regexp_extract(base, r"(?s)^.*?://[^/?#]*([^#]*)", 1).alias("here"))
+    return let(parts, lambda x: _resolved(x["link"], x["host"], x["path"], x["here"]))
+
+
+def _resolved(link: Column, host: Column, path: Column, here: Column) -> Column:
+    folder = F.regexp_replace(F.when(path == "", "/").otherwise(path), "[^/]*$", "")
+    target = F.when(link.startswith("/"), link).when(link.startswith("?"), F.concat(path, link)).when(link.startswith("#"), here).otherwise(F.concat(folder, link))
+    at = let(target, lambda t: F.concat(let(F.regexp_extract(t, r"(?s)^([^?#]*)", 1), _without_dots), F.regexp_extract(t, r"(?s)^[^?#]*(.*)$", 1)))
+    return F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link).when(link.startswith("//"), F.concat(F.lit("http:"), link)).when(host != "", F.concat(F.lit("http://"), host, at))
+
+
+def _links_in(head: Column) -> Column:
+    return F.filter(F.concat(F.regexp_extract_all(head, F.lit(_CANONICAL), F.lit(1)), F.regexp_extract_all(head, F.lit(_REFRESH), F.lit(1))), lambda x: x != "")
+
+
+def _own_base(head: Column) -> Column:
+    return F.regexp_extract(head, _BASE, 1)
 
 
 def link_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(a, b): the nodes of a page and of the page its canonical link or refresh names."""
+    """(a, b): the nodes of a page and of each page that its canonical links or refreshes name, read by its base."""
     html = F.coalesce(F.col(html_col), F.lit(""))
-    head = F.substring_index(html, "<body", 1)
-    links = F.array(F.regexp_extract(head, _CANONICAL, 1), F.regexp_extract(head, _REFRESH, 1))
-    e = pages.where(html.rlike("(?i)canonical|http-equiv")).select(F.col(url_col).alias("u"), F.explode(links).alias("l")).where("l <> ''")
-    return e.select(node(F.col("u")).alias("a"), node(resolved(F.col("u"), F.col("l"))).alias("b")).where("a is not null and b is not null")
+    head = F.substr(html, F.lit(1), F.length(F.substring_index(ascii_lower(html), "<body", 1)))
+    e = pages.where(html.rlike("(?i)canonical|http-equiv")).select(F.col(url_col).alias("u"), let(head, lambda h: F.struct(_own_base(h).alias("base"), _links_in(h).alias("links"))).alias("x"))
+    base = F.when(F.col("x.base") == "", F.col("u")).otherwise(F.coalesce(resolved(F.col("u"), F.col("x.base")), F.col("u")))
+    named = let(base, lambda b: F.transform("x.links", lambda link: let(resolved(b, link), node)))
+    return e.select(node(F.col("u")).alias("a"), F.explode(named).alias("b")).where("a is not null and b is not null")
 
 
 def filter_urls(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id_col, host, path, rule, verdict, component) per row of pages; redirects may add edges (source, target) of urls.
 
     Null urls and urls without :// have an empty host and path, fit no rule, have no aliases and are allowed. Rows may
-    repeat; each is judged. An alias known only from a link can carry a rule's block too.
+    repeat; each is judged. An alias known only from a link can carry a rule's block too. Columns other than the three
+    named are left alone; of rules of one length the later in the list holds.
     """
     edges = link_edges(pages, url_col, html_col)
     if redirects is not None:

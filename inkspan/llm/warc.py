@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,7 +27,9 @@ ARC_FIELDS = {
 }
 LEAST = 100  # shorter payloads are never revisits
 END = "\r\n\r\n"
-RECORD = "key long, record_id string, warc_date string, url string, content_type string, digest string, payload binary, error string"
+RECORD = "key long, record_id string, warc_date string, url string, ip string, content_type string, digest string, payload binary, error string"
+#: Fixed value: the profile of a revisit whose payload is that of an earlier record.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def arc_records(pages: DataFrame, id_col: str, url_col: str, body_col: str, version: int = 1) -> DataFrame:
@@ -84,7 +87,7 @@ def arc_to_warc(archives: DataFrame) -> DataFrame:
                 for n, (f, body, error) in enumerate(parse_arc(bytes(data), version) if data is not None else ()):
                     digest = hashlib.sha256(body).hexdigest()
                     made = uuid.uuid5(uuid.NAMESPACE_URL, f"{key} {n} {f.get('url')} {f.get('date')} {digest}")
-                    rows.append((key, f"<urn:uuid:{made}>", warc_date(f.get("date", "")), f.get("url"), f.get("content_type"), digest, body, error))
+                    rows.append((key, f"<urn:uuid:{made}>", warc_date(f.get("date", "")), f.get("url"), f.get("ip"), f.get("content_type"), digest, body, error))
             out = pd.DataFrame(rows, columns=names)
             out["key"] = out["key"].astype("Int64")
             yield out
@@ -93,62 +96,95 @@ def arc_to_warc(archives: DataFrame) -> DataFrame:
 
 
 def with_types(records: DataFrame, least: int = LEAST) -> DataFrame:
-    """Adds record_type and refers_to: of equal payloads of at least `least` bytes the smallest key is the response.
+    """Adds record_type, refers_to and refers_to_id: of equal payloads of at least `least` bytes the smallest key is the
+    response, to whose key and record the others refer.
 
-    Only digests that occur more than once are joined back; null keys are responses.
+    Only digests that occur more than once are joined back, from a table of their own, so that Spark can split the
+    copies of a frequent payload; null keys are responses.
     """
     size = F.octet_length("payload")
-    first = records.where(size >= least).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("c")).where("c > 1").select("digest", "first")
+    first = records.where((size >= least) & F.col("key").isNotNull()).groupBy("digest").agg(F.min(F.struct("key", "record_id")).alias("first"), F.count("*").alias("c")).where("c > 1")
+    first = cut(first.select("digest", F.col("first.key").alias("first"), F.col("first.record_id").alias("first_id")))
     out = records.join(first, "digest", "left")
     again = (size >= least) & F.col("first").isNotNull() & F.col("key").isNotNull() & (F.col("key") != F.col("first"))
     again = F.coalesce(again, F.lit(False))
-    return out.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("first"))}).drop("first")
+    return out.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("first")), "refers_to_id": F.when(again, F.col("first_id"))}).drop("first", "first_id")
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Compressed WARC files below path. A revisit's block is empty; its headers keep the size and digest of the payload."""
+    """Compressed WARC files below path. A revisit's block is empty; its headers keep the size and digest of the payload
+    and name the record it refers to. Keys are kept in headers of our own (X-)."""
     revisit = F.col("record_type") == "revisit"
     block = F.when(revisit, "").otherwise(F.decode("payload", "UTF-8"))
-    head = F.concat_ws("\r\n", F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), F.col("record_type")), F.concat(F.lit("WARC-Record-ID: "), F.col("record_id")),
-                       F.concat(F.lit("WARC-Date: "), F.col("warc_date")), F.concat(F.lit("WARC-Target-URI: "), F.coalesce("url", F.lit("-"))),
-                       F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")), F.concat(F.lit("X-Payload-Length: "), F.octet_length("payload")),
-                       F.concat(F.lit("X-Key: "), F.col("key")), F.concat(F.lit("X-Refers-To-Key: "), F.col("refers_to")),
-                       F.lit("Content-Type: application/octet-stream"),
-                       F.concat(F.lit("Content-Length: "), F.when(revisit, 0).otherwise(F.octet_length("payload"))))
+
+    def header(name: str, value) -> object:
+        return F.concat(F.lit(f"{name}: "), value)  # null values leave the line out
+
+    line = lambda c: F.regexp_replace(c, r"[\r\n]+", " ")
+    head = F.concat_ws("\r\n", F.lit("WARC/1.1"), header("WARC-Type", F.col("record_type")), header("WARC-Record-ID", F.col("record_id")),
+                       header("WARC-Date", F.col("warc_date")), header("WARC-Target-URI", F.coalesce("url", F.lit("-"))), header("WARC-IP-Address", F.nullif("ip", F.lit("0.0.0.0"))),
+                       header("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")), header("WARC-Block-Digest", F.concat(F.lit("sha256:"), F.sha2(block.cast("binary"), 256))),
+                       header("WARC-Refers-To", F.col("refers_to_id")), header("WARC-Profile", F.when(revisit, PROFILE)), header("WARC-Identified-Payload-Type", line(F.col("content_type"))),
+                       header("X-Payload-Length", F.octet_length("payload")), header("X-Key", F.col("key")), header("X-Refers-To-Key", F.col("refers_to")),
+                       F.lit("Content-Type: application/octet-stream"), header("Content-Length", F.when(revisit, 0).otherwise(F.octet_length("payload"))))
     records.select(F.concat(head, F.lit(END), block).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 5000).text(path)
 
 
+def unpacked(data: bytes) -> bytes:
+    """All gzip members of a file one after the other; a damaged end is left out. Other files are taken as they are."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            break
+        data = member.unused_data.lstrip(b"\0\r\n")
+    return b"".join(out)
+
+
 def parse_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
-    """(headers, block) of each record, by the declared lengths."""
+    """(headers, block) of each record, by the declared lengths; a last record that is cut short has what there is. A
+    record without a readable length ends at the next record's first line."""
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
-        stop = data.index(b"\r\n\r\n", at)
+        stop = data.find(b"\r\n\r\n", at)
+        if stop < 0:
+            return
         lines = data[at:stop].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
-        n = int(headers["content-length"])
+        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        if headers.get("content-length", "").isdigit():
+            n = int(headers["content-length"])
+        else:
+            n = max(0, (data + b"\r\n\r\nWARC/").find(b"\r\n\r\nWARC/", stop + 4) - stop - 4)
         yield headers, data[stop + 4 : stop + 4 + n]
-        at = stop + 4 + n + 4
+        at = stop + 4 + n
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(key, payload_bytes, payload_digest, record_type, refers_to, intact): intact is false where a response's block
-    does not have the digest its header declares."""
-    schema = "key long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean"
+    """(key, payload_bytes, payload_digest, record_type, refers_to, record_id, intact) of files with one or more gzip
+    members, or none, by us or others: what a header does not say is taken from the block or is null. intact is false
+    where a block is shorter than declared or, for responses of ours, does not have the digest its header declares."""
+    schema = "key long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, intact boolean"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zlib
-
+        number = lambda x: int(x) if x is not None and x.lstrip("-").isdigit() else None
         for b in batches:
             for content in b["content"]:
                 rows = []
-                for h, block in parse_warc(zlib.decompress(bytes(content), 47)):
-                    digest, kind = h["warc-payload-digest"].partition(":")[2], h["warc-type"]
-                    rows.append((int(h["x-key"]) if "x-key" in h else None, int(h["x-payload-length"]), digest, kind,
-                                 int(h["x-refers-to-key"]) if "x-refers-to-key" in h else None, kind == "revisit" or hashlib.sha256(block).hexdigest() == digest))
+                for h, block in parse_warc(unpacked(bytes(content))):
+                    kind, own = h.get("warc-type"), hashlib.sha256(block).hexdigest()
+                    said = h.get("warc-payload-digest", "").partition(":")
+                    digest = said[2] if said[0] == "sha256" else None if kind == "revisit" else own
+                    whole = number(h.get("content-length")) in (None, len(block))
+                    rows.append((number(h.get("x-key")), len(block) if number(h.get("x-payload-length")) is None else number(h.get("x-payload-length")), digest, kind,
+                                 number(h.get("x-refers-to-key")), h.get("warc-record-id"), whole and (kind != "response" or "x-key" not in h or own == digest)))
                 out = pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
-                yield out.astype({"key": "Int64", "refers_to": "Int64"})
+                yield out.astype({"key": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInPandas(read, schema)
+    return spark.read.format("binaryFile").load(path).where(~F.col("path").rlike("/[_.][^/]*$")).select("content").mapInPandas(read, schema)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

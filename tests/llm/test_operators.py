@@ -414,6 +414,44 @@ def test_url_rules_and_aliases(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_url_links_of_all_kinds(spark):
+    def page(tag, body="<BODY>"):
+        return f"<html><HEAD>{tag}</HEAD>{body}<link rel=canonical href='http://not.net/'>"
+
+    blocked = "http://a.example.org/es/1?x=1&y=2"
+    rows = [(1, blocked, None), (2, "http://a.example.org/es/sub/2", page("<link rel='x canonical' href='../1?x=1&amp;y=2'>")), (3, "http://o.net/p/q", page("<link rel=canonical href=../r><link rel='canonical' href='http://a.example.org/es/1?x=1&y=2'>")), (4, "http://o.net/r", None),
+            (5, "http://b.net/d/e", page("<base href='http://a.example.org/es/sub/'><meta http-equiv=refresh content='0;url=./../1?x=1&amp;y=2'>")), (6, "http://c.net/", page("<link rel='canonicals' href='http://a.example.org/es/1?x=1&y=2'>")), (7, "http://a.example.org/es/1", page("<link rel=canonical href='?x=1&y=2'>")),
+            (8, "http://s.net/x", page("<link rel=canonical href='#top'>" + "y" * 300000)), (8, "http://s.net/x", None)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit("h"), "component": F.lit("c")})
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(d).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "block", 8: "allow"} and url_filter.filter_urls(d).count() == 9
+
+
+def test_url_aliases_against_a_walk(spark):
+    import random
+
+    r = random.Random(14)
+    urls = [r.choice(["http://a.com/de/{}", "http://b.org/{}", "http://c.net/{}", "http://d.net/{}", "http://e.net/{}"]).format(i) for i in range(120)]
+    links = [(i, r.randrange(120)) for i in range(120) if r.random() < 0.6]
+    target = dict(links)
+    rows = [(i, u, f"<head><link rel=canonical href={urls[target[i]]}></head>" if i in target else None) for i, u in enumerate(urls)]
+    near = {i: {i} for i in range(120)}
+    for a, b in links:
+        near[a].add(b)
+        near[b].add(a)
+
+    def walk(i):
+        seen, todo = {i}, [i]
+        while todo:
+            todo += [x for x in near[todo.pop()] if x not in seen and not seen.add(x)]
+        return seen
+
+    own = lambda u: "allow" if ".org/" in u else "block" if "com/de/" in u else None
+    want = {i: own(u) or ("allow" if "allow" in (v := [own(urls[k]) for k in walk(i)]) else "block" if "block" in v else "allow") for i, u in enumerate(urls)}
+    got = {x.page_id: x.verdict for x in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want and {"allow", "block"} == set(want[i] for i, u in enumerate(urls) if own(u) is None)
+
+
 def test_main_text(spark):
     ad = "<div class='note'>we use small files here to know you better please agree</div>"
     rows = [(1, "http://h.net/1", f"<nav>menu</nav>{ad}<article><h1>T &amp; x</h1><p>a  b\n c<p>d</article><footer>f</footer>"), (2, "http://h.net/2", f"{ad}<p>only words of this page</p><script>var t='</p>';</script>"), (3, "http://h.net/3", f"{ad}<div>other</div>"), (4, None, None), (5, "x", "")]
@@ -501,5 +539,36 @@ def test_warc_round_trip(spark, tmp_path):
     assert got == {k: (len(b), hashlib.sha256(b).hexdigest(), "revisit" if k == 5 else "response", 3 if k == 5 else None, True) for k, b in h.items()}
 
 
+def test_warc_foreign_and_damaged_files(spark, tmp_path):
+    import gzip
+
+    def record(n, body, length=None, extra=""):
+        return f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{n}>\r\n{extra}Content-Length: {len(body) if length is None else length}\r\n\r\n{body}\r\n\r\n".encode()
+
+    (tmp_path / "many.warc.gz").write_bytes(b"".join(gzip.compress(record(n, f"body {n} WARC/1.0 x")) for n in range(3)))
+    (tmp_path / "plain.warc").write_bytes(record(3, "three") + record(4, "four", "x") + record(5, "short", 99))
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(record(6, "six")) + gzip.compress(record(7, "seven" * 500))[:-40])
+    got = {r.record_id[10:-1]: (r.payload_bytes, r.intact, r.key) for r in warc.read_warc(spark, str(tmp_path)).collect()}
+    assert {k: got[k] for k in "0123456"} == {"0": (17, True, None), "1": (17, True, None), "2": (17, True, None), "3": (5, True, None), "4": (4, True, None), "5": (9, False, None), "6": (3, True, None)}
+
+
+def test_warc_headers_empty_long_and_repeated(spark, tmp_path):
+    import zlib
+
+    long = "x" * 3_000_000
+    rows = [(1, "u", long), (2, "u", long), (2, "u", long), (None, "u", long), (3, "u", "")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit(1), "key": F.lit(2)})
+    path = str(tmp_path / "w")
+    warc.write_warc(warc.with_types(warc.arc_to_warc(warc.arc_records(d, "page_id", "url", "html"))), path)
+    out = warc.read_warc(spark, path).collect()
+    assert sorted((r.key or 0, r.record_type, r.refers_to) for r in out) == [(0, "response", None), (1, "response", None), (2, "revisit", 1), (2, "revisit", 1), (3, "response", None)] and all(r.intact for r in out)
+    text = b"".join(zlib.decompress(f.read_bytes(), 47) for f in (tmp_path / "w").glob("*.gz")).decode()
+    of = {m[1]: m[0] for m in re.findall(r"(WARC/1.1\r\n(?:[^\r]+\r\n)*?X-Key: (\d+)\r\n)", text)}
+    assert re.search("WARC-Record-ID: (<[^>]+>)", of["1"])[1] == re.search("WARC-Refers-To: (<[^>]+>)", of["2"])[1] and warc.PROFILE in of["2"] and "WARC-Block-Digest: sha256:" in of["1"]
+    empty = str(tmp_path / "e")
+    warc.write_warc(warc.with_types(warc.arc_to_warc(warc.arc_records(d.limit(0), "page_id", "url", "html"))), empty)
+    assert warc.read_warc(spark, empty).count() == 0
+
+
 def test_every_query_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
