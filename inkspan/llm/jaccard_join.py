@@ -9,7 +9,7 @@ The join is exact up to equal 64-bit shingle hashes:
    kept for the others alone. Passages that fill a small part of their documents leave the join here.
 2. Under any global order, sets that similar share one of their first n - ceil(t * n) + 1 elements. The order is the
    hash's, with shingles that many classes hold moved last, the most frequent at the end, so a passage that many
-   documents share makes no large bucket. Only documents that hold one are read again to find their new prefix.
+   documents share makes no large bucket.
 3. If the first shingle that two sets share is the i-th of one and the j-th of the other, at most the shorter of the
    two remainders is shared. Pairs of a bucket whose remainders are too short end there: copies with many edits of
    their own, or documents that share no more than a passage.
@@ -221,24 +221,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(alive.withColumnRenamed("h1", "own").hint("merge"), "id").distinct()
     sets = cut(whole_sets(texts, k))
 
-    parts = F.posexplode(F.slice("shingles", 1, _prefix(F.col("n"), percent))).alias("i", "s")
-    first = cut(sets.select("id", "n", parts))
-    heavy = first.groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") > HEAVY).select("s")
-
-    def whole(ids: DataFrame) -> DataFrame:
-        return sets.join(ids.hint("merge"), "id", "left_semi").select("id", F.explode("shingles").alias("s"))
-
-    # a shared passage has more shingles than the prefixes show: count those of the documents that have one in full
-    seen = cut(first.join(heavy, "s", "left_semi").select("id").distinct())
-    late = cut(whole(seen).groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") > HEAVY))
-    reread = cut(first.join(late.select("s"), "s", "left_semi").select("id").distinct())
-    moved = whole(reread).join(late, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "s")))["s"].alias("moved"))
-    again = sets.join(moved.hint("merge"), "id").select("id", "n", F.concat(F.array_except("shingles", "moved"), "moved").alias("shingles")).select("id", "n", parts)
-    rows = cut(first.join(reread, "id", "left_anti").unionByName(again))
+    # frequent shingles go last: all sets are counted, as with many documents nearly each of them holds such a shingle
+    single = sets.select("id", F.explode("shingles").alias("s"))
+    late = cut(single.groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") > HEAVY))
+    moved = single.join(late, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "s")))["s"].alias("moved"))
+    ordered = F.when(F.col("moved").isNull(), F.col("shingles")).otherwise(F.concat(F.array_except("shingles", "moved"), "moved"))
+    again = sets.join(moved.hint("merge"), "id", "left").select("id", "n", ordered.alias("shingles"))
+    rows = cut(again.select("id", "n", F.posexplode(F.slice("shingles", 1, _prefix(F.col("n"), percent))).alias("i", "s")))
     # a bucket of one class has nothing to compare
     shared = rows.groupBy("s").agg(F.min(F.struct("i", "id", "n")).alias("p"), F.min("id").alias("x"), F.max("id").alias("y"), F.count("*").alias("size")).where("x < y")
     shared = cut(shared.select("s", F.col("p.id").alias("pivot"), F.col("p.i").alias("j"), F.col("p.n").alias("m"), "size"))
-    release(alive, first, seen, late, reread)
+    release(alive, late)
     bucket = cut(rows.join(shared, "s"))
 
     star = bucket.where((F.col("id") != F.col("pivot")) & _reach(F.col("n"), F.col("i"), F.col("m"), F.col("j"), percent))
