@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .conversation_repair import ORACLE as REPAIR_SQL
+from .conversation_repair import op13_conversation_repair
 from .decontaminate import op7_decontamination
 from .jaccard_join import op9_ngram_jaccard_join
 from .language_id import op10_language_id
@@ -19,6 +21,6 @@ from .vector_codes import op12_vector_codes
 from .warc import ORACLE as WARC_SQL
 from .warc import op6_warc
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_url_filter, op4_main_text, op5_pii, op6_warc, op7_decontamination, op8_token_counts, op9_ngram_jaccard_join, op10_language_id, op11_secret_scan, op12_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_url_filter, op4_main_text, op5_pii, op6_warc, op7_decontamination, op8_token_counts, op9_ngram_jaccard_join, op10_language_id, op11_secret_scan, op12_vector_codes, op13_conversation_repair)}
 
-ORACLES: dict[str, str] = {"op3_url_filter": URL_SQL, "op6_warc": WARC_SQL, "op11_secret_scan": SECRET_SQL, "op12_vector_codes": VECTOR_SQL}
+ORACLES: dict[str, str] = {"op3_url_filter": URL_SQL, "op6_warc": WARC_SQL, "op11_secret_scan": SECRET_SQL, "op12_vector_codes": VECTOR_SQL, "op13_conversation_repair": REPAIR_SQL}
