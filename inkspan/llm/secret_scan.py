@@ -23,9 +23,10 @@ ASSIGN, ACCESS, HEX = SIGN + "[A-Za-z0-9+/_.=-]+", "AKIA[A-Z0-9]{12,}", "[0-9a-f
 LEAST = 8
 #: Kinds that the method adds, after the base kinds.
 KINDS = (*BASE, "value", "key")
-#: A run of the characters of values, and such runs with a letter and a digit; points at its ends do not belong to it.
-RUN = "[A-Za-z0-9+/_.=-]{8,}"
-TOKEN = r"(?<![A-Za-z0-9+/_.=-])(?=[+/_.=0-9-]*[A-Za-z])(?=[A-Za-z+/_.=-]*[0-9])" + RUN
+#: A run of the characters of values (equals signs, which part a name from its value, at the end only), and such runs
+#: with a letter and a digit; points at its ends do not belong to it.
+RUN = "[A-Za-z0-9+/_.-]{8,}={0,2}"
+TOKEN = r"(?<![A-Za-z0-9+/_.-])(?=[+/_.0-9-]*[A-Za-z])(?=[A-Za-z+/_.-]*[0-9])" + RUN
 #: A key by its looks, and how many distinct characters it has at least.
 KEY, KEY_DISTINCT = "^[A-Za-z0-9_-]{20,512}$", 12
 #: Owners that a live credential has at most.
