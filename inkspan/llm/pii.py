@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let, table
+from .spans import BLOCK, found
 
 #: The base kinds in their order, their patterns, and the sizes that hold after a match. The look-behinds
 #: and possessive groups only spare the engine retries inside a run that it has already passed and deep recursion.
@@ -37,30 +38,6 @@ ROUNDS, RATE = 20, 0.3
 CUTOFFS = tuple(math.log(q / (1 - q)) for q in (0.5, 0.6, 0.7, 0.8, 0.9, 0.95))
 
 
-def found(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, s>> of the leftmost non-overlapping matches, in code points.
-
-    The gaps that splitting leaves and the matches themselves alternate, so their lengths give all positions.
-    """
-    kind = "array<struct<start:bigint,end:bigint,s:string>>"
-
-    def placed(m):
-        def walk(gaps):
-            start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("out"))
-
-            def step(acc, i):
-                a = acc["at"] + F.length(F.get(gaps, i))
-                s = F.get(m, i)
-                b = a + F.length(s)
-                return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), s.alias("s")))).alias("out"))
-
-            return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), start, step, lambda acc: acc["out"])
-
-        return F.when(F.size(m) == 0, F.array().cast(kind)).otherwise(let(F.split(text, pattern, -1), walk))
-
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
-
-
 def digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
@@ -259,9 +236,10 @@ def lower_bound(right: int, n: int, delta: float) -> float:
 
 def fit(docs: DataFrame, id_col: str, text_col: str, precision: float = 0.98, delta: float = 0.05):
     """(trees, threshold) from all texts; the threshold is infinite if no score is precise enough."""
-    c = _spans(docs.select(id_col, text_col), text_col).select(
-        F.pmod(F.xxhash64(id_col), F.lit(2)).alias("half"), "__base", F.explode_outer("__cand").alias("c")).where("c is not null")
-    rows = c.groupBy("half", F.col("c.cell").alias("cell")).agg(F.count("*").alias("n"), F.count_if(_is_base(F.col("c"), F.col("__base"))).alias("p")).collect()
+    # judged within the row, so that base spans are not copied to each candidate
+    judged = F.transform("__cand", lambda c: F.struct(c["cell"].alias("cell"), _is_base(c, F.col("__base")).alias("right")))
+    c = _spans(docs.select(id_col, text_col), text_col).select(F.pmod(F.xxhash64(id_col), F.lit(2)).alias("half"), F.explode(judged).alias("c"))
+    rows = c.groupBy("half", F.col("c.cell").alias("cell")).agg(F.count("*").alias("n"), F.count_if("c.right").alias("p")).collect()
     cells = sorted((r["half"], r["cell"], r["n"], r["p"]) for r in rows)
     trees = boosted([x[1:] for x in cells if x[0] == 0])
     trained, held = ([(of_cell(trees, cell), n, p) for h, cell, n, p in cells if h == half] for half in (0, 1))
@@ -314,14 +292,35 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     found_in = with_spans(docs.withColumnsRenamed({c: f"__x_{c}" for c in ("base", "spans") if c in docs.columns}), id_col, text_col)
     text, names = F.col(text_col), F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     ordered = F.sort_array(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["k"].alias("k"))))
+    kind = "array<struct<before:bigint,start:bigint,end:bigint,k:int>>"
+
+    def merged(block, at):
+        """Spans of a block that begin after all before them have ended, with the end before each."""
+        def step(acc, x):
+            fresh = F.struct(acc["at"].alias("before"), x["start"].alias("start"), x["end"].alias("end"), x["k"].alias("k"))
+            return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.array(fresh))).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(block, F.struct(at.alias("at"), F.array().cast(kind).alias("out")), step)
+
+    def said(block):
+        """The text from the end before a block's first span to the start of its last one; a block is cut out of the text once."""
+        origin = block[0]["before"]
+
+        def lines(piece):
+            return F.array_join(F.transform(block, lambda x: F.concat(F.substr(piece, (x["before"] - origin + 1).cast("int"), (x["start"] - x["before"]).cast("int")), F.get(names, x["k"]))), "")
+
+        return let(F.substr(text, (origin + 1).cast("int"), (F.element_at(block, -1)["end"] - origin).cast("int")), lines)
+
+    def joined(acc):
+        return F.concat(F.array_join(F.transform(F.filter(acc["out"], lambda b: F.size(b) > 0), said), ""), F.substr(text, (acc["at"] + 1).cast("int"), F.length(text)))
 
-    def step(acc, x):
-        gap = F.substr(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
-        fresh = F.struct(x["end"].alias("at"), F.concat(acc["out"], F.array(gap, F.get(names, x["k"]))).alias("out"))
-        return F.when(x["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out")))
+    def folded(spans):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int")), lambda b: F.slice(spans, b * BLOCK + 1, F.lit(BLOCK)))
+        start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        step = lambda acc, b: let(merged(b, acc["at"]), lambda m: F.struct(m["at"].alias("at"), F.concat(acc["out"], F.array(m["out"])).alias("out")))
+        return F.aggregate(blocks, start, step)
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate(ordered, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    clean = let(let(ordered, folded), joined)
     out = found_in.withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length(text_col).cast("long")).otherwise(F.col("n_chars")))

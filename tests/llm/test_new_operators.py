@@ -198,3 +198,19 @@ def test_repair_against_sql(spark, monkeypatch, bits):
 
 def test_repair_of_the_table(spark):
     same(cr.op13_conversation_repair(spark, SF), cr.ORACLE, conversations=f"{SF}/conversations.parquet")
+
+
+# --- many matches in one text
+
+
+def test_redaction_of_very_many_matches(spark):
+    import time
+
+    from inkspan.llm import pii
+
+    text = " ".join(f"é a{i}@b.example +1 (826) 555-{i % 10000:04d}, 10.0.0.{i % 256};" for i in range(500))
+    d = spark.createDataFrame([(1, text), (2, "none"), (3, None)], "doc_id long, text string")
+    start = time.time()
+    got = {r.doc_id: r.text for r in pii.redact(d).collect()}
+    assert time.time() - start < 90
+    assert got[1] == " ".join("é [EMAIL] [PHONE], [IP];" for _ in range(500)) and got[2] == "none" and not got[3]
