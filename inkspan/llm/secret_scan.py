@@ -97,7 +97,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     by_start = Window.partitionBy("row").orderBy("start", "kind")
     is_base = F.col("kind") < len(BASE)
     before = F.max(F.when(is_base, F.col("end"))).over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min(F.when(is_base, F.col("start"))).over(by_start.rowsBetween(1, Window.unboundedFollowing))
+    backwards = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("kind"))  # a frame to the last row would be computed anew for each row
+    after = F.min(F.when(is_base, F.col("start"))).over(backwards.rowsBetween(Window.unboundedPreceding, -1))
     clear = judged.withColumns({"before": before, "after": after}).where(is_base | ~(F.coalesce(F.col("before") > F.col("start"), F.lit(False)) | F.coalesce(F.col("after") < F.col("end"), F.lit(False))))
     listed = F.sort_array(F.collect_list(F.struct("start", F.col("kind").alias("k"), "end")))
     spans = clear.groupBy("row").agg(listed.alias("spans"), F.count_if(is_base & F.col("live")).alias("n_live"), F.count_if(is_base & ~F.col("live")).alias("n_copied"))
