@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from inkspan.functions import decode, lines as kinds
 from inkspan.operators import evaluation, layout, quality, records, routing
+from inkspan.plans import content_queries
 from inkspan.sources import text as sources
 from inkspan.sources.text import text_lines
 
@@ -333,3 +334,7 @@ ORACLES = {
     "json_lines": "select c_custkey as path, unnest([1, 2, 3]) as line, unnest([c_name, c_mktsegment, 'end']) as text from customer",
     "jsonl_pages": "select c_custkey as path, unnest([1, 4, 4]) as page, unnest([1, 1, 2]) as line, unnest([c_name, c_mktsegment, 'x']) as text from customer",
 }
+
+for more in (content_queries,):
+    QUERIES |= more.QUERIES
+    ORACLES |= more.ORACLES
