@@ -36,7 +36,7 @@ def xml_nodes(files: DataFrame, id_col: str = "path", text_col: str = "content")
     """(id_col, node, end, parent, level, name, attrs, text) per element and text of the contents that are well formed.
 
     node is the place of an element's first tag, end that of its last; name has no prefix and is null for texts; attrs
-    is a map. Well formed is what the tokens cover wholly, without a document type, with one root whose tags pair up.
+    is a map without the declarations of prefixes. Well formed is what the tokens cover wholly, without a document type, with one root whose tags pair up.
     Null contents and ids have no nodes. Ids must be unique.
     """
     cut = F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), F.lit(0))
@@ -56,7 +56,7 @@ def xml_nodes(files: DataFrame, id_col: str = "path", text_col: str = "content")
     names, values = (F.regexp_extract_all("tok", F.lit(_ATTRIBUTE), F.lit(g)) for g in (1, 2))
     attrs = F.map_from_arrays(F.array_distinct(names), F.transform(F.slice(values, F.lit(1), F.size(F.array_distinct(names))), lambda v: unescaped(F.substr(v, F.lit(2), F.length(v) - 2))))
     local = F.regexp_replace("qname", "^.*:", "")
-    nodes = r.where(~F.col("closes")).join(sound, "id").select(F.col("id").alias(id_col), F.col("pos").alias("node"), F.coalesce("end", "pos").alias("end"), F.col("box.pos").alias("parent"), "level", local.alias("name"), F.when(F.col("qname").isNotNull(), attrs).alias("attrs"), "text")
+    nodes = r.where(~F.col("closes")).join(sound, "id").select(F.col("id").alias(id_col), F.col("pos").alias("node"), F.coalesce("end", "pos").alias("end"), F.col("box.pos").alias("parent"), "level", local.alias("name"), F.when(F.col("qname").isNotNull(), F.map_filter(attrs, lambda k, _: ~k.startswith("xmlns"))).alias("attrs"), "text")
     return nodes.where("name is not null or text <> ''")
 
 
@@ -169,7 +169,9 @@ def page_lines(files: DataFrame, id_col: str = "path", text_col: str = "content"
     way = _paths(texts, marked, F.col("step"))
     last = F.aggregate("path", F.struct(F.lit(-1).alias("k"), F.lit(-1).alias("i")), lambda acc, x: F.struct(F.when(x["starts"], acc["i"] + 1).otherwise(acc["k"]).alias("k"), (acc["i"] + 1).alias("i")), lambda acc: acc["k"])
     ways = way.withColumn("k", last).withColumn("start", F.get("path", F.col("k")))
-    order = F.struct(F.col("start.named").isNull().alias("late"), F.col("start.named").alias("named"), F.transform(F.slice("path", F.col("k") + 1, F.size("path")), lambda x: x["at"]).alias("down"), "node")
+    # the line itself ends its way, so that it takes its place among the regions beside it
+    down = F.concat(F.transform(F.slice("path", F.col("k") + 1, F.size("path")), lambda x: x["at"]), F.array(F.struct(F.lit(0).alias("row"), F.lit(0).alias("col"), "node")))
+    order = F.struct(F.col("start.named").isNull().alias("late"), F.col("start.named").alias("named"), down.alias("down"))
     found = on_page(texts.join(ways.select("id", "node", order.alias("order")), ["id", "node"]).select("id", "node", "texts", "order"))
     split = found.select("id", "page", "order", F.posexplode("texts").alias("l", "text"))
     return split.select(F.col("id").alias(id_col), "page", F.row_number().over(Window.partitionBy("id", "page").orderBy("order", "l")).alias("line"), "text")
