@@ -12,8 +12,8 @@ from pyspark.sql.types import StringType
 
 #: Fixed value: white space as Unicode text splitting takes it (both Java and RE2 read it).
 WHITE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: Fixed value: line separators that become a line feed; the form feed stays, as it ends a page.
-LINE_END = r"\r\n|[\r\x{0b}\x{1c}\x{1d}\x{1e}\x{85}\x{2028}\x{2029}]"
+#: Fixed value: line separators besides CRLF that become a line feed; the form feed stays, as it ends a page.
+LINE_ENDS = "\r\x0b\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 @pandas_udf(StringType())
@@ -34,7 +34,7 @@ def normalized(text: Column, lowercase: bool = False) -> Column:
 
 
 def newlines(text: Column) -> Column:
-    return F.regexp_replace(text, LINE_END, "\n")
+    return F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), LINE_ENDS, "\n" * len(LINE_ENDS))
 
 
 def words(text: Column) -> Column:

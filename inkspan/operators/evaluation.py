@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkspan.functions.staging import staged
 from inkspan.functions.text import normalized, words
 
 
@@ -102,26 +103,47 @@ def expected_calibration_error(rows: DataFrame, confidence: str, correct: str, b
     return b.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.try_divide(F.sum(gap), F.sum("n")).alias("ece"))
 
 
-def coverage_curve(rows: DataFrame, confidence: str, correct: str, slices: int = 1024) -> DataFrame:
+def coverage_curve(rows: DataFrame, confidence: str, correct: str) -> DataFrame:
     """(threshold, coverage, error) per distinct confidence: the share of rows at or above it, and of wrong ones among them.
 
-    Null confidences are left out, a null verdict counts as wrong. Running sums go by slices of the confidence, so that
-    only one row per slice meets in one task.
+    Null confidences are left out, a null verdict counts as wrong. Distinct confidences are dealt out by ranges of equal
+    numbers; running sums go within a range and over the ranges' totals, so that neither depends on how values crowd.
     """
     from pyspark.sql import Window
 
     at = rows.where(F.col(confidence).isNotNull()).groupBy(F.col(confidence).alias("threshold")).agg(
         F.count("*").alias("n"), F.count_if(~F.coalesce(F.col(correct), F.lit(False))).alias("wrong"))
-    at = at.withColumn("slice", F.floor(F.col("threshold") * slices))
+    at = staged(at.repartitionByRange(F.desc("threshold")).withColumn("slice", F.spark_partition_id()))
     total = at.groupBy("slice").agg(F.sum("n").alias("n"), F.sum("wrong").alias("wrong"))
-    above = Window.orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     start = total.select("slice", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("n", "wrong")],
-                         F.sum("n").over(Window.orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all_n"))
+                         F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all_n"))
     down = Window.partitionBy("slice").orderBy(F.desc("threshold"))
     run = at.join(start, "slice").select("threshold", "all_n", (F.sum("n").over(down) + F.col("n_above")).alias("k"), (F.sum("wrong").over(down) + F.col("wrong_above")).alias("bad"))
     return run.select("threshold", (F.col("k") / F.col("all_n")).alias("coverage"), (F.col("bad") / F.col("k")).alias("error"))
 
 
+def threshold_grid(rows: DataFrame, first: str, second: str, cuts: Sequence[float], others: Sequence[float], good: str) -> DataFrame:
+    """(first_cut, second_cut, n, good): for each pair of cuts how many rows have first and second at or above them, and
+    how many of these are good.
+
+    One pass counts rows by the last cut they reach on either axis, a table as small as the grid; its sums from above
+    along both axes are the grid's cells. Null measures reach no cut, a null verdict is not good; cuts must not repeat.
+    """
+    def reached(c: str, at: Sequence[float]) -> Column:
+        return F.aggregate(F.array(*(F.lit(float(x)) for x in sorted(at))), F.lit(0), lambda acc, x: acc + F.when(F.col(c) >= x, 1).otherwise(0))
+
+    from pyspark.sql import Window
+
+    cells = rows.where(F.col(first).isNotNull() & F.col(second).isNotNull()).groupBy(reached(first, cuts).alias("i"), reached(second, others).alias("j")).agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col(good), F.lit(False))).alias("good"))
+    spark = rows.sparkSession
+    axes = [spark.createDataFrame(list(enumerate(sorted(map(float, c)), 1)), f"{k} int, {name} double") for k, name, c in (("i", "first_cut", cuts), ("j", "second_cut", others))]
+    grid = axes[0].crossJoin(axes[1]).join(cells, ["i", "j"], "left").select("i", "j", "first_cut", "second_cut", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "good")))
+    for fixed, along in (("i", "j"), ("j", "i")):
+        grid = grid.withColumns({c: F.sum(c).over(Window.partitionBy(fixed).orderBy(F.desc(along))) for c in ("n", "good")})
+    return grid.select("first_cut", "second_cut", "n", "good")
+
+
 def pick_threshold(curve: DataFrame, target_error: float) -> DataFrame:
     """The row of the curve with the lowest threshold whose error is at most the target; no row if none is."""
     best = curve.where(F.col("error") <= target_error).agg(F.min(F.struct("threshold", "coverage", "error")).alias("best"))

@@ -32,6 +32,23 @@ def fold_records(parts: DataFrame, key: str, order: str, fields: Sequence[str])
     return out.withColumn("conflicts", F.array_join(found, ",")).select(key, *fields, "conflicts")
 
 
+def merge_records(parts: DataFrame, key: str, order: str, source: Sequence[str], descriptive: Sequence[str], blocks: Sequence[str]) -> DataFrame:
+    """(key, source, descriptive, blocks, conflicts, status) of the partial records of a key, taken in order.
+
+    A field of the source keeps the first value that is there, a block takes the last one; null stands for absent.
+    Source fields with different values, but for descriptive ones, are listed in conflicts, by name, and make the record
+    an error: its status is conflict and it has no values. Minima and maxima by order are merged on the way, so a key
+    with very many parts costs one row per task.
+    """
+    first = [F.min_by(F.col(f), F.when(F.col(f).isNotNull(), F.col(order))).alias(f) for f in (*source, *descriptive)]
+    last = [F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col(order))).alias(f) for f in blocks]
+    apart = [(F.min(f) != F.max(f)).alias(f"__{f}") for f in source]
+    out = parts.groupBy(key).agg(*first, *last, *apart)
+    found = F.filter(F.array(*(F.when(F.col(f"__{f}"), F.lit(f)) for f in sorted(source))), lambda x: x.isNotNull())
+    out = out.withColumn("conflicts", F.array_join(found, ",")).withColumn("status", F.when(F.col("conflicts") == "", "ok").otherwise("conflict"))
+    return out.select(key, *(F.when(F.col("status") == "ok", F.col(f)).alias(f) for f in (*source, *descriptive, *blocks)), "conflicts", "status")
+
+
 def record_diff(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """(key, change, fields): added, removed or changed rows of two versions, with the names of the changed fields."""
     o, n = old.withColumn("__o", F.lit(True)).alias("o"), new.withColumn("__n", F.lit(True)).alias("n")

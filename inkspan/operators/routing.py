@@ -39,6 +39,23 @@ def page_decode(decoded: DataFrame, page: Sequence[str], digits: int = 4) -> Dat
     return decoded.groupBy(*page).agg(F.round(F.avg("decode_score"), digits).alias("decode_score"), F.count("*").alias("lines"), garbled.alias("garbled"), (garbled > 0).alias("needs_ocr"))
 
 
+def atr_reasons(decoded: DataFrame, pages: DataFrame, page: Sequence[str], text_col: str = "text") -> DataFrame:
+    """(page, reasons, needs_atr, mojibake, undecodable, lines) per page of pages (page, text_layer, textual).
+
+    decoded are the lines with their verdict. A page needs text recognition if a line is a misreading (`mojibake`), if
+    one is mostly lost characters (`undecodable`), if nothing but running lines, or nothing at all, has a text layer
+    (`furniture_only`, `no_text`), or if its layer is an earlier recognition (`prior_ocr`); reasons lists these in that
+    order, comma-joined. A textual page has nothing to render and never needs it. Pages without lines count none.
+    """
+    lost = is_undecodable(decode_report(F.col(text_col)))
+    counts = decoded.groupBy(*page).agg(F.count("*").alias("lines"), F.count_if((F.col("decode") == "garbled") & lost).alias("undecodable"), F.count_if(F.col("decode") == "garbled").alias("garbled"))
+    p = pages.join(counts, list(page), "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("lines", "undecodable", "garbled")}).withColumn("mojibake", F.col("garbled") - F.col("undecodable"))
+    bare = F.coalesce(F.col("text_layer") == "none", F.lit(False))
+    said = [F.when(F.col("mojibake") > 0, "mojibake"), F.when(F.col("undecodable") > 0, "undecodable"), F.when(bare & (F.col("lines") > 0), "furniture_only"), F.when(bare & (F.col("lines") == 0), "no_text"), F.when(F.col("text_layer") == "ocr", "prior_ocr")]
+    reasons = F.when(F.coalesce("textual", F.lit(False)), "").otherwise(F.array_join(F.filter(F.array(*said), lambda x: x.isNotNull()), ","))
+    return p.select(*page, reasons.alias("reasons"), (reasons != "").alias("needs_atr"), "mojibake", "undecodable", "lines")
+
+
 def category_route(category: Column) -> Column:
     """htr for handwriting only, ocr for other text, none for pictures; null for a kind that is not known."""
     known = sorted({c for members in FACETS.values() for c in members})

@@ -17,9 +17,10 @@ from inkspan.functions.text import newlines
 def text_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, page, line, text): pages end at form feeds, lines at any other line separator, both counted from 1. A
     final line end opens no further line, and blank pages at the end are none; null texts have no lines."""
-    text = F.regexp_replace(newlines(F.col(text_col)), r"(\f\s*)+\z", "")
+    even = newlines(F.col(text_col))
+    text = F.when(F.contains(even, F.lit("\f")), F.regexp_replace(even, r"(\f\s*)+\z", "")).otherwise(even)
     pages = docs.where(F.col(text_col).isNotNull()).select(id_col, F.posexplode(F.split(text, "\f")).alias("p", "t"))
-    whole = F.regexp_replace("t", r"\n\z", "")
+    whole = F.when(F.endswith("t", F.lit("\n")), F.left("t", F.length("t") - 1)).otherwise(F.col("t"))
     lines = pages.select(id_col, (F.col("p") + 1).alias("page"), F.posexplode(F.split(whole, "\n")).alias("l", "text"))
     return lines.select(id_col, "page", (F.col("l") + 1).alias("line"), "text")
 
