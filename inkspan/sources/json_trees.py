@@ -58,11 +58,11 @@ def json_strings(files: DataFrame, id_col: str = "path", text_col: str = "conten
 
 
 def json_nodes(files: DataFrame, id_col: str = "path", text_col: str = "content") -> DataFrame:
-    """(id_col, node, end, parent, level, kind, key, at, under, value) per JSON value of the contents that are ok.
+    """(id_col, node, end, parent, level, kind, key, at, under, value, raw) per JSON value of the contents that are ok.
 
     node is the place of its first token, end that of its last; kind is object, array, string or other; key is its own
     key, under the key that holds for it (its own, or for items of lists the list's) and at the node that has this key;
-    value is the text of a string. Ids must be unique and not null.
+    value is the text of a string, raw the token of what is no string. Ids must be unique and not null.
     """
     good = files.where(F.col(id_col).isNotNull() & (json_status(F.col(text_col)) == "ok"))
     tokens = good.select(F.col(id_col).alias("id"), F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), F.lit(0))).alias("pos", "tok"))
@@ -82,7 +82,7 @@ def json_nodes(files: DataFrame, id_col: str = "path", text_col: str = "content"
     text = lambda c: unquoted(F.regexp_replace(c, r"\s*:$", ""))
     kind = F.when(first == "{", "object").when(first == "[", "array").when(first == '"', "string").otherwise("other")
     return nodes.select(F.col("id").alias(id_col), F.col("pos").alias("node"), F.coalesce("end", "pos").alias("end"), F.col("box.pos").alias("parent"), "level", kind.alias("kind"), F.when(own, text(F.col("name"))).alias("key"),
-                        F.when(own, F.col("pos")).otherwise(F.col("key_box.pos")).alias("at"), F.when(own, text(F.col("name"))).otherwise(text(F.col("key_box.name"))).alias("under"), F.when(first == '"', unquoted(F.col("tok"))).alias("value"))
+                        F.when(own, F.col("pos")).otherwise(F.col("key_box.pos")).alias("at"), F.when(own, text(F.col("name"))).otherwise(text(F.col("key_box.name"))).alias("under"), F.when(first == '"', unquoted(F.col("tok"))).alias("value"), F.when(kind == "other", F.col("tok")).alias("raw"))
 
 
 def is_blob(text: Column) -> Column:

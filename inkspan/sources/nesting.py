@@ -26,3 +26,19 @@ def nested(tokens: DataFrame, head: Column) -> DataFrame:
     r = r.withColumn("close", F.last(F.when(F.col("closes"), F.col("pos")), True).over(Window.partitionBy("id", "level").orderBy(F.desc("pos"), "heads")))
     ends = r.where(is_head).select("id", "pos", F.col("close").alias("end"))
     return r.where(~F.col("heads") | F.col("closes")).drop("heads", "close").join(ends, ["id", "pos"], "left")
+
+
+def enclosing(inner: DataFrame, outer: DataFrame, step: Column) -> DataFrame:
+    """(id, node, path): per row of inner the steps of the outer elements around or at it, outermost first.
+
+    The elements around one are found by halving: spans of places are split at powers of two, so that a row meets only
+    the spans it lies in, never all elements of its file.
+    """
+    all_sizes = [1 << 2 * k for k in range(16)]
+    wide = outer.select("id", F.col("node").alias("a"), "end", step.alias("step")).withColumn("size", F.element_at(F.array(*map(F.lit, all_sizes)), F.least(F.lit(16), F.ceil(F.log2(F.col("end") - F.col("a") + 2) / 2).cast("int") + 1)))
+    cells = wide.select("*", F.explode(F.sequence(F.floor(F.col("a") / F.col("size")), F.floor(F.col("end") / F.col("size")))).alias("cell"))
+    # the sizes in use, sixteen at most
+    sizes = sorted(r["size"] for r in wide.select("size").distinct().collect()) or all_sizes[:1]
+    points = inner.select("id", "node", F.explode(F.array(*(F.struct(F.lit(s).alias("size"), F.floor(F.col("node") / s).alias("cell")) for s in sizes))).alias("c")).select("id", "node", "c.*")
+    met = points.join(cells, ["id", "size", "cell"]).where("a <= node and node <= end")
+    return met.groupBy("id", "node").agg(F.transform(F.sort_array(F.collect_list(F.struct("a", "step"))), lambda x: x["step"]).alias("path"))

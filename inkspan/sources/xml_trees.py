@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from inkspan.functions.staging import staged
 from inkspan.functions.text import newlines
-from inkspan.sources.nesting import nested
+from inkspan.sources.nesting import enclosing, nested
 
 _ATTRIBUTE = r"""\s+([^<>"'=\s/]+)\s*=\s*("[^"<]*"|'[^'<]*')"""
 TOKEN = r"""<!--[\s\S]*?-->|<!\[CDATA\[[\s\S]*?\]\]>|<\?[\s\S]*?\?>|</?[^\s<>/!?]++(?:\s++[^<>"'=\s/]++\s*+=\s*+(?:"[^"<]*+"|'[^'<]*+'))*+\s*+/?>|[^<]++"""
@@ -102,21 +102,6 @@ def _equivalents(n: DataFrame) -> DataFrame:
     return best.join(unicode_, ["id", "equiv"], "left").join(text, ["id", "unicode"], "left").select("id", "node", F.coalesce("said", F.lit("")).alias("said"))
 
 
-def _paths(inner: DataFrame, outer: DataFrame, step: Column) -> DataFrame:
-    """(id, node, path): per row of inner the steps of the outer elements around or at it, outermost first.
-
-    The elements around one are found by halving: spans of places are split at powers of two, so that a row meets only
-    the spans it lies in, never all elements of its file.
-    """
-    span = lambda size: F.floor(F.col("node") / size)
-    sizes = [1 << 2 * k for k in range(16)]
-    wide = outer.select("id", F.col("node").alias("a"), "end", step.alias("step")).withColumn("size", F.element_at(F.array(*map(F.lit, sizes)), F.least(F.lit(16), F.ceil(F.log2(F.col("end") - F.col("a") + 2) / 2).cast("int") + 1)))
-    cells = wide.select("*", F.explode(F.sequence(F.floor(F.col("a") / F.col("size")), F.floor(F.col("end") / F.col("size")))).alias("cell"))
-    points = inner.select("id", "node", F.explode(F.array(*(F.struct(F.lit(s).alias("size"), span(s).alias("cell")) for s in sizes))).alias("c")).select("id", "node", "c.*")
-    met = points.join(cells, ["id", "size", "cell"]).where("a <= node and node <= end")
-    return met.groupBy("id", "node").agg(F.transform(F.sort_array(F.collect_list(F.struct("a", "step"))), lambda x: x["step"]).alias("path"))
-
-
 def page_lines(files: DataFrame, id_col: str = "path", text_col: str = "content") -> DataFrame:
     """(id_col, page, line, text) of PAGE files in their reading order.
 
@@ -137,12 +122,12 @@ def page_lines(files: DataFrame, id_col: str = "path", text_col: str = "content"
     index = F.when(F.col("name").endswith("Indexed"), F.coalesce(attr("index").try_cast("int"), F.lit(0))).otherwise(beside)
     heads = n.where("name = 'ReadingOrder'").select("id", F.col("node").alias("parent"), F.lit(True).alias("head"))
     refs = refs.withColumn("index", index).join(heads, ["id", "parent"], "left").withColumn("step", F.struct(F.when(F.col("head"), F.col("node")).otherwise(F.col("index")).alias("index"), "node"))
-    named = on_page(refs.where("head is null").select("id", "node", attr("regionRef").alias("region"))).where("region <> ''").join(_paths(refs, refs, F.col("step")), ["id", "node"])
+    named = on_page(refs.where("head is null").select("id", "node", attr("regionRef").alias("region"))).where("region <> ''").join(enclosing(refs, refs, F.col("step")), ["id", "node"])
     named = named.groupBy("id", "page", "region").agg(F.min("path").alias("path"))
 
     roles = n.where("name = 'TableCellRole'").select("id", "node", "attrs")
     own = n.where(is_region).select("id", "node", "end", "parent", "name", "attrs")
-    cell = _paths(roles.select("id", "node"), own, F.struct(F.col("node").alias("node"), "end")).select("id", F.col("node").alias("role"), F.explode("path").alias("around"))
+    cell = enclosing(roles.select("id", "node"), own, F.struct(F.col("node").alias("node"), "end")).select("id", F.col("node").alias("role"), F.explode("path").alias("around"))
     cell = cell.groupBy("id", F.col("around.node").alias("node")).agg(F.min("role").alias("role")).join(roles.select("id", F.col("node").alias("role"), F.col("attrs").alias("role_attrs")), ["id", "role"])
     place = lambda a, b: F.when(attr("row").isNotNull() & attr("col").isNotNull(), attr(a)).otherwise(F.try_element_at("role_attrs", F.lit(b))).try_cast("int")
     regions = on_page(own.join(cell, ["id", "node"], "left")).withColumns({"row": place("row", "rowIndex"), "col": place("col", "columnIndex"), "region": attr("id")})
@@ -166,7 +151,7 @@ def page_lines(files: DataFrame, id_col: str = "path", text_col: str = "content"
     texts = line_text.unionByName(bare)
 
     # from the innermost region that the order names, or that is in none, the way down to the line
-    way = _paths(texts, marked, F.col("step"))
+    way = enclosing(texts, marked, F.col("step"))
     last = F.aggregate("path", F.struct(F.lit(-1).alias("k"), F.lit(-1).alias("i")), lambda acc, x: F.struct(F.when(x["starts"], acc["i"] + 1).otherwise(acc["k"]).alias("k"), (acc["i"] + 1).alias("i")), lambda acc: acc["k"])
     ways = way.withColumn("k", last).withColumn("start", F.get("path", F.col("k")))
     # the line itself ends its way, so that it takes its place among the regions beside it
