@@ -74,7 +74,7 @@ def looks_binary(data: Column) -> Column:
     """Whether the head of bytes has zeros beyond one in a hundred, or control bytes beyond a tenth."""
     def told(head):
         n = F.length(head)
-        zeros = n - F.length(F.translate(head, "\0", ""))
+        zeros = n - F.length(F.replace(head, F.lit("\0"), F.lit("")))
         controls = n - F.length(F.regexp_replace(head, r"[\x00-\x08\x0E-\x1A\x1C-\x1F]", ""))
         return (n > 0) & ((zeros > F.greatest(F.lit(1), F.floor(n / 100))) | (controls > CONTROLS * n))
 

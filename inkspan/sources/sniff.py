@@ -219,7 +219,7 @@ def _rules(s: Column, head: Column, data: Column, over: Column, ext: Column, ins
                 .when(by_name.isNotNull(), _is(by_name)).when(mbox, _is("mbox")).when(is_mail(p), _is("eml")).when(subtitled, _is("srt")).when(p.rlike(r"^[{\[]"), json_or_text(data, over, max_mb)).otherwise(_is("txt")))
 
     # one text to go on with: the head's letters, or what its mark or zeros tell
-    probe = F.when(marked, _let(decode_bytes(whole), lambda x: F.struct(x["text"].alias("text"), F.when(x["status"] != "ok", x["status"]).alias("reason")))).otherwise(F.struct(F.when(~looks_binary(head), s).alias("text"), F.when(looks_binary(head), "binary_content").alias("reason")))
+    probe = F.when(marked, _let(decode_bytes(whole), lambda x: F.struct(x["text"].alias("text"), F.when(x["status"] != "ok", x["status"]).alias("reason")))).otherwise(_let(looks_binary(head), lambda b: F.struct(F.when(~b, s).alias("text"), F.when(b, "binary_content").alias("reason"))))
     text = _let(probe, lambda x: F.when(x["reason"].isNotNull(), _no(x["reason"])).otherwise(_let(_lead(x["text"]), of_text)))
     found = (F.when(inside & F.exists(F.array(*(F.lit(p) for p in WRAPPERS.values())), lambda p: F.regexp_like(s, p)), _no("archive_unsupported")).when(body.startswith("%PDF-") | lenient, within(_is("pdf"))).when(s.startswith(OLE2), _no("legacy_office_unsupported")).when(starts_zip, within(package))
              .when(_any(s, IMAGES) | s.startswith("RIFF") & (F.substr(s, F.lit(9), F.lit(4)) == "WEBP"), _no("image_needs_ocr")).when((F.substr(s, F.lit(258), F.lit(5)) == "ustar") | (ext == ".tar") | _any(s, ARCHIVES), _no("archive_unsupported")).when(body.startswith("{\\rtf"), _is("rtf")).otherwise(text))
