@@ -5,19 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df written below spark.checkpoint.dir and read back, where several steps read it: it is computed once, and lost
-    executors lose nothing. Where no folder is set, a session in one process takes a temporary one; a cluster must name it."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's path below spark.checkpoint.dir. Where none is set, a session in one process takes a temporary one; a
+    cluster must name it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/inkspan-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/inkspan-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written below spark.checkpoint.dir and read back, where several steps read it: it is computed once, and lost
+    executors lose nothing."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inkspan.functions import decode, lines as kinds
 from inkspan.operators import evaluation, layout, quality, records, routing
-from inkspan.plans import alignment_queries, bytes_queries, content_queries, geometry_queries, provenance_queries, record_queries, sniff_queries, spatial_queries, table_queries, validation_queries, xml_queries
+from inkspan.plans import alignment_queries, bytes_queries, content_queries, geometry_queries, provenance_queries, record_queries, sink_queries, sniff_queries, spatial_queries, table_queries, validation_queries, xml_queries
 from inkspan.sources import text as sources
 from inkspan.sources.text import text_lines
 
@@ -335,6 +335,6 @@ ORACLES = {
     "jsonl_pages": "select c_custkey as path, unnest([1, 4, 4]) as page, unnest([1, 1, 2]) as line, unnest([c_name, c_mktsegment, 'x']) as text from customer",
 }
 
-for more in (content_queries, xml_queries, geometry_queries, spatial_queries, table_queries, alignment_queries, bytes_queries, sniff_queries, provenance_queries, validation_queries, record_queries):
+for more in (content_queries, xml_queries, geometry_queries, spatial_queries, table_queries, alignment_queries, bytes_queries, sniff_queries, provenance_queries, validation_queries, record_queries, sink_queries):
     QUERIES |= more.QUERIES
-    ORACLES |= more._oracles() if more is record_queries else more.ORACLES
+    ORACLES |= more._oracles() if more in (record_queries, sink_queries) else more.ORACLES
