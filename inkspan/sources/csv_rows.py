@@ -27,12 +27,12 @@ def _cells(text: Column, mark: Column) -> Column:
     return F.regexp_extract_all(text, F.concat(F.lit('\\G(?:"(?:[^"]|"")*+"|'), plain, F.lit(")(?:\\r\\n|[\\r\\n]|\\Q"), mark, F.lit("\\E|\\z)")), F.lit(0))
 
 
-def csv_table(files: DataFrame, id_col: str = "path", text_col: str = "content", kind: str = "csv") -> DataFrame:
+def csv_table(files: DataFrame, id_col: str = "path", text_col: str = "content", kind: str = "csv", broken: bool = False) -> DataFrame:
     """(id_col, status, rows) per content: ok with the rows as arrays of cells, or corrupt with none; null for null.
 
     Cells have their white space collapsed; in quotes a doubled quote is one, and delimiters and line ends are text. A
     quote that never ends, or is followed by more than a delimiter or line end, makes a content corrupt. NULs are
-    dropped. kind "tsv" takes tabs, "csv" each content's own delimiter. Nothing moves between tasks.
+    dropped. With broken, a corrupt content keeps the rows that end before its fault. kind "tsv" takes tabs, "csv" each content's own delimiter. Nothing moves between tasks.
     """
     text = F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\0"))
     t = files.select(id_col, F.col(text_col).isNull().alias("__null"), text.alias("__text")).withColumn("__mark", F.lit("\t") if kind == "tsv" else delimiter(F.col("__text")))
@@ -48,13 +48,16 @@ def csv_table(files: DataFrame, id_col: str = "path", text_col: str = "content",
     flat = F.array_join(F.transform("__cells", cell), "")
     rows = F.transform(F.split(flat, _ROW), lambda r: F.split(F.regexp_replace(r, f"{_CELL}$", ""), _CELL))
     status = F.when(F.col("__null"), None).when(sound, "ok").otherwise("corrupt")
-    return t.select(id_col, status.alias("status"), F.when(status == "ok", rows).alias("rows"))
+    sane = F.when(status == "ok", rows)
+    if broken:
+        sane = F.when(status == "corrupt", F.slice(rows, F.lit(1), F.greatest(F.size(rows) - 1, F.lit(0)))).otherwise(sane)
+    return t.select(id_col, status.alias("status"), sane.alias("rows"))
 
 
-def csv_rows(files: DataFrame, id_col: str = "path", text_col: str = "content", kind: str = "csv") -> DataFrame:
+def csv_rows(files: DataFrame, id_col: str = "path", text_col: str = "content", kind: str = "csv", broken: bool = False) -> DataFrame:
     """(id_col, line, text): the non-empty cells of each row joined by a tab; rows without one are left out and not
-    counted. Contents that are null or corrupt have none; csv_table tells them."""
+    counted. Contents that are null or corrupt have none, but with broken; csv_table tells them."""
     lines = F.transform("rows", lambda r: F.array_join(F.filter(r, lambda c: c != ""), "\t"))
-    table = csv_table(files, id_col, text_col, kind)
+    table = csv_table(files, id_col, text_col, kind, broken)
     out = table.select(id_col, F.posexplode(F.filter(lines, lambda x: x != "")).alias("l", "text"))
     return out.select(id_col, (F.col("l") + 1).alias("line"), "text")

@@ -47,6 +47,14 @@ def json_status(text: Column) -> Column:
     return F.when(text.isNull(), None).when(within("[", "]") & within('{"v":', "}"), "ok").otherwise("corrupt")
 
 
+def json_values(files: DataFrame, id_col: str = "path", text_col: str = "content") -> DataFrame:
+    """(id_col, at, text): every string value of a content in document order, counted from 0, keys left out. Contents that
+    are null or corrupt have none; json_status tells them. Nothing moves between tasks."""
+    values = F.filter(F.regexp_extract_all(F.col(text_col), F.lit(STRING), F.lit(0)), lambda t: ~t.endswith(":"))
+    good = files.where(json_status(F.col(text_col)) == "ok")
+    return good.select(id_col, F.posexplode(F.transform(values, unquoted)).alias("at", "text"))
+
+
 def json_strings(files: DataFrame, id_col: str = "path", text_col: str = "content") -> DataFrame:
     """(id_col, group, line, text): every string value of a content in document order, keys left out; a value is a group,
     counted from 0, and its line feeds part lines, counted from 1 in the whole content. Contents that are null or

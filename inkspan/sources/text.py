@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import csv
-import io
-import json
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from inkspan.functions.text import newlines
+from inkspan.sources.csv_rows import csv_rows
+from inkspan.sources.json_trees import json_values
 
 
 def text_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -25,62 +21,18 @@ def text_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return lines.select(id_col, "page", (F.col("l") + 1).alias("line"), "text")
 
 
-def _numbered(files: DataFrame, id_col: str, lists) -> DataFrame:
-    out = files.select(id_col, F.posexplode(lists).alias("l", "text"))
-    return out.select(id_col, (F.col("l") + 1).alias("line"), "text")
-
-
 def csv_lines(files: DataFrame, id_col: str = "path", text_col: str = "content") -> DataFrame:
-    """(id_col, line, text): the non-empty cells of each row of a CSV or TSV content, joined by a tab.
-
-    The delimiter is guessed per content, a comma if there is nothing to guess from. Rows without a cell are skipped;
-    a content that is no CSV (an open quote) has the lines it has up to there. Null contents have none.
-    """
-    @pandas_udf("array<string>")
-    def rows(contents: pd.Series) -> pd.Series:
-        def read(text):
-            out, text = [], (text or "").replace("\0", "")
-            try:
-                mark = csv.Sniffer().sniff(text[:65536], delimiters=",;\t|").delimiter
-            except csv.Error:
-                mark = ","
-            csv.field_size_limit(1 << 30)
-            try:
-                for row in csv.reader(io.StringIO(text, newline=""), delimiter=mark, strict=True):
-                    cells = list(filter(None, (" ".join(c.split()) for c in row)))
-                    out += ["\t".join(cells)] if cells else []
-            except csv.Error:
-                pass
-            return out
-
-        return contents.map(read)
-
-    return _numbered(files, id_col, rows(F.col(text_col)))
+    """(id_col, line, text): csv_rows with each content's own delimiter. A content that is no CSV (an open quote) has the
+    lines it has up to there; csv_rows refuses it. Null contents have none."""
+    return csv_rows(files, id_col, text_col, broken=True)
 
 
 def json_lines(files: DataFrame, id_col: str = "path", text_col: str = "content") -> DataFrame:
-    """(id_col, line, text): every string value of a JSON content in document order, keys left out.
+    """(id_col, line, text): every string value of a JSON content in document order, a line each, keys left out.
 
     Contents that are no JSON, and null ones, have no lines.
     """
-    def strings(value):
-        if isinstance(value, str):
-            yield value
-        elif isinstance(value, (list, dict)):
-            for x in value.values() if isinstance(value, dict) else value:
-                yield from strings(x)
-
-    @pandas_udf("array<string>")
-    def leaves(contents: pd.Series) -> pd.Series:
-        def read(text):
-            try:
-                return list(strings(json.loads(text or "null")))
-            except (ValueError, RecursionError):
-                return []
-
-        return contents.map(read)
-
-    return _numbered(files, id_col, leaves(F.col(text_col)))
+    return json_values(files, id_col, text_col).select(id_col, (F.col("at") + 1).alias("line"), "text")
 
 
 def jsonl_pages(files: DataFrame, id_col: str = "path", text_col: str = "content") -> DataFrame:
