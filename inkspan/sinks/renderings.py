@@ -30,9 +30,9 @@ def _quoted(text: Column) -> Column:
     return F.regexp_replace(F.to_json(F.array(text.cast("string"))), r"^\[|\]$", "")
 
 
-def _placed(lines: DataFrame, file: str, page: str, line: str, text: str) -> tuple[DataFrame, dict]:
+def _placed(lines: DataFrame, file: str, page: str, line: str, text: str, title: str | None = None) -> tuple[DataFrame, dict]:
     """Lines with whether they begin or end their page or file and whether they say something."""
-    d = lines.select(F.col(file).alias("file"), F.col(page).alias("page"), F.col(line).alias("line"), stripped(F.col(text)).alias("said"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    d = lines.select(F.col(file).alias("file"), F.col(page).alias("page"), F.col(line).alias("line"), stripped(F.col(text)).alias("said"), F.coalesce(F.col(text), F.lit("")).alias("text"), *([] if title is None else [F.col(title).alias("title")]))
     order = Window.partitionBy("file").orderBy("page", "line", "text")
     d = d.withColumns({"before": F.lag(F.struct("page")).over(order), "after": F.lead(F.struct("page")).over(order)})
     new = F.col("before").isNull() | ~F.col("before.page").eqNullSafe(F.col("page"))
@@ -58,20 +58,15 @@ def plain_parts(lines: DataFrame, file: str, page: str = "page", line: str = "li
 
 def markdown_parts(lines: DataFrame, file: str, page: str = "page", line: str = "line", text: str = "text", title: str | None = None) -> DataFrame:
     """(file, page, line, tie, part) of Markdown: a heading per page, blank pages too, and below it a row per line that
-    says something, stripped and so that it reads as neither heading nor comment; title, a column, heads the file."""
-    source = lines if title is None else lines.withColumn("__title", F.col(title))
-    d, w = _placed(source, file, page, line, text)
+    says something, stripped and so that it reads as neither heading nor comment; title, a column, heads the file by the
+    value of its first line."""
+    d, _ = _placed(lines, file, page, line, text, title)
     # lines that say something are counted per page by a window of the same order
     on_page = Window.partitionBy("file", "page").orderBy("line", "text").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("filled", F.max("full").over(on_page))
     head = F.concat(F.when(~F.col("first"), F.lit("\n\n")).otherwise(""), F.lit("## Page "), _one_line(F.coalesce(F.col("page").cast("string"), F.lit("None"))), F.lit("\n"))
-    part = F.concat(F.when(F.col("new"), head).otherwise(""), F.when(F.col("full"), F.concat(F.lit("\n"), _shown(F.col("said")))).otherwise(""), F.when(F.col("last") & F.col("filled"), "\n").otherwise(""))
-    out = _parts(d, part)
-    if title is None:
-        return out
-    heads = source.groupBy(F.col(file).alias("file")).agg(F.min("__title").alias("name"), F.min(F.struct(F.col(page).alias("page"), F.col(line).alias("line"), F.coalesce(F.col(text), F.lit("")).alias("tie"))).alias("at"))
-    named = heads.where("name is not null").select("file", "at", F.concat(F.lit("# "), _one_line(F.col("name")), F.lit("\n\n")).alias("head"))
-    return out.join(named, "file", "left").withColumn("part", F.when(F.struct("page", "line", "tie").eqNullSafe(F.col("at")) & F.col("part").startswith("## Page "), F.concat("head", "part")).otherwise(F.col("part"))).select("file", "page", "line", "tie", "part")
+    named = F.lit("") if title is None else F.when(F.col("first") & F.col("title").isNotNull(), F.concat(F.lit("# "), _one_line(F.col("title")), F.lit("\n\n"))).otherwise("")
+    return _parts(d, F.concat(named, F.when(F.col("new"), head).otherwise(""), F.when(F.col("full"), F.concat(F.lit("\n"), _shown(F.col("said")))).otherwise(""), F.when(F.col("last") & F.col("filled"), "\n").otherwise("")))
 
 
 def json_parts(lines: DataFrame, file: str, page: str = "page", line: str = "line", text: str = "text") -> DataFrame:
