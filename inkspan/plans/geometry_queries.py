@@ -11,7 +11,7 @@ KEYS = ["doc_id", "page"]
 
 def _words(spark, d):
     """Words six to a row, 40 rows to a column; tops a little apart; a wider gap after every 37th word; in every other document one row in 20 spans all
-    columns, in larger type; sizes and bold type change by place."""
+    columns, in larger type; sizes and bold type change by place. A text's words come in order, so that pages stand together."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
     w = docs.select("doc_id", (F.col("doc_id") % 3 + 1).alias("cols"), F.posexplode(F.split("text", r"\s+")).alias("k", "text")).where("text <> ''")
     row = F.floor(F.col("k") / 6)
@@ -25,7 +25,7 @@ def _words(spark, d):
 
 
 def _units(spark, d):
-    return geometry.line_units(geometry.segments(geometry.cluster_lines(_words(spark, d), KEYS, "k"), KEYS, "k"), KEYS, "k")
+    return geometry.page_units(_words(spark, d), KEYS, "k")
 
 
 def _ordered(spark, d):
@@ -34,7 +34,7 @@ def _ordered(spark, d):
 
 
 QUERIES = {
-    "word_rows": lambda s, d: geometry.segments(geometry.cluster_lines(_words(s, d), KEYS, "k"), KEYS, "k").select(*KEYS, "k", "row", "unit"),
+    "word_rows": lambda s, d: geometry.page_segments(_words(s, d).select(*KEYS, "k", "x0", "top", "x1", "size"), KEYS, "k").select(*KEYS, "k", "row", "unit"),
     "line_units": lambda s, d: _units(s, d),
     "page_gutters": lambda s, d: geometry.gutters(_units(s, d), KEYS),
     "reading_order": lambda s, d: _ordered(s, d).select(*KEYS, "unit", "spanning", "column", "place"),
