@@ -104,10 +104,15 @@ def line_segments(words: DataFrame, pairs: DataFrame, rendered: DataFrame, doc:
 def compared(left: DataFrame, right: DataFrame, page: str, text: str, edges: Sequence[str], order: str) -> DataFrame:
     """(page, key, side, delta): the lines of two extractions by page and collapsed text, on both sides, left or right
     only, with the largest difference of an edge where both have it. Of equal keys on a side the last by order counts."""
-    def last(side: DataFrame, name: str) -> DataFrame:
-        return side.groupBy(F.col(page).alias("page"), collapsed(F.col(text)).alias("key")).agg(F.max_by(F.struct(*edges), order).alias(name))
-
-    both = last(left, "one").join(last(right, "two"), ["page", "key"], "full")
-    delta = F.greatest(*(F.abs(F.col(f"one.{e}") - F.col(f"two.{e}")) for e in edges), F.lit(0.0)) if len(edges) else F.lit(0.0)
-    side = F.when(F.col("one").isNull(), "right").when(F.col("two").isNull(), "left").otherwise("both")
+    def read(rows: DataFrame, right: bool) -> DataFrame:
+        return rows.select(F.col(page).alias("page"), collapsed(F.col(text)).alias("key"), F.lit(right).alias("right"), F.col(order).alias("at"), *(F.col(e).alias(f"e{i}") for i, e in enumerate(edges)))
+
+    # both sides in one shuffle; a null page meets none, so there each side stays by itself
+    rows = read(left, False).unionByName(read(right, True)).repartition("page", "key").withColumn("apart", F.when(F.col("page").isNull(), F.col("right")))
+    of = lambda c, right: F.when(F.col("right") == right, F.col(c))
+    # the last of a side by columns of fixed width, which hash in place where structs would be sorted
+    lasts = [F.max_by(of(f"e{i}", side), of("at", side)).alias(f"{name}{i}") for side, name in ((False, "one"), (True, "two")) for i in range(len(edges))]
+    both = rows.groupBy("page", "key", "apart").agg(F.max(of("at", False)).isNotNull().alias("left"), F.max(of("at", True)).isNotNull().alias("there"), *lasts)
+    delta = F.greatest(*(F.abs(F.col(f"one{i}") - F.col(f"two{i}")) for i in range(len(edges))), F.lit(0.0)) if len(edges) else F.lit(0.0)
+    side = F.when(~F.col("left"), "right").when(~F.col("there"), "left").otherwise("both")
     return both.select("page", "key", side.alias("side"), F.when(side == "both", delta).alias("delta"))

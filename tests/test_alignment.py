@@ -37,3 +37,14 @@ def test_aligned_words_of_documents(spark):
         pairs = sorted(got.get(d, []))
         assert all(a[i] == b[j] != "" for i, j in pairs) and len(pairs) == plain_length([w for w in a if w], [w for w in b if w])
     assert set(got) <= set(sides[0]) & set(sides[1])
+
+
+def test_compared_sides_meet_in_one_shuffle(spark):
+    from inkspan.operators import alignment
+
+    one = spark.createDataFrame([(1, "a  b", 0, 1.0), (1, "a b", 1, None), (None, "x", 0, 2.0), (2, "t", 0, 5.0)], "page int, text string, k int, e double")
+    two = spark.createDataFrame([(1, "a b", 4, 3.0), (None, "x", 0, 9.0), (2, "t", 0, 1.5), (3, "u", 0, 1.0)], "page int, text string, k int, e double")
+    out = alignment.compared(one, two, "page", "text", ["e"], "k")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "a b", "both", 0.0), (None, "x", "left", None), (None, "x", "right", None), (2, "t", "both", 3.5), (3, "u", "right", None)], key=str)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "SortAggregate" not in plan
