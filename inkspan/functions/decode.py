@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Letters of the language; those of them that survive the misreading; letters that it cannot produce.
@@ -23,26 +23,45 @@ _PAIRS = [p for p in map(_both, range(0x80, 0x100)) if p]
 #: What a byte gives when read as Western text where a Czech letter was meant.
 MISREADS = {w: e for w, e in _PAIRS if w != e and e in CZECH}
 WESTERN = "".join(w for w, _ in _PAIRS)
+BEYOND = r"[^\x{00}-\x{7f}]"
 
 
 def _class(chars: str) -> str:
     return "[^" + "".join(f"\\x{{{ord(c):x}}}" for c in chars) + "]"
 
 
+def _counts(t: Column, wide: Column) -> dict[str, Column]:
+    """What a report is made of; wide tells whether the text has anything beyond ASCII, without which only letters, white
+    space and controls are left to tell."""
+    def count(pattern: str) -> Column:
+        # a run goes in one match, as what is taken out is most of a text
+        return F.length(F.regexp_replace(t, pattern + "++", ""))
+
+    outside = r"[^\x{00}-\x{7f}" + "".join(f"\\x{{{ord(c):x}}}" for c in WESTERN) + "]"
+    lost = F.length(F.regexp_replace(F.regexp_replace(t, r"[^\x{fffd}\p{Cc}\p{Cf}\p{Co}\p{Cn}]++", ""), r"[\s\x{1c}-\x{1f}\x{85}]++", ""))
+    return {"letters": F.when(wide, count(r"[^\p{L}]")).otherwise(count("[^A-Za-z]")), "hits": F.when(wide, count(_class("".join(MISREADS)))).otherwise(0),
+            "chars": F.when(wide, count(r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]")).otherwise(count(r"[\s\x{1c}-\x{1f}]")), "bad": F.when(wide, lost).otherwise(count(r"[^\x{00}-\x{08}\x{0e}-\x{1b}\x{7f}]")),
+            "encodable": ~(wide & t.rlike(outside)), "foreign": wide & t.rlike(f"[{FOREIGN}]"), "shared": wide & t.rlike(f"[{SHARED}]")}
+
+
+def _report(n: dict[str, Column]) -> Column:
+    none = n["letters"] == 0
+    return F.struct(n["letters"].alias("letters"), F.when(none, 0).otherwise(n["hits"]).alias("suspicious"), n["chars"].alias("chars"), n["bad"].alias("bad"),
+                    F.when(none, 1.0).otherwise(1.0 - n["hits"] / n["letters"]).alias("score"), *(n[k].alias(k) for k in ("encodable", "foreign", "shared")))
+
+
 def decode_report(text: Column) -> Column:
     """struct(letters, suspicious, chars, bad, score, encodable, foreign, shared); null counts as empty."""
     t = F.coalesce(text, F.lit(""))
+    return _report(_counts(t, t.rlike(BEYOND)))
 
-    def count(pattern: str) -> Column:
-        return F.length(F.regexp_replace(t, pattern, ""))
-
-    letters, suspicious = count(r"[^\p{L}]"), count(_class("".join(MISREADS)))
-    score = F.when(letters == 0, 1.0).otherwise(1.0 - suspicious / letters)
-    return F.struct(
-        letters.alias("letters"), F.when(letters == 0, 0).otherwise(suspicious).alias("suspicious"), count(r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]").alias("chars"),
-        F.length(F.regexp_replace(F.regexp_replace(t, r"[\s\x{1c}-\x{1f}\x{85}]", ""), r"[^\x{fffd}\p{Cc}\p{Cf}\p{Co}\p{Cn}]", "")).alias("bad"), score.alias("score"),
-        (count(r"[\x{00}-\x{7f}" + "".join(f"\\x{{{ord(c):x}}}" for c in WESTERN) + "]") == 0).alias("encodable"),
-        (count(_class(FOREIGN)) > 0).alias("foreign"), (count(_class(SHARED)) > 0).alias("shared"))
+
+def with_report(lines: DataFrame, text_col: str, name: str) -> DataFrame:
+    """lines with the report of a text; the counts are columns of their own first, so that what reads the report makes none anew."""
+    own = lines.withColumn("__text", F.coalesce(text_col, F.lit(""))).withColumn("__wide", F.col("__text").rlike(BEYOND))
+    counts = _counts(F.col("__text"), F.col("__wide"))
+    counted = own.withColumns({f"__{k}": c for k, c in counts.items()})
+    return counted.withColumn(name, _report({k: F.col(f"__{k}") for k in counts})).drop("__text", "__wide", *(f"__{k}" for k in counts))
 
 
 def is_mojibake(r: Column) -> Column:

@@ -15,6 +15,8 @@ WHITE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{202
 #: Fixed value: line separators besides CRLF that become a line feed; the form feed stays, as it ends a page.
 LINE_ENDS = "\r\x0b\x1c\x1d\x1e\x85\u2028\u2029"
 
+_ANY_END = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in LINE_ENDS) + "]"
+
 
 @pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
@@ -34,7 +36,9 @@ def normalized(text: Column, lowercase: bool = False) -> Column:
 
 
 def newlines(text: Column) -> Column:
-    return F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), LINE_ENDS, "\n" * len(LINE_ENDS))
+    # translation takes characters one by one, so it is for texts that have one of them
+    even = F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), LINE_ENDS, "\n" * len(LINE_ENDS))
+    return F.when(text.rlike(_ANY_END), even).otherwise(text)
 
 
 def words(text: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkspan.functions.decode import decode_report, is_mojibake, is_undecodable, line_quality
+from inkspan.functions.decode import decode_report, is_mojibake, is_undecodable, line_quality, with_report
 
 #: Kinds of pages by what they hold.
 FACETS = {
@@ -26,7 +26,7 @@ def decoded_lines(lines: DataFrame, page: Sequence[str], text_col: str = "text")
     Once a line of a page is a misreading, its other lines with a misread letter are too, unless they hold what the
     misreading cannot produce. That verdict is one flag per page, joined back.
     """
-    r = lines.withColumn("__r", decode_report(F.col(text_col)))
+    r = with_report(lines, text_col, "__r")
     r = r.withColumns({"__m": is_mojibake(F.col("__r")), "__u": is_undecodable(F.col("__r"))})
     condemned = F.max("__m").over(Window.partitionBy(*page))
     weak = condemned & (F.col("__r.suspicious") >= 1) & F.col("__r.encodable") & ~F.col("__r.foreign")

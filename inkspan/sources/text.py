@@ -13,7 +13,8 @@ from inkspan.sources.json_trees import json_values
 def text_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, page, line, text): pages end at form feeds, lines at any other line separator, both counted from 1. A
     final line end opens no further line, and blank pages at the end are none; null texts have no lines."""
-    even = newlines(F.col(text_col))
+    even = F.col("__even")
+    docs = docs.select(id_col, F.col(text_col), newlines(F.col(text_col)).alias("__even"))
     text = F.when(F.contains(even, F.lit("\f")), F.regexp_replace(even, r"(\f\s*)+\z", "")).otherwise(even)
     pages = docs.where(F.col(text_col).isNotNull()).select(id_col, F.posexplode(F.split(text, "\f")).alias("p", "t"))
     whole = F.when(F.endswith("t", F.lit("\n")), F.left("t", F.length("t") - 1)).otherwise(F.col("t"))

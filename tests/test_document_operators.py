@@ -176,3 +176,28 @@ def test_expected_calibration_error(spark):
     d = spark.createDataFrame([(0.25, True), (0.25, False), (1.0, True)], "c double, ok boolean")
     assert abs(evaluation.expected_calibration_error(d, "c", "ok").first()["ece"] - 0.5 / 3) < 1e-12
     assert tuple(evaluation.expected_calibration_error(d.limit(0), "c", "ok").first()) == (0, None)
+
+
+def test_counts_of_decode_reports_match_one_by_one(spark):
+    """Runs taken out in one match, and ASCII told apart, leave the counts as they are by character; the columns that
+    make up a report are counted once, whatever reads it."""
+    import re
+    import unicodedata
+
+    from inkspan.functions import decode
+    from inkspan.functions.text import newlines
+    from inkspan.operators import routing
+
+    texts = ["", None, "plain words 12", "tab\tand\x01\x02 \x7f\x1c", "Pøíli¹ ¾lu»ouèký àê", "a b　c​�", "ÁÍú žš", "\x85x\x0b"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, text string")
+    white = set(" \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85")
+    for row in d.select("text", decode.decode_report(d.text).alias("r")).collect():
+        t, r = row.text or "", row.r
+        assert r.letters == sum(unicodedata.category(c)[0] == "L" for c in t)
+        assert r.chars == sum(c not in white and unicodedata.category(c)[0] != "Z" for c in t)
+        assert r.bad == sum(c not in white and (c == "�" or unicodedata.category(c) in ("Cc", "Cf", "Co", "Cn")) for c in t)
+        assert r.suspicious == (sum(c in decode.MISREADS for c in t) if r.letters else 0)
+        assert (r.foreign, r.shared) == (any(c in decode.FOREIGN for c in t), any(c in decode.SHARED for c in t))
+    assert [x.t for x in d.select(newlines(d.text).alias("t")).collect() if x.t] == [re.sub("\r\n|[\r\x0b\x1c\x1d\x1e\x85  ]", "\n", t) for t in texts if t]
+    plan = routing.decoded_lines(d, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("p{Cn}") == 1
