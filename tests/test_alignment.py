@@ -46,5 +46,5 @@ def test_compared_sides_meet_in_one_shuffle(spark):
     two = spark.createDataFrame([(1, "a b", 4, 3.0), (None, "x", 0, 9.0), (2, "t", 0, 1.5), (3, "u", 0, 1.0)], "page int, text string, k int, e double")
     out = alignment.compared(one, two, "page", "text", ["e"], "k")
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "a b", "both", 0.0), (None, "x", "left", None), (None, "x", "right", None), (2, "t", "both", 3.5), (3, "u", "right", None)], key=str)
-    plan = out._jdf.queryExecution().executedPlan().toString()
+    plan = alignment.compared(one, two, "page", "text", ["e"], "k")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan and "SortAggregate" not in plan
