@@ -73,24 +73,18 @@ def json_nodes(files: DataFrame, id_col: str = "path", text_col: str = "content"
     value is the text of a string, raw the token of what is no string. Ids must be unique and not null.
     """
     good = files.where(F.col(id_col).isNotNull() & (json_status(F.col(text_col)) == "ok"))
-    tokens = good.select(F.col(id_col).alias("id"), F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), F.lit(0))).alias("pos", "tok"))
-    order = Window.partitionBy("id").orderBy("pos")
+    cut = good.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("content"), F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), F.lit(0)).alias("cut"))
+    is_key = lambda t: t.startswith('"') & t.endswith(":")
+    keyed = F.transform("cut", lambda t, i: F.struct(t.alias("tok"), F.when(i > 0, F.get("cut", i - 1)).alias("before")))
     first = F.left("tok", F.lit(1))
-    is_key = (first == '"') & F.col("tok").endswith(":")
-    t = tokens.withColumns({"opens": first.isin("{", "["), "closes": first.isin("}", "]"), "is_key": is_key})
-    t = t.withColumn("name", F.lag(F.when(is_key, F.col("tok"))).over(order)).where(~F.col("is_key"))
-    r = nested(t, F.struct("name"))
-    # how many named containers are open, so that the last one opened at that count is the one around
-    named = F.when(F.col("opens") & F.col("name").isNotNull(), 1).when(F.col("closes") & F.col("box.head.name").isNotNull(), -1).otherwise(0)
-    r = r.withColumn("deep", F.sum(named).over(order))
-    around = Window.partitionBy("id", "deep").orderBy("pos")
-    r = r.withColumn("key_box", F.last(F.when(F.col("opens") & F.col("name").isNotNull(), F.struct("pos", "name")), True).over(around))
-    nodes = r.where(~F.col("closes"))
+    t = cut.select("id", "content", F.posexplode(keyed).alias("pos", "x")).select("id", "content", "pos", "x.*").where(~is_key(F.col("tok")))
+    t = t.select("id", "content", "pos", "tok", first.isin("{", "[").alias("opens"), first.isin("}", "]").alias("closes"), F.when(is_key(F.col("before")), F.col("before")).alias("name"))
+    nodes = nested(t, "content").where(~F.col("closes"))
     own = F.col("name").isNotNull()
     text = lambda c: unquoted(F.regexp_replace(c, r"\s*:$", ""))
     kind = F.when(first == "{", "object").when(first == "[", "array").when(first == '"', "string").otherwise("other")
-    return nodes.select(F.col("id").alias(id_col), F.col("pos").alias("node"), F.coalesce("end", "pos").alias("end"), F.col("box.pos").alias("parent"), "level", kind.alias("kind"), F.when(own, text(F.col("name"))).alias("key"),
-                        F.when(own, F.col("pos")).otherwise(F.col("key_box.pos")).alias("at"), F.when(own, text(F.col("name"))).otherwise(text(F.col("key_box.name"))).alias("under"), F.when(first == '"', unquoted(F.col("tok"))).alias("value"), F.when(kind == "other", F.col("tok")).alias("raw"))
+    return nodes.select(F.col("id").alias(id_col), F.col("pos").alias("node"), F.coalesce("end", "pos").alias("end"), F.col("box").alias("parent"), "level", kind.alias("kind"), F.when(own, text(F.col("name"))).alias("key"),
+                        F.when(own, F.col("pos")).otherwise(F.col("key_box")).alias("at"), F.when(own, text(F.col("name"))).otherwise(text(F.col("key_name"))).alias("under"), F.when(first == '"', unquoted(F.col("tok"))).alias("value"), F.when(kind == "other", F.col("tok")).alias("raw"))
 
 
 def is_blob(text: Column) -> Column:

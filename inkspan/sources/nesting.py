@@ -2,30 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkspan.operators.page_geometry import whole_pages
+
+_NEW = "level int, end int, box int, box_name string, key_box int, key_name string, bad boolean"
+
+
+def _walk(opens: list, closes: list, pos: list, names: list) -> tuple[list, ...]:
+    """level, end, box, box_name, key_box and key_name of one content's tokens, by the brackets open at each."""
+    level, end, box, box_name, key_box, key_name = ([None] * len(pos) for _ in range(6))
+    around: list[int] = []
+    keyed: list[int] = []
+    for i, (o, c) in enumerate(zip(opens, closes)):
+        level[i] = len(around)
+        if around:
+            b = around[-1]
+            box[i], box_name[i] = pos[b], names[b]
+        if keyed:
+            key_box[i], key_name[i] = pos[keyed[-1]], names[keyed[-1]]
+        if o:
+            around.append(i)
+            if names[i] is not None:
+                keyed.append(i)
+        elif c and around:
+            b = around.pop()
+            end[b] = pos[i]
+            if keyed and keyed[-1] == b:
+                keyed.pop()
+    return level, end, box, box_name, key_box, key_name
 
-def nested(tokens: DataFrame, head: Column) -> DataFrame:
-    """tokens (id, pos, opens, closes, ...) with level, box and end.
 
-    level is how many brackets are open around a token; box is (pos, head) of the innermost of them, head being a struct
-    of a bracket's own columns (null outside of all); end is the place where an opening token's bracket closes, null if
-    it never does. Closing tokens stay, with their own bracket as box. A bracket stands once inside the one around it
-    and once as the head of its own, so that the last head at a level is the one around what follows there.
+def nested(tokens: DataFrame, content: str) -> DataFrame:
+    """tokens (content, pos, opens, closes, name, ...) with level, end, box, box_name, key_box, key_name and bad.
+
+    The tokens of a content must stand together and in order, as they do where it was taken apart; content is its number.
+    level is how many brackets are open around a token; box and box_name are the place and the name of the innermost of
+    them (null outside of all), key_box and key_name those of the innermost with a name; end is the place where an opening
+    token's bracket closes, null if it never does. Closing tokens stay, with their own bracket as box; bad are those that
+    close nothing. A stream of which one content is held: nothing moves between tasks.
     """
-    depth = F.sum(F.col("opens").cast("int") - F.col("closes").cast("int")).over(Window.partitionBy("id").orderBy("pos"))
-    t = tokens.withColumn("depth", depth)
-    inner = F.struct((F.col("depth") + F.col("closes").cast("int")).alias("level"), F.lit(True).alias("heads"))
-    outer = F.struct((F.col("depth") - F.col("opens").cast("int")).alias("level"), F.lit(False).alias("heads"))
-    roles = t.select("*", F.explode(F.when(F.col("opens"), F.array(inner, outer)).when(F.col("closes"), F.array(inner)).otherwise(F.array(outer))).alias("role")).select("*", "role.*").drop("role", "depth")
-    inside = Window.partitionBy("id", "level").orderBy("pos", F.desc("heads"))
-    is_head = F.col("heads") & F.col("opens")
-    r = roles.withColumn("box", F.last(F.when(is_head, F.struct("pos", head.alias("head"))), True).over(inside))
-    # read backwards, as a frame that ends at the last row is computed anew for each row
-    r = r.withColumn("close", F.last(F.when(F.col("closes"), F.col("pos")), True).over(Window.partitionBy("id", "level").orderBy(F.desc("pos"), "heads")))
-    ends = r.where(is_head).select("id", "pos", F.col("close").alias("end"))
-    return r.where(~F.col("heads") | F.col("closes")).drop("heads", "close").join(ends, ["id", "pos"], "left")
+    names = tokens.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in whole_pages(batches, [content]):
+            columns = [t.column(c).to_pylist() for c in ("opens", "closes", "pos", "name")]
+            out: list[list] = [[] for _ in range(6)]
+            cuts = np.r_[np.flatnonzero(np.r_[True, at[1:] != at[:-1]]), len(at)].tolist()
+            for a, b in zip(cuts, cuts[1:]):
+                for have, more in zip(out, _walk(*(c[a:b] for c in columns))):
+                    have.extend(more)
+            bad = [c and not n for c, n in zip(columns[1], out[0])]
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string())
+            for (n, v), k in zip(zip(("level", "end", "box", "box_name", "key_box", "key_name"), out), kinds):
+                t = t.append_column(n, pa.array(v, k))
+            yield from t.append_column("bad", pa.array(bad, pa.bool_())).to_batches()
+
+    schema = tokens.limit(0).select("*", *(F.lit(None).cast(k).alias(n) for n, k in (x.split() for x in _NEW.split(", ")))).schema
+    return tokens.select(names).mapInArrow(run, schema)
 
 
 def enclosing(inner: DataFrame, outer: DataFrame, step: Column) -> DataFrame:
@@ -40,5 +79,5 @@ def enclosing(inner: DataFrame, outer: DataFrame, step: Column) -> DataFrame:
     # the sizes in use, sixteen at most
     sizes = sorted(r["size"] for r in wide.select("size").distinct().collect()) or all_sizes[:1]
     points = inner.select("id", "node", F.explode(F.array(*(F.struct(F.lit(s).alias("size"), F.floor(F.col("node") / s).alias("cell")) for s in sizes))).alias("c")).select("id", "node", "c.*")
-    met = points.join(cells, ["id", "size", "cell"]).where("a <= node and node <= end")
+    met = points.join(cells.hint("merge"), ["id", "size", "cell"]).where("a <= node and node <= end")
     return met.groupBy("id", "node").agg(F.transform(F.sort_array(F.collect_list(F.struct("a", "step"))), lambda x: x["step"]).alias("path"))

@@ -7,11 +7,16 @@ entity is ever expanded), as are those whose tags do not pair up.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkspan.functions.staging import staged
 from inkspan.functions.text import newlines
+from inkspan.operators.page_geometry import whole_pages
 from inkspan.sources.nesting import enclosing, nested
 
 _ATTRIBUTE = r"""\s+([^<>"'=\s/]+)\s*=\s*("[^"<]*"|'[^'<]*')"""
@@ -32,6 +37,24 @@ def unescaped(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
 
 
+def _sound(tokens: DataFrame) -> DataFrame:
+    """The tokens of contents with one root whose tags pair up, and no text outside of it. They stand together still, so
+    this too is a stream."""
+    unpaired = F.when(F.col("closes"), ~F.col("name").eqNullSafe(F.col("box_name"))).otherwise(F.col("opens") & F.col("end").isNull())
+    top = (F.col("level") == 0) & ~F.col("closes")
+    said = F.when(F.col("tok").startswith("<!["), F.regexp_replace("tok", r"^<!\[CDATA\[|\]\]>$", "")).otherwise(unescaped(F.col("tok")))
+    told = tokens.withColumns({"bad": F.col("bad") | unpaired | (top & F.col("name").isNull() & said.rlike(r"\S")), "root": top & F.col("name").isNotNull()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in whole_pages(batches, ["content"]):
+            starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            bad, root = (np.asarray(t.column(c)).astype(np.int64) for c in ("bad", "root"))
+            fits = (np.add.reduceat(bad, starts) == 0) & (np.add.reduceat(root, starts) == 1)
+            yield from t.filter(pa.array(fits[np.cumsum(np.r_[False, at[1:] != at[:-1]])])).to_batches()
+
+    return told.mapInArrow(run, told.schema)
+
+
 def xml_nodes(files: DataFrame, id_col: str = "path", text_col: str = "content") -> DataFrame:
     """(id_col, node, end, parent, level, name, attrs, text) per element and text of the contents that are well formed.
 
@@ -41,22 +64,17 @@ def xml_nodes(files: DataFrame, id_col: str = "path", text_col: str = "content")
     """
     cut = F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), F.lit(0))
     whole = files.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.length(text_col).alias("n"), cut.alias("cut"))
-    whole = whole.where(F.aggregate("cut", F.lit(0), lambda acc, x: acc + F.length(x)) == F.col("n"))
-    t = whole.select("id", F.posexplode("cut").alias("pos", "tok")).where(~F.col("tok").rlike(r"^<(?:!--|\?)"))
-    tag, cdata = F.col("tok").startswith("<") & ~F.col("tok").startswith("<!["), F.col("tok").startswith("<![")
-    name = F.when(tag, F.regexp_extract("tok", r"^</?([^\s<>/]+)", 1))
-    t = t.withColumns({"opens": tag & ~F.col("tok").startswith("</") & ~F.col("tok").endswith("/>"), "closes": F.col("tok").startswith("</"), "qname": name,
-                       "text": F.when(cdata, F.regexp_replace("tok", r"^<!\[CDATA\[|\]\]>$", "")).when(~tag, unescaped(F.col("tok")))})
-    r = nested(t, F.struct("qname"))
-    top = (F.col("level") == 0) & ~F.col("closes")
-    unpaired = F.when(F.col("closes"), ~F.col("qname").eqNullSafe(F.col("box.head.qname"))).otherwise(F.col("opens") & F.col("end").isNull())
-    # a bracket that closes nothing has no box, or one that another has closed: then depth falls below its level
-    bad = F.max(unpaired | (F.col("level") < 0) | (F.col("closes") & (F.col("level") < 1)) | (top & F.col("qname").isNull() & F.col("text").rlike(r"\S")))
-    sound = r.groupBy("id").agg(bad.alias("bad"), F.count_if(top & F.col("qname").isNotNull()).alias("roots")).where("not bad and roots = 1").select("id")
+    whole = whole.where(F.aggregate("cut", F.lit(0), lambda acc, x: acc + F.length(x)) == F.col("n")).select("id", F.monotonically_increasing_id().alias("content"), "cut")
+    t = whole.select("id", "content", F.posexplode("cut").alias("pos", "tok")).where(~F.col("tok").rlike(r"^<(?:!--|\?)"))
+    tag = F.col("tok").startswith("<") & ~F.col("tok").startswith("<![")
+    t = t.withColumns({"opens": tag & ~F.col("tok").startswith("</") & ~F.col("tok").endswith("/>"), "closes": F.col("tok").startswith("</"), "name": F.when(tag, F.regexp_extract("tok", r"^</?([^\s<>/]+)", 1))})
+    r = _sound(nested(t, "content")).withColumnRenamed("name", "qname")
+    cdata = F.col("tok").startswith("<![")
+    r = r.withColumn("text", F.when(cdata, F.regexp_replace("tok", r"^<!\[CDATA\[|\]\]>$", "")).when(F.col("qname").isNull(), unescaped(F.col("tok"))))
     names, values = (F.regexp_extract_all("tok", F.lit(_ATTRIBUTE), F.lit(g)) for g in (1, 2))
     attrs = F.map_from_arrays(F.array_distinct(names), F.transform(F.slice(values, F.lit(1), F.size(F.array_distinct(names))), lambda v: unescaped(F.substr(v, F.lit(2), F.length(v) - 2))))
     local = F.regexp_replace("qname", "^.*:", "")
-    nodes = r.where(~F.col("closes")).join(sound, "id").select(F.col("id").alias(id_col), F.col("pos").alias("node"), F.coalesce("end", "pos").alias("end"), F.col("box.pos").alias("parent"), "level", local.alias("name"), F.when(F.col("qname").isNotNull(), F.map_filter(attrs, lambda k, _: ~k.startswith("xmlns"))).alias("attrs"), "text")
+    nodes = r.where(~F.col("closes")).select(F.col("id").alias(id_col), F.col("pos").alias("node"), F.coalesce("end", "pos").alias("end"), F.col("box").alias("parent"), "level", local.alias("name"), F.when(F.col("qname").isNotNull(), F.map_filter(attrs, lambda k, _: ~k.startswith("xmlns"))).alias("attrs"), "text")
     return nodes.where("name is not null or text <> ''")
 
 

@@ -76,3 +76,20 @@ def test_page_reading_order(spark):
     got = sorted((x.page, x.line, x.text) for x in X.page_lines(spark.createDataFrame([(1, p)], "path int, content string")).collect())
     assert [t for n, _, t in got if n == 1] == ["G one", "G two", "D", "C", "A1", "I1", "A2", "B", "c 00", "c01", "c10", "z1", "z2"]
     assert [t for n, _, t in got if n == 2] == ["second page"]
+
+
+def test_nodes_move_nowhere(spark):
+    from inkspan.sources import json_trees, xml_trees
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        xml = [(1, "<a x='1'><b>t<c/>u</b><!-- n --></a>"), (2, "<a><b></a></b>"), (3, "<a/><b/>"), (4, "</a>"), (5, "<a>"), (6, "x<a/>"), (7, " <a>1</a> ")]
+        n = xml_trees.xml_nodes(spark.createDataFrame(xml, "path int, content string").coalesce(1))
+        assert [(r.path, r.node, r.end, r.parent, r.level, r.name, r.text) for r in n.orderBy("path", "node").collect() if r.path != 7] == [(1, 0, 7, None, 0, "a", None), (1, 1, 5, 0, 1, "b", None), (1, 2, 2, 1, 2, None, "t"), (1, 3, 3, 1, 2, "c", None), (1, 4, 4, 1, 2, None, "u")]
+        assert {r.path for r in n.collect()} == {1, 7}
+        j = json_trees.json_nodes(spark.createDataFrame([(1, '{"a": [{"b": 1}, "x"], "c": {}}')], "path int, content string").coalesce(1))
+        assert [(r.parent, r.level, r.kind, r.key, r.under) for r in j.orderBy("node").collect()] == [(None, 0, "object", None, None), (0, 1, "array", "a", "a"), (2, 2, "object", None, "a"), (3, 3, "other", "b", "b"), (2, 2, "string", None, "a"), (0, 1, "object", "c", "c")]
+        for df in (n, j):
+            assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
