@@ -62,7 +62,8 @@ def _values(files: DataFrame, id_col: str, text_col: str) -> DataFrame:
     boxes = n.where("kind in ('object', 'array')")
     ways = enclosing(boxes.select("id", "node"), boxes, F.col("step")).select("id", F.col("node").alias("parent"), F.col("path").alias("way"))
     parts = n.where("parent is not null").groupBy("id", F.col("parent").alias("node")).agg(F.collect_set("key").alias("keys"), F.count("*").alias("parts"))
-    placed = n.join(ways, ["id", "parent"], "left").join(parts, ["id", "node"], "left")
+    # both grow with the values, which their stated sizes do not show: never broadcast
+    placed = n.join(ways.hint("merge"), ["id", "parent"], "left").join(parts.hint("merge"), ["id", "node"], "left")
     join = lambda f: F.concat(F.array_join(F.transform(F.coalesce("way", F.array().cast("array<struct<place:string,path:string>>")), lambda s: s[f]), ""), F.col(f"step.{f}"))
     number = F.col("raw").try_cast("double")
     kind = F.when(F.col("kind") != "other", F.col("kind")).when(F.col("raw") == "null", "null").when(F.col("raw").isin("true", "false"), "boolean").when(number == F.floor(number), "integer").otherwise("number")

@@ -69,3 +69,13 @@ def test_reasons_for_recognition(spark):
     lines = routing.decoded_lines(spark.createDataFrame([(1, 1, "sondì èíslo pøi"), (1, 2, "dobrý"), (2, 1, "�" * 9), (3, 1, "12"), (5, 1, "fine line"), (6, 1, "sondì èíslo pøi")], "p int, line int, text string"), ["p"])
     pages = spark.createDataFrame([(1, "digital", False), (2, "ocr", None), (3, "none", False), (4, "none", False), (5, "digital", False), (6, "digital", True), (7, None, None)], "p int, text_layer string, textual boolean")
     assert {x.p: (x.reasons, x.needs_atr) for x in routing.atr_reasons(lines, pages, ["p"]).collect()} == {1: ("mojibake", True), 2: ("undecodable,prior_ocr", True), 3: ("furniture_only", True), 4: ("no_text", True), 5: ("", False), 6: ("", False), 7: ("", False)}
+
+
+def test_values_are_never_broadcast(spark):
+    """What grows with the values goes to no driver, however small it is said to be."""
+    from inkspan.operators import validation
+
+    files = spark.createDataFrame([(1, '{"a": [1, {"b": "x"}]}')], "path int, content string")
+    out = validation.violations(files, {"type": "object", "properties": {"a": {"type": "array", "maxItems": 1}}})
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [(r.at, r.keyword) for r in out.collect()] == [("$.a", "maxItems")]
