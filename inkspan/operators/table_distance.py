@@ -83,7 +83,7 @@ def _trees(tables: DataFrame, text_col: str) -> DataFrame:
     number = F.last(F.when(F.col("name").isNotNull() & ~F.col("inside"), F.col("node")), True).over(Window.partitionBy("id").orderBy("node"))
     said = n.withColumn("of", number).where("name is null and inside").groupBy("id", F.col("of").alias("node")).agg(collapsed(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node", "text"))), lambda x: x["text"]), "")).alias("said"))
     by = Window.partitionBy("id")
-    placed = node.join(said, ["id", "node"], "left").withColumns({"pre": F.row_number().over(by.orderBy("node")), "post": F.row_number().over(by.orderBy("end")) - 1, "depth": F.col("level") - F.min("level").over(by)})
+    placed = node.join(said.hint("merge"), ["id", "node"], "left").withColumns({"pre": F.row_number().over(by.orderBy("node")), "post": F.row_number().over(by.orderBy("end")) - 1, "depth": F.col("level") - F.min("level").over(by)})
     # in postorder a node comes after its subtree, in preorder after its ancestors
     size = F.col("post") - (F.col("pre") - 1) + F.col("depth") + 1
     item = F.struct("post", F.concat_ws("|", F.lower("name"), span("colspan"), span("rowspan")).alias("label"), F.coalesce("said", F.lit("")).alias("text"), (F.col("post") - size + 1).cast("int").alias("left"))
@@ -95,7 +95,8 @@ def teds(pairs: DataFrame, keys: Sequence[str], ref: str, hyp: str) -> DataFrame
     with the texts of cells and without. Of a content its first table counts; where one has none, or is no well-formed
     XML or null, both are 0, and 1 where neither has one. Keys must be unique."""
     ids = pairs.select(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("id"), *keys, ref, hyp)
-    both = ids.select("id", *keys).join(_trees(ids, ref).withColumnRenamed("nodes", "one"), "id", "left").join(_trees(ids, hyp).withColumnRenamed("nodes", "two"), "id", "left")
+    # trees grow with the tables, which their stated sizes do not show: never broadcast
+    both = ids.select("id", *keys).join(_trees(ids, ref).withColumnRenamed("nodes", "one").hint("merge"), "id", "left").join(_trees(ids, hyp).withColumnRenamed("nodes", "two").hint("merge"), "id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

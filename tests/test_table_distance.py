@@ -62,3 +62,11 @@ def test_teds_against_forests(spark):
             assert abs(score - (1 - distance / most)) < 1e-9
     assert got[100] == (0, 0) and got[101] == (1, 1) and got[102] == (0, 0) and got[103] == (1, 1) and got[104] == (1, 1)
     assert T.teds(d.limit(0), ["k"], "ref", "hyp").count() == 0
+
+
+def test_trees_are_never_broadcast(spark):
+    from inkspan.operators import table_distance
+
+    pairs = spark.createDataFrame([(1, "<table><tr><td>a</td></tr></table>", "<table><tr><td>b</td></tr></table>")], "k int, ref string, hyp string")
+    out = table_distance.teds(pairs, ["k"], "ref", "hyp")
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
