@@ -12,13 +12,13 @@ _LATIN, _OWN, _ = raw._page_letters("cp1250")
 
 def _files(spark, d):
     """Bytes per document: UTF-8 with and without a mark, UTF-16 of both orders with and without one, the first code page,
-    zeros, and a byte that no code page but the second has."""
+    zeros (ahead of the text, as only the head of a file is looked at), and a byte that no code page but the second has."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
     t, k = F.col("text"), F.col("doc_id") % 9
     mark = lambda h: F.unhex(F.lit(h))
     paged = F.encode(F.translate(F.regexp_replace(t, f"[^\\x00-\\x7F{_OWN}]", "?"), _OWN, _LATIN), "ISO-8859-1")
     data = (F.when(k == 0, F.concat(mark("EFBBBF"), t.cast("binary"))).when(k == 1, F.concat(mark("FFFE"), F.encode(t, "UTF-16LE"))).when(k == 2, F.concat(mark("FEFF"), F.encode(t, "UTF-16BE")))
-            .when(k == 3, F.encode(t, "UTF-16LE")).when(k == 4, F.encode(t, "UTF-16BE")).when(k == 5, F.concat(paged, mark("E8"))).when(k == 6, F.concat(mark("0000"), t.cast("binary"), F.unhex(F.repeat(F.lit("00"), F.length(t).cast("int"))))).when(k == 7, F.concat(mark("81E8"), paged)).otherwise(t.cast("binary")))
+            .when(k == 3, F.encode(t, "UTF-16LE")).when(k == 4, F.encode(t, "UTF-16BE")).when(k == 5, F.concat(paged, mark("E8"))).when(k == 6, F.concat(mark("0000"), F.unhex(F.repeat(F.lit("00"), F.length(t).cast("int"))), t.cast("binary"))).when(k == 7, F.concat(mark("81E8"), paged)).otherwise(t.cast("binary")))
     return docs.select("doc_id", data.alias("data"))
 
 

@@ -53,3 +53,10 @@ def test_cascade_against_the_codecs(spark):
         assert have == want, raw
     assert spark.range(1).select(B.decode_bytes(F.lit(None).cast("binary")).alias("r")).first().r is None
     assert d.limit(1).select(B.decode_bytes(F.unhex(F.lit("81FF")), ()).alias("r")).first().r.status == "decode_failed"
+
+
+def test_zeros_of_long_texts_stand_in_the_head(spark, tmp_path):
+    from inkspan.plans import bytes_queries
+
+    spark.createDataFrame([(6, "ab " * 40000), (15, "ab")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.status for r in bytes_queries.QUERIES["decoded_bytes"](spark, str(tmp_path)).collect()} == {"binary_content"}
