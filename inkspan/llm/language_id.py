@@ -13,10 +13,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from .common import table
 
@@ -30,11 +30,11 @@ def letter_vectors(dim: int = DIM) -> np.ndarray:
 
 
 _V = letter_vectors()
-#: First, second and third letters of a trigram: the vectors permuted by 2, 1 and 0 places.
+#: First, second and third letters of a trigram: the vectors permuted by 2, 1 and 0 places. Bound pairs are not kept: a
+#: table of them would be 64 MB in each worker.
 _PLACES = (np.roll(_V, 2, 1), np.roll(_V, 1, 1), _V)
-#: Of the first two letters, bound. float32 lets the bundling be one matrix product.
-_PAIRS = (_PLACES[0][:, None, :] * _PLACES[1][None, :, :]).reshape(CLASSES * CLASSES, -1).astype(np.float32)
-_THIRD = _PLACES[2].astype(np.float32)
+#: Texts that are held at a time besides the batch.
+ROWS = 1000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -52,25 +52,28 @@ def profile(text: str) -> np.ndarray | None:
     out = np.zeros(DIM, np.float32)
     for s in range(0, len(found), 4096):
         g = found[s : s + 4096]
-        out += counts[s : s + 4096].astype(np.float32) @ (_PAIRS[g >> 8] * _THIRD[g & 255])
+        bound = _PLACES[0][g >> 16] * _PLACES[1][g >> 8 & 255] * _PLACES[2][g & 255]
+        out += counts[s : s + 4096].astype(np.float32) @ bound.astype(np.float32)  # float32 lets this be one product
     return out
 
 
-def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
     for b in batches:
-        for lang, text in zip(b["lang"], b["text"]):
-            v = profile(text)
-            if v is not None and (size := float(np.linalg.norm(v))):
-                sums[lang] = sums.get(lang, 0) + v.astype(np.float64) / size
+        for at in range(0, b.num_rows, ROWS):
+            part = b.slice(at, ROWS)
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                v = profile(text)
+                if v is not None and (size := float(np.linalg.norm(v))):
+                    sums[lang] = sums.get(lang, 0) + v.astype(np.float64) / size
     for lang, v in sums.items():
         # whole numbers add up to the same sum in any order
-        yield pd.DataFrame({"lang": lang, "dim": np.arange(DIM), "v": np.rint(v * 1e6).astype(np.int64)})
+        yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * DIM, pa.string()), "dim": pa.array(np.arange(DIM, dtype=np.int32)), "v": pa.array(np.rint(v * 1e6).astype(np.int64))})
 
 
 def learn(docs: DataFrame) -> dict[str, np.ndarray]:
     """Prototypes from all rows (lang, text) without nulls. What reaches the driver is languages x DIM numbers."""
-    rows = docs.where("text is not null and lang is not null").select("lang", "text").mapInPandas(_partial, "lang string, dim int, v long")
+    rows = docs.where("text is not null and lang is not null").select("lang", "text").mapInArrow(_partial, "lang string, dim int, v long")
     sums = rows.groupBy("lang", "dim").agg(F.sum("v").alias("v")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("dim", "v")))["v"].alias("v"))
     out = {r["lang"]: np.array(r["v"], float) for r in sums.toLocalIterator()}
     return {k: v / (np.linalg.norm(v) or 1) for k, v in sorted(out.items())}
@@ -80,20 +83,21 @@ def predicted(text: Column, prototypes: dict[str, np.ndarray]) -> Column:
     """struct(lang, score): the nearest prototype (the first by name among equals) and its cosine, cut at 0."""
     names, matrix = list(prototypes), np.array(list(prototypes.values()), np.float32).reshape(-1, DIM)
 
-    @pandas_udf("struct<lang:string,score:double>")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    @arrow_udf("struct<lang:string,score:double>")
+    def run(texts: pa.Array) -> pa.Array:
         lang, score = [], []
-        for t in texts:
-            v = profile(t) if t and names else None
-            if v is None:
-                lang.append("und")
-                score.append(0.0)
-                continue
-            cos = matrix @ v / (np.linalg.norm(v) or 1)
-            k = int(cos.argmax())
-            lang.append(names[k])
-            score.append(float(min(1, max(0, cos[k]))))
-        return pd.DataFrame({"lang": lang, "score": score})
+        for at in range(0, len(texts), ROWS):
+            for t in texts.slice(at, ROWS).to_pylist():
+                v = profile(t) if t and names else None
+                if v is None:
+                    lang.append("und")
+                    score.append(0.0)
+                    continue
+                cos = matrix @ v / (np.linalg.norm(v) or 1)
+                k = int(cos.argmax())
+                lang.append(names[k])
+                score.append(float(min(1, max(0, cos[k]))))
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["lang", "score"])
 
     return run(text)
 

@@ -29,7 +29,7 @@ UNKNOWN = 1 << 24  # codes from here on are characters without a piece
 START = (1 << 26) - 1
 #: Words whose ids a worker remembers before it forgets them all, and bits of a place in its table of pairs of pieces,
 #: where a new pair replaces an old one; these bound memory and never change a result.
-KNOWN_WORDS, PAIR_BITS = 300_000, 20
+KNOWN_WORDS, PAIR_BITS = 100_000, 20
 #: Texts whose ids are held at a time.
 ROWS = 500
 #: Kinds of models by their number in the file.

@@ -62,3 +62,12 @@ def test_pipeline_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_what_a_worker_keeps_of_the_stages_is_small():
+    import numpy as np
+
+    from inkspan.llm import language_id
+
+    kept = sum(v.nbytes for x in vars(language_id).values() for v in (x if isinstance(x, tuple) else [x]) if isinstance(v, np.ndarray))
+    assert kept < 1_000_000, "tables of a module stay in every Python worker"
