@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from inkspan.functions.text import collapsed, stripped
+from inkspan.operators.page_geometry import together, whole_pages
 
 #: Share of the height that is a margin, share of the pages that a running line stands on, a page number.
 MARGIN, PAGES_SHARE = 0.1, 0.5
@@ -60,22 +65,65 @@ def box_union(boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
     return boxes.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
+#: Boxes of a key beyond which they are first made distinct spans of cells; rows of cells that are filled at a time. Any
+#: values give the same result.
+MANY, SPANS = 10_000, 1 << 20
+
+
+def _filled(spans: pa.Table, key: np.ndarray, grid: int) -> np.ndarray:
+    """Cells under the boxes (c0, c1, r0, r1) of each key; keys are whole numbers from 0, ascending."""
+    c0, c1, r0, r1 = (spans.column(c).to_numpy().astype(np.int64) for c in ("c0", "c1", "r0", "r1"))
+    out, tall, lo = np.zeros(int(key[-1]) + 1, np.int64), r1 - r0, 0
+    ends = np.cumsum(tall)
+    while lo < len(key):
+        # whole keys, SPANS rows of cells or one key
+        hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SPANS, "right"))
+        hi = int(np.searchsorted(key, key[hi])) if hi < len(key) else len(key)
+        hi = hi if hi > lo else int(np.searchsorted(key, key[lo], "right"))
+        n = tall[lo:hi]
+        at = np.repeat(np.arange(lo, hi), n)
+        row = r0[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        line = (key[at] - key[lo]) * grid + row
+        order = np.argsort(line * (grid + 1) + c0[at], kind="stable")
+        line, at = line[order], at[order]
+        # lines lie one after another, so a running maximum over all does not reach into the next
+        start, end = line * (grid + 1) + c0[at], line * (grid + 1) + c1[at]
+        ahead = np.r_[0, np.maximum.accumulate(end)[:-1]]
+        new = np.maximum(0, end - np.maximum(start, ahead))
+        out += np.bincount(key[at], new, len(out)).astype(np.int64)
+        lo = hi
+    return out
+
+
 def union_share(boxes: DataFrame, keys: Sequence[str], grid: int = 100) -> DataFrame:
     """(keys, share): the share of the frame (fx0, fy0, fx1, fy1) under the union of its boxes, on grid x grid cells.
 
-    A cell counts if its centre is inside a box. Each row of cells is a group of spans that are merged in order, so the
-    boxes of a key meet by row, never all in one task.
+    A cell counts if its centre is inside a box. A box moves once, as the cells of its corners; boxes of a key meet
+    there, row of cells by row of cells. Of a key with more than MANY boxes first the longest span by row and first cell
+    is found, by an aggregate that merges before it moves, so never more than grid * grid spans of a key meet.
     """
     def cell(side, origin, size):
-        return F.ceil((F.col(side) - F.col(origin)) / (F.col(size) - F.col(origin)) * grid - 0.5)
+        return F.ceil(F.try_divide(F.col(side) - F.col(origin), F.col(size) - F.col(origin)) * grid - 0.5)
 
     def spans(low, high, origin, size):
         return F.greatest(F.lit(0), F.least(cell(low, origin, size), cell(high, origin, size))), F.least(F.lit(grid), F.greatest(cell(low, origin, size), cell(high, origin, size)))
 
     (c0, c1), (r0, r1) = spans("x0", "x1", "fx0", "fx1"), spans("y0", "y1", "fy0", "fy1")
-    cut = boxes.where("fx1 > fx0 and fy1 > fy0").select(*keys, c0.alias("c0"), c1.alias("c1"), r0.alias("r0"), r1.alias("r1")).where("c0 < c1 and r0 < r1")
-    rows = cut.select(*keys, "c0", "c1", F.explode(F.sequence("r0", F.col("r1") - 1)).alias("r"))
-    ahead = F.max("c1").over(Window.partitionBy(*keys, "r").orderBy("c0", "c1").rowsBetween(Window.unboundedPreceding, -1))
-    new = rows.withColumn("n", F.greatest(F.lit(0), F.col("c1") - F.greatest("c0", F.coalesce(ahead, F.lit(0)))))
-    filled = new.groupBy(*keys).agg(F.sum("n").alias("n"))
-    return boxes.select(*keys).distinct().join(filled, list(keys), "left").select(*keys, (F.coalesce("n", F.lit(0)) / (grid * grid)).alias("share"))
+    sound = F.coalesce((F.col("fx1") > F.col("fx0")) & (F.col("fy1") > F.col("fy0")) & (c0 < c1) & (r0 < r1), F.lit(False))
+    # a box without cells stays, as its key has a share
+    corner = lambda c: F.when(sound, c).otherwise(0).cast("int")
+    cut = boxes.select(*keys, corner(c0).alias("c0"), corner(c1).alias("c1"), corner(r0).alias("r0"), corner(r1).alias("r1"))
+    many = F.broadcast(boxes.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > MANY).select(*(F.col(k).alias(f"__m_{k}") for k in keys), F.lit(True).alias("__many")))
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__m_{k}")) for k in keys), F.lit(True))
+    told = cut.join(many, same, "left").drop(*(f"__m_{k}" for k in keys))
+    rows = told.where("__many").select(*keys, "c0", "c1", F.explode(F.when(F.col("r0") < F.col("r1"), F.sequence("r0", F.col("r1") - 1)).otherwise(F.array(F.lit(0)))).alias("r0"))
+    longest = rows.groupBy(*keys, "r0", "c0").agg(F.max("c1").alias("c1")).select(*keys, "c0", "c1", "r0", (F.col("r0") + 1).alias("r1"))
+    met = together(told.where("__many is null").drop("__many").unionByName(longest), keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, key in whole_pages(batches, keys):
+            head = t.select(list(keys)).take(pa.array(np.flatnonzero(np.r_[True, key[1:] != key[:-1]])))
+            yield from head.append_column("__filled", pa.array(_filled(t, key, grid))).to_batches()
+
+    filled = met.mapInArrow(run, StructType([*met.select(*keys).schema.fields]).add("__filled", "long"))
+    return filled.select(*keys, (F.col("__filled") / (grid * grid)).alias("share"))

@@ -201,3 +201,39 @@ def test_counts_of_decode_reports_match_one_by_one(spark):
     assert [x.t for x in d.select(newlines(d.text).alias("t")).collect() if x.t] == [re.sub("\r\n|[\r\x0b\x1c\x1d\x1e\x85  ]", "\n", t) for t in texts if t]
     plan = routing.decoded_lines(d, ["k"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("p{Cn}") == 1
+
+
+def test_union_share_moves_boxes_once_and_counts_cells(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(5)
+    spot = lambda *more: r.choice([*more, -3.0, r.uniform(-2, 12), float(r.randrange(12))])
+    rows = [(r.choice(["a", "b", None]), r.randrange(6), spot(None), spot(None), spot(), spot(), 0.0, 0.0, 10.0, r.choice([10.0, 10.0, 0.0, None])) for _ in range(150)]
+    rows += [("c", 1, 1.0, 1.0, 4.0, 4.0, 0.0, 0.0, 10.0, 10.0)] * 20 + [("d", 1, 1.0, 1.0, 1.0, 4.0, 0.0, 0.0, 10.0, 10.0)]
+    boxes = spark.createDataFrame(rows, "k string, n int, x0 double, y0 double, x1 double, y1 double, fx0 double, fy0 double, fx1 double, fy1 double")
+    want = {}
+    for k, n, x0, y0, x1, y1, _, _, _, fy1 in rows:
+        cells = want.setdefault((k, n), set())
+        if None not in (x0, y0, x1, y1, fy1) and fy1 > 0:
+            (x0, x1), (y0, y1) = sorted((x0, x1)), sorted((y0, y1))
+            cells |= {(c, q) for c in range(20) for q in range(20) if x0 <= (c + 0.5) / 2 < x1 and y0 <= (q + 0.5) / 2 < y1}
+    want = {k: len(v) / 400 for k, v in want.items()}
+    assert {(x.k, x.n): x.share for x in layout.union_share(boxes, ["k", "n"], 20).collect()} == want and len(set(want.values())) > 8
+    monkeypatch.setattr(layout, "MANY", 3)
+    assert {(x.k, x.n): x.share for x in layout.union_share(boxes, ["k", "n"], 20).collect()} == want
+    # what moves are boxes, not their rows of cells: these are made in the shuffle's reader
+    tall = spark.range(50).select(F.col("id").alias("k"), *(F.lit(v).alias(c) for c, v in (("x0", 0.0), ("y0", 0.0), ("x1", 9.0), ("y1", 10.0), ("fx0", 0.0), ("fy0", 0.0), ("fx1", 10.0), ("fy1", 10.0))))
+    plan = layout.union_share(tall, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_cells_are_filled_by_parts_of_keys(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    t = pa.table({"c0": [0, 1, 0, 5, 0], "c1": [3, 4, 2, 6, 0], "r0": [0, 1, 0, 2, 0], "r1": [2, 3, 3, 4, 0]})
+    for n in (1, 3, 4, 100):
+        monkeypatch.setattr(layout, "SPANS", n)
+        assert layout._filled(t, np.array([0, 0, 1, 2, 3]), 10).tolist() == [10, 6, 2, 0]
