@@ -12,6 +12,8 @@ from pyspark.sql.types import StringType
 
 #: Fixed value: white space as Unicode text splitting takes it (both Java and RE2 read it).
 WHITE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same characters, for texts in a task.
+WHITES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: line separators besides CRLF that become a line feed; the form feed stays, as it ends a page.
 LINE_ENDS = "\r\x0b\x1c\x1d\x1e\x85\u2028\u2029"
 

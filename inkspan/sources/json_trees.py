@@ -3,7 +3,7 @@
 A content's tokens are cut out by one regular expression, so document order and nesting of any depth stay. Running counts
 over a content's tokens give each value its container, its end and the key it stands under; what a rule passes down a
 tree (or up it) is then a running maximum over the ends of containers (or the next place where something holds), as
-subtrees are stretches of tokens. So a tree of any depth takes one shuffle by content and no recursion.
+subtrees are stretches of tokens. So a tree of any depth takes no recursion, and as a content's tokens are in one row, no shuffle.
 
 A content must parse as one JSON value: try_parse_json decides (1,000 levels at most, no repeated keys), and what it
 refuses, or what has several values in a row, is `corrupt`.
@@ -11,16 +11,22 @@ refuses, or what has several values in a row, is `corrupt`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.functions.staging import staged
-from inkspan.functions.text import WHITE, collapsed, newlines, stripped
-from inkspan.sources.nesting import nested
+from inkspan.functions.text import LINE_ENDS, WHITE, WHITES, newlines, stripped
+from inkspan.sources.nesting import Tokens, cut_out, holder, nest, nested, token_slices
 
 #: A token: a string with the colon of a key, a bracket, or another scalar; commas part what needs no parting.
-TOKEN = r'"(?:[^"\\]|\\.)*+"(?:\s*+:)?|[\[\]{}]|[^\s"\[\]{},:]++'
-STRING = r'"(?:[^"\\]|\\.)*+"(?:\s*+:)?'
+STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?'
+TOKEN = STRING + r'|[\[\]{}]|[^\s"\[\]{},:]++'
 #: Keys of words, of lines, of all texts; fields that type items, and types of lines and words.
 WORD_KEYS = ("words", "word", "strings", "string", "tokens", "token", "glyphs", "symbols", "chars", "characters")
 LINE_KEYS = ("lines", "line", "textlines", "textline", "text_lines", "text_line")
@@ -93,50 +99,209 @@ def is_blob(text: Column) -> Column:
     return (text.startswith("data:") & F.left(text, F.lit(200)).contains(";base64,")) | ((F.length(text) >= 256) & ~text.rlike(WHITE)) | base64 | ((F.length(text) >= 32) & text.rlike("^[0-9a-fA-F]++$"))
 
 
-def _in(column: str, names) -> Column:
-    return F.coalesce(F.lower(column).isin(*names), F.lit(False))
-
-
-def _walked(nodes: DataFrame) -> DataFrame:
-    """(id, top, node, line, lettered): the texts of each (id, top), by the keys and, as `lettered`, by all strings with
-    a letter; line is the place a text counts for, that of its line object where words make up a line."""
-    tree = ["id", "top"]
-    child = nodes.where("parent is not null and node <> top")
-    said = (F.col("kind") == "string") & (stripped(F.col("value")) != "")
-    holder = _in("key", LINE_KEYS) & (F.col("kind").isin("object", "array") & (F.col("end") > F.col("node") + 1) | (F.col("kind") == "string") & (F.col("value") != ""))
-    typed = F.when(_in("key", TYPE_FIELDS) & (F.col("kind") == "string"), F.lower(stripped(F.col("value"))))
-    own = child.groupBy(*tree, F.col("parent").alias("node")).agg(F.max(_in("key", OWN_KEYS) & said).alias("own_text"), F.max(holder).alias("has_lines"), F.min_by(typed, F.when(typed.isNotNull(), F.col("node"))).alias("type"))
-    n = nodes.join(own, [*tree, "node"], "left").withColumns({c: F.coalesce(F.col(c) & (F.col("kind") == "object"), F.lit(False)) for c in ("own_text", "has_lines")})
-    n = n.withColumn("type", F.when(F.col("kind") == "object", F.coalesce("type", F.lit(""))))
-    order = Window.partitionBy(*tree).orderBy("node")
-    before, on = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*tree).orderBy(F.desc("node"))
-    via = _in("under", LINE_KEYS)
-    strict = F.coalesce(F.max(F.when(via & F.col("own_text"), F.col("end"))).over(before) > F.col("node"), F.lit(False))
-    lines_below = F.coalesce(F.min(F.when(F.col("has_lines"), F.col("node"))).over(on) <= F.col("end"), F.lit(False))
-    n = n.withColumns({"via": via, "inherit": strict | (via & F.col("own_text")), "bearing": lines_below})
-    above = n.where("kind in ('object', 'array')").select(*tree, F.col("node").alias("parent"), F.col("kind").alias("box"), (F.col("inherit") | F.col("has_lines") | F.col("own_text")).alias("skip_words"), F.col("has_lines").alias("box_lines"), "bearing")
-    kinds = n.where("type is not null").groupBy(*tree, "parent").agg((F.max(F.col("type").isin(*LINE_TYPES)) & F.max(F.col("type").isin(*WORD_TYPES))).alias("mixed"))
-    n = n.drop("bearing").join(above, [*tree, "parent"], "left").join(kinds, [*tree, "parent"], "left")
-    words = F.col("skip_words") & _in("key", WORD_KEYS) & (F.col("box_lines") | F.col("kind").isin("object", "array"))
-    drop = (F.col("node") != F.col("top")) & F.when(F.col("box") == "object", words | F.col("bearing") & _in("key", COARSE_KEYS) & said).when(F.col("box") == "array", F.coalesce("mixed", F.lit(False)) & F.coalesce(F.col("type").isin(*WORD_TYPES), F.lit(False)))
-    flat = (F.col("kind") == "object") & F.col("via") & ~F.col("own_text") & ~F.col("has_lines")
-    text = stripped(F.col("value"))
-    letter = text.rlike(r"\p{L}")
-    n = staged(n.withColumns({"drop": F.coalesce(drop, F.lit(False)), "solid": F.coalesce(said & ~is_blob(text), F.lit(False))}))
-    out = []
-    for lettered, fits in ((False, _in("under", TEXT_KEYS)), (True, letter)):
-        emits = F.coalesce(F.col("solid") & fits, F.lit(False))
-        m = n.withColumn("emits", emits)
-        filled = flat & F.coalesce(F.min(F.when(F.col("emits"), F.col("node"))).over(on) <= F.col("end"), F.lit(False))
-        m = m.withColumn("event", F.when(F.col("drop"), F.struct("end", "node", F.lit(False).alias("flat"))).when(filled, F.struct("end", "node", F.lit(True).alias("flat"))))
-        # of nested stretches the outermost ends last, and of what ends at one place it begins first
-        m = m.withColumn("outer", F.max(F.when(F.col("event").isNotNull(), F.struct(F.col("event.end").alias("end"), (-F.col("event.node")).alias("node"), F.col("event.flat").alias("flat")))).over(order))
-        covered = F.coalesce(F.col("outer.end") >= F.col("node"), F.lit(False))
-        live = m.where(F.col("emits") & (~covered | F.col("outer.flat"))).withColumn("line", F.when(covered, -F.col("outer.node")).otherwise(F.col("node")))
-        one = live.where(covered).groupBy(*tree, F.col("line").alias("node")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node", collapsed(F.col("value")).alias("w")))), lambda x: x["w"]), " ").alias("text"))
-        many = live.where(~covered).select(*tree, "node", newlines(text).alias("text"))
-        out.append(many.unionByName(one).withColumn("lettered", F.lit(lettered)))
-    return out[0].unionByName(out[1])
+_BASE64, _HEX, _SPACE = re.compile("[A-Za-z0-9+/]+={0,2}"), re.compile("[0-9a-fA-F]+"), re.compile(f"[{WHITES}]")
+
+
+def _blob(t: str) -> bool:
+    """is_blob of a text in a task."""
+    base64 = len(t) >= 64 and len(t) % 4 == 0 and _BASE64.fullmatch(t) and all(re.search(c, t) for c in ("[0-9]", "[A-Z]", "[a-z]"))
+    return t.startswith("data:") and ";base64," in t[:200] or len(t) >= 256 and not _SPACE.search(t) or bool(base64) or len(t) >= 32 and bool(_HEX.fullmatch(t))
+
+
+def _decoded(token: bytes) -> str:
+    """The text of a string token that has escapes; halves of pairs become question marks, as in Spark."""
+    return json.loads(token).encode("utf-8", "replace").decode()
+
+
+class _Nodes:
+    """The values of whole contents by number, in document order: kinds, keys, boxes (up), the last value inside, and the
+    spans of their stripped texts; texts that bytes do not show (escapes, edges that may be white) are taken one by one."""
+
+    def __init__(self, t: Tokens):
+        first = t.byte(0)
+        is_key = (first == 34) & (t.byte(-1) == 58)
+        kept = np.flatnonzero(~is_key)
+        opens, closes = np.isin(first[kept], (123, 91)), np.isin(first[kept], (125, 93))
+        level, end, box, bad = nest(opens, closes, t.content[kept])
+        number, here = np.cumsum(~closes) - 1, np.flatnonzero(~closes)
+        tok, self.level, self.n = kept[here], level[here], len(here)
+        self.t, self.tok, self.content, self.i = t, tok, t.content[tok], np.arange(len(here))
+        contents = int(t.content[-1]) + 1 if len(t.content) else 0
+        self.count = lambda which: np.bincount(self.content[which], minlength=contents)
+        # the parser does not look behind the first value: what follows it closes nothing or is a second one
+        self.sound = (np.bincount(t.content[kept][bad], minlength=contents) == 0) & (self.count(self.level == 0) == 1)
+        self.up = np.where(box[here] >= 0, number[box[here]], -1)
+        self.last = np.where(end[here] >= 0, number[end[here]], self.i)
+        kind = first[tok]
+        self.object, self.array, self.string = kind == 123, kind == 91, kind == 34
+        self.named = (tok > 0) & is_key[tok - 1] if len(tok) else np.zeros(0, bool)
+        names = t.texts(tok[self.named] - 1).dictionary_encode()
+        self.names = [json.loads(k[:-1].rstrip()).encode("utf-8", "replace").decode() for k in names.dictionary.to_pylist()]
+        self.key = np.full(self.n, -1)
+        self.key[self.named] = np.asarray(names.indices)
+        self.at = np.where(self.named, self.i, holder(self.up, self.named))
+        self.under = np.where(self.at >= 0, self.key[self.at], -1)
+        # spans of texts
+        self.a, self.b = t.at[tok] + 1, t.at[tok + 1] - 1
+        full = self.string & (self.b > self.a)
+        low, high = (t.data[np.where(full, x, 0)] if len(t.data) else np.zeros(self.n, np.uint8) for x in (self.a, self.b - 1))
+        odd = full & ((low < 33) | (low > 126) | (high < 33) | (high > 126))
+        slashes = np.searchsorted(t.at, np.flatnonzero(t.data == 92), "right") - 1
+        if len(slashes):
+            escaped = np.zeros(len(first), bool)
+            escaped[slashes] = True
+            odd |= escaped[tok] & self.string
+        self.values = {i: self._value(i) for i in np.flatnonzero(odd).tolist()}
+        self.said = full.copy()
+        for i, v in self.values.items():
+            self.said[i] = bool(v.strip(WHITES))
+        self.odd = odd
+
+    def _value(self, i: int) -> str:
+        raw = self.t.data[self.a[i] - 1:self.b[i] + 1].tobytes()
+        return _decoded(raw) if b"\\" in raw else raw[1:-1].decode()
+
+    def text(self, i: int) -> str:
+        return self.values[i] if self.odd[i] else self.t.data[self.a[i]:self.b[i]].tobytes().decode()
+
+    def texts(self, which: np.ndarray, strip: bool = True) -> pa.StringArray:
+        out, odd = cut_out(self.t.data, self.a[which], self.b[which]), self.odd[which]
+        if odd.any():
+            more = [self.values[i].strip(WHITES) if strip else self.values[i] for i in which[odd].tolist()]
+            out = pc.replace_with_mask(out, pa.array(odd), pa.array(more, pa.string()))
+        return out
+
+    def flags(self, names) -> np.ndarray:
+        """Per key, and for none at the end, whether it is one of the names."""
+        return np.array([*(k.lower() in names for k in self.names), False], bool)
+
+
+def _first_of(v: _Nodes, parent: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Per value the kind of its first typed field: 1 for a line, 2 for a word, 0 for others."""
+    kinds = np.zeros(v.n, np.int8)
+    typed = np.flatnonzero(which)
+    said = [t.lower() for t in v.texts(typed).to_pylist()]
+    # the first is written last
+    kinds[parent[typed][::-1]] = np.array([1 if t in LINE_TYPES else 2 if t in WORD_TYPES else 0 for t in said], np.int8)[::-1]
+    return kinds
+
+
+def _walked(v: _Nodes, some: np.ndarray, key: np.ndarray, under: np.ndarray, parent: np.ndarray, solid: np.ndarray):
+    """A function that gives, for the strings that fit, those that are texts and the place each counts for: that of its
+    line object where words make up a line. The trees are those of the values `some`, whose tops have no parent."""
+    def mark(which: np.ndarray) -> np.ndarray:
+        out = np.zeros(v.n, bool)
+        out[parent[which]] = True
+        return out & v.object
+
+    def inside(which: np.ndarray) -> np.ndarray:
+        """Whether the next place where something holds, from a value on, is in it."""
+        return np.minimum.accumulate(np.where(which, v.i, v.n)[::-1])[::-1] <= v.last
+
+    child, box = some & (parent >= 0), v.object | v.array
+    own, has = mark(child & v.flags(OWN_KEYS)[key] & v.said), mark(child & v.flags(LINE_KEYS)[key] & (box & (v.last > v.i) | v.string & (v.b > v.a)))
+    kind = np.where(v.object, _first_of(v, parent, child & v.flags(TYPE_FIELDS)[key] & v.string), 0)
+    via = some & v.flags(LINE_KEYS)[under]
+    strict = np.r_[-1, np.maximum.accumulate(np.where(via & own, v.last, -1))[:-1]] >= v.i if v.n else via
+    skip, bearing = strict | via & own | has | own, inside(has)
+    mixed = np.zeros((2, v.n), bool)
+    for k in (1, 2):
+        mixed[k - 1, parent[child & (kind == k)]] = True
+    words = skip[parent] & v.flags(WORD_KEYS)[key] & (has[parent] | box)
+    drop = child & (v.object[parent] & (words | bearing[parent] & v.flags(COARSE_KEYS)[key] & v.said) | v.array[parent] & mixed[0][parent] & mixed[1][parent] & (kind == 2))
+    flat = some & v.object & via & ~own & ~has
+
+    def texts(fits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        emits = some & solid & fits
+        filled = flat & inside(emits) & ~drop
+        event = drop | filled
+        # of nested stretches the outermost begins first and ends last
+        far = np.maximum.accumulate(np.where(event, v.last, -1))
+        outer = np.maximum.accumulate(np.where(event & (v.last > np.r_[-1, far[:-1]]), v.i, -1))
+        covered = far >= v.i
+        live = np.flatnonzero(emits & (~covered | filled[outer]))
+        return live, np.where(covered, outer, v.i)[live]
+
+    return texts
+
+
+_ENDS = re.compile("[" + LINE_ENDS + "]")
+
+
+def _feeds(texts: pa.StringArray) -> pa.StringArray:
+    """newlines of texts in a task."""
+    odd = pc.match_substring_regex(texts, _ENDS.pattern)
+    if not pc.any(odd).as_py():
+        return texts
+    return pc.replace_with_mask(texts, odd, pa.array([_ENDS.sub("\n", t.replace("\r\n", "\n")) for t in texts.filter(odd).to_pylist()], pa.string()))
+
+
+def _text_lines(t: Tokens) -> tuple[np.ndarray, list, np.ndarray, pa.StringArray]:
+    """content, page, line and text of the lines of whole contents."""
+    v = _Nodes(t)
+    sound = v.sound[v.content]
+    kids = v.count(v.level == 1)
+    root = [v.count((v.level == 0) & k) > 0 for k in (v.object, v.array, v.string)]
+    plain = (root[2] | root[1] & (v.count((v.level == 1) & ~v.string) == 0) & (kids > 0))[v.content]
+    rest = sound & ~plain
+    top = np.maximum.accumulate(np.where(v.level == 1, v.i, -1)) if v.n else v.i
+    block = rest & (v.level >= 1) & (root[1] & (kids >= 2))[v.content] | rest & (v.level >= 1) & root[0][v.content] & (v.object | v.array)[top]
+    solid = v.said.copy()
+    size = v.b - v.a
+    for i in np.flatnonzero(v.said & ((size >= 32) | (size >= 13) & (t.data[np.where(v.string, v.a, 0)] == 100 if len(t.data) else False) | v.odd)).tolist():
+        solid[i] = not _blob(v.text(i).strip(WHITES))
+    whole = _walked(v, rest, v.key, v.under, v.up, solid)
+    blocks = _walked(v, block, np.where(v.level > 1, v.key, -1), np.where(v.at > top, v.under, -1), np.where(v.level > 1, v.up, -1), solid)
+
+    found, open_ = [], rest
+    for lettered in (False, True):
+        if lettered:
+            fits = np.zeros(v.n, bool)
+            some = np.flatnonzero(open_ & solid)
+            if not len(some):
+                break
+            fits[some] = np.asarray(pc.match_substring_regex(v.texts(some), r"\p{L}"))
+        else:
+            fits = v.flags(TEXT_KEYS)
+        one, line = whole(fits if lettered else fits[v.under])
+        many, place = blocks(fits if lettered else fits[np.where(v.at > top, v.under, -1)])
+        pages = np.zeros(v.n, bool)
+        pages[top[many]] = True
+        paged = v.count(pages) >= 2
+        for at, to, of, keep in ((one, line, np.full(len(one), -1), ~paged), (many, place, top[many], paged)):
+            use = keep[v.content[at]] & open_[at]
+            found.append((at[use], to[use], of[use]))
+        open_ = open_ & (v.count(np.r_[found[-2][0], found[-1][0]]) == 0)[v.content]
+    at, to, of = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((at, to, of, v.content[at]))
+    at, to, of = at[order], to[order], of[order]
+    texts = v.texts(at)
+    joined = at != to
+    starts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(at) else at
+    flat = joined[starts]
+    if flat.any():
+        # the words of a line object, put together; white space within a word counts as one space
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(at)], pa.int32()), texts)
+        lines = pc.binary_join(lists, " ")
+        odd = pc.and_(pa.array(flat), pc.match_substring_regex(lines, f"[{WHITES.replace(' ', '')}]|  "))
+        texts = pc.replace_with_mask(lines, odd, pa.array([" ".join(x.split()) for x in lines.filter(odd).to_pylist()], pa.string())) if pc.any(odd).as_py() else lines
+        at, of = at[starts], of[starts]
+        texts = pc.if_else(pa.array(flat), texts, _feeds(texts))
+    else:
+        texts = _feeds(texts)
+    nth = np.cumsum(v.level == 1)
+    before = np.r_[0, np.cumsum(kids)]
+    label = ["1" if p < 0 else v.names[v.key[p]] if v.named[p] else str(nth[p] - before[c]) for p, c in zip(of.tolist(), v.content[at].tolist())]
+    bare = np.flatnonzero(sound & plain & v.string)
+    if len(bare):
+        texts = pa.concat_arrays([texts, _feeds(v.texts(bare, strip=False))])
+        at, of, label = np.r_[at, bare], np.r_[of, np.full(len(bare), -1)], [*label, *["1"] * len(bare)]
+    lines = pc.split_pattern(texts, "\n")
+    row = np.repeat(np.arange(len(at)), np.diff(np.asarray(lines.offsets)))
+    new = np.r_[True, (of[row][1:] != of[row][:-1]) | (v.content[at[row]][1:] != v.content[at[row]][:-1])] if len(row) else np.zeros(0, bool)
+    heads = np.flatnonzero(new)
+    number = np.arange(len(row)) - heads[np.cumsum(new) - 1] + 1 if len(row) else row
+    return v.content[at[row]], [label[k] for k in row.tolist()], number, lines.flatten()
 
 
 def json_text_lines(files: DataFrame, id_col: str = "path", text_col: str = "content") -> DataFrame:
@@ -149,29 +314,18 @@ def json_text_lines(files: DataFrame, id_col: str = "path", text_col: str = "con
     number or key; else all is page 1, as are lists of strings only and a single string. Null and corrupt contents have
     no lines. A page's lines count from 1.
     """
-    nodes = staged(json_nodes(files, id_col, text_col).withColumnRenamed(id_col, "id"))
-    by_id = Window.partitionBy("id")
-    root = F.max(F.when(F.col("level") == 0, F.col("kind"))).over(by_id)
-    kids = F.count_if(F.col("level") == 1).over(by_id)
-    plain = F.count_if((F.col("level") == 1) & (F.col("kind") != "string")).over(by_id) == 0
-    up = F.last(F.when(F.col("level") == 1, F.struct("node", "kind", "key")), True).over(by_id.orderBy("node"))
-    number = F.sum(F.when(F.col("level") == 1, 1).otherwise(0)).over(by_id.orderBy("node"))
-    all_ = nodes.withColumns({"root": root, "kids": kids, "up": up, "number": number, "texts": (root == "string") | (root == "array") & plain & (kids > 0)})
-    simple = all_.where(F.col("texts") & (F.col("kind") == "string")).select("id", F.lit("1").alias("page"), F.lit(-1).alias("top"), "node", newlines(F.col("value")).alias("text"), F.lit(False).alias("lettered"))
-    rest = all_.where(~F.col("texts"))
-    columns = ["id", "node", "end", "parent", "kind", "key", "under", "value"]
-    block = (F.col("level") >= 1) & F.when(F.col("root") == "array", F.col("kids") >= 2).otherwise(F.col("up.kind").isin("object", "array"))
-    whole = rest.select(*columns, F.lit(-1).alias("top"))
-    own = F.col("at") > F.col("up.node")
-    blocks = rest.where(block).select(*[F.when(own, F.col(c)).alias(c) if c == "under" else F.when(F.col("node") != F.col("up.node"), F.col(c)).alias(c) if c == "key" else F.col(c) for c in columns], F.col("up.node").alias("top"))
-    names = rest.where(block & (F.col("level") == 1)).select("id", F.col("node").alias("top"), F.when(F.col("root") == "array", F.col("number").cast("string")).otherwise(F.col("key")).alias("page"))
-    found = _walked(whole.unionByName(blocks)).join(names, ["id", "top"], "left").withColumn("page", F.coalesce("page", F.lit("1")))
-    tops = F.size(F.collect_set(F.when(F.col("top") >= 0, F.col("top"))).over(Window.partitionBy("id", "lettered"))) >= 2
-    found = found.withColumn("paged", tops).where(F.col("paged") == (F.col("top") >= 0))
-    found = found.withColumn("any", F.count_if(~F.col("lettered")).over(by_id) > 0).where(F.col("lettered") != F.col("any")).select("id", "page", "top", "node", "text", "lettered")
-    lines = simple.unionByName(found).select("id", "page", "top", "node", F.posexplode(F.split("text", "\n")).alias("l", "text"))
-    place = F.row_number().over(Window.partitionBy("id", "top").orderBy("node", "l"))
-    return lines.select(F.col("id").alias(id_col), "page", place.alias("line"), "text")
+    content = F.col(text_col)
+    # one value or several, told apart by the tokens
+    good = files.where(F.col(id_col).isNotNull() & F.try_parse_json(F.concat(F.lit("["), content, F.lit("]"))).isNotNull())
+    cut = good.select(F.col(id_col).alias("id"), F.regexp_extract_all(content, F.lit(TOKEN), F.lit(0)).alias("cut"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, (tokens,) in token_slices(batches, "cut"):
+            row, page, line, text = _text_lines(tokens)
+            yield pa.RecordBatch.from_arrays([rows.column("id").take(pa.array(row)), pa.array(page, pa.string()), pa.array(line, pa.int32()), text], names=["id", "page", "line", "text"])
+
+    lines = cut.mapInArrow(run, f"id {dict(files.dtypes)[id_col]}, page string, line int, text string")
+    return lines.select(F.col("id").alias(id_col), "page", "line", "text")
 
 
 def json_records(files: DataFrame, id_col: str = "path", text_col: str = "content") -> DataFrame:
