@@ -2,22 +2,24 @@
 
 As with JSON, one regular expression cuts a content into tags and texts, and running counts give each element the one
 around it and its end, so nesting has no limit and document order stays. Contents with a document type are refused (no
-entity is ever expanded), as are those whose tags do not pair up.
+entity is ever expanded), as are those whose tags do not pair up. A content's tokens are in one row, so files become lines
+in one stream: what belongs together is found by the numbers of boxes and ends, and nothing moves between tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.functions.staging import staged
-from inkspan.functions.text import newlines
+from inkspan.functions.text import LINE_ENDS
 from inkspan.operators.page_geometry import whole_pages
-from inkspan.sources.nesting import enclosing, nested
+from inkspan.sources.nesting import Tokens, cut_out, nest, nested, token_slices
 
 _ATTRIBUTE = r"""\s+([^<>"'=\s/]+)\s*=\s*("[^"<]*"|'[^'<]*')"""
 TOKEN = r"""<!--[\s\S]*?-->|<!\[CDATA\[[\s\S]*?\]\]>|<\?[\s\S]*?\?>|</?[^\s<>/!?]++(?:\s++[^<>"'=\s/]++\s*+=\s*+(?:"[^"<]*+"|'[^'<]*+'))*+\s*+/?>|[^<]++"""
@@ -78,16 +80,173 @@ def xml_nodes(files: DataFrame, id_col: str = "path", text_col: str = "content")
     return nodes.where("name is not null or text <> ''")
 
 
-def _around(nodes: DataFrame, keep: Column, inside: DataFrame) -> DataFrame:
-    """inside (id, node, ...) with outer, the innermost of the kept elements around or at it, of which none is in another."""
-    marks = nodes.where(keep).select("id", "node", F.struct(F.col("node").alias("node"), "end").alias("mark"))
-    both = inside.join(marks, ["id", "node"], "full")
-    last = F.last("mark", True).over(Window.partitionBy("id").orderBy("node"))
-    return both.withColumn("outer", F.when(last["end"] >= F.col("node"), last["node"])).drop("mark")
+_REFERENCE = re.compile("&#(?:[0-9]{1,7}|x[0-9A-Fa-f]{1,6});")
+_SPACES = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+_NAME_ENDS = _SPACES | np.isin(np.arange(256), (47, 62))
 
 
-def _number(attrs: str, key: str) -> Column:
-    return F.try_element_at(F.col(attrs), F.lit(key)).try_cast("double")
+def _resolved(text: str) -> str:
+    """unescaped of a text in a task."""
+    if "&#" in text:
+        for r in dict.fromkeys(_REFERENCE.findall(text)):
+            code = int(r[3:-1], 16) if r[2] == "x" else int(r[2:-1])
+            text = text.replace(r, chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else "�")
+    for name, c in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        text = text.replace(f"&{name};", c)
+    return text
+
+
+def _all_resolved(texts: pa.StringArray) -> pa.StringArray:
+    odd = pc.match_substring(texts, "&").fill_null(False)
+    return pc.replace_with_mask(texts, odd, pa.array([_resolved(x) for x in texts.filter(odd).to_pylist()], pa.string())) if pc.any(odd).as_py() else texts
+
+
+class Elements:
+    """Elements and texts of whole contents by number, in document order, as xml_nodes has them: contents, levels, the
+    element around each (up), the last number inside it, and whether its content is well formed (sound)."""
+
+    def __init__(self, t: Tokens, size: np.ndarray):
+        b0, b1 = t.byte(0), t.byte(1)
+        special = (b0 == 60) & (b1 == 33)
+        cdata = special & (t.byte(2) == 91)
+        kept = np.flatnonzero(~((b0 == 60) & (b1 == 63) | special & ~cdata))
+        tag = ((b0 == 60) & ~cdata)[kept]
+        closes = tag & (b1[kept] == 47)
+        opens = tag & ~closes & (t.byte(-2)[kept] != 47)
+        level, end, box, bad = nest(opens, closes, t.content[kept])
+        ends = np.flatnonzero(_NAME_ENDS[t.data])
+        a = t.at[kept[tag]] + 1 + closes[tag]
+        names = cut_out(t.data, a, ends[np.searchsorted(ends, a)]).dictionary_encode() if len(a) else pa.array([], pa.string()).dictionary_encode()
+        name = np.full(len(kept), -1)
+        name[tag] = np.asarray(names.indices)
+        bad = bad | closes & (name != name[box]) | opens & (end < 0) if len(kept) else bad
+        for i in np.flatnonzero((level == 0) & ~tag).tolist():
+            said = t.data[t.at[kept[i]]:t.at[kept[i] + 1]].tobytes().decode()
+            bad[i] |= bool(re.search(r"[^ \t-\r]", said[9:-3] if cdata[kept[i]] else _resolved(said)))
+        here, of = np.flatnonzero(~closes), t.content[kept]
+        root = np.bincount(of[(level == 0) & tag & ~closes], minlength=len(size)) == 1
+        covered = np.bincount(t.content, t.at[1:] - t.at[:-1], minlength=len(size)) == size
+        sound = covered & root & (np.bincount(of[bad], minlength=len(size)) == 0)
+        number = np.cumsum(~closes) - 1
+        self.t, self.tok, self.content, self.level, self.n, self.i = t, kept[here], of[here], level[here], len(here), np.arange(len(here))
+        self.up = np.where(box[here] >= 0, number[box[here]], -1)
+        self.last = np.where(end[here] >= 0, number[end[here]], self.i)
+        self.sound, self.cdata = sound[self.content], cdata[self.tok]
+        self.name, self.names = name[here], [x.rsplit(":", 1)[-1] for x in names.dictionary.to_pylist()]
+        self.quotes = None
+
+    def named(self, *names: str, test: Callable[[str], bool] | None = None) -> np.ndarray:
+        """The elements of well-formed contents with one of the names, or whose name passes the test."""
+        fits = np.array([*(test(x) if test else x in names for x in self.names), False], bool)
+        return fits[self.name] & self.sound
+
+    def texts(self, which: np.ndarray) -> pa.StringArray:
+        """The texts of nodes without a name."""
+        out = self.t.texts(self.tok[which])
+        raw = self.cdata[which]
+        out = _all_resolved(out) if not raw.any() else pa.array([x[9:-3] if c else _resolved(x) for x, c in zip(out.to_pylist(), raw.tolist())], pa.string())
+        return out
+
+    def attribute(self, which: np.ndarray, key: str) -> pa.StringArray:
+        """An attribute of some elements, null where there is none. Where a tag has no single quotes, its double quotes open
+        and close in turn, and a value's name stands before the first; other spellings are left to an expression."""
+        t = self.t
+        if self.quotes is None:
+            single = np.zeros(len(t.content), bool)
+            single[np.searchsorted(t.at, np.flatnonzero(t.data == 39), "right") - 1] = True
+            self.quotes, self.single = np.flatnonzero(t.data == 34), single
+        a, b = t.at[self.tok[which]], t.at[self.tok[which] + 1]
+        q0, q1 = np.searchsorted(self.quotes, a), np.searchsorted(self.quotes, b)
+        n = np.where(self.single[self.tok[which]], 0, (q1 - q0) // 2)
+        of = np.repeat(np.arange(len(which)), n)
+        q = np.repeat(q0 - 2 * np.r_[0, np.cumsum(n)[:-1]], n) + 2 * np.arange(len(of)) if len(of) else of
+        at = self.quotes[q] if len(of) else of
+        word = key.encode() + b"="
+        fits = at - len(word) - 1 > a[of]
+        for k, c in enumerate(word):
+            fits &= t.data[at - len(word) + k] == c
+        fits &= _SPACES[t.data[at - len(word) - 1]]
+        hit = np.flatnonzero(fits)[::-1]
+        start, stop = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+        # the first counts
+        start[of[hit]], stop[of[hit]] = at[hit] + 1, self.quotes[q[hit] + 1] if len(hit) else at[hit]
+        out, missed = cut_out(t.data, start, stop), start == 0
+        if missed.any():
+            s = r"[\t-\r ]"
+            value = "\"[^\"<]*\"|'[^'<]*'"
+            found = pc.extract_regex(t.texts(self.tok[which[missed]]), rf"""^<[^\t-\r <>/!?]+(?:{s}+[^<>"'=\t-\r /]+{s}*={s}*(?:{value}))*?{s}+{re.escape(key)}{s}*={s}*(?P<v>{value})""").field("v")
+            none = np.asarray(found.is_null()) | (np.asarray(pc.binary_length(found).fill_null(0)) == 0)
+            out = pc.replace_with_mask(out, pa.array(missed), pc.if_else(pa.array(none), pa.scalar(None, pa.string()), pc.utf8_slice_codeunits(found, 1, -1)))
+        return _all_resolved(out)
+
+    def around(self, which: np.ndarray, inner: np.ndarray) -> np.ndarray:
+        """Per number in inner the last of some elements that begins at or before it, if it ends behind; else -1."""
+        last = np.maximum.accumulate(np.where(which, self.i, -1))[inner]
+        return np.where((last >= 0) & (self.last[last] >= inner), last, -1)
+
+    def nth(self, which: np.ndarray) -> np.ndarray:
+        """Per number how many of some elements its content has up to there."""
+        seen = np.cumsum(which)
+        first = np.searchsorted(self.content, self.content)
+        return seen - np.where(first > 0, seen[first - 1], 0)
+
+
+def _ranks(*keys: np.ndarray) -> np.ndarray:
+    """Places from 1 among the rows of equal keys, in the order of the rows."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    starts = np.flatnonzero(np.r_[True, new[1:]]) if len(order) else order
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order)) - starts[np.cumsum(new)] + 1 if len(order) else order
+    return out
+
+
+def _joined(texts: pa.StringArray, of: np.ndarray, by: str, n: int) -> pa.StringArray:
+    """The texts of each of n, which stand one after another, with `by` between them."""
+    ends = np.r_[0, np.cumsum(np.bincount(of, minlength=n))]
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), texts), by)
+
+
+def streamed(files: DataFrame, id_col: str, text_col: str, read: Callable[[Elements], pa.RecordBatch], schema: str) -> DataFrame:
+    """What `read` makes of the elements of whole contents; its first column is the number of a content, here its id."""
+    content = F.col(text_col)
+    cut = files.where(F.col(id_col).isNotNull() & content.isNotNull()).select(F.col(id_col).alias("id"), F.octet_length(content).alias("size"), F.regexp_extract_all(content, F.lit(TOKEN), F.lit(0)).alias("cut"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, (tokens,) in token_slices(batches, "cut"):
+            out = read(Elements(tokens, np.asarray(rows.column("size"))))
+            yield pa.RecordBatch.from_arrays([rows.column("id").take(out.column(0)), *out.columns[1:]], names=["id", *out.schema.names[1:]])
+
+    return cut.mapInArrow(run, f"id {dict(files.dtypes)[id_col]}, {schema}")
+
+
+def _alto_lines(e: Elements) -> pa.RecordBatch:
+    line, string, page = e.named("TextLine"), e.named("String"), e.named("Page")
+    lines, pages = np.flatnonzero(line), np.flatnonzero(page)
+    parts = np.flatnonzero((string | e.named("HYP")) & (e.up >= 0) & line[e.up])
+    parts = parts[np.argsort(e.up[parts], kind="stable")]
+    begins = string[parts]
+    words = parts[begins]
+    before = np.cumsum(begins) - 1
+    # a hyphen belongs to the string before it in its line
+    hyphens = before[~begins]
+    hyphens = hyphens[(hyphens >= 0) & (e.up[words[hyphens]] == e.up[parts[~begins]])] if len(words) else hyphens[:0]
+    texts = e.attribute(words, "CONTENT").fill_null("")
+    if len(hyphens):
+        n = np.bincount(hyphens, minlength=len(words))
+        some = n > 0
+        texts = pc.replace_with_mask(texts, pa.array(some), pa.array([x + "-" * k for x, k in zip(texts.filter(pa.array(some)).to_pylist(), n[some].tolist())], pa.string()))
+    full = np.asarray(pc.binary_length(texts)) > 0
+    said = _joined(texts.filter(pa.array(full)), np.searchsorted(lines, e.up[words[full]]), " ", len(lines))
+    nth = e.nth(page)
+    of = e.around(page, lines)
+    number = np.where(of >= 0, nth[of], 1)
+    labels = {p: a or b or str(k) for p, a, b, k in zip(pages.tolist(), e.attribute(pages, "PHYSICAL_IMG_NR").to_pylist(), e.attribute(pages, "ID").to_pylist(), nth[pages].tolist())}
+    content = e.content[lines]
+    return pa.RecordBatch.from_arrays([pa.array(content), pa.array(number, pa.int32()), pa.array([labels.get(p, "1") for p in of.tolist()], pa.string()), pa.array(_ranks(content, number), pa.int32()), said,
+                                       *(e.attribute(lines, k) for k in ("HPOS", "VPOS", "WIDTH", "HEIGHT"))], names=["id", "page", "label", "line", "text", "x", "y", "w", "h"])
 
 
 def alto_lines(files: DataFrame, id_col: str = "path", text_col: str = "content") -> DataFrame:
@@ -95,29 +254,132 @@ def alto_lines(files: DataFrame, id_col: str = "path", text_col: str = "content"
     joined by a space, a hyphen element at the end of the string before it. Pages count from 1, as do their lines; the
     label is the image number, else the id, else the number. Lines outside of any page are on page 1 of the file. Boxes
     are null without numbers. Contents that are not well formed have none."""
-    n = staged(xml_nodes(files, id_col, text_col).where("name in ('Page', 'TextLine', 'String', 'HYP')").withColumnRenamed(id_col, "id"))
-    lines = n.where("name = 'TextLine'").select("id", F.col("node").alias("line"), "attrs")
-    parts = n.where("name in ('String', 'HYP')").withColumn("part", F.count_if(F.col("name") == "String").over(Window.partitionBy("id", "parent").orderBy("node"))).where("part > 0")
-    word = F.concat(F.coalesce(F.first(F.when(F.col("name") == "String", F.coalesce(F.try_element_at("attrs", F.lit("CONTENT")), F.lit(""))), True), F.lit("")), F.repeat(F.lit("-"), F.count_if(F.col("name") == "HYP").cast("int")))
-    words = parts.groupBy("id", F.col("parent").alias("line"), "part").agg(word.alias("word")).where("word <> ''")
-    texts = words.groupBy("id", "line").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "word"))), lambda x: x["word"]), " ").alias("text"))
-    pages = n.where("name = 'Page'").withColumn("page", F.row_number().over(Window.partitionBy("id").orderBy("node")))
-    label = F.coalesce(*(F.nullif(F.try_element_at("attrs", F.lit(k)), F.lit("")) for k in ("PHYSICAL_IMG_NR", "ID")), F.col("page").cast("string"))
-    placed = _around(n, F.col("name") == "Page", lines.withColumnRenamed("line", "node")).where("attrs is not null").withColumnRenamed("node", "line")
-    out = placed.join(pages.select("id", F.col("node").alias("outer"), "page", label.alias("label")), ["id", "outer"], "left").join(texts, ["id", "line"], "left")
-    out = out.withColumns({"page": F.coalesce("page", F.lit(1)), "label": F.coalesce("label", F.lit("1"))})
-    x, y, w, h = (_number("attrs", k) for k in ("HPOS", "VPOS", "WIDTH", "HEIGHT"))
-    place = F.row_number().over(Window.partitionBy("id", "page").orderBy("line"))
-    return out.select(F.col("id").alias(id_col), "page", "label", place.alias("line"), F.coalesce("text", F.lit("")).alias("text"), x.alias("x0"), y.alias("y0"), (x + w).alias("x1"), (y + h).alias("y1"))
-
-
-def _equivalents(n: DataFrame) -> DataFrame:
-    """(id, node, said): per element with a TextEquiv child the text of the one with the lowest index."""
-    equiv = n.where("name = 'TextEquiv'").select("id", F.col("node").alias("equiv"), F.col("parent").alias("node"), F.coalesce(F.try_element_at("attrs", F.lit("index")).try_cast("int"), F.lit(0)).alias("index"))
-    best = equiv.groupBy("id", "node").agg(F.min(F.struct("index", "equiv"))["equiv"].alias("equiv"))
-    unicode_ = n.where("name = 'Unicode'").groupBy("id", F.col("parent").alias("equiv")).agg(F.min("node").alias("unicode"))
-    text = n.where("name is null").groupBy("id", F.col("parent").alias("unicode")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node", "text"))), lambda x: x["text"]), "").alias("said"))
-    return best.join(unicode_, ["id", "equiv"], "left").join(text, ["id", "unicode"], "left").select("id", "node", F.coalesce("said", F.lit("")).alias("said"))
+    lines = streamed(files, id_col, text_col, _alto_lines, "page int, label string, line int, text string, x string, y string, w string, h string")
+    x, y, w, h = (F.col(k).try_cast("double") for k in "xywh")
+    return lines.select(F.col("id").alias(id_col), "page", "label", "line", "text", x.alias("x0"), y.alias("y0"), (x + w).alias("x1"), (y + h).alias("y1"))
+
+
+def _whole(text: str | None) -> int | None:
+    """try_cast of a text to int."""
+    return n if text is not None and re.fullmatch(r"[+-]?[0-9]+", t := text.strip(" \t\n\x0b\x0c\r")) and -(1 << 31) <= (n := int(t)) < 1 << 31 else None
+
+
+def _equivalents(e: Elements, index_of: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, pa.StringArray]:
+    """Per number the place of its equivalent's text, -1 without a TextEquiv child, and these texts: of the one with the
+    lowest index, the first Unicode child's."""
+    equiv = np.flatnonzero(e.named("TextEquiv") & (e.up >= 0))
+    equiv = equiv[np.lexsort((equiv, index_of(equiv), e.up[equiv]))]
+    best = equiv[np.r_[True, e.up[equiv][1:] != e.up[equiv][:-1]]] if len(equiv) else equiv
+    unicode_ = np.flatnonzero(e.named("Unicode") & (e.up >= 0))[::-1]
+    inside = np.full(e.n, -1)
+    inside[e.up[unicode_]] = unicode_
+    place = np.full(e.n, -1)
+    chosen = inside[best]
+    place[chosen[chosen >= 0]] = np.flatnonzero(chosen >= 0)
+    bare = np.flatnonzero((e.name < 0) & e.sound & (e.up >= 0))
+    bare = bare[place[e.up[bare]] >= 0]
+    of = place[e.up[bare]]
+    order = np.argsort(of, kind="stable")
+    said = _joined(e.texts(bare[order]), of[order], "", len(best))
+    out = np.full(e.n, -1)
+    out[e.up[best]] = np.arange(len(best))
+    return out, said
+
+
+_REFS = ("RegionRefIndexed", "OrderedGroupIndexed", "UnorderedGroupIndexed", "RegionRef", "OrderedGroup", "UnorderedGroup")
+_ENDS = re.compile("[" + LINE_ENDS + "]")
+
+
+def _named_regions(e: Elements, page_of: Callable[[int], int]) -> dict[tuple[int, str], tuple]:
+    """Per page and region that a reading order names the least way to it: the places of the groups around its reference
+    and its own."""
+    refs = np.flatnonzero(e.named(*_REFS))
+    index = np.array([_whole(x) or 0 for x in e.attribute(refs, "index").to_pylist()], np.int64)
+    indexed = np.isin(e.name[refs], [k for k, x in enumerate(e.names) if x.endswith("Indexed")])
+    beside = _ranks(e.up[refs]) - 1
+    head = e.named("ReadingOrder")[e.up[refs]] & (e.up[refs] >= 0)
+    steps = np.where(head, refs, np.where(indexed, index, beside))
+    out: dict[tuple[int, str], tuple] = {}
+    around: list[tuple[int, tuple]] = []
+    for i, last, step, top, region in zip(refs.tolist(), e.last[refs].tolist(), steps.tolist(), head.tolist(), e.attribute(refs, "regionRef").to_pylist()):
+        while around and around[-1][0] < i:
+            around.pop()
+        way = (*(around[-1][1] if around else ()), (step, i))
+        around.append((last, way))
+        page = page_of(i)
+        if not top and region and page >= 0 and way < out.get((page, region), (*way, (0, 0))):
+            out[page, region] = way
+    return out
+
+
+def _page_lines(e: Elements) -> pa.RecordBatch:
+    page = e.named("Page")
+    region = e.named(test=lambda x: x.endswith("Region") or x == "TableCell")
+    line = e.named("TextLine")
+    on = e.around(page, e.i)
+    number = e.nth(page)
+    named = _named_regions(e, lambda i: int(on[i]))
+
+    place, said = _equivalents(e, lambda which: np.array([_whole(x) or 0 for x in e.attribute(which, "index").to_pylist()], np.int64))
+    full = np.r_[np.asarray(pc.binary_length(said)) > 0, False]
+    words = np.flatnonzero(e.named("Word") & (e.up >= 0) & full[place])
+    words = words[line[e.up[words]]]
+    words = words[np.argsort(e.up[words], kind="stable")]
+    lines = np.flatnonzero(line)
+    of_words = _joined(said.take(pa.array(place[words])), np.searchsorted(lines, e.up[words]), " ", len(lines))
+    own = said.take(pa.array(place[lines], mask=~full[place[lines]]))
+    texts = dict(zip(lines.tolist(), pc.coalesce(own, of_words).to_pylist()))
+
+    # cells by their own place, or that of the first role inside
+    regions = np.flatnonzero(region & (on >= 0))
+    roles = np.flatnonzero(e.named("TableCellRole"))
+    role = roles[np.minimum(np.searchsorted(roles, regions), len(roles) - 1)] if len(roles) else np.full(len(regions), -1)
+    role = np.where((role >= regions) & (role <= e.last[regions]), role, -1)
+    has = np.flatnonzero(role >= 0)
+    given = [e.attribute(regions, k).to_pylist() for k in ("row", "col")]
+    other = [dict(zip(has.tolist(), e.attribute(role[has], k).to_pylist())) for k in ("rowIndex", "columnIndex")]
+    cells = {}
+    for k, i in enumerate(regions.tolist()):
+        both = given[0][k] is not None and given[1][k] is not None
+        cells[i] = tuple(_whole(g[k] if both else o.get(k)) for g, o in zip(given, other))
+    ids = dict(zip(regions.tolist(), e.attribute(regions, "id").to_pylist()))
+    ways = {i: named.get((int(on[i]), r)) if r is not None else None for i, r in ids.items()}
+    kept = [i for i in lines.tolist() if int(e.up[i]) in cells]
+
+    # a table's parts go by cell only if each of them is a cell with a place
+    up = dict(zip(regions.tolist(), e.up[regions].tolist()))
+    by_cell: dict[int, bool] = {}
+    for i in ids:
+        if ways[i] is None:
+            by_cell[up[i]] = by_cell.get(up[i], True) and None not in cells[i]
+    for i in kept:
+        by_cell[int(e.up[i])] = False
+    table = {i for i in ids if e.names[e.name[i]] == "TableRegion"}
+
+    # from the innermost region that the order names, or that is in none, the way down
+    orders: dict[int, tuple] = {}
+    around: list[tuple[int, int]] = []
+    for i, last in zip(regions.tolist(), e.last[regions].tolist()):
+        while around and around[-1][0] < i:
+            around.pop()
+        row, col = cells[i] if up[i] in table and by_cell.get(up[i], False) else (0, 0)
+        if ways[i] is not None or up[i] not in cells:
+            orders[i] = (ways[i] is None, ways[i] or (), ((row, col, i),))
+        else:
+            late, way, down = orders[around[-1][1]]
+            orders[i] = (late, way, (*down, (row, col, i)))
+        around.append((last, i))
+
+    filled = {*e.up[lines].tolist(), *e.up[region].tolist()}
+    bare = np.array([i for i in ids if i not in filled and full[place[i]]], np.int64)
+    found = [(int(e.content[i]), int(number[on[i]]), (late, way, (*down, (0, 0, i))), [texts[i]]) for i in kept if on[i] >= 0 for late, way, down in (orders[int(e.up[i])],)]
+    for i, text in zip(bare.tolist(), said.take(pa.array(place[bare])).to_pylist()):
+        late, way, down = orders[i]
+        found.append((int(e.content[i]), int(number[on[i]]), (late, way, (*down, (0, 0, i))), _ENDS.sub("\n", text.replace("\r\n", "\n")).split("\n")))
+    found.sort(key=lambda x: x[:3])
+    rows = [(c, p, t) for c, p, _, some in found for t in some]
+    content, pages, said_ = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(content, pa.int64()), pa.array(pages, pa.int32()), pa.array(_ranks(np.array(content, np.int64), np.array(pages, np.int64)), pa.int32()), pa.array(said_, pa.string())], names=["id", "page", "line", "text"])
 
 
 def page_lines(files: DataFrame, id_col: str = "path", text_col: str = "content") -> DataFrame:
@@ -128,53 +390,5 @@ def page_lines(files: DataFrame, id_col: str = "path", text_col: str = "content"
     of a table by row and column if all have a place. A line's text is its equivalent with the lowest index, else its
     words'; a region without lines and regions gives its own text. Pages and lines count from 1.
     """
-    n = staged(xml_nodes(files, id_col, text_col).withColumnRenamed(id_col, "id"))
-    is_region = F.coalesce(F.col("name").endswith("Region") | (F.col("name") == "TableCell"), F.lit(False))
-    attr = lambda k: F.try_element_at("attrs", F.lit(k))
-    pages = n.where("name = 'Page'").withColumn("page", F.row_number().over(Window.partitionBy("id").orderBy("node")))
-    on_page = lambda rows: _around(n, F.col("name") == "Page", rows).join(pages.select("id", F.col("node").alias("outer"), "page"), ["id", "outer"])
-
-    # the order that groups give: per reference the places of the groups around it and its own
-    refs = n.where("name in ('RegionRefIndexed', 'OrderedGroupIndexed', 'UnorderedGroupIndexed', 'RegionRef', 'OrderedGroup', 'UnorderedGroup')")
-    beside = F.row_number().over(Window.partitionBy("id", "parent").orderBy("node")) - 1
-    index = F.when(F.col("name").endswith("Indexed"), F.coalesce(attr("index").try_cast("int"), F.lit(0))).otherwise(beside)
-    heads = n.where("name = 'ReadingOrder'").select("id", F.col("node").alias("parent"), F.lit(True).alias("head"))
-    refs = refs.withColumn("index", index).join(heads, ["id", "parent"], "left").withColumn("step", F.struct(F.when(F.col("head"), F.col("node")).otherwise(F.col("index")).alias("index"), "node"))
-    named = on_page(refs.where("head is null").select("id", "node", attr("regionRef").alias("region"))).where("region <> ''").join(enclosing(refs, refs, F.col("step")), ["id", "node"])
-    named = named.groupBy("id", "page", "region").agg(F.min("path").alias("path"))
-
-    roles = n.where("name = 'TableCellRole'").select("id", "node", "attrs")
-    own = n.where(is_region).select("id", "node", "end", "parent", "name", "attrs")
-    cell = enclosing(roles.select("id", "node"), own, F.struct(F.col("node").alias("node"), "end")).select("id", F.col("node").alias("role"), F.explode("path").alias("around"))
-    cell = cell.groupBy("id", F.col("around.node").alias("node")).agg(F.min("role").alias("role")).join(roles.select("id", F.col("node").alias("role"), F.col("attrs").alias("role_attrs")), ["id", "role"])
-    place = lambda a, b: F.when(attr("row").isNotNull() & attr("col").isNotNull(), attr(a)).otherwise(F.try_element_at("role_attrs", F.lit(b))).try_cast("int")
-    regions = on_page(own.join(cell, ["id", "node"], "left")).withColumns({"row": place("row", "rowIndex"), "col": place("col", "columnIndex"), "region": attr("id")})
-    regions = regions.join(named, ["id", "page", "region"], "left")
-    boxes = regions.select("id", F.col("node").alias("parent"), F.col("name").alias("box"))
-    lines = n.where("name = 'TextLine'").select("id", "node", "parent", "end").join(boxes, ["id", "parent"])
-    # a table's parts go by cell only if each of them is a cell with a place
-    parts = regions.where("path is null").select("id", "parent", (F.col("row").isNotNull() & F.col("col").isNotNull()).alias("placed")).unionByName(lines.select("id", "parent", F.lit(False).alias("placed")))
-    tables = parts.groupBy("id", "parent").agg(F.min("placed").alias("by_cell")).join(boxes, ["id", "parent"]).where("by_cell and box = 'TableRegion'").select("id", "parent", "by_cell")
-    regions = regions.join(boxes, ["id", "parent"], "left").join(tables, ["id", "parent"], "left")
-    starts = F.col("path").isNotNull() | F.col("box").isNull()
-    step = F.struct(starts.alias("starts"), F.col("path").alias("named"), F.struct(F.coalesce(F.when(F.col("by_cell"), F.col("row")), F.lit(0)).alias("row"), F.coalesce(F.when(F.col("by_cell"), F.col("col")), F.lit(0)).alias("col"), "node").alias("at"))
-    marked = regions.withColumn("step", step)
-
-    said = _equivalents(n)
-    words = n.where("name = 'Word'").select("id", "node", F.col("parent").alias("line")).join(said, ["id", "node"]).where("said <> ''")
-    words = words.groupBy("id", F.col("line").alias("node")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node", "said"))), lambda x: x["said"]), " ").alias("words"))
-    line_text = lines.join(said, ["id", "node"], "left").join(words, ["id", "node"], "left").select("id", "node", F.array(F.coalesce(F.nullif("said", F.lit("")), F.col("words"), F.lit(""))).alias("texts"))
-    filled = lines.select("id", F.col("parent").alias("node")).unionByName(n.where(is_region).select("id", F.col("parent").alias("node"))).distinct()
-    bare = regions.select("id", "node").join(filled, ["id", "node"], "left_anti").join(said, ["id", "node"]).where("said <> ''").select("id", "node", F.split(newlines(F.col("said")), "\n").alias("texts"))
-    texts = line_text.unionByName(bare)
-
-    # from the innermost region that the order names, or that is in none, the way down to the line
-    way = enclosing(texts, marked, F.col("step"))
-    last = F.aggregate("path", F.struct(F.lit(-1).alias("k"), F.lit(-1).alias("i")), lambda acc, x: F.struct(F.when(x["starts"], acc["i"] + 1).otherwise(acc["k"]).alias("k"), (acc["i"] + 1).alias("i")), lambda acc: acc["k"])
-    ways = way.withColumn("k", last).withColumn("start", F.get("path", F.col("k")))
-    # the line itself ends its way, so that it takes its place among the regions beside it
-    down = F.concat(F.transform(F.slice("path", F.col("k") + 1, F.size("path")), lambda x: x["at"]), F.array(F.struct(F.lit(0).alias("row"), F.lit(0).alias("col"), "node")))
-    order = F.struct(F.col("start.named").isNull().alias("late"), F.col("start.named").alias("named"), down.alias("down"))
-    found = on_page(texts.join(ways.select("id", "node", order.alias("order")), ["id", "node"]).select("id", "node", "texts", "order"))
-    split = found.select("id", "page", "order", F.posexplode("texts").alias("l", "text"))
-    return split.select(F.col("id").alias(id_col), "page", F.row_number().over(Window.partitionBy("id", "page").orderBy("order", "l")).alias("line"), "text")
+    lines = streamed(files, id_col, text_col, _page_lines, "page int, line int, text string")
+    return lines.select(F.col("id").alias(id_col), "page", "line", "text")

@@ -93,3 +93,71 @@ def test_nodes_move_nowhere(spark):
             assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def _plain_alto(root):
+    """Lines of an ALTO tree by the rule, top-down."""
+    out, pages = [], []
+
+    def walk(e, page):
+        name = e.tag.split("}")[-1]
+        if name == "Page":
+            pages.append(e)
+            page = (len(pages), e.get("PHYSICAL_IMG_NR") or e.get("ID") or str(len(pages)))
+        if name == "TextLine":
+            words = []
+            for c in e:
+                if c.tag.split("}")[-1] == "String":
+                    words.append(c.get("CONTENT") or "")
+                elif c.tag.split("}")[-1] == "HYP" and words:
+                    words[-1] += "-"
+            out.append((page, " ".join(w for w in words if w), e.get("HPOS")))
+        for c in e:
+            walk(c, page)
+
+    walk(root, (1, "1"))
+    return out
+
+
+def test_alto_streams_against_the_parser(spark):
+    """Tags in any spelling, from a content's own tokens: nothing is shuffled or staged."""
+    r = random.Random(8)
+
+    def tag(name, **attrs):
+        items = [(k, v) for k, v in attrs.items() if v is not None]
+        r.shuffle(items)
+        space = lambda: r.choice(["", "", " ", "\n"])
+        return f"<{name}" + "".join(f"{r.choice([' ', '  ', chr(10)])}{k}{space()}={space()}{quoteattr(v) if r.random() < 0.7 else chr(39) + escape(v, {chr(39): '&apos;'}) + chr(39)}" for k, v in items)
+
+    def line(depth=0):
+        inner = [tag(r.choice(["String", "a:String"]), CONTENT=r.choice(["w", "", "é &", "a'b", 'q"', "CONTENT=", None]), WC="0.9", XCONTENT="no", SUBS_CONTENT="x CONTENT='no'") + "/>" for _ in range(r.randint(0, 4))] + ["<HYP/>"] * r.randint(0, 2) + ([line(1)] if depth == 0 and r.random() < 0.1 else [])
+        r.shuffle(inner)
+        return tag("TextLine", HPOS=r.choice(["1", "2.5", "x", None]), ID="l") + ">" + "<SP/>".join(inner) + "</TextLine >"
+
+    files = []
+    for _ in range(80):
+        pages = [tag("Page", ID=r.choice(["", "p", None]), PHYSICAL_IMG_NR=r.choice(["", "7", None])) + "><!-- <Page> -->" + "".join(line() for _ in range(r.randint(0, 3))) + "</Page>" for _ in range(r.randint(0, 3))]
+        files.append("<alto xmlns:a='u'>" + r.choice(["", line()]) + "\n".join(pages) + "</alto>\n")
+    d = spark.createDataFrame(list(enumerate(files)) + [(900, "<alto><Page></alto></Page>"), (901, "")], "path int, content string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        lines = X.alto_lines(d)
+        got = {}
+        for x in sorted(lines.collect(), key=lambda x: (x.path, x.page, x.line)):
+            got.setdefault(x.path, []).append((x.page, x.label, x.line, x.text, x.x0))
+        assert "Exchange" not in lines._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for i, f in enumerate(files):
+        want, root = {}, ET.fromstring(f)
+        for (page, label), text, x in _plain_alto(root):
+            want.setdefault(page, []).append((page, label, text, float(x) if x not in (None, "x") else None))
+        assert got.get(i, []) == [(p, label, n, t, x) for p in sorted(want) for n, (p, label, t, x) in enumerate(want[p], 1)], f
+    assert not {900, 901} & set(got)
+
+
+def test_page_lines_move_nowhere(spark):
+    p = "<PcGts><Page><ReadingOrder><OrderedGroup><RegionRef regionRef='b'/><RegionRef regionRef='a'/></OrderedGroup></ReadingOrder>" + "".join(f"<TextRegion id='{i}'><TextLine><TextEquiv index='1'><Unicode>x</Unicode></TextEquiv><TextEquiv index=' 0 '><Unicode>{i} &amp;<!-- c --> <![CDATA[<t>]]></Unicode></TextEquiv></TextLine></TextRegion>" for i in "abc") + "</Page></PcGts>"
+    lines = X.page_lines(spark.createDataFrame([(1, p), (2, p + "x"), (3, p.replace("Unicode", "pc:Unicode"))], "path int, content string").coalesce(1))
+    assert "Exchange" not in lines._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, lines.collect())) == [(i, 1, n, f"{c} & <t>") for i in (1, 3) for n, c in enumerate("bac", 1)]
