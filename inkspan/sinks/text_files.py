@@ -9,16 +9,20 @@ from __future__ import annotations
 import os
 import shutil
 import uuid
-from collections.abc import Iterator, Sequence
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 DONE = "_SUCCESS"
+#: Bytes and files that a task reads ahead.
+READ_BYTES, READ_FILES = 1 << 23, 4096
 
 
 def _folder(path: str) -> str:
@@ -39,6 +43,19 @@ def file_name(name: str, suffix: str) -> str:
     return (f"%{ord(escaped[0]):02X}{escaped[1:]}" if escaped[0] in "._" else escaped) + suffix
 
 
+def _leaving(folder: str, which: Callable[[os.DirEntry], bool] = lambda e: True) -> Iterator[os.DirEntry]:
+    """The entries of a folder that the caller takes out of it; it is listed again until none is left, as a listing may pass
+    over entries when others go."""
+    found = True
+    while found:
+        found = False
+        with os.scandir(folder) as entries:
+            for e in entries:
+                if which(e):
+                    found = True
+                    yield e
+
+
 @dataclass
 class Written(WriterCommitMessage):
     folder: str
@@ -68,23 +85,24 @@ class _Writer(DataSourceWriter):
         return Written(folder)
 
     def commit(self, messages) -> None:
-        done = [m.folder for m in messages if m]
-        names = set()
-        for folder in done:
-            for e in os.scandir(folder):
-                if e.name in names:
+        """Moves files one by one, so that no list of them is held: first together, where two of one name show, then out."""
+        done = os.path.join(self.job, "done")
+        os.makedirs(done, exist_ok=True)
+        for message in filter(None, messages):
+            for e in _leaving(message.folder):
+                to = os.path.join(done, e.name)
+                if os.path.lexists(to):
                     raise ValueError(f"{e.name} was written by two tasks")
-                names.add(e.name)
+                os.replace(e.path, to)
         os.makedirs(self.path, exist_ok=True)
         if os.path.exists(os.path.join(self.path, DONE)):
             os.remove(os.path.join(self.path, DONE))
         if self.overwrite:
-            for e in list(os.scandir(self.path)):
-                if e.is_file() and e.name.endswith(self.suffix) and e.name not in names:
-                    os.remove(e.path)
-        for folder in done:
-            for e in list(os.scandir(folder)):
-                os.replace(e.path, os.path.join(self.path, e.name))
+            old = lambda e: e.name.endswith(self.suffix) and e.is_file() and not os.path.lexists(os.path.join(done, e.name))
+            for e in _leaving(self.path, old):
+                os.remove(e.path)
+        for e in _leaving(done):
+            os.replace(e.path, os.path.join(self.path, e.name))
         shutil.rmtree(self.job, ignore_errors=True)
         with open(os.path.join(self.path, DONE), "w"):
             pass
@@ -121,10 +139,34 @@ def write_texts(parts: DataFrame, path: str, file: str = "file", order: Sequence
 
 
 def read_texts(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:
-    """(file, content) of the files that write_texts wrote; content is one value per file. Spark passes over files without a
-    byte, which have no row; what the renderings write has a line feed at least."""
-    if not os.path.exists(os.path.join(_folder(path), DONE)):
+    """(file, content) of the files that write_texts wrote; content is one value per file. Files without a byte have no row;
+    what the renderings write has a line feed at least.
+
+    Each task lists the folder, keeps the names whose checksum is its own, and holds some files at a time. Spark's reader of
+    files would list all of them in the driver.
+    """
+    folder = _folder(path)
+    if not os.path.exists(os.path.join(folder, DONE)):
         raise FileNotFoundError(f"no finished job in {path}")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(path)
-    name = F.regexp_extract("path", "([^/]*)$", 1)
-    return files.select(F.url_decode(F.left(name, F.length(name) - len(suffix))).alias("file"), F.col("content").cast("string").alias("content"))
+    tasks = spark.sparkContext.defaultParallelism
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in (k for batch in batches for k in batch.column(0).to_pylist()):
+            names, contents, held = [], [], 0
+            with os.scandir(folder) as entries:
+                for e in entries:
+                    if not e.name.endswith(suffix) or e.name[0] in "._" or zlib.crc32(os.fsencode(e.name)) % tasks != own or not e.is_file():
+                        continue
+                    with open(e.path, "rb") as f:
+                        content = f.read()
+                    if content:
+                        names.append(e.name.removesuffix(suffix))
+                        contents.append(content)
+                        held += len(content)
+                    if held > READ_BYTES or len(names) >= READ_FILES:
+                        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["name", "content"])
+                        names, contents, held = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["name", "content"])
+
+    files = spark.range(0, tasks, 1, tasks).mapInArrow(run, "name string, content binary")
+    return files.select(F.url_decode("name").alias("file"), F.col("content").cast("string").alias("content"))

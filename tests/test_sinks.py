@@ -73,3 +73,29 @@ def test_failed_and_repeated_jobs(spark, lines, tmp_path):
     assert T.read_texts(spark, path).count() == 0
     with pytest.raises(Exception):
         T.write_texts(rows(("z", 1, "z")), "s3a://bucket/x", order=("n",))
+
+
+def test_the_driver_lists_no_files(spark, tmp_path):
+    """Neither the commit nor the reader holds what grows with the number of files."""
+    import tracemalloc
+
+    n, path = 3000, str(tmp_path / "many")
+    rows = spark.range(n).select(F.concat(F.lit("n" * 100), "id").alias("file"), F.lit(1).alias("n"), F.lit("x").alias("part"))
+    T.write_texts(rows, path, order=("n",))
+    back = T.read_texts(spark, path)
+    assert back.count() == n and "FileScan" not in back._jdf.queryExecution().executedPlan().toString()
+    os.makedirs(tmp_path / "attempt")
+    for i in range(n):
+        (tmp_path / "attempt" / f"{'m' * 100}{i}.txt").write_text("y")
+    writer = T._Writer(path, ".txt", True)
+    os.makedirs(writer.job)
+    tracemalloc.start()
+    writer.commit([T.Written(str(tmp_path / "attempt")), None])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300_000 and len(os.listdir(path)) == n + 1 and not os.listdir(tmp_path / "attempt")
+    for k in "ab":
+        os.makedirs(tmp_path / k)
+        (tmp_path / k / "same.txt").write_text(k)
+    with pytest.raises(ValueError):
+        T._Writer(path, ".txt", False).commit([T.Written(str(tmp_path / k)) for k in "ab"])
