@@ -26,3 +26,8 @@ def staged(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df over as many tasks as a shuffle has, for small rows of which much is made: files would give a task per block."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inkspan.functions.staging import dealt
 from inkspan.operators import table_distance
 
 
 def _tables(spark, d):
     """A table of four rows per customer, and a reading of it with slips by key: a lost row, a head for a cell, a merged
     cell, misread letters; now and then no table at all."""
-    c = spark.read.parquet(f"{d}/customer.parquet")
+    c = dealt(spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey", "c_acctbal"), "c_custkey")
     k = F.col("c_custkey")
     cell = lambda v, tag="td": F.concat(F.lit(f"<{tag}>"), v, F.lit(f"</{tag.split()[0]}>"))
     row = lambda *cells: F.concat(F.lit("<tr>"), *cells, F.lit("</tr>"))

@@ -149,12 +149,15 @@ class Elements:
 
     def attribute(self, which: np.ndarray, key: str) -> pa.StringArray:
         """An attribute of some elements, null where there is none. Where a tag has no single quotes, its double quotes open
-        and close in turn, and a value's name stands before the first; other spellings are left to an expression."""
+        and close in turn, and a value's name and sign stand before the first; other spellings are left to an expression."""
         t = self.t
         if self.quotes is None:
-            single = np.zeros(len(t.content), bool)
-            single[np.searchsorted(t.at, np.flatnonzero(t.data == 39), "right") - 1] = True
-            self.quotes, self.single = np.flatnonzero(t.data == 34), single
+            self.quotes = np.flatnonzero(t.data == 34)
+            # single quotes, and spaces around the sign between name and value
+            sign = np.flatnonzero(t.data == 61)
+            odd = [np.flatnonzero(t.data == 39), sign[_SPACES[t.data[sign - 1]] | _SPACES[t.data[np.minimum(sign + 1, len(t.data) - 1)]]]]
+            self.single = np.zeros(len(t.content), bool)
+            self.single[np.searchsorted(t.at, np.concatenate(odd), "right") - 1] = True
         a, b = t.at[self.tok[which]], t.at[self.tok[which] + 1]
         q0, q1 = np.searchsorted(self.quotes, a), np.searchsorted(self.quotes, b)
         n = np.where(self.single[self.tok[which]], 0, (q1 - q0) // 2)
@@ -170,7 +173,9 @@ class Elements:
         start, stop = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
         # the first counts
         start[of[hit]], stop[of[hit]] = at[hit] + 1, self.quotes[q[hit] + 1] if len(hit) else at[hit]
-        out, missed = cut_out(t.data, start, stop), start == 0
+        out, none, missed = cut_out(t.data, start, stop), start == 0, self.single[self.tok[which]]
+        if none.any():
+            out = pc.if_else(pa.array(none), pa.scalar(None, pa.string()), out)
         if missed.any():
             s = r"[\t-\r ]"
             value = "\"[^\"<]*\"|'[^'<]*'"

@@ -1,6 +1,8 @@
 import random
 from functools import lru_cache
 
+import numpy as np
+
 from inkspan.operators import table_distance as T
 
 
@@ -70,3 +72,22 @@ def test_trees_are_never_broadcast(spark):
     pairs = spark.createDataFrame([(1, "<table><tr><td>a</td></tr></table>", "<table><tr><td>b</td></tr></table>")], "k int, ref string, hyp string")
     out = table_distance.teds(pairs, ["k"], "ref", "hyp")
     assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_pairs_of_one_shape(spark):
+    """Pairs of equal shapes go together and give what each gives alone; a pair's contents are in one row and stay there."""
+    r = random.Random(3)
+    texts = ["", "a", "kitten", "sitting", "é日x", "y" * 64, "z" * 70 + "y", "q" * 130, "kit" * 21]
+    a = ["".join(r.choices("abcé", k=r.randint(0, 80))) for _ in range(80)] + texts
+    pairs = [(i, j) for i in range(len(a)) for j in r.sample(range(len(a)), 12)]
+    one, two = (np.array(x) for x in zip(*pairs))
+    assert T.many_edits(a, one, two).tolist() == [plain(a[i], a[j]) for i, j in pairs]
+    rows, want = [], {}
+    for k in range(40):
+        tree = [("table|1|1", "", (("tr|1|1", "", (("td|1|1", r.choice(texts), ()), ("td|1|1", r.choice(texts), ()), (r.choice(["td|1|1", "th|1|1"]), "s", ()))),)) for _ in range(2)]
+        rows.append((k, html(tree[0]), html(tree[1])))
+        want[k] = [1 - d / most for d, most in (brute(*tree, t) for t in (True, False))]
+    out = T.teds(spark.createDataFrame(rows, "k int, ref string, hyp string").coalesce(1), ["k"], "ref", "hyp")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    for x in out.collect():
+        assert abs(x.teds - want[x.k][0]) < 1e-9 and abs(x.teds_structure - want[x.k][1]) < 1e-9
