@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkspan.functions.staging import staged
-from inkspan.sources.json_trees import json_nodes, json_status
-from inkspan.sources.nesting import enclosing
+from inkspan.sources.json_trees import TOKEN, Nodes
+from inkspan.sources.nesting import token_slices
 
 #: Keywords of a schema that check nothing.
 NOTES = {"$schema", "$id", "$defs", "definitions", "title", "description", "default", "examples", "$comment"}
@@ -52,22 +55,115 @@ def rules(schema: dict, at: str = "$", root: dict | None = None, seen: tuple = (
             yield at, keyword, value
 
 
-def _values(files: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Every value of the records with its place, its path (items by number), type, number, keys and number of parts."""
-    n = staged(json_nodes(files, id_col, text_col).withColumnRenamed(id_col, "id"))
-    by = F.row_number().over(Window.partitionBy("id", "parent").orderBy("node")) - 1
-    plain = F.replace(F.replace(F.replace(F.col("key"), F.lit("\\"), F.lit("\\\\")), F.lit("."), F.lit("\\.")), F.lit("["), F.lit("\\["))
-    own = F.when(F.col("parent").isNull(), F.struct(F.lit("$").alias("place"), F.lit("$").alias("path"))).when(F.col("key").isNotNull(), F.struct(F.concat(F.lit("."), plain).alias("place"), F.concat(F.lit("."), plain).alias("path"))).otherwise(F.struct(F.lit("[*]").alias("place"), F.concat(F.lit("["), by, F.lit("]")).alias("path")))
-    n = n.withColumn("step", own)
-    boxes = n.where("kind in ('object', 'array')")
-    ways = enclosing(boxes.select("id", "node"), boxes, F.col("step")).select("id", F.col("node").alias("parent"), F.col("path").alias("way"))
-    parts = n.where("parent is not null").groupBy("id", F.col("parent").alias("node")).agg(F.collect_set("key").alias("keys"), F.count("*").alias("parts"))
-    # both grow with the values, which their stated sizes do not show: never broadcast
-    placed = n.join(ways.hint("merge"), ["id", "parent"], "left").join(parts.hint("merge"), ["id", "node"], "left")
-    join = lambda f: F.concat(F.array_join(F.transform(F.coalesce("way", F.array().cast("array<struct<place:string,path:string>>")), lambda s: s[f]), ""), F.col(f"step.{f}"))
-    number = F.col("raw").try_cast("double")
-    kind = F.when(F.col("kind") != "other", F.col("kind")).when(F.col("raw") == "null", "null").when(F.col("raw").isin("true", "false"), "boolean").when(number == F.floor(number), "integer").otherwise("number")
-    return placed.select("id", join("place").alias("place"), join("path").alias("path"), kind.alias("type"), "value", "raw", number.alias("number"), F.coalesce("keys", F.array().cast("array<string>")).alias("keys"), F.coalesce("parts", F.lit(0)).alias("parts"))
+def _steps(place: str) -> list[str | None]:
+    """The keys of a place from the top, None for any item of a list."""
+    return [None if x == "[*]" else re.sub(r"\\(.)", r"\1", x[1:], flags=re.S) for x in re.findall(r"\[\*\]|\.(?:\\.|[^.\\\[])*", place[1:], re.S)]
+
+
+def _placed(v: Nodes, places: Sequence[str]) -> tuple[np.ndarray, pa.StringArray, np.ndarray]:
+    """The values at the places, in document order, their paths (items by number) and the places' numbers. Values are
+    followed down from the top, level by level, as far as the places lead."""
+    tree: dict[tuple, int] = {(): 0}
+    for place in places:
+        way = _steps(place)
+        for k in range(len(way)):
+            tree.setdefault(tuple(way[:k + 1]), len(tree))
+    number = {tree[tuple(_steps(place))]: k for k, place in enumerate(places)}
+    key_at = {None: 0} | {name: k + 1 for k, name in enumerate(v.names)}
+    next_ = np.full((len(tree) + 1, len(v.names) + 1), -1)
+    for way, k in tree.items():
+        if way and way[-1] in key_at:
+            next_[tree[way[:-1]], key_at[way[-1]]] = k
+    steps = pa.array(["", *(step_of(x) for x in v.names)], pa.string())
+    # an item's number is how many values its list has before it
+    order = np.argsort(v.up, kind="stable")
+    first = np.searchsorted(v.up[order], v.up[order])
+    nth = np.empty(v.n, np.int64)
+    nth[order] = np.arange(v.n) - first
+    found, paths, states = [], [], []
+    here = np.flatnonzero(v.sound[v.content] & (v.level == 0))
+    state, path = np.zeros(len(here), np.int64), pa.array(["$"] * len(here), pa.string())
+    at = np.full(v.n, -1)
+    while len(here):
+        found.append(here)
+        paths.append(path)
+        states.append(state)
+        at[here] = np.arange(len(here))
+        row = np.where(v.up >= 0, at[v.up], -1)
+        below = np.flatnonzero(row >= 0)
+        to = next_[state[row[below]], np.where(v.named[below], v.key[below] + 1, 0)]
+        item = ~v.named[below[to >= 0]]
+        at[here] = -1
+        below, row, state = below[to >= 0], row[below[to >= 0]], to[to >= 0]
+        step = steps.take(pa.array(np.where(item, 0, v.key[below] + 1)))
+        if item.any():
+            step = pc.if_else(pa.array(item), pc.binary_join_element_wise("[", pa.array(nth[below]).cast(pa.string()), "]", ""), step)
+        here, path = below, pc.binary_join_element_wise(path.take(pa.array(row)), step, "")
+    if not found:
+        return v.i[:0], pa.array([], pa.string()), v.i[:0]
+    every, state = np.concatenate(found), np.concatenate(states)
+    ruled = np.array([number.get(k, -1) for k in range(len(tree))])[state]
+    keep = np.flatnonzero(ruled >= 0)
+    keep = keep[np.argsort(every[keep], kind="stable")]
+    return every[keep], pa.concat_arrays(paths).take(pa.array(keep)), ruled[keep]
+
+
+def _values(files: DataFrame, places: Sequence[str], id_col: str, text_col: str) -> DataFrame:
+    """The values of the records at the places, with the place's number, the path (items by number), type, text, token,
+    number, keys and number of parts; and a row of type `missing` or `corrupt`, at no place, per record that is not read.
+    A record's tokens are in one row, so nothing moves between tasks."""
+    content = F.col(text_col)
+    sound = F.try_parse_json(F.concat(F.lit("["), content, F.lit("]"))).isNotNull()
+    cut = files.select(F.col(id_col).alias("id"), content.isNull().alias("missing"), sound.alias("sound"), F.when(sound, F.regexp_extract_all(content, F.lit(TOKEN), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("cut"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, (tokens,) in token_slices(batches, "cut"):
+            v = Nodes(tokens)
+            ids, missing = rows.column("id"), np.asarray(rows.column("missing"))
+            good = np.asarray(rows.column("sound"))
+            good[:len(v.sound)] &= v.sound
+            good[len(v.sound):] = False
+            # several values in a row are sound as items of a list only
+            v.sound = good[:len(v.sound)] & np.asarray(ids.is_valid())[:len(v.sound)]
+            which, path, place = _placed(v, places)
+            other = ~(v.object | v.array | v.string)[which]
+            raw = v.t.texts(v.tok[which[other]])
+            is_number = ~np.asarray(pc.is_in(raw, pa.array(["null", "true", "false"])))
+            # all digits at once; what is too large for that is taken alone
+            digits = raw.filter(pa.array(is_number))
+            try:
+                some = np.asarray(digits.cast(pa.float64()))
+            except pa.ArrowInvalid:
+                some = np.array([float(x) for x in digits.to_pylist()])
+            number = np.full(len(which), np.nan)
+            number[np.flatnonzero(other)[is_number]] = some
+            kind = np.where(v.object[which], "object", np.where(v.array[which], "array", np.where(v.string[which], "string", "number"))).astype(object)
+            whole = np.flatnonzero((number == np.floor(number)) & (np.abs(number) <= 2.0**63))
+            kind[whole] = "integer"
+            kind[np.flatnonzero(other)[~is_number]] = ["null" if x == "null" else "boolean" for x in raw.filter(pa.array(~is_number)).to_pylist()]
+            token = np.full(len(which), -1)
+            token[other] = np.arange(len(raw))
+            text = np.full(len(which), -1)
+            strings = np.flatnonzero(v.string[which])
+            text[strings] = np.arange(len(strings))
+            # the keys and parts of the objects and lists among them
+            row = np.full(v.n, -1)
+            row[which] = np.arange(len(which))
+            inner = np.flatnonzero((v.up >= 0) & (row[v.up] >= 0))
+            parts = np.bincount(row[v.up[inner]], minlength=len(which))
+            keyed = inner[v.named[inner]]
+            keyed = keyed[np.argsort(row[v.up[keyed]], kind="stable")]
+            ends = np.r_[0, np.cumsum(np.bincount(row[v.up[keyed]], minlength=len(which)))]
+            keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v.names, pa.string()).take(pa.array(v.key[keyed])))
+            where = lambda x, at: x.take(pa.array(at, mask=at < 0))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(v.content[which])), pa.array(place, pa.int32()), path, pa.array(kind, pa.string()), where(v.texts(which[strings], strip=False), text), where(raw, token), pa.array(number, from_pandas=True), keys, pa.array(parts, pa.int32())], names=names)
+            unread = np.flatnonzero(~good)
+            if len(unread):
+                n = len(unread)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(unread)), pa.array([-1] * n, pa.int32()), pa.array(["$"] * n, pa.string()), pa.array(["missing" if missing[k] else "corrupt" for k in unread.tolist()], pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.float64()), pa.array([[]] * n, pa.list_(pa.string())), pa.array([0] * n, pa.int32())], names=names)
+
+    names = ["id", "place", "path", "type", "value", "raw", "number", "keys", "parts"]
+    return cut.mapInArrow(run, f"id {dict(files.dtypes)[id_col]}, place int, path string, type string, value string, raw string, number double, keys array<string>, parts int")
 
 
 def _broken(keyword: str, argument) -> Column:
@@ -105,13 +201,17 @@ def violations(files: DataFrame, schema: dict, id_col: str = "path", text_col: s
     references into itself; whatever else it says is refused when the rules are read.
     """
     found = [(place, k, a) for place, k, a in rules(schema)]
-    breaks = [F.when((F.col("place") == place) & _broken(k, a), F.struct(F.lit(k).alias("keyword"), F.lit(json.dumps(a)).alias("rule"))) for place, k, a in found]
-    values = _values(files, id_col, text_col)
-    none = F.array().cast("array<struct<keyword:string,rule:string>>")
-    out = values.select("id", "path", F.explode(F.filter(F.array(*breaks), lambda x: x.isNotNull()) if breaks else none).alias("x")).select(F.col("id").alias(id_col), F.col("path").alias("at"), "x.*")
-    status = json_status(F.col(text_col))
-    unread = files.where(status.isNull() | (status == "corrupt")).select(id_col, F.lit("$").alias("at"), F.when(status.isNull(), "null").otherwise("json").alias("keyword"), F.lit("true").alias("rule"))
-    return out.unionByName(unread)
+    places = list(dict.fromkeys(place for place, _, _ in found))
+    broken = [(F.lit(k), F.lit(json.dumps(a)), F.coalesce((F.col("place") == places.index(place)) & _broken(k, a), F.lit(False))) for place, k, a in found]
+    # a record that is not read breaks what no rule says
+    broken += [(F.lit(k), F.lit("true"), F.col("type") == kind) for k, kind in (("null", "missing"), ("json", "corrupt"))]
+    some = broken[0][2]
+    for _, _, fails in broken[1:]:
+        some = some | fails
+    # few values break a rule: only those are looked at rule by rule
+    breaks = F.filter(F.array(*(F.when(fails, F.struct(k.alias("keyword"), rule.alias("rule"))) for k, rule, fails in broken)), lambda x: x.isNotNull())
+    out = _values(files, places, id_col, text_col).where(some)
+    return out.select("id", "path", F.explode(breaks).alias("x")).select(F.col("id").alias(id_col), F.col("path").alias("at"), "x.*")
 
 
 def line_numbers_from_one(lines: DataFrame, keys, line: str = "line") -> DataFrame:

@@ -113,7 +113,7 @@ def _decoded(token: bytes) -> str:
     return json.loads(token).encode("utf-8", "replace").decode()
 
 
-class _Nodes:
+class Nodes:
     """The values of whole contents by number, in document order: kinds, keys, boxes (up), the last value inside, and the
     spans of their stripped texts; texts that bytes do not show (escapes, edges that may be white) are taken one by one."""
 
@@ -176,7 +176,7 @@ class _Nodes:
         return np.array([*(k.lower() in names for k in self.names), False], bool)
 
 
-def _first_of(v: _Nodes, parent: np.ndarray, which: np.ndarray) -> np.ndarray:
+def _first_of(v: Nodes, parent: np.ndarray, which: np.ndarray) -> np.ndarray:
     """Per value the kind of its first typed field: 1 for a line, 2 for a word, 0 for others."""
     kinds = np.zeros(v.n, np.int8)
     typed = np.flatnonzero(which)
@@ -186,7 +186,7 @@ def _first_of(v: _Nodes, parent: np.ndarray, which: np.ndarray) -> np.ndarray:
     return kinds
 
 
-def _walked(v: _Nodes, some: np.ndarray, key: np.ndarray, under: np.ndarray, parent: np.ndarray, solid: np.ndarray):
+def _walked(v: Nodes, some: np.ndarray, key: np.ndarray, under: np.ndarray, parent: np.ndarray, solid: np.ndarray):
     """A function that gives, for the strings that fit, those that are texts and the place each counts for: that of its
     line object where words make up a line. The trees are those of the values `some`, whose tops have no parent."""
     def mark(which: np.ndarray) -> np.ndarray:
@@ -238,7 +238,7 @@ def _feeds(texts: pa.StringArray) -> pa.StringArray:
 
 def _text_lines(t: Tokens) -> tuple[np.ndarray, list, np.ndarray, pa.StringArray]:
     """content, page, line and text of the lines of whole contents."""
-    v = _Nodes(t)
+    v = Nodes(t)
     sound = v.sound[v.content]
     kids = v.count(v.level == 1)
     root = [v.count((v.level == 0) & k) > 0 for k in (v.object, v.array, v.string)]

@@ -79,3 +79,24 @@ def test_values_are_never_broadcast(spark):
     out = validation.violations(files, {"type": "object", "properties": {"a": {"type": "array", "maxItems": 1}}})
     assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert [(r.at, r.keyword) for r in out.collect()] == [("$.a", "maxItems")]
+
+
+def test_values_move_nowhere(spark):
+    """Values are followed down from the top of each record, in batches of any size, without a shuffle or a table between."""
+    schema = {"type": "object", "properties": {"a.b": {"items": {"type": "array", "items": {"type": ["integer", "string"], "maximum": 5}}}, "[*]": {"type": "object", "additionalProperties": False, "properties": {"": {"const": "é\n"}}}, "\\": {"enum": [1.5, None, False]}}}
+    good = {"a.b": [[1, "x"], []], "[*]": {"": "é\n"}, "\\": False, "other": {"a.b": 7}}
+    cases = [(good, []), ({**good, "a.b": [[1, 6], [2.5], "s", [None, 7.0]]}, [("$.a\\.b[0][1]", "maximum"), ("$.a\\.b[1][0]", "type"), ("$.a\\.b[2]", "type"), ("$.a\\.b[3][0]", "type"), ("$.a\\.b[3][1]", "maximum")]),
+             ({"[*]": {"": "e", "x": [1]}}, [("$.\\[*]", "additionalProperties"), ("$.\\[*].", "const")]), ({"\\": 1e400}, [("$.\\\\", "enum")]), ({"\\": 1.5, "a.b": []}, []), ([[good]], [("$", "type")])]
+    texts = [json.dumps(c).replace("Infinity", "1e400") for c, _ in cases]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100, '{} {}'), (101, '{}, {}'), (102, '{}], [{}'), (103, ""), (104, None), (None, '{"a.b": [1]}'), (None, "{")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        out = validation.violations(spark.createDataFrame(rows, "path int, content string").coalesce(1), schema)
+        got = {}
+        for x in out.collect():
+            got.setdefault(x.path, []).append((x.at, x.keyword))
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {k: sorted(v) for k, v in got.items() if k is not None and k < 100} == {i: sorted(w) for i, (_, w) in enumerate(cases) if w}
+    assert {k: got[k] for k in (100, 101, 102, 103, 104, None)} == {100: [("$", "json")], 101: [("$", "json")], 102: [("$", "json")], 103: [("$", "json")], 104: [("$", "null")], None: [("$", "json")]}
