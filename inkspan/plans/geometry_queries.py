@@ -29,8 +29,7 @@ def _units(spark, d):
 
 
 def _ordered(spark, d):
-    units = _units(spark, d)
-    return geometry.reading_order(units, geometry.gutters(units, KEYS), KEYS, "unit")
+    return geometry.page_reading_order(_units(spark, d), KEYS, "unit")
 
 
 QUERIES = {
@@ -38,7 +37,7 @@ QUERIES = {
     "line_units": lambda s, d: _units(s, d),
     "page_gutters": lambda s, d: geometry.gutters(_units(s, d), KEYS),
     "reading_order": lambda s, d: _ordered(s, d).select(*KEYS, "unit", "spanning", "column", "place"),
-    "heading_levels": lambda s, d: geometry.heading_levels(_units(s, d), ["doc_id"], ["page", "unit"]).select(*KEYS, "unit", "size", "heading"),
+    "heading_levels": lambda s, d: geometry.doc_heading_levels(_units(s, d), ["doc_id"], ["page", "unit"]).select(*KEYS, "unit", "size", "heading"),
     "body_size": lambda s, d: geometry.body_size(_units(s, d), ["doc_id"], ["page", "unit"]),
 }
 
