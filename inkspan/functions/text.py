@@ -17,6 +17,8 @@ WHITES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, rang
 #: Fixed value: line separators besides CRLF that become a line feed; the form feed stays, as it ends a page.
 LINE_ENDS = "\r\x0b\x1c\x1d\x1e\x85\u2028\u2029"
 
+#: Two spaces, or a character that may be white space but is no space.
+_NOT_PLAIN = r"[^ -~\x{a1}-\x{167f}\x{1681}-\x{1fff}\x{3001}-\x{10ffff}]|  "
 _ANY_END = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in LINE_ENDS) + "]"
 
 
@@ -28,7 +30,9 @@ def nfc(text: pd.Series) -> pd.Series:
 
 def collapsed(text: Column) -> Column:
     """White space runs as one space, trimmed; null counts as empty."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"{WHITE}+", " "))
+    text = F.coalesce(text, F.lit(""))
+    # most texts have single spaces only, which one look at plain ranges tells
+    return F.trim(F.when(text.rlike(_NOT_PLAIN), F.regexp_replace(text, f"{WHITE}+", " ")).otherwise(text))
 
 
 def normalized(text: Column, lowercase: bool = False) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inkspan.functions.staging import staged
 from inkspan.operators import alignment
 from inkspan.plans.geometry_queries import KEYS, _UNITS, _units
 
@@ -30,7 +31,8 @@ def _segments(spark, d):
 
 
 def _compared(spark, d):
-    units = _units(spark, d).select((F.col("doc_id") * 1000 + F.col("page")).alias("page"), "unit", "text", "x0", "x1")
+    # both sides come from the units, which cost more to make than to keep
+    units = staged(_units(spark, d).select((F.col("doc_id") * 1000 + F.col("page")).alias("page"), "unit", "text", "x0", "x1"))
     other = units.where("unit % 9 <> 4").withColumns({"x1": F.col("x1") + F.col("unit") % 3, "text": F.when(F.col("unit") % 10 == 7, F.concat(F.lit("  "), "text", F.lit("!"))).otherwise(F.concat(F.lit(" "), "text"))})
     return alignment.compared(units, other, "page", "text", ["x0", "x1"], "unit")
 

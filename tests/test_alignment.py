@@ -48,3 +48,20 @@ def test_compared_sides_meet_in_one_shuffle(spark):
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "a b", "both", 0.0), (None, "x", "left", None), (None, "x", "right", None), (2, "t", "both", 3.5), (3, "u", "right", None)], key=str)
     plan = alignment.compared(one, two, "page", "text", ["e"], "k")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan and "SortAggregate" not in plan
+
+
+def test_both_sides_read_units_that_are_made_once(spark):
+    """The units of pages cost more than the comparison: its plan reads them back and makes none."""
+    from inkspan.plans import alignment_queries as Q
+
+    out = Q.QUERIES["extractions_compared"](spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString() and out.count() > 0
+
+
+def test_collapsed_by_every_white_space(spark):
+    from inkspan.functions.text import WHITES, collapsed
+
+    texts = [f"{a}x{b}{c}y éᚁ῿、​{a}" for a in ["", *WHITES, "᠎", "\U0001f600"] for b in ["", " ", "\t"] for c in ["", " ", "\xa0"]] + ["", " ", "a b c", "  "]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {x.i: x.k for x in d.select("i", collapsed(d.t).alias("k")).collect()}
+    assert [got[i] for i in range(len(texts))] == [" ".join(t.split()) for t in texts]
