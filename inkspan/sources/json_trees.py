@@ -126,8 +126,7 @@ class Nodes:
         number, here = np.cumsum(~closes) - 1, np.flatnonzero(~closes)
         tok, self.level, self.n = kept[here], level[here], len(here)
         self.t, self.tok, self.content, self.i = t, tok, t.content[tok], np.arange(len(here))
-        contents = int(t.content[-1]) + 1 if len(t.content) else 0
-        self.count = lambda which: np.bincount(self.content[which], minlength=contents)
+        self.contents = contents = int(t.content[-1]) + 1 if len(t.content) else 0
         # the parser does not look behind the first value: what follows it closes nothing or is a second one
         self.sound = (np.bincount(t.content[kept][bad], minlength=contents) == 0) & (self.count(self.level == 0) == 1)
         self.up = np.where(box[here] >= 0, number[box[here]], -1)
@@ -157,6 +156,10 @@ class Nodes:
             self.said[i] = bool(v.strip(WHITES))
         self.odd = odd
 
+    def count(self, which: np.ndarray) -> np.ndarray:
+        """How many of some values each content has."""
+        return np.bincount(self.content[which], minlength=self.contents)
+
     def _value(self, i: int) -> str:
         raw = self.t.data[self.a[i] - 1:self.b[i] + 1].tobytes()
         return _decoded(raw) if b"\\" in raw else raw[1:-1].decode()
