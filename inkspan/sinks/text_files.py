@@ -16,7 +16,7 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
@@ -133,9 +133,10 @@ def write_texts(parts: DataFrame, path: str, file: str = "file", order: Sequence
     task, which sorts its rows on disk where memory ends and holds one of them.
     """
     parts.sparkSession.dataSource.register(TextFiles)
-    named = parts.withColumn("__file", F.coalesce(F.col(file).cast("string"), F.lit("")))
-    rows = named.repartition("__file").sortWithinPartitions("__file", *order)
-    rows.select(F.col("__file").alias("file"), F.col(part).alias("part")).write.format(TextFiles.name()).option("suffix", suffix).mode(mode).save(path)
+    named = parts if dict(parts.dtypes)[file] == "string" else parts.withColumn(file, F.col(file).cast("string"))
+    # a window keeps rows that stand by file where they are, which renderings leave so; its number must be read to stay
+    rows = named.withColumn("__n", F.row_number().over(Window.partitionBy(file).orderBy(*order))).where("__n > 0")
+    rows.select(F.coalesce(F.col(file), F.lit("")).alias("file"), F.col(part).alias("part")).write.format(TextFiles.name()).option("suffix", suffix).mode(mode).save(path)
 
 
 def read_texts(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:

@@ -99,3 +99,19 @@ def test_the_driver_lists_no_files(spark, tmp_path):
         (tmp_path / k / "same.txt").write_text(k)
     with pytest.raises(ValueError):
         T._Writer(path, ".txt", False).commit([T.Written(str(tmp_path / k)) for k in "ab"])
+
+
+def test_rendered_lines_are_shuffled_once(spark, lines, tmp_path, monkeypatch):
+    """Lines that a rendering has put together by file are written from there."""
+    from pyspark.sql import DataFrameWriter
+
+    plans, save = [], DataFrameWriter.save
+
+    def seen(self, *args, **kinds):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return save(self, *args, **kinds)
+
+    monkeypatch.setattr(DataFrameWriter, "save", seen)
+    T.write_texts(R.plain_parts(lines, "file"), str(tmp_path / "o"))
+    assert len(plans) == 1 and plans[0].count("Exchange hashpartitioning") == 1
+    assert {x.file: x.content for x in T.read_texts(spark, str(tmp_path / "o")).collect()} == {f: plain(r, False) for f, r in files(ROWS).items()}
