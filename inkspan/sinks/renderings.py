@@ -32,9 +32,11 @@ def _quoted(text: Column) -> Column:
 
 def _placed(lines: DataFrame, file: str, page: str, line: str, text: str, title: str | None = None) -> tuple[DataFrame, dict]:
     """Lines with whether they begin or end their page or file and whether they say something."""
-    d = lines.select(F.col(file).alias("file"), F.col(page).alias("page"), F.col(line).alias("line"), stripped(F.col(text)).alias("said"), F.coalesce(F.col(text), F.lit("")).alias("text"), *([] if title is None else [F.col(title).alias("title")]))
+    d = lines.select(F.col(file).alias("file"), F.col(page).alias("page"), F.col(line).alias("line"), F.coalesce(F.col(text), F.lit("")).alias("text"), *([] if title is None else [F.col(title).alias("title")]))
     order = Window.partitionBy("file").orderBy("page", "line", "text")
     d = d.withColumns({"before": F.lag(F.struct("page")).over(order), "after": F.lead(F.struct("page")).over(order)})
+    # told behind the windows, so that a text moves once
+    d = d.withColumn("said", stripped(F.col("text")))
     new = F.col("before").isNull() | ~F.col("before.page").eqNullSafe(F.col("page"))
     end = F.col("after").isNull() | ~F.col("after.page").eqNullSafe(F.col("page"))
     d = d.withColumns({"new": new, "end": end, "first": F.col("before").isNull(), "last": F.col("after").isNull(), "full": F.col("said") != ""})
